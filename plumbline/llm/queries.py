@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import multiset_fingerprint, packing, sharding
+from . import language_id, multiset_fingerprint, packing, repetition_rules, sharding, simhash_dedup
 from .common import documents
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.groups(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -18,16 +22,27 @@ def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_fingerprint.equal_documents(documents(spark, sf_dir))
 
 
+def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules.repetition(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op4_simhash_dedup,
         op5_packing,
         op6_multiset_fingerprint,
+        op7_repetition_rules,
         op9_sharding,
+        op10_language_id,
     )
 }
 
