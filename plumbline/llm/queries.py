@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, multiset_fingerprint, packing, repetition_rules, sharding, simhash_dedup
+from . import language_id, multiset_fingerprint, packing, repetition_rules, sentencepiece_stream, sharding, simhash_dedup, token_counts
 from .common import documents
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(documents(spark, sf_dir))
 
@@ -26,6 +30,10 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules.repetition(documents(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_stream.encode_documents(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -37,10 +45,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_token_counts,
         op4_simhash_dedup,
         op5_packing,
         op6_multiset_fingerprint,
         op7_repetition_rules,
+        op8_sentencepiece,
         op9_sharding,
         op10_language_id,
     )
