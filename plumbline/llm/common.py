@@ -50,14 +50,14 @@ def total_order(df: DataFrame) -> T.DataType:
     return df.schema["doc_id"].dataType
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches that hold about CHUNK_CHARS characters of text, or one longer text."""
+def chunks(batches: Iterator[pa.RecordBatch], text_column: int = 1, chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches that hold about ``chars`` characters of text, or one longer text."""
     for batch in batches:
         texts = batch.column(text_column).to_pylist()
         start = held = 0
         for i, text in enumerate(texts):
             n = len(text) if text else 0
-            if i > start and held + n > CHUNK_CHARS:
+            if i > start and held + n > chars:
                 yield batch.slice(start, i - start), texts[start:i]
                 start, held = i, 0
             held += n

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, multiset_fingerprint, packing, repetition_rules, sentencepiece_stream, sharding, simhash_dedup, token_counts
+from . import brown_lm, language_id, multiset_fingerprint, packing, quality_classifier, repetition_rules, sentencepiece_stream, sharding, simhash_dedup, token_counts
 from .common import documents
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(documents(spark, sf_dir))
 
@@ -45,7 +53,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_brown_lm,
         op2_token_counts,
+        op3_quality_classifier,
         op4_simhash_dedup,
         op5_packing,
         op6_multiset_fingerprint,
