@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +73,14 @@ def broadcast_value(spark: SparkSession, value):
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Just the two columns the operators read, whatever else the table has."""
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts ``decide`` keeps; no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, at):
+            yield batch.filter(pa.array(decide(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

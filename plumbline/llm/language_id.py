@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_value, chunks
+from .common import broadcast_value, chunks, keep_rows
 
 MAX_ORDER = 3
 #: Sample documents of each language that its tree is fitted on: those whose ids hash lowest.
@@ -153,6 +153,25 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, list[str]
     return out
 
 
+def predict(model: Model, texts: list[str | None], reject_bits: float = REJECT_BITS) -> tuple[list[str | None], list[float | None], list[float | None]]:
+    """Language, bits a byte and margin of each text; see ``identify``."""
+    sizes, cost = code_lengths(model, [t or "" for t in texts])
+    predicted: list[str | None] = []
+    bits: list[float | None] = []
+    margin: list[float | None] = []
+    for text, n, row in zip(texts, sizes.tolist(), cost.tolist()):
+        if not text or text.isspace() or not row:
+            predicted.append(None)
+            bits.append(None)
+            margin.append(None)
+            continue
+        best = min(row)
+        bits.append(best / UNIT / n)
+        margin.append((sorted(row)[1] - best) / UNIT / n if len(row) > 1 else None)
+        predicted.append(model.languages[row.index(best)] if best / UNIT <= reject_bits * n + START_BITS else None)
+    return predicted, bits, margin
+
+
 def identify(docs: DataFrame, model: Model | None = None, reject_bits: float = REJECT_BITS) -> DataFrame:
     """doc_id, declared lang, predicted language, bits_per_byte, margin and keep for each row; no shuffle.
 
@@ -181,21 +200,7 @@ def identify(docs: DataFrame, model: Model | None = None, reject_bits: float = R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for batch, texts in chunks(batches):
-            sizes, cost = code_lengths(m, [t or "" for t in texts])
-            predicted: list[str | None] = []
-            bits: list[float | None] = []
-            margin: list[float | None] = []
-            for text, n, row in zip(texts, sizes.tolist(), cost.tolist()):
-                if not text or text.isspace() or not row:
-                    predicted.append(None)
-                    bits.append(None)
-                    margin.append(None)
-                    continue
-                best = min(row)
-                b = best / UNIT / n
-                bits.append(b)
-                margin.append((sorted(row)[1] - best) / UNIT / n if len(row) > 1 else None)
-                predicted.append(m.languages[row.index(best)] if best / UNIT <= reject_bits * n + START_BITS else None)
+            predicted, bits, margin = predict(m, texts, reject_bits)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -209,3 +214,9 @@ def identify(docs: DataFrame, model: Model | None = None, reject_bits: float = R
             )
 
     return source.mapInArrow(run, schema)
+
+
+def known_languages(docs: DataFrame, model: Model | None = None, reject_bits: float = REJECT_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``identify`` keeps."""
+    shared = broadcast_value(docs.sparkSession, fit(sample(docs)) if model is None else model)
+    return keep_rows(docs, lambda texts: [p is not None for p in predict(shared.value, texts, reject_bits)[0]])

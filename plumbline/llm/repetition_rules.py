@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, id_and_text
+from .common import chunks, id_and_text, keep_rows
 
 #: Words that a repeated substring has at least.
 MIN_WORDS = 8
@@ -148,6 +148,10 @@ def measure(texts: list[str], least: int = MIN_WORDS) -> list[tuple[float, int,
     return result
 
 
+def _kept(rows: list[tuple[float, int, int]], max_covered: float, max_longest: int) -> list[bool]:
+    return [c <= max_covered and n <= max_longest for c, n, _ in rows]
+
+
 def repetition(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """doc_id, covered_fraction, longest_repeat (words), n_repeats and keep for each row; no shuffle.
 
@@ -170,7 +174,7 @@ def repetition(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             rows = measure([t or "" for t in texts])
-            keep = [c <= max_covered and n <= max_longest for c, n, _ in rows]
+            keep = _kept(rows, max_covered, max_longest)
             covered, longest, number = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(covered, pa.float64()), pa.array(longest, pa.int64()), pa.array(number, pa.int64()), pa.array(keep, pa.bool_())],
@@ -178,3 +182,8 @@ def repetition(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: i
             )
 
     return source.mapInArrow(run, schema)
+
+
+def unrepetitive(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``repetition`` keeps."""
+    return keep_rows(docs, lambda texts: _kept(measure([t or "" for t in texts]), max_covered, max_longest))
