@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing
+from plumbline.llm import language_id, packing, repetition_rules, simhash_dedup
 from plumbline.llm.common import documents, written
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.known_languages(docs)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repetition_rules.unrepetitive(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_dedup.deduplicate(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language ID", known_language),
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("packing", pack),
+]
 
 #: The stages fit models and build suffix arrays, which SQL can't express.
 ORACLE_SQL = None
