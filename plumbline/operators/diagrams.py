@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.lineage import cut
 from plumbline.operators.match import best_overlap, modules_of
 
 _ARROW = re.compile(r"[-=.]{2,}>?|[-=.]*>")
@@ -192,11 +193,12 @@ def check_graph(drawn: DataFrame, real: DataFrame, modules: DataFrame) -> DataFr
     else contradicted. A label that must be a module but is none is stale (dst null).
     A real edge between two drawn modules that isn't drawn is undocumented.
     """
+    # Used several times over below: written once instead of planned and parsed again each time.
+    drawn, edge = cut(drawn.select("origin", "src", "dst", "directed").distinct()), cut(real.select("src", "dst").distinct())
     boxes = drawn.select("origin", F.col("src").alias("label")).union(drawn.select("origin", "dst")).distinct()
-    told = resolve_labels(boxes, modules)
+    told = cut(resolve_labels(boxes, modules))
     exact = told.where("how = 'exact'").select("label", "module")
     ends = drawn.join(exact.select(F.col("label").alias("src"), F.col("module").alias("a")), "src").join(exact.select(F.col("label").alias("dst"), F.col("module").alias("b")), "dst")
-    edge = real.select("src", "dst").distinct()
     fwd = edge.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("fwd"))
     rev = edge.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(True).alias("rev"))
     seen = ends.join(fwd, ["a", "b"], "left").join(rev, ["a", "b"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import TICK
+from plumbline.operators.lineage import cut
 from plumbline.operators.match import modules_of
 
 _OPERAND = "`([^`]+)`"
@@ -95,16 +96,14 @@ def forbidden_reach(rules: DataFrame, edges: DataFrame) -> DataFrame:
     A breadth-first search of all sources at once; a source that has hit is not followed
     further. Each round is one join and one anti-join; it ends with the longest path.
     """
-    from plumbline.operators.lineage import cut
-
-    known = modules(edges)
-    step = edges.select("src", "dst").distinct()
-    pairs = rules.where("kind = 'forbid_reach'").select("a", "b").distinct()
+    step = cut(edges.select("src", "dst").distinct())
+    known = modules(step)
+    pairs = cut(rules.where("kind = 'forbid_reach'").select("a", "b").distinct())
     of_a = modules_of(pairs, known, "a").withColumnRenamed("module", "node").select("a", "b", "node").distinct()
     of_b = modules_of(pairs, known, "b").withColumnRenamed("module", "node").select("a", "b", "node").distinct()
-    targets = of_b.join(of_a, ["a", "b", "node"], "left_anti").withColumn("hit", F.lit(True))
+    targets = cut(of_b.join(of_a, ["a", "b", "node"], "left_anti").withColumn("hit", F.lit(True)))
     start = of_a.join(of_b, ["a", "b", "node"], "left_anti").select("a", "b", F.col("node").alias("src"), "node")
-    seen, frontier, depth, hits = start, cut(start), 0, None
+    frontier, depth, hits = cut(start), 0, None
     seen = frontier
     while not frontier.isEmpty():
         depth += 1
@@ -135,6 +134,7 @@ def forbidden_symbols(rules: DataFrame, code_lines: DataFrame) -> DataFrame:
 
 def audit(rules: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, a, b, status, n, operand) for each rule on edges: Holds, Violated with the number, or Ungrounded."""
+    rules, edges = cut(rules.select("kind", "a", "b", "items").distinct()), cut(edges.select("src", "dst").distinct())
     known = modules(edges)
     base = rules.where("kind IN ('forbid_edge', 'forbid_reach', 'layer')").select("kind", "a", "b").distinct()
     named = base.select(F.col("a").alias("operand")).union(base.where("b IS NOT NULL").select("b")).distinct()

@@ -1,0 +1 @@
+"""Whole queries over tables and over repositories."""
