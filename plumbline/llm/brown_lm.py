@@ -135,7 +135,8 @@ def best_class(m: np.ndarray, classes: int, a: int, right: np.ndarray, left: np.
     m[a] -= right
     m[:, a] -= left
     m[a, a] -= own
-    rows, cols = m.sum(1), m.sum(0)
+    # The word's neighbours keep it as a neighbour wherever it goes.
+    rows, cols = m.sum(1) + left, m.sum(0) + right
     r, c = np.flatnonzero(right), np.flatnonzero(left)
     k = np.arange(classes)
     gain = np.zeros(classes)

@@ -1,0 +1,634 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, and over awkward rows."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import (
+    brown_lm,
+    corpus_words,
+    language_id,
+    multiset_fingerprint,
+    packing,
+    quality_classifier,
+    repetition_rules,
+    sentencepiece_stream,
+    sharding,
+    simhash_dedup,
+    token_counts,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep string, word long, `count` int"
+LONG = "gamma delta " * 30_000 + "end"
+AWKWARD = [
+    (1, "alpha beta gamma", "en", "s", 16, "x", 1, 1),
+    (1, "alpha beta gamma", "en", "s", 16, "x", 1, 1),  # the whole row again
+    (2, None, "en", None, None, None, None, None),
+    (3, "", "de", "s", 0, "x", 1, 1),
+    (4, " \n\t ", None, "s", 4, None, 1, 1),
+    (None, "no id here, but words", "en", "s", 20, "x", None, 1),
+    (None, None, None, None, None, None, None, None),
+    (5, LONG, "en", "s", len(LONG), "x", 1, 1),
+    (6, "été 漢字 \U0001f600 İ", "fr", "s", 9, "x", 1, 1),
+    (7, "### $$$ |", "en", "s", 9, "x", 1, 1),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (5, 0, 0), (5, 1, 0), (99, 1, 1), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+
+
+def corpus(seed: int, n: int, words: int = 60) -> list[str]:
+    """Texts over two disjoint sets of words, in turn."""
+    rng = random.Random(seed)
+    sets = [["red", "green", "blue", "tint", "hue"], ["dog", "cat", "cow", "hen", "ant"]]
+    links = [["is", "was"], ["eats", "sees"]]
+    out = []
+    for i in range(n):
+        k = i % 2
+        out.append(" ".join(rng.choice(sets[k]) + " " + rng.choice(links[k]) for _ in range(rng.randint(2, words))) + (f" rare{seed}x{i}" if i % 3 == 0 else ""))
+    return out
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+# -- tokens of a corpus ------------------------------------------------------
+
+
+def plain_tokens(text: str, lower: bool = True) -> list[bytes]:
+    return re.findall(rb"[0-9a-zA-Z\x80-\xff]+|[^\x00-\x20\x7f0-9a-zA-Z\x80-\xff]+", (text.lower() if lower else text).encode())
+
+
+def test_corpus_tokens_are_those_of_a_regular_expression():
+    texts = ["Ab, cd!! été", None, "", "x", "...  \n a1 b2"]
+    t = corpus_words.tokens(texts)
+    raw = t.raw.tobytes()
+    assert [(int(d), raw[a:b]) for d, a, b in zip(t.doc, t.start, t.end)] == [(i, w) for i, x in enumerate(texts) if x for w in plain_tokens(x)]
+    by_hash = {}
+    for h, a, b in zip(t.hashes.tolist(), t.start, t.end):
+        assert by_hash.setdefault(h, raw[a:b]) == raw[a:b]
+
+
+def test_vocabulary_counts_everything(spark):
+    texts = corpus(1, 80)
+    v = corpus_words.vocabulary(frame(spark, texts), 0.01)
+    all_counts = Counter(w for t in texts for w in plain_tokens(t))
+    assert v.total == sum(all_counts.values())
+    assert sorted(v.counts.tolist()) == sorted(c for c in all_counts.values() if c >= max(2, math.ceil(0.01 * v.total)))
+
+
+# -- 1 language model --------------------------------------------------------
+
+
+def brute_bits(model, text, vocab_words, classes, m, spelled):
+    """Cost of a text from unpacked counts, in bits."""
+    transition, spelling = brown_lm.probabilities(m, spelled)
+    edge = len(m) - 1
+    total = Counter()
+    for h, c in vocab_words.items():
+        total[classes[h]] += model.vocab.counts[model.vocab.ids(np.array([h], np.uint64))[0]]
+    bits, before = 0.0, edge
+    for w in plain_tokens(text):
+        h = corpus_words.tokens([w.decode()]).hashes[0]
+        at = int(model.vocab.ids(np.array([h]))[0])
+        node = int(brown_lm.nodes(model.vocab, corpus_words.tokens([w.decode()]))[0])
+        c = int(model.class_of[node])
+        bits -= math.log2(transition[before, c])
+        if at >= 0:
+            bits -= math.log2(model.vocab.counts[at] / total[c])
+        else:
+            for a, b in zip(b"\n" + w, w + b"\n"):
+                bits -= math.log2(spelling[a, b])
+        before = c
+    return bits - math.log2(transition[before, edge])
+
+
+def test_language_model_equals_brute_force(spark):
+    texts = corpus(2, 60)
+    docs = frame(spark, texts)
+    v = corpus_words.vocabulary(docs, 0.005)
+    pairs, spelled = brown_lm.pair_counts(docs, v)
+    expected = Counter()
+    for t in texts:
+        ids = [len(v) + brown_lm.OPEN, *brown_lm.nodes(v, corpus_words.tokens([t])).tolist(), len(v) + brown_lm.OPEN]
+        expected.update(a * brown_lm._SPAN + b for a, b in zip(ids, ids[1:]))
+    assert {r["key"]: r["n"] for r in pairs.collect()} == dict(expected)
+    class_of, m, course = brown_lm.exchange(brown_lm.contexts(pairs), v, 4, 6)
+    assert max(course) > course[0]
+    by_pair = np.zeros_like(m)
+    for k, n in expected.items():
+        by_pair[class_of[k // brown_lm._SPAN], class_of[k % brown_lm._SPAN]] += n
+    assert (m == by_pair).all()
+    model = brown_lm.model_of(v, class_of, m, spelled)
+    words = {int(h): 0 for h in v.hashes}
+    classes = {int(h): int(class_of[i]) for i, h in enumerate(v.hashes)}
+    got = brown_lm.score(docs, model).collect()
+    for r in got:
+        t = texts[r["doc_id"]]
+        n = len(plain_tokens(t))
+        assert r["n_tokens"] == n
+        assert r["bits"] == pytest.approx(brute_bits(model, t, words, classes, m, spelled), abs=1e-3 * (n + 5))
+        assert r["perplexity"] == pytest.approx(2 ** (r["bits"] / (n + 1)))
+
+
+def test_smoothed_chances_sum_to_one():
+    m = np.array([[3.0, 0, 1], [0, 0, 0], [2, 2, 2]])
+    transition, spelling = brown_lm.probabilities(m, np.arange(65536) % 3)
+    assert np.allclose(transition.sum(1), 1) and np.allclose(spelling.sum(1), 1) and (transition > 0).all()
+
+
+def test_exchange_finds_the_best_single_move():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 9, (9, 9)).astype(float)
+    class_of = np.array([0, 1, 2, 0, 1, 2, 0, 1, 3])  # the last node is fixed
+
+    def matrix(c):
+        m = np.zeros((4, 4))
+        np.add.at(m, (c[:, None].repeat(9, 1), c[None, :].repeat(9, 0)), counts)
+        return m
+
+    for w in range(8):
+        right = np.bincount(class_of, weights=np.where(np.arange(9) == w, 0, counts[w]), minlength=4)
+        left = np.bincount(class_of, weights=np.where(np.arange(9) == w, 0, counts[:, w]), minlength=4)
+        found = brown_lm.best_class(matrix(class_of), 3, class_of[w], right, left, counts[w, w])
+        scores = []
+        for k in range(3):
+            moved = class_of.copy()
+            moved[w] = k
+            scores.append(brown_lm.likelihood(matrix(moved)))
+        assert scores[found] == pytest.approx(max(scores))
+
+
+def test_perplexity_prefers_text_like_the_corpus(spark):
+    docs = frame(spark, corpus(5, 200))
+    model = brown_lm.train(docs, share=0.002, classes=8)
+    new = frame(spark, ["red is green was blue is", "is is was red red green", "zxqv kjwq vvxx"])
+    p = {r["doc_id"]: r["perplexity"] for r in brown_lm.score(new, model).collect()}
+    assert p[0] < p[1] < p[2]
+
+
+def test_language_model_over_awkward_rows(spark, awkward, empty):
+    rows = brown_lm.score(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    for r in rows:
+        assert (r["perplexity"] is None) == (r["n_tokens"] in (None, 0))
+    assert {r["doc_id"] for r in rows if r["n_tokens"] is None} == {2, None}
+    assert brown_lm.score(empty).count() == 0
+
+
+# -- 2 token counts ----------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    with open(token_counts.VOCABULARY, "rb") as f:
+        return token_counts.read_ranks(f.read())
+
+
+@pytest.fixture(scope="module")
+def tiktoken_encoding(ranks):
+    import tiktoken
+
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_every_prefix_count_is_that_of_encoding_the_prefix(ranks, tiktoken_encoding):
+    counter, rng = token_counts.PrefixCounter(ranks), random.Random(4)
+    alphabet = " \n\t'stredvml..,1234 aéßñ漢\U0001f600　 #$'s'll"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["Don't stop;  we'll  see\n\n 12 times"]
+    for t in texts:
+        counts = token_counts.prefix_counts(counter.steps(t).astype(np.int32).tobytes(), 4)
+        assert counts.tolist() == [len(tiktoken_encoding.encode_ordinary(t[:i])) for i in range(len(t) + 1)]
+
+
+def test_token_counts_over_awkward_rows(spark, awkward, empty, tiktoken_encoding):
+    rows = token_counts.count_tokens(awkward, budgets=(3, 50)).collect()
+    assert len(rows) == len(AWKWARD)
+    text = {a[0]: a[1] for a in AWKWARD if a[0] is not None}
+    for r in rows:
+        if r["doc_id"] is None:
+            continue
+        t = text[r["doc_id"]]
+        if t is None:
+            assert r["n_tokens"] is None and r["deltas"] is None and r["chars_3"] is None
+            continue
+        counts = token_counts.prefix_counts(r["deltas"], r["delta_width"])
+        assert r["n_chars"] == len(t) and r["n_tokens"] == counts[-1] == len(tiktoken_encoding.encode_ordinary(t))
+        for b in (3, 50):
+            n = r[f"chars_{b}"]
+            assert counts[n] <= b and (counts[n + 1 :] > b).all()
+    assert token_counts.count_tokens(empty).count() == 0
+
+
+# -- 3 quality ---------------------------------------------------------------
+
+
+def test_word_vectors_are_sums_over_neighbours(spark):
+    texts = ["a b c a b", "c c b", ""] * 3
+    docs = frame(spark, texts)
+    v = corpus_words.vocabulary(docs, 0.01, lower=False)
+    place, sign = quality_classifier.index_vectors(v)
+    dense = np.zeros((len(place), quality_classifier.DIMENSIONS))
+    for j in range(quality_classifier.NONZERO):
+        np.add.at(dense, (np.arange(len(place)), place[:, j]), sign[:, j])
+    total = np.zeros((len(place) - 1, quality_classifier.DIMENSIONS))
+    for t in texts:
+        ids = quality_classifier.nodes(v, corpus_words.tokens([t], lower=False)).tolist()
+        for i, a in enumerate(ids):
+            for j, b in enumerate(ids):
+                if i != j and abs(i - j) <= quality_classifier.WINDOW:
+                    total[a] += dense[b]
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    total -= total.mean(axis=0)
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality_classifier.word_vectors(docs, v), total, atol=1e-5)
+
+
+def test_quality_on_held_out_documents(spark):
+    texts = corpus(6, 600, 30)
+    docs = frame(spark, texts)
+    known = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)], "doc_id long, quality int")
+    rows = quality_classifier.classify(docs, known).collect()
+    later = [r for r in rows if r["doc_id"] >= 400]
+    assert np.mean([r["keep"] == (r["doc_id"] % 2 == 0) for r in later]) > 0.97
+
+
+def test_temperature_is_the_likeliest():
+    rng = np.random.default_rng(1)
+    z = rng.normal(0, 1, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(float)
+    assert quality_classifier.temperature(4 * z, y) == pytest.approx(4, rel=0.2)
+    assert quality_classifier.temperature(z, np.ones(4000)) == 1.0
+
+
+def test_quality_over_awkward_rows(spark, awkward, empty, labels):
+    rows = quality_classifier.classify(awkward, labels).collect()
+    assert len(rows) == len(AWKWARD)
+    for r in rows:
+        if r["doc_id"] in (2, 3, 4):
+            assert r["p_quality"] is None and r["keep"] is False
+    assert quality_classifier.classify(empty, labels).count() == 0
+    none = quality_classifier.classify(awkward, labels.where("false")).collect()
+    assert all(r["p_quality"] is None for r in none) and {r["doc_id"] for r in none if r["keep"]} == {1, 5, 6, 7, None}
+
+
+# -- 4 near-dedup ------------------------------------------------------------
+
+
+def near_copies(seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(80)]
+        out.append(" ".join(base))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(80)] = "changed"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_groups_hold_near_copies_and_nothing_else(spark):
+    texts = near_copies(7, 150)
+    fps = [np.frombuffer(f, np.uint64) for f in simhash_dedup.fingerprints_of(texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash_dedup.THRESHOLD]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r for r in simhash_dedup.groups(frame(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    assert np.mean([got[i]["group_id"] == got[j]["group_id"] for i, j in pairs]) >= 0.9
+    for i, r in got.items():
+        assert find(r["group_id"]) == find(i)  # never together without a path of near copies
+        assert r["keep"] == (r["group_id"] == i)
+    sizes = Counter(r["group_id"] for r in got.values())
+    assert all(r["group_size"] == sizes[r["group_id"]] for r in got.values())
+
+
+def test_manhattan_distance_never_exceeds_hamming():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 256, (300, 32), dtype=np.uint8)
+    points = simhash_dedup._embed(fps).astype(int)
+    for i in range(0, 300, 7):
+        assert (np.abs(points - points[i]).sum(1) <= np.bitwise_count(fps ^ fps[i]).sum(1)).all()
+
+
+def test_grids_reach_the_recall_they_are_planned_for():
+    for n in (1_000, 100_000, 10**8):
+        m, grids = simhash_dedup.plan(n)
+        chance = [1 - (1 - simhash_dedup.match_chance(d) ** m) ** grids for d in range(simhash_dedup.THRESHOLD + 1)]
+        assert np.mean(chance) >= 0.9
+
+
+def test_crowded_cells_give_the_same_groups(spark, monkeypatch):
+    texts = near_copies(8, 40) + ["one two three four five six"] * 700
+    docs = frame(spark, texts)
+    want = sorted(map(tuple, simhash_dedup.groups(docs).collect()))
+    fps = np.frombuffer(b"".join(simhash_dedup.fingerprints_of(near_copies(9, 60))), np.uint8).reshape(-1, 32)
+    reached = {}
+    for at, r in simhash_dedup._dense(simhash_dedup._embed(fps), fps.view(np.uint64), 44):
+        for i in at.tolist():
+            reached[i] = r
+    words = fps.view(np.uint64)
+    near = {(i, j) for i in range(len(fps)) for j in range(i) if np.bitwise_count(words[i] ^ words[j]).sum() <= 44}
+    for i, j in near:
+        assert reached.get(i, i) == reached.get(j, j)
+    big = [r for r in want if r[2] >= 700]
+    assert len(big) == 700 and sum(r[3] for r in big) == 1
+
+
+def test_dedup_over_awkward_rows(spark, awkward, empty):
+    rows = simhash_dedup.groups(awkward).collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 6, 7]
+    kept = simhash_dedup.deduplicate(awkward)
+    assert kept.columns == awkward.columns
+    assert Counter(r["doc_id"] for r in kept.collect())[1] == 1
+    assert simhash_dedup.groups(empty).count() == 0 and simhash_dedup.deduplicate(empty).count() == 0
+
+
+# -- 5 packing ---------------------------------------------------------------
+
+
+def test_differencing_gives_near_equal_windows():
+    rng = np.random.default_rng(2)
+    lengths = np.sort(rng.integers(1, 5_000, 400))[::-1]
+    for k in (1, 2, 7, 40):
+        sums = np.bincount(packing.differencing(lengths, k), weights=lengths, minlength=k)
+        assert sums.sum() == lengths.sum()
+        assert sums.max() - sums.min() <= max(5, lengths.sum() / k * 0.01)
+    assert packing.differencing(np.array([8, 7, 6, 5, 4]), 2).tolist() in ([0, 1, 1, 0, 0], [0, 1, 1, 0, 1], [1, 0, 0, 1, 1], [1, 0, 0, 1, 0], [0, 1, 0, 1, 0], [0, 1, 0, 1, 1], [1, 0, 1, 0, 1], [1, 0, 1, 0, 0])
+
+
+def test_window_count_rises_when_capacity_is_exceeded():
+    at = packing.windows(np.array([6, 6, 6]), 10)
+    assert len(set(at.tolist())) == 3
+
+
+def test_every_character_is_packed_once(spark):
+    rng = random.Random(9)
+    texts = ["x" * rng.choice([1, 5, 90, 100, 101, 250, 399]) for _ in range(500)]
+    rows = packing.pack(frame(spark, texts), capacity=100, block_items=64).collect()
+    covered = Counter()
+    windows = Counter()
+    for r in rows:
+        windows[r["window_id"]] += r["length"]
+        for i in range(r["start"], r["start"] + r["length"]):
+            covered[r["doc_id"], i] += 1
+    assert covered == Counter((i, j) for i, t in enumerate(texts) for j in range(len(t)))
+    assert max(windows.values()) <= 100
+    assert all(windows[r["window_id"]] == r["window_length"] for r in rows)
+    assert len(windows) <= 1.2 * sum(map(len, texts)) / 100
+
+
+def test_packing_over_awkward_rows(awkward, empty):
+    rows = packing.pack(awkward).collect()
+    n = Counter()
+    for r in rows:
+        n[r["doc_id"]] += r["length"]
+    assert n[1] == 32 and n[5] == len(LONG) and 2 not in n and 3 not in n and n[None] == len("no id here, but words")
+    assert packing.pack(empty).count() == 0
+
+
+# -- 6 multiset fingerprints -------------------------------------------------
+
+
+def test_fingerprint_is_an_order_independent_sum():
+    parts = ["a", "b", "b", "é"]
+    want = np.zeros(128, np.int64)
+    for p in parts:
+        raw = b"".join(hashlib.sha256(f"{j}:{p}".encode()).digest() for j in range(8))
+        want += np.frombuffer(raw, ">u2")
+    f = multiset_fingerprint
+    state = f.insert(f.empty(), *parts)
+    assert (state == want % 65536).all()
+    assert (f.insert(f.empty(), *parts[::-1]) == state).all()
+    assert (f.delete(f.insert(state, "z"), "z") == state).all()
+    assert (f.merge(f.insert(f.empty(), "a", "b"), f.insert(f.empty(), "b", "é")) == state).all()
+    assert (f.insert(f.empty(), "a", "b") != state).any()
+    assert (f.from_hex(f.to_hex(state)) == state).all()
+
+
+def test_fingerprints_over_awkward_rows(spark, awkward, empty):
+    rows = multiset_fingerprint.equal_documents(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    by = {r["doc_id"]: r for r in rows}
+    assert by[2]["fingerprint"] is None and by[2]["same_as"] is None
+    assert by[3]["n_paragraphs"] == 0 and set(by[3]["fingerprint"]) == {"0"}
+    assert by[1]["n_equal"] == 2 and by[1]["same_as"] == 1
+    assert multiset_fingerprint.equal_documents(empty).count() == 0
+    two = frame(spark, ["x\ny\nz", "z\nx\n\ny", "x\ny"])
+    same = {r["doc_id"]: r["same_as"] for r in multiset_fingerprint.equal_documents(two).collect()}
+    assert same == {0: 0, 1: 0, 2: 2}
+
+
+# -- 7 repetition rules ------------------------------------------------------
+
+
+def brute_repetition(text: str, least: int) -> tuple[float, int]:
+    w = repetition_rules.words(text)
+    n, longest, covered = len(w), 0, [False] * len(w)
+    for i in range(n):
+        for j in range(i):
+            k = 0
+            while i + k < n and w[i + k] == w[j + k]:
+                k += 1
+            if k >= least:
+                longest = max(longest, k)
+                for x in (i, j):
+                    covered[x : x + k] = [True] * k
+    total = sum(map(len, w))
+    return (sum(len(x) for x, c in zip(w, covered) if c) / total if total else 0.0), longest
+
+
+def test_repetition_equals_brute_force():
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["x" * 50 + " y", "", "a b c d a b c d a b c d"]
+    for got, t in zip(repetition_rules.measure(texts, 3), texts):
+        assert got[:2] == (pytest.approx(brute_repetition(t, 3)[0]), brute_repetition(t, 3)[1])
+
+
+def test_maximal_repeats_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(40):
+        w = [rng.choice("ab") for _ in range(rng.randint(1, 24))]
+        n, least = len(w), 2
+        subs = {}
+        for i in range(n):
+            for j in range(i + least, n + 1):
+                subs.setdefault(tuple(w[i:j]), []).append(i)
+        maximal = 0
+        for s, at in subs.items():
+            if len(at) > 1:
+                left = {w[i - 1] if i else f"start{i}" for i in at}
+                right = {w[i + len(s)] if i + len(s) < n else f"end{i}" for i in at}
+                maximal += len(left) > 1 and len(right) > 1
+        assert repetition_rules.measure([" ".join(w)], least)[0][2] == maximal
+
+
+def test_repetition_over_awkward_rows(awkward, empty):
+    rows = {r["doc_id"]: r for r in repetition_rules.repetition(awkward).collect()}
+    assert rows[5]["keep"] is False and rows[5]["longest_repeat"] == 59_998
+    assert all(rows[i]["keep"] and rows[i]["longest_repeat"] == 0 for i in (1, 2, 3, 4))
+    kept = repetition_rules.unrepetitive(awkward)
+    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD) - 1
+    assert repetition_rules.repetition(empty).count() == 0 and repetition_rules.unrepetitive(empty).count() == 0
+
+
+# -- 8 SentencePiece ---------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    with open(sentencepiece_stream.MODEL, "rb") as f:
+        return f.read()
+
+
+def test_ids_equal_the_library_and_decode_to_the_text(pieces):
+    import sentencepiece
+
+    m = sentencepiece_stream.Model(pieces)
+    encoder, library = sentencepiece_stream.Encoder(m), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_stream.MODEL)
+    rng = random.Random(13)
+    texts = ["".join(rng.choice(" \n\tabcdeth.,12é漢\U0001f600▁") for _ in range(rng.randint(0, 50))) for _ in range(400)] + ["x" * 3000, "the cat " * 400]
+    for t in texts:
+        ids = encoder.encode(t)
+        assert ids.tolist() == library.encode(t)
+        assert m.decode_text(ids.astype(np.int64)) == t.replace("▁", " ")
+
+
+def test_stream_holds_a_bounded_window(pieces):
+    m = sentencepiece_stream.Model(pieces)
+    s = sentencepiece_stream.StreamingViterbi(m)
+    text = m.normalized("the cat sat on the mat and " * 2000)
+    out = []
+    for i in range(0, len(text), 1000):
+        out += s.feed(text[i : i + 1000])
+    out += s.finish()
+    assert s.most_held < 20 * m.longest
+    whole = sentencepiece_stream.StreamingViterbi(m)
+    assert out == whole.feed(text) + whole.finish()
+
+
+def test_sentencepiece_over_awkward_rows(awkward, empty):
+    rows = sentencepiece_stream.encode_documents(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    for r in rows:
+        assert (r["ids"] is None) == (r["n_ids"] is None) == (r["round_trip"] is None)
+        assert r["ids"] is None or (r["round_trip"] and len(r["ids"]) == r["n_ids"])
+    assert sentencepiece_stream.encode_documents(empty).count() == 0
+
+
+# -- 9 sharding --------------------------------------------------------------
+
+
+def test_moves_stay_where_weights_changed(spark):
+    docs = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    rows = sharding.shard_documents(docs).collect()
+    for r in rows:
+        if r["moved"]:
+            assert r["shard"].startswith("east/r1/") and r["next_shard"].startswith("east/r1/")
+            assert r["shard"].endswith("s3") or r["next_shard"].endswith("s0")
+        assert not r["next_shard"].endswith("east/r1/s3")
+    share = Counter(r["region"] for r in rows)
+    for name, w in (("east", 3), ("west", 2), ("north", 1)):
+        assert share[name] / len(rows) == pytest.approx(w / 6, abs=0.015)
+
+
+def test_sharding_over_awkward_rows(awkward, empty):
+    rows = sharding.shard_documents(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 1 and len({r["shard"] for r in rows if r["doc_id"] == 1}) == 1
+    assert sharding.shard_documents(empty).count() == 0
+
+
+# -- 10 language ID ----------------------------------------------------------
+
+
+def brute_code_length(samples: list[str], used: set[int], text: str) -> float:
+    """Bits by escape method C with exclusion, from the definition."""
+    counts = [{} for _ in range(4)]
+    for s in samples:
+        data = b"\n\n\n" + s.encode()
+        for i in range(3, len(data)):
+            for k in range(4):
+                c = counts[k].setdefault(data[i - k : i], Counter())
+                c[data[i]] += 1
+    bits, data = 0.0, b"\n\n\n" + text.encode()
+    for i in range(3, len(data)):
+        context = data[i - 3 : i]
+        # bytes of no sample stand for one symbol in contexts, so such a context is in no tree
+        def chance(k: int) -> dict[int, float]:
+            if k < 0:
+                return {b: 1 / 256 for b in range(256)}
+            shorter = chance(k - 1)
+            c = counts[k].get(context[3 - k :])
+            if not c:
+                return shorter
+            n, d = sum(c.values()), len(c)
+            left = 1 - sum(shorter[b] for b in c)
+            return {b: c[b] / (n + d) if b in c else d / (n + d) * shorter[b] / left for b in range(256)}
+
+        bits -= math.log2(chance(3)[data[i]])
+    return bits
+
+
+def test_code_lengths_equal_the_definition():
+    samples = {"a": ["the cat sat", "the hat\nthe"], "b": ["le chat était", "la"]}
+    model = language_id.fit(samples)
+    used = {b for ts in samples.values() for t in ts for b in t.encode()}
+    for text in ("the cat", "le chat", "é", "zz%the", "a"):
+        sizes, cost = language_id.code_lengths(model, [text])
+        assert sizes[0] == len(text.encode())
+        for k, name in enumerate(["a", "b"]):
+            assert cost[0, k] / language_id.UNIT == pytest.approx(brute_code_length(samples[name], used, text), abs=0.01 * sizes[0] + 0.01)
+
+
+def test_languages_of_held_out_texts(spark):
+    rng = random.Random(14)
+    words = {"aa": "bela dona mira sola tero luna".split(), "bb": "strk vlnt prst zgrm brnk smrt".split(), "cc": "ooh uueea iiaou eaoui aeiuo ueiao".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(20)), k) for i, k in enumerate(list(words) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(language_id.sample(docs, 20))
+    got = language_id.identify(docs.union(spark.createDataFrame([(999, "0123 4567 8910 %&/( 5555 1234", "aa")], docs.schema)), model).collect()
+    assert all(r["predicted"] == r["lang"] for r in got if r["doc_id"] != 999)
+    assert next(r for r in got if r["doc_id"] == 999)["keep"] is False
+
+
+def test_language_over_awkward_rows(awkward, empty):
+    rows = language_id.identify(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    assert all(not r["keep"] for r in rows if r["doc_id"] in (2, 3, 4))
+    kept = language_id.known_languages(awkward)
+    assert kept.columns == awkward.columns and kept.count() == sum(r["keep"] for r in rows)
+    assert language_id.identify(empty).count() == 0 and language_id.known_languages(empty).count() == 0
+    unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
+    assert not any(r["keep"] for r in language_id.identify(unlabelled).collect())
