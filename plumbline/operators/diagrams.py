@@ -262,3 +262,124 @@ def ground_states(states: DataFrame, members: DataFrame) -> DataFrame:
     real = members.join(picked, "name").select("owner", "name", "item", F.lit(True).alias("real")).distinct()
     both = drawn.join(real, ["owner", "name", "item"], "full")
     return both.select("owner", "name", "item", F.when(F.col("drawn") & F.col("real"), "supported").when(F.col("drawn"), "stale").otherwise("undocumented").alias("verdict"))
+
+
+# -- class, state and entity diagrams: each a list of (owner, item) declarations ----------
+
+_CLASS = re.compile(r'^(?:abstract\s+)?(?:class|interface|enum)\s+("[^"]+"|[A-Za-z_]\w*)')
+_METHOD = re.compile(r"([A-Za-z_]\w*)\s*\(")
+_INLINE = re.compile(r"^([A-Za-z_]\w*)\s*:\s*(.+)$")
+_TRANSITION = re.compile(r"^(\[\*\]|[A-Za-z_]\w*)\s*-->\s*(\[\*\]|[A-Za-z_]\w*)")
+_STATE = re.compile(r'^state\s+(?:"[^"]*"\s+as\s+)?([A-Za-z_]\w*)')
+_RELATION = re.compile(r"^([A-Za-z_][\w-]*)\s+[|}o]{1,2}(?:--|\.\.)[|{o]{1,2}\s+([A-Za-z_][\w-]*)")
+
+
+def _header(rows: list[str]) -> str:
+    return next((x.split()[0] for x in rows if x and not x.startswith("%%")), "")
+
+
+def parse_classes(format_: str, body: str) -> list[tuple[str, str | None]]:
+    """(class, method) declarations; a class without a method once with None."""
+    rows = [x.strip() for x in body.split("\n")]
+    if format_ == "dot" or (format_ == "mermaid" and _header(rows) != "classDiagram") or (format_ == "plantuml" and not any(map(_CLASS.match, rows))):
+        return []
+    out: dict[str, list[str]] = {}
+    current = None
+    for x in rows:
+        if not x or x.startswith(("%%", "'")):
+            continue
+        if x.startswith("}"):
+            current = None
+        elif m := _CLASS.match(x):
+            name = m[1].strip('"')
+            out.setdefault(name, [])
+            current = name if x.endswith("{") else None
+        elif current is not None:
+            out[current] += [m[1]] if (m := _METHOD.search(x)) else []
+        elif m := _INLINE.match(x):
+            out.setdefault(m[1], [])
+            out[m[1]] += [k[1]] if (k := _METHOD.search(m[2])) else []
+    return [(c, i) for c, items in out.items() for i in (items or [None])]
+
+
+def parse_states(format_: str, body: str) -> list[tuple[str, str | None]]:
+    rows = [x.strip() for x in body.split("\n")]
+    if format_ != "mermaid" or _header(rows) not in ("stateDiagram", "stateDiagram-v2"):
+        return []
+    found: dict[str, None] = {}
+    for x in rows:
+        if m := _TRANSITION.match(x):
+            found |= {s: None for s in m.groups() if s != "[*]"}
+        elif m := _STATE.match(x):
+            found[m[1]] = None
+    return [("states", s) for s in found]
+
+
+def parse_entities(format_: str, body: str) -> list[tuple[str, str | None]]:
+    rows = [x.strip() for x in body.split("\n")]
+    if format_ != "mermaid" or _header(rows) != "erDiagram":
+        return []
+    out: dict[str, list[str]] = {}
+    current = None
+    for x in rows[1:]:
+        if not x or x.startswith("%%") or x == "erDiagram":
+            continue
+        if x.startswith("}"):
+            current = None
+        elif m := re.match(r"^([A-Za-z_][\w-]*)\s*\{", x):
+            current = m[1]
+            out.setdefault(current, [])
+        elif m := _RELATION.match(x):
+            for e in m.groups():
+                out.setdefault(e, [])
+        elif current and len(x.split()) > 1:
+            out[current].append(x.split()[1])
+    return [(e, i) for e, items in out.items() for i in (items or [None])]
+
+
+DECLARATIONS = {"class": parse_classes, "state": parse_states, "entity": parse_entities}
+
+
+def declarations(found: DataFrame, kind: str) -> DataFrame:
+    """(origin, pos, owner, item) of the diagrams of ``kind``: class, state or entity."""
+    parse = DECLARATIONS[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f"{r['doc_path']}:{r['start_line']}", i, *x) for r in batch.to_pylist() for i, x in enumerate(parse(r["format"], r["body"]))]
+            types = (pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["origin", "pos", "owner", "item"])
+
+    return found.select("doc_path", F.col("start_line").cast("int"), "format", "body").mapInArrow(run, "origin string, pos int, owner string, item string")
+
+
+def check_classes(drawn: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(origin, owner, item, verdict): a class that is a type is supported (item null); a method of it that its module
+    lacks is stale, else supported; classes that are no type are silent. Of equal names the last type wins."""
+    types = symbols.where(F.col("kind").isin("class", "enum", "interface", "struct", "trait"))
+    last = types.groupBy(F.col("name").alias("owner")).agg(F.max_by("module", F.struct("path", "idx")).alias("module"))
+    methods = symbols.where(F.col("kind").isin("function", "method")).select("module", F.col("name").alias("item"), F.lit(True).alias("real")).distinct()
+    known = drawn.join(last, "owner")
+    whole = known.select("origin", "owner", F.lit(None).cast("string").alias("item"), F.lit("supported").alias("verdict")).distinct()
+    each = known.where("item IS NOT NULL").join(methods, ["module", "item"], "left").select("origin", "owner", "item", F.when(F.col("real"), "supported").otherwise("stale").alias("verdict")).distinct()
+    return whole.unionByName(each)
+
+
+def check_entities(drawn: DataFrame, tables: DataFrame) -> DataFrame:
+    """(origin, owner, item, verdict): columns drawn for an entity against the table (name, column) of its name, plural or not."""
+    key = lambda c: F.regexp_replace(F.lower(c), "s+$", "")
+    t = tables.select("name").distinct().withColumn("__key", key(F.col("name")))
+    best = drawn.select("owner").distinct().withColumn("__key", key(F.col("owner"))).join(t, "__key")
+    best = best.groupBy("owner").agg(F.min_by("name", F.struct(F.lower("owner") != F.col("name"), "name")).alias("name"))
+    columns = tables.select("name", F.lower("column").alias("__item"), F.lit(True).alias("real")).distinct()
+    known = drawn.join(best, "owner").where("item IS NOT NULL").withColumn("__item", F.lower("item"))
+    return known.join(columns, ["name", "__item"], "left").select("origin", "owner", "item", F.when(F.col("real"), "supported").otherwise("stale").alias("verdict")).distinct()
+
+
+def check_sequences(steps: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, pos, verdict, step, call): each drawn sequence (id, steps) aligned with the definition whose calls hold most of its steps."""
+    items = steps.select(F.col("id").alias("owner"), F.explode("steps").alias("item"))
+    calls = symbols.where("size(calls) > 0").select(F.col("qualified_name").alias("name"), F.explode("calls").alias("item"))
+    picked = best_overlap(items, calls).select(F.col("owner").alias("id"), "name")
+    real = symbols.select(F.col("qualified_name").alias("name"), "calls").dropDuplicates(["name"])
+    return align(steps.join(picked, "id").join(real, "name").select("id", "steps", "calls"))
