@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_value, chunks, id_and_text, written
-from .corpus_words import KIND, Counter, Tokens, Vocabulary, mixed, tokens, vocabulary
+from .corpus_words import CHARS, KIND, Counter, Tokens, Vocabulary, mixed, tokens, vocabulary
 
 #: Least share of all tokens that a word of the vocabulary has.
 SHARE = 1e-5
@@ -89,7 +89,7 @@ def pair_counts(docs: DataFrame, vocab: Vocabulary) -> tuple[DataFrame, np.ndarr
             for k, c in found:
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "n"])
 
-        for _, texts in chunks(batches, 0):
+        for _, texts in chunks(batches, 0, CHARS):
             t = tokens(texts)
             seq, _ = sequences(v, t, len(texts))
             left, right = seq[:-1], seq[1:]
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("bits", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, 1, CHARS):
             n, found = cost(shared.value, texts)
             bits = found / UNIT
             with np.errstate(over="ignore"):

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, written
 
+#: Characters whose tokens are taken at once: their arrays then fit into a core's cache.
+CHARS = 1 << 17
 #: Distinct tokens held in a worker before their counts are handed on.
 HELD = 400_000
 _BASE = 0x9E3779B97F4A7C15
@@ -122,7 +124,7 @@ def counts(docs: DataFrame, lower: bool = True) -> DataFrame:
             for k, c in found:
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["word", "n"])
 
-        for _, texts in chunks(batches, 0):
+        for _, texts in chunks(batches, 0, CHARS):
             yield from rows(counter.add(tokens(texts, lower).hashes))
         yield from rows(counter.flush())
 

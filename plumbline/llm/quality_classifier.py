@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_value, chunks, id_and_text
-from .corpus_words import KIND, Tokens, Vocabulary, mixed, tokens, vocabulary
+from .corpus_words import CHARS, KIND, Tokens, Vocabulary, mixed, tokens, vocabulary
 
 DIMENSIONS = 128
 #: Places of an index vector that are 1 or -1.
@@ -41,8 +41,6 @@ EPOCHS = 30
 #: A document is kept if the chance that it is good is at least this.
 KEEP = 0.5
 SHAPES = 2 * 3 * 2 * 6
-#: Characters handled at once, so that the vectors of their tokens fit into cache.
-_CHARS = 1 << 17
 
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
@@ -109,7 +107,7 @@ def word_vectors(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
         v: Vocabulary = shared.value
         place, sign = index_vectors(v)
         total = np.zeros((n_nodes, DIMENSIONS), np.int64)
-        for _, texts in chunks(batches, 0):
+        for _, texts in chunks(batches, 0, CHARS):
             t = tokens(texts, lower=False)
             if len(t.start):
                 _add_contexts(total, t, nodes(v, t), len(texts), place, sign)
@@ -276,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, share: flo
     shared = broadcast_value(docs.sparkSession, (vocab, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, 1, _CHARS):
+        for batch, texts in chunks(batches, 1, CHARS):
             x = features(*shared.value, texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
@@ -304,7 +302,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for batch, texts in chunks(batches, 1, _CHARS):
+        for batch, texts in chunks(batches, 1, CHARS):
             x = features(m.vocab, m.vectors, texts)
             none = np.array([not t or not t.strip(_BLANKS) for t in texts], bool)
             if m.network is None:
