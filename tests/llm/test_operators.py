@@ -72,7 +72,7 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 
-# -- tokens of a corpus ------------------------------------------------------
+# tokens of a corpus
 
 
 def plain_tokens(text: str, lower: bool = True) -> list[bytes]:
@@ -97,7 +97,7 @@ def test_vocabulary_counts_everything(spark):
     assert sorted(v.counts.tolist()) == sorted(c for c in all_counts.values() if c >= max(2, math.ceil(0.01 * v.total)))
 
 
-# -- 1 language model --------------------------------------------------------
+# 1 language model
 
 
 def brute_bits(model, text, vocab_words, classes, m, spelled):
@@ -196,7 +196,7 @@ def test_language_model_over_awkward_rows(spark, awkward, empty):
     assert brown_lm.score(empty).count() == 0
 
 
-# -- 2 token counts ----------------------------------------------------------
+# 2 token counts
 
 
 @pytest.fixture(scope="module")
@@ -241,7 +241,7 @@ def test_token_counts_over_awkward_rows(spark, awkward, empty, tiktoken_encoding
     assert token_counts.count_tokens(empty).count() == 0
 
 
-# -- 3 quality ---------------------------------------------------------------
+# 3 quality
 
 
 def test_word_vectors_are_sums_over_neighbours(spark):
@@ -293,7 +293,7 @@ def test_quality_over_awkward_rows(spark, awkward, empty, labels):
     assert all(r["p_quality"] is None for r in none) and {r["doc_id"] for r in none if r["keep"]} == {1, 5, 6, 7, None}
 
 
-# -- 4 near-dedup ------------------------------------------------------------
+# 4 near-dedup
 
 
 def near_copies(seed: int, n: int) -> list[str]:
@@ -375,7 +375,7 @@ def test_dedup_over_awkward_rows(spark, awkward, empty):
     assert simhash_dedup.groups(empty).count() == 0 and simhash_dedup.deduplicate(empty).count() == 0
 
 
-# -- 5 packing ---------------------------------------------------------------
+# 5 packing
 
 
 def test_differencing_gives_near_equal_windows():
@@ -418,7 +418,7 @@ def test_packing_over_awkward_rows(awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
-# -- 6 multiset fingerprints -------------------------------------------------
+# 6 multiset fingerprints
 
 
 def test_fingerprint_is_an_order_independent_sum():
@@ -450,7 +450,7 @@ def test_fingerprints_over_awkward_rows(spark, awkward, empty):
     assert same == {0: 0, 1: 0, 2: 2}
 
 
-# -- 7 repetition rules ------------------------------------------------------
+# 7 repetition rules
 
 
 def brute_repetition(text: str, least: int) -> tuple[float, int]:
@@ -503,7 +503,7 @@ def test_repetition_over_awkward_rows(awkward, empty):
     assert repetition_rules.repetition(empty).count() == 0 and repetition_rules.unrepetitive(empty).count() == 0
 
 
-# -- 8 SentencePiece ---------------------------------------------------------
+# 8 SentencePiece
 
 
 @pytest.fixture(scope="module")
@@ -547,7 +547,7 @@ def test_sentencepiece_over_awkward_rows(awkward, empty):
     assert sentencepiece_stream.encode_documents(empty).count() == 0
 
 
-# -- 9 sharding --------------------------------------------------------------
+# 9 sharding
 
 
 def test_moves_stay_where_weights_changed(spark):
@@ -570,7 +570,7 @@ def test_sharding_over_awkward_rows(awkward, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-# -- 10 language ID ----------------------------------------------------------
+# 10 language ID
 
 
 def brute_code_length(samples: list[str], used: set[int], text: str) -> float:
