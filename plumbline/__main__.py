@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         if a.command == "rules":
             rows = repository.audit(spark, a.root).orderBy("kind", "a", "b").collect()
-            print(*(f"[{r['status']}] {r['kind']} {r['a']} {r['b'] or ''}" for r in rows), sep="\n")
+            print(*(f"[{r['status']}] {r['kind']} {r['a']} {r['b'] or ''}" + " [bare]" * r["bare"] for r in rows), sep="\n")
             return int(any(r["status"] == "Violated" for r in rows))
         if a.command == "coverage":
             rows = repository.coverage(c).orderBy("rank").collect()

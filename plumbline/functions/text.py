@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TICK = "`([^`]+)`"
+NAME = "[_a-zA-Z]" + "[_0-9a-zA-Z]*"
+CAPITALS = "[A-Z]" + "[_0-9A-Z]*"
 
 PATH_EXTENSIONS = tuple(
     """adoc bash bat c cc cfg cjs clj cmd conf cpp cs css csv cxx dart dot env erl ex exs fish fs gemspec go gql gradle
@@ -22,7 +24,8 @@ ROOT_MANIFESTS = tuple(
     """angular.json cargo.lock cargo.toml composer.json composer.lock deno.json deno.jsonc go.mod go.sum jsconfig.json nx.json
     package-lock.json package.json pyproject.toml tsconfig.json""".split()
 )
-PATH_TOKEN = r"`([\w./\-]+/[\w./\-]+|[\w\-]+\.\w{1,5})`"
+_RUN = r"[-./\w]+"
+PATH_TOKEN = f"`({_RUN}/{_RUN}|" + r"[-\w]+[.]\w{1,5})`"
 PAST_CUE = (
     r"(?i)\b(as-built|deleted?|deletes|deprecated|former(ly)?|legacy|moved|no longer|old path|original plan|previously"
     r"|removal|removed?|removes|renamed?|replaced?|used to)\b"
@@ -41,7 +44,7 @@ SYSTEM_VARIABLES = tuple(
     PAGER PATH PWD SHELL SHLVL TEMP TERM TMP TMPDIR UID USER VISUAL""".split()
 )
 PLACEHOLDERS = ("BAR", "BAZ", "CHANGEME", "FOO", "PLACEHOLDER")
-WORD = "[A-Za-z_][A-Za-z0-9_]+"
+WORD = "[_a-zA-Z]" + "[_0-9a-zA-Z]+"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def path_claims(doc_lines: DataFrame) -> DataFrame:
 def commands(doc_lines: DataFrame) -> DataFrame:
     """(doc_path, line_no, cmd): fenced lines and inline spans, cut at &&, ||, ; and |; takes fenced lines."""
     spans = F.when(F.col("fenced"), F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(TICK), 1))
-    parts = doc_lines.where(~is_fence(F.col("line"))).withColumn("span", F.explode(spans)).withColumn("part", F.explode(F.split("span", r"&&|\|\||;|\|")))
+    parts = doc_lines.where(~is_fence(F.col("line"))).withColumn("span", F.explode(spans)).withColumn("part", F.explode(F.split("span", r"&&|[|]{1,2}|;")))
     cmd = F.trim(F.regexp_replace(F.trim("part"), r"^\$ ", ""))
     return parts.select("doc_path", "line_no", cmd.alias("cmd")).where("cmd <> ''")
 
@@ -132,13 +135,13 @@ def classify_commands(cmds: DataFrame) -> DataFrame:
 def env_variables(doc_lines: DataFrame) -> DataFrame:
     """(doc_path, line_no, name) of the environment variables that documents name and don't set themselves; takes fenced lines."""
     body = doc_lines.where(~is_fence(F.col("line")))
-    dollar = find(body, r"\$\{?([A-Za-z_][A-Za-z0-9_]+)\}?", "name").where(F.col("name").rlike("^[A-Z][A-Z0-9_]*$"))
-    quoted = find(body.where("NOT fenced"), TICK, "span").withColumn("name", F.trim("span")).where(F.col("name").rlike("^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$"))
+    dollar = find(body, r"\$\{?(" + WORD + ")", "name").where(F.col("name").rlike(f"^{CAPITALS}$"))
+    quoted = find(body.where("NOT fenced"), TICK, "span").withColumn("name", F.trim("span")).where(F.col("name").rlike("^[A-Z][0-9A-Z]*(?:_[0-9A-Z]+)+$"))
     cols = ("doc_path", "line_no", "name")
     name = F.col("name")
     named = dollar.select(*cols).unionByName(quoted.select(*cols)).distinct()
     own = ~(name.isin(*SYSTEM_VARIABLES, *PLACEHOLDERS) | name.startswith("MY_") | name.contains("YOUR") | name.contains("PLACEHOLDER"))
-    assigned = find(doc_lines, r"(?:^|[;&|]|\bexport\s+)\s*([A-Z][A-Z0-9_]*)=", "name").select("doc_path", "name").distinct()
+    assigned = find(doc_lines, r"(?:\bexport\s+|[&;|]|^)\s*(" + CAPITALS + ")=", "name").select("doc_path", "name").distinct()
     return named.where(own).join(assigned, ["doc_path", "name"], "left_anti").select(*cols)
 
 
@@ -160,22 +163,22 @@ def flags(cmds: DataFrame, binaries: DataFrame) -> DataFrame:
     """(doc_path, line_no, bin, flag) of long flags in commands that start with one of ``binaries`` (name)."""
     toks = F.split(F.trim("cmd"), r"\s+")
     own = cmds.withColumn("bin", F.element_at(toks, 1)).join(binaries.select(F.col("name").alias("bin")).distinct(), "bin", "left_semi")
-    found = own.withColumn("tok", F.explode(_after(toks, 1))).withColumn("flag", F.regexp_extract("tok", "^--([a-z][a-z0-9-]+)$", 1))
+    found = own.withColumn("tok", F.explode(_after(toks, 1))).withColumn("flag", F.regexp_extract("tok", "^--([a-z][-0-9a-z]+)$", 1))
     return found.where("flag <> '' AND flag NOT IN ('help', 'version')").select("doc_path", "line_no", "bin", "flag").dropDuplicates(["doc_path", "line_no", "flag"])
 
 
 def qualified_references(doc_lines: DataFrame) -> DataFrame:
     """(doc_path, line_no, reference) of ``a::b`` paths in inline code, fenced or not."""
     spans = find(doc_lines, TICK, "span")
-    name = "[A-Za-z_][A-Za-z0-9_]*"
-    found = spans.withColumn("reference", F.explode(F.regexp_extract_all("span", F.lit(f"({name}(?:::{name})+)"), 1)))
+    found = spans.withColumn("reference", F.explode(F.regexp_extract_all("span", F.lit(f"({NAME}(?:::{NAME})+)"), 1)))
     return found.select("doc_path", "line_no", "reference").distinct()
 
 
-_CUE = r"(?i:defaults?\s+to|default(?:s|\sis|\sof|:)?|is\s+set\s+to|is\s+(?:by\s+default\s+)?|set\s+to|=)"
+_CUE = r"(?i:default(?:s?\s+to|s|\sis|\sof|:|)|is\s+(?:set\s+to|(?:by\s+default\s+)?)|=|set\s+to)"
+NUMBER = "-?[0-9][_0-9]*(?:[.][0-9]+)?"
 CONSTANT_CLAIM = (
-    r"(?:`([A-Za-z_][A-Za-z0-9_]*)`|\b([A-Za-z_][A-Za-z0-9_]*))\s*" + _CUE + r"\s*"
-    r'(?:`([^`]+)`|"([^"]+)"|(-?\d[\d_]*(?:\.\d+)?|true|false))'
+    f"(?:`({NAME})`|" + r"\b" + f"({NAME}))" + r"\s*" + _CUE + r"\s*"
+    f'(?:{TICK}|"([^"]+)"|({NUMBER}|true|false))'
 )
 
 

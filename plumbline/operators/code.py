@@ -23,14 +23,14 @@ _FIELDS = [f.strip().split(" ", 1)[0] for f in SYMBOLS.split(", ")]
 REFERENCES = "from_symbol string, name string"
 _TYPES = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 
-_RUST = re.compile(r"^\s*(pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|unsafe\s+|const\s+(?=fn)|extern\s+\"[^\"]*\"\s+)*(fn|struct|enum|trait|mod|const|static|type|macro_rules!)\s+(?:mut\s+)?([A-Za-z_]\w*)")
+_RUST = re.compile(r"^\s*(pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|unsafe\s+|const\s+(?=fn)|extern\s+\"[^\"]*\"\s+)*(fn|struct|enum|trait|mod|const|static|type|macro_rules!)\s+(?:mut\s+)?([^\W\d]\w*)")
 _JS = re.compile(r"^\s*(export\s+(?:default\s+)?)?(?:declare\s+|abstract\s+|async\s+)*(function\*?|class|interface|enum|type|const|let|var)\s+([A-Za-z_$][\w$]*)")
-_JAVA = re.compile(r"^\s*((?:public|protected|private|static|final|abstract|default|synchronized|native)\s+)*(class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)")
-_JAVA_METHOD = re.compile(r"^\s*((?:(?:public|protected|private|static|final|abstract|default|synchronized|native)\s+)*)(?:<[^>]+>\s+)?([\w<>\[\],.? ]+?)\s+([A-Za-z_]\w*)\s*\([^;{]*\)\s*(?:throws [\w, .]+)?[{;]")
+_JAVA = re.compile(r"^\s*((?:public|protected|private|static|final|abstract|default|synchronized|native)\s+)*(class|interface|enum|record|@interface)\s+([^\W\d]\w*)")
+_JAVA_METHOD = re.compile(r"^\s*((?:(?:public|protected|private|static|final|abstract|default|synchronized|native)\s+)*)(?:<[^>]+>\s+)?([\w<>\[\],.? ]+?)\s+([^\W\d]\w*)\s*\([^;{]*\)\s*(?:throws [\w, .]+)?[{;]")
 _KINDS = {"fn": "function", "function": "function", "function*": "function", "struct": "struct", "enum": "enum", "trait": "trait", "mod": "module", "const": "const", "static": "const", "type": "type", "class": "class", "interface": "interface", "record": "class", "@interface": "interface", "let": "const", "var": "const", "macro_rules!": "macro"}
-_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
+_CALL = re.compile(r"\b([^\W\d]\w*)\s*\(")
 _NO_CALL = {"if", "for", "while", "switch", "match", "return", "catch", "fn", "function", "new", "super", "sizeof", "loop", "await", "typeof", "def", "class"}
-_LITERAL = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\b\d[\d_]*(?:\.\d+)?\w*\b|\btrue\b|\bfalse\b|\bTrue\b|\bFalse\b")
+_LITERAL = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\b[0-9][_0-9]*(?:[.][0-9]+)?\w*\b|\btrue\b|\bfalse\b|\bTrue\b|\bFalse\b")
 _CONDITION = re.compile(r"\b(?:if|while)\s*\(?(.+?)\)?\s*\{")
 
 
@@ -132,7 +132,7 @@ def _braced(text: str, module: str, language: str) -> tuple[list[dict], list[tup
         returns = re.search(r"->\s*([^{;]+)", head) if language == "rust" else None
         q = f"{module}::{name}"
         out.append({"name": name, "kind": kind, "visibility": visibility, "start": i + 1, "end": end + 1, "signature": head if kind in ("function", "method") else None, "doc": "\n".join(above[::-1]) or None, "constants": literals, "predicates": predicates, "return_shape": returns[1].strip() if returns else None, "calls": calls, "members": members})
-        refs += [(q, x) for t in code for x in set(re.findall(r"\b[A-Za-z_]\w*\b", t)) if x != name]
+        refs += [(q, x) for t in code for x in set(re.findall(r"\b[^\W\d]\w*\b", t)) if x != name]
     return out, refs
 
 

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from plumbline.operators.lineage import cut
 from plumbline.operators.match import best_overlap, modules_of
 
-_ARROW = re.compile(r"[-=.]{2,}>?|[-=.]*>")
-_LABELLED = re.compile(r"([A-Za-z_][\w-]*)\s*[\[({]+\s*([^\])}]+?)\s*[\])}]+")
+_ARROW = re.compile(r"[.=-]{2,}>?|[.=-]*>")
+_LABELLED = re.compile(r"([^\W\d][-\w]*)\s*[\[({]+\s*([^\])}]+?)\s*[\])}]+")
 _BRACKETS = re.compile(r"[\[({]+[^\])}]*[\])}]+")
 _NODE = re.compile(r"\s*([\w-]+)")
-_MESSAGE = re.compile(r"^([A-Za-z_]\w*)\s*(?:-{1,2}>>?|-{1,2}\)|-{1,2}x|\.\.>)\s*([A-Za-z_]\w*)\s*:\s*(.+)$")
+_ID = r"([^\W\d]\w*)"
+_SPACE = r"\s*"
+_SENT = r"(?:\.\.>|-{1,2}(?:>{1,2}|x|\)))"
+_MESSAGE = re.compile("^" + _SPACE.join([_ID, _SENT, _ID, ":", "(.+)$"]))
 _SUFFIX = re.compile(r"\.(cjs|java|js|jsx|mjs|py|pyi|rs|ts|tsx)$")
 TAGS = {"mermaid": "mermaid", "plantuml": "plantuml", "puml": "plantuml", "uml": "plantuml", "dot": "dot", "graphviz": "dot"}
 
@@ -91,7 +94,7 @@ def parse_plantuml(body: str) -> tuple[dict[str, str], list[tuple[str, str, bool
         return None
     labels: dict[str, str] = {}
     edges: list[tuple[str, str, bool]] = []
-    ref = r"(?:\[([^\]]+)\]|([A-Za-z_][\w./-]*))"
+    ref = r"(?:\[([^\]]+)\]|([^\W\d][-./\w]*))"
     for x in rows:
         if d := re.match(r'(?:component|package|node|database|rectangle|folder)\s+(?:"([^"]+)"|\[([^\]]+)\]|([\w./-]+))(?:\s+as\s+(\w+))?', x):
             label = d[1] or d[2] or d[3]
@@ -141,7 +144,7 @@ def messages(doc_lines: DataFrame) -> DataFrame:
     parts = F.regexp_extract_all(F.trim("line"), F.lit(_MESSAGE.pattern), F.lit(0))
     hit = doc_lines.where(F.size(parts) > 0)
     part = lambda g: F.regexp_extract(F.trim("line"), _MESSAGE.pattern, g)
-    call = F.regexp_extract(part(3), r"^\s*([A-Za-z_]\w*)", 1)
+    call = F.regexp_extract(part(3), r"^\s*([^\W\d]\w*)", 1)
     order = Window.partitionBy("doc_path").orderBy("line_no")
     return hit.select("doc_path", F.row_number().over(order).alias("step"), part(1).alias("src"), part(2).alias("dst"), call.alias("call")).where("call <> ''")
 
@@ -216,28 +219,31 @@ def check_graph(drawn: DataFrame, real: DataFrame, modules: DataFrame) -> DataFr
 MATCH, MISMATCH, GAP = 2, -1, -2
 
 
+def _pair(step: str, call: str) -> int:
+    return MATCH if step == call else MISMATCH
+
+
 def align_ops(steps: list[str], calls: list[str]) -> list[tuple[str, str | None, str | None]]:
     """Global alignment as (kind, step, call); on ties a pair is preferred, then a step alone."""
-    m, n = len(steps), len(calls)
-    score = [[j * GAP for j in range(n + 1)]]
-    for i in range(1, m + 1):
-        row, up = [i * GAP], score[-1]
-        for j in range(1, n + 1):
-            pair = up[j - 1] + (MATCH if steps[i - 1] == calls[j - 1] else MISMATCH)
-            row.append(max(pair, up[j] + GAP, row[j - 1] + GAP))
-        score.append(row)
+    grid = [[GAP * k for k in range(len(calls) + 1)]]
+    for at, step in enumerate(steps, 1):
+        above, row = grid[-1], [GAP * at]
+        for left, call in enumerate(calls):
+            row.append(max(above[left] + _pair(step, call), GAP + above[left + 1], GAP + row[left]))
+        grid.append(row)
     out: list[tuple[str, str | None, str | None]] = []
-    i, j = m, n
-    while i or j:
-        if i and j and score[i][j] == score[i - 1][j - 1] + (MATCH if steps[i - 1] == calls[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-            out.append(("supported" if steps[i] == calls[j] else "contradicted", steps[i], calls[j]))
-        elif i and score[i][j] == score[i - 1][j] + GAP:
-            i -= 1
-            out.append(("contradicted", steps[i], None))
+    a, b = len(steps), len(calls)
+    while a or b:
+        best = grid[a][b]
+        if a and b and best - _pair(steps[a - 1], calls[b - 1]) == grid[a - 1][b - 1]:
+            a, b = a - 1, b - 1
+            out.append(("supported" if steps[a] == calls[b] else "contradicted", steps[a], calls[b]))
+        elif a and best - GAP == grid[a - 1][b]:
+            a -= 1
+            out.append(("contradicted", steps[a], None))
         else:
-            j -= 1
-            out.append(("undocumented", None, calls[j]))
+            b -= 1
+            out.append(("undocumented", None, calls[b]))
     return out[::-1]
 
 
@@ -266,12 +272,13 @@ def ground_states(states: DataFrame, members: DataFrame) -> DataFrame:
 
 # -- class, state and entity diagrams: each a list of (owner, item) declarations ----------
 
-_CLASS = re.compile(r'^(?:abstract\s+)?(?:class|interface|enum)\s+("[^"]+"|[A-Za-z_]\w*)')
-_METHOD = re.compile(r"([A-Za-z_]\w*)\s*\(")
-_INLINE = re.compile(r"^([A-Za-z_]\w*)\s*:\s*(.+)$")
-_TRANSITION = re.compile(r"^(\[\*\]|[A-Za-z_]\w*)\s*-->\s*(\[\*\]|[A-Za-z_]\w*)")
-_STATE = re.compile(r'^state\s+(?:"[^"]*"\s+as\s+)?([A-Za-z_]\w*)')
-_RELATION = re.compile(r"^([A-Za-z_][\w-]*)\s+[|}o]{1,2}(?:--|\.\.)[|{o]{1,2}\s+([A-Za-z_][\w-]*)")
+_CLASS = re.compile(r'^(?:abstract\s+)?(?:class|interface|enum)\s+("[^"]+"|[^\W\d]\w*)')
+_METHOD = re.compile(r"([^\W\d]\w*)\s*\(")
+_INLINE = re.compile("^" + _SPACE.join([_ID, ":", "(.+)$"]))
+_POINT = r"([^\W\d]\w*|\[[*]\])"
+_TRANSITION = re.compile("^" + _SPACE.join([_POINT, "-->", _POINT]))
+_STATE = re.compile(r'^state\s+(?:"[^"]*"\s+as\s+)?([^\W\d]\w*)')
+_RELATION = re.compile(r"^([^\W\d][-\w]*)\s+[|}o]{1,2}(?:--|\.\.)[|{o]{1,2}\s+([^\W\d][-\w]*)")
 
 
 def _header(rows: list[str]) -> str:
@@ -326,7 +333,7 @@ def parse_entities(format_: str, body: str) -> list[tuple[str, str | None]]:
             continue
         if x.startswith("}"):
             current = None
-        elif m := re.match(r"^([A-Za-z_][\w-]*)\s*\{", x):
+        elif m := re.match(r"^([^\W\d][-\w]*)\s*\{", x):
             current = m[1]
             out.setdefault(current, [])
         elif m := _RELATION.match(x):

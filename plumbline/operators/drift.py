@@ -84,3 +84,14 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     path, line = split_reference(F.col("doc_path"))
     level = F.element_at(F.array(F.lit("note"), F.lit("warning"), F.lit("error")), _of(2))
     return findings.where("verdict <> 'supported'").select(F.col("verdict").alias("rule_id"), level.alias("level"), F.col("claim").alias("message"), path.alias("uri"), line.alias("start_line"))
+
+
+def agreement(told: DataFrame) -> DataFrame:
+    """(precision, recall, accuracy) of ``said`` against ``gold``, both boolean; 1 where nothing counts."""
+    both = F.count_if(F.col("said") & F.col("gold"))
+    ratio = lambda n, of: F.coalesce(n / F.nullif(of, F.lit(0)), F.lit(1.0))
+    return told.agg(
+        ratio(both, F.count_if("said")).alias("precision"),
+        ratio(both, F.count_if("gold")).alias("recall"),
+        ratio(F.count_if(F.col("said") == F.col("gold")), F.count(F.lit(1))).alias("accuracy"),
+    )

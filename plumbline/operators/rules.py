@@ -5,24 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import TICK
+from plumbline.functions.text import NAME, TICK
 from plumbline.operators.lineage import cut
-from plumbline.operators.match import modules_of
+from plumbline.operators.match import modules_of, subpaths
 
-_OPERAND = "`([^`]+)`"
-_NOUN = r"(?:\s+(?:component|crate|layer|module|package))?\s+"
-_THE = r"\s+(?:the\s+)?`([^`]+)`"
-_DIRECT = r"(?:access(?:es)?|calls?\s+into|depends?\s+on|imports?(?:\s+(?:anything\s+)?from)?|references?|touch(?:es)?|uses?)"
-_FAR = r"(?:(?:even\s+)?(?:indirectly|transitively)\s+(?:depends?\s+on|imports?|reach(?:es)?|references?|uses?)|reach(?:es)?)"
+_GAP = r"\s+"
+
+
+def _one(*choices: str) -> str:
+    return f"(?:{'|'.join(choices)})"
+
+
+def _maybe(*parts: str) -> str:
+    return f"(?:{''.join(parts)})?"
+
+
+def _phrase(*parts: str) -> str:
+    return _GAP.join(parts)
+
+
+_NOUN = _maybe(_GAP, _one("component", "crate", "layer", "module", "package"))
+_SUBJECT = TICK + _NOUN
+_OBJECT = _maybe("the", _GAP) + TICK
+_MODAL = _one("can", "may", "must", "should")
+_DEPEND, _IMPORT, _REFER, _USE = _phrase("depends?", "on"), "imports?", "references?", "uses?"
+_DIRECT = _one("access(?:es)?", _phrase("calls?", "into"), _DEPEND, _IMPORT + _maybe(_GAP, _maybe("anything", _GAP), "from"), _REFER, "touch(?:es)?", _USE)
+_FAR = _one(_phrase(_maybe("even", _GAP) + _one("indirectly", "transitively"), _one(_DEPEND, _IMPORT, "reach(?:es)?", _REFER, _USE)), "reach(?:es)?")
+_CALLED = _one("calls?", "usage", "use")
 PATTERNS = {
-    "forbid_edge": _OPERAND + _NOUN + r"(?:(?:can|do|does|may|must|should)\s+not|can'?t|cannot)\s+" + _DIRECT + _THE,
-    "never_edge": _OPERAND + _NOUN + r"(?:(?:can|may|must|should)\s+)?never\s+(?:depends?\s+on|imports?|references?|uses?)" + _THE,
-    "forbid_reach": _OPERAND + _NOUN + r"(?:can|cannot|may|must|should)\s+not\s+" + _FAR + _THE,
-    "forbidden_by": _OPERAND + _NOUN + r"(?:can|may|must|should)\s+not\s+be\s+(?:accessed|depended\s+on|imported|referenced|used)\s+(?:by|from|in)" + _THE,
-    "independent": _OPERAND + _NOUN + r"(?:are|is|remains?|stays?)\s+independent\s+(?:from|of)" + _THE,
-    "depends_on_nothing": _OPERAND + _NOUN + r"(?:depends?\s+on|has|imports?)\s+(?:nothing|no\s+(?:dependencies|deps|imports))",
-    "only_depends": _OPERAND + _NOUN + r"(?:(?:can|may|must|should)\s+)?only\s+(?:depends?\s+on|imports?)\s+(.*)",
-    "forbid_symbol": r"(?i)(?:(?:may|must|should)\s+not\s+(?:call|invoke|reference|use)|don'?t\s+(?:call|use)|never\s+(?:call|use)|no\s+(?:direct|raw)(?:\s+(?:calls?|reference|usage|use)\s+(?:of|to))?|no\s+(?:calls?|usage|use)\s+(?:of|to))\s+`([^`]+)`",
+    "forbid_edge": _phrase(_SUBJECT, _one(_phrase(_one("can", "do", "does", "may", "must", "should"), "not"), "can'?t", "cannot"), _DIRECT, _OBJECT),
+    "never_edge": _phrase(_SUBJECT, _maybe(_MODAL, _GAP) + "never", _one(_DEPEND, _IMPORT, _REFER, _USE), _OBJECT),
+    "forbid_reach": _phrase(_SUBJECT, _one("cannot", _MODAL), "not", _FAR, _OBJECT),
+    "forbidden_by": _phrase(_SUBJECT, _MODAL, "not", "be", _one("accessed", _phrase("depended", "on"), "imported", "referenced", "used"), _one("by", "from", "in"), _OBJECT),
+    "independent": _phrase(_SUBJECT, _one("are", "is", "remains?", "stays?"), "independent", _one("from", "of"), _OBJECT),
+    "depends_on_nothing": _phrase(_SUBJECT, _one(_DEPEND, "has", _IMPORT), _one("nothing", _phrase("no", _one("dependencies", "deps", "imports")))),
+    "only_depends": _phrase(_SUBJECT, _maybe(_MODAL, _GAP) + "only", _one(_DEPEND, _IMPORT), "(.*)"),
+    "forbid_symbol": "(?i)" + _phrase(
+        _one(
+            _phrase(_one("may", "must", "should"), "not", _one("call", "invoke", "reference", "use")),
+            _phrase(_one("don'?t", "never"), _one("call", "use")),
+            _phrase("no", _one("direct", "raw")) + _maybe(_GAP, _phrase(_one(_CALLED, "reference"), _one("of", "to"))),
+            _phrase("no", _CALLED, _one("of", "to")),
+        ),
+        TICK,
+    ),
 }
 
 
@@ -122,7 +148,7 @@ def forbidden_symbols(rules: DataFrame, code_lines: DataFrame) -> DataFrame:
     """(symbol, module, line_no) of source lines (module, line_no, line) that name a forbidden symbol outside its
     exceptions. Identifiers join on the line's tokens; other operands are few and searched as literals."""
     banned = rules.where("kind = 'forbid_symbol'").select(F.col("a").alias("symbol"), "items").distinct()
-    name = "[A-Za-z_][A-Za-z0-9_]*"
+    name = NAME
     plain = banned.where(F.col("symbol").rlike(f"^{name}$"))
     tokens = code_lines.select("module", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"({name})"), 1))).alias("symbol"))
     direct = tokens.join(plain.select("symbol").distinct(), "symbol").select("symbol", "module", "line_no")
@@ -151,3 +177,43 @@ def audit(rules: DataFrame, edges: DataFrame) -> DataFrame:
     missing = F.when(F.col("a_known").isNull(), F.col("a")).when((F.col("kind") != "layer") & F.col("b_known").isNull(), F.col("b"))
     status = F.when(missing.isNotNull(), "Ungrounded").when(F.col("n") > 0, "Violated").otherwise("Holds")
     return out.select("kind", "a", "b", status.alias("status"), F.when(status == "Violated", F.col("n")).alias("n"), missing.alias("operand"))
+
+
+#: Words that a sentence about design uses without meaning a module.
+GENERAL_WORDS = tuple(
+    """abstraction abstractions all any anything both class classes client clients code component components concretion
+    concretions crate crates data dependencies dependency detail details each entities entity everything file files framework
+    frameworks function functions high-level implementation implementations interface interfaces it layer layers libraries
+    library low-level method methods module modules nothing one other others package packages run-time runtime scope server
+    something state system systems that them these thing things this those type types user users""".split()
+)
+_STARS = "[*]{0,2}"
+_PART = r"[-.\w]"
+_BARE = _maybe("the", _GAP) + f"{_STARS}([a-z]{_PART}*(?:/{_PART}+)*){_STARS}"
+_BARE_NOUN = _maybe(_GAP, _one("classes", "code", "component", "crate", "implementations?", "internals?", "layer", "library", "module", "package"))
+_BARE_SUBJECT = _phrase(_BARE + _BARE_NOUN, _one(_phrase(_MODAL, "not"), "can'?t", "cannot"))
+BARE_PATTERNS = {
+    "forbid_reach": "(?i)" + _phrase(_BARE_SUBJECT, _FAR, _BARE),
+    "forbid_edge": "(?i)" + _phrase(_BARE_SUBJECT, _one("access(?:es)?", _DEPEND, _IMPORT, _REFER, _USE), _BARE),
+}
+
+
+def extract_bare_rules(doc_lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_path, line_no, kind, a, b) of rules whose operands aren't quoted, for the audit alone.
+
+    An operand counts only if it is a segment of a module, or a run of segments, in
+    any case, and no general word; of equal segments the least spelling is taken.
+    """
+    prose = doc_lines.withColumn("line", F.regexp_replace("line", '"[^"]*"', ""))
+    out = None
+    for kind, pattern in BARE_PATTERNS.items():
+        each = F.arrays_zip(*[F.regexp_extract_all("line", F.lit(pattern), g + 1).alias(f"g{g}") for g in range(2)])
+        part = prose.withColumn("g", F.explode(each)).select("doc_path", "line_no", F.lit(kind).alias("kind"), F.col("g.g0").alias("a"), F.col("g.g1").alias("b"))
+        out = part if out is None else out.unionByName(part)
+    runs = known.select(F.explode(subpaths(F.col("module"))).alias("said")).select(F.lower("said").alias("key"), F.when(F.col("said").contains("/"), F.lower("said")).otherwise(F.col("said")).alias("said"))
+    runs = runs.groupBy("key").agg(F.min("said").alias("said"))
+    for side in ("a", "b"):
+        bare = F.lower(F.regexp_replace(side, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+        meant = out.withColumn("key", bare).where(~F.col("key").isin(*GENERAL_WORDS))
+        out = meant.join(runs, "key").withColumn(side, F.col("said")).select("doc_path", "line_no", "kind", "a", "b")
+    return out.where("a <> b")

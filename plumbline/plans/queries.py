@@ -83,7 +83,7 @@ _CLAIMS_CTE = (
   '(?i)\b(as-built|deleted?|deletes|deprecated|former(ly)?|legacy|moved|no longer|old path|original plan|previously|removal|removed?|removes|renamed?|replaced?|used to)\b')::INT)
   OVER (PARTITION BY doc_path ORDER BY line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 1 AS historical FROM l),
 claims AS (SELECT doc_path, line_no, raw, historical, contains(line, '|') AS table_row FROM (
-  SELECT *, unnest(regexp_extract_all(line, '`([\w./\-]+/[\w./\-]+|[\w\-]+\.\w{{1,5}})`', 1)) AS raw FROM cued WHERE NOT fenced)
+  SELECT *, unnest(regexp_extract_all(line, '`([-./\w]+/[-./\w]+|[-\w]+[.]\w{{1,5}})`', 1)) AS raw FROM cued WHERE NOT fenced)
   WHERE NOT (raw LIKE '/%' OR raw LIKE '../%' OR raw LIKE '*%' OR raw LIKE '%/*' OR contains(raw, '://'))
   AND CASE WHEN lower(regexp_extract(raw, '\.([^./]*)$', 1)) IN ({_EXT}) THEN contains(raw, '/') OR lower(raw) IN ({_MAN}) ELSE false END)"""
 )
@@ -134,7 +134,7 @@ def alignment_of_paths(spark, sf_dir):
 _CMDS_CTE = (
     _LINES_CTE
     + r""", spans AS (SELECT doc_path, line_no, unnest(CASE WHEN fenced THEN [line] ELSE regexp_extract_all(line, '`([^`]+)`', 1) END) AS span FROM l WHERE NOT mark),
-parts AS (SELECT doc_path, line_no, trim(unnest(regexp_split_to_array(span, '&&|\|\||;|\|'))) AS part FROM spans),
+parts AS (SELECT doc_path, line_no, trim(unnest(regexp_split_to_array(span, '&&|[|]{1,2}|;'))) AS part FROM spans),
 cmds AS (SELECT doc_path, line_no, trim(regexp_replace(part, '^\$ ', '')) AS cmd FROM parts WHERE trim(regexp_replace(part, '^\$ ', '')) <> ''),
 toks AS (SELECT *, list_filter(regexp_split_to_array(cmd, '\s+'), lambda x: x <> '') AS t FROM cmds),
 goals AS (SELECT *, list_filter(list_slice(t, 2, 99), lambda x, i: NOT x IN ('--directory','-C','-I','-W','-f','-j','-l','-o') AND NOT x LIKE '-%' AND NOT contains(x, '=')
@@ -171,15 +171,15 @@ def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.words(s)
 
 
-_TOKENS_CTE = "tokens AS (SELECT DISTINCT unnest(regexp_extract_all('getenv(SUPP_' || (s_suppkey % 30) || ') or getenv(PART_' || (s_suppkey % 80) || '_MODE) # partBrand size' || (s_suppkey % 33) || ' color', '([A-Za-z_][A-Za-z0-9_]+)', 1)) AS term FROM supplier)"
+_TOKENS_CTE = "tokens AS (SELECT DISTINCT unnest(regexp_extract_all('getenv(SUPP_' || (s_suppkey % 30) || ') or getenv(PART_' || (s_suppkey % 80) || '_MODE) # partBrand size' || (s_suppkey % 33) || ' color', '([_a-zA-Z][_0-9a-zA-Z]+)', 1)) AS term FROM supplier)"
 
 
 @query(
     f"""WITH {_LINES_CTE}, {_TOKENS_CTE},
-dollar AS (SELECT doc_path, line_no, unnest(regexp_extract_all(line, '\\$\\{{?([A-Za-z_][A-Za-z0-9_]+)\\}}?', 1)) AS name FROM l WHERE NOT mark),
+dollar AS (SELECT doc_path, line_no, unnest(regexp_extract_all(line, '\\$\\{{?({text.WORD})', 1)) AS name FROM l WHERE NOT mark),
 quoted AS (SELECT doc_path, line_no, trim(unnest(regexp_extract_all(line, '`([^`]+)`', 1))) AS name FROM l WHERE NOT fenced),
-named AS (SELECT * FROM dollar WHERE regexp_full_match(name, '[A-Z][A-Z0-9_]*') UNION SELECT * FROM quoted WHERE regexp_full_match(name, '[A-Z][A-Z0-9]*(_[A-Z0-9]+)+')),
-assigned AS (SELECT DISTINCT doc_path, unnest(regexp_extract_all(line, '(?:^|[;&|]|\\bexport\\s+)\\s*([A-Z][A-Z0-9_]*)=', 1)) AS name FROM l)
+named AS (SELECT * FROM dollar WHERE regexp_full_match(name, '{text.CAPITALS}') UNION SELECT * FROM quoted WHERE regexp_full_match(name, '[A-Z][0-9A-Z]*(_[0-9A-Z]+)+')),
+assigned AS (SELECT DISTINCT doc_path, unnest(regexp_extract_all(line, '(?:\\bexport\\s+|[&;|]|^)\\s*({text.CAPITALS})=', 1)) AS name FROM l)
 SELECT n.doc_path, n.line_no, n.name, CASE WHEN t.term IS NULL THEN 'stale' ELSE 'supported' END AS verdict FROM named n LEFT JOIN tokens t ON n.name = t.term
 WHERE n.name NOT IN ('HOME','PATH') AND NOT EXISTS (SELECT 1 FROM assigned a WHERE a.doc_path = n.doc_path AND a.name = n.name)"""
 )
@@ -189,7 +189,7 @@ def env_findings(spark, sf_dir):
 
 @query(
     f"""WITH {_CMDS_CTE}, {_TOKENS_CTE}, f AS (SELECT DISTINCT doc_path, line_no, substr(unnest(list_slice(t, 2, 99)), 3) AS flag FROM toks WHERE t[1] = 'partctl'),
-used AS (SELECT * FROM f WHERE flag NOT IN ('help','version') AND regexp_full_match(flag, '[a-z][a-z0-9-]+')),
+used AS (SELECT * FROM f WHERE flag NOT IN ('help','version') AND regexp_full_match(flag, '[a-z][-0-9a-z]+')),
 spelled AS (SELECT DISTINCT flag, b, unnest([replace(b, '-', '_'), replace(b, '-', ''),
    list_aggregate(list_transform(string_split(b, '-'), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), 'string_agg', ''),
    coalesce(string_split(b, '-')[1] || list_aggregate(list_transform(list_slice(string_split(b, '-'), 2, 99), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), 'string_agg', ''), b)]) AS term
@@ -212,7 +212,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT 'Kind' || (n_nationkey % 3), 'enum', 'lib/kinds' FROM nation),
 names AS (SELECT name FROM sym UNION SELECT unnest(string_split(module, '/')) FROM sym),
 types AS (SELECT DISTINCT name FROM sym WHERE kind = 'enum'),
-refs AS (SELECT DISTINCT doc_path, line_no, unnest(regexp_extract_all(span, '([A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)+)', 1)) AS reference
+refs AS (SELECT DISTINCT doc_path, line_no, unnest(regexp_extract_all(span, '({text.NAME}(?:::{text.NAME})+)', 1)) AS reference
  FROM (SELECT doc_path, line_no, unnest(regexp_extract_all(line, '`([^`]+)`', 1)) AS span FROM l)),
 r AS (SELECT *, reference LIKE 'crate::%' AS kw, string_split(regexp_replace(reference, '^((crate|self|super)::)+', ''), '::') AS rest FROM refs)
 SELECT doc_path, line_no, reference, CASE WHEN rest[-1] IN (FROM names) OR (len(rest) > 1 AND rest[-2] IN (FROM types)) THEN 'supported' ELSE 'stale' END AS verdict
@@ -224,7 +224,11 @@ def reference_findings(spark, sf_dir):
 
 _CONST_CTE = (
     _LINES_CTE
-    + r""", m AS (SELECT doc_path, line_no, unnest(regexp_extract_all(line, '((?:`[A-Za-z_][A-Za-z0-9_]*`|\b[A-Za-z_][A-Za-z0-9_]*)\s*(?i:defaults?\s+to|default(?:s|\sis|\sof|:)?|is\s+set\s+to|is\s+(?:by\s+default\s+)?|set\s+to|=)\s*(?:`[^`]+`|"[^"]+"|-?\d[\d_]*(?:\.\d+)?|true|false))', 1)) AS phrase FROM l WHERE NOT fenced),
+    + r""", m AS (SELECT doc_path, line_no, unnest(regexp_extract_all(line, '("""
+    + f"(?:`{text.NAME}`|" + r"\b" + text.NAME + ")"
+    + r"""\s*(?i:default(?:s?\s+to|s|\sis|\sof|:|)|is\s+(?:set\s+to|(?:by\s+default\s+)?)|=|set\s+to)\s*(?:"[^"]+"|`[^`]+`|"""
+    + text.NUMBER
+    + r"""|true|false))', 1)) AS phrase FROM l WHERE NOT fenced),
 c AS (SELECT doc_path, line_no, trim(phrase) AS phrase, regexp_extract(phrase, '^`([A-Za-z0-9_]+)`', 1) AS b, regexp_extract(phrase, '^([A-Za-z0-9_]+)', 1) AS p, regexp_extract(phrase, '`?([0-9]+)`?$', 1) AS v FROM m),
 const AS (SELECT doc_path, line_no, CASE WHEN b <> '' THEN b ELSE p END AS symbol, 'int' AS vtype, (v::BIGINT)::VARCHAR AS vkey, phrase FROM c
  WHERE v <> '' AND (b <> '' OR contains(p, '_') OR regexp_matches(p, '[a-z].*[A-Z]')))"""

@@ -289,18 +289,24 @@ def check(spark: SparkSession, root: str, only: str | None = None, min_severity:
     return Outcome(claims.select(*FINDINGS).unionByName(flagged), score, modules, counts["n"], counts["kept"], regressed)
 
 
-SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+SARIF_SCHEMA = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/errata01/os/schemas/sarif-schema-2.1.0.json"
+
+
+def _place(uri: str, line: int) -> dict:
+    region, file = {"startLine": line}, {"uri": uri}
+    return {"physicalLocation": {"region": region, "artifactLocation": file}}
 
 
 def report(outcome: Outcome, kind: str = "text") -> str:
     """The outcome as text, json or sarif; findings are what a person reads, so they come to the driver."""
     if kind == "sarif":
         results = [
-            {"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["uri"]}, "region": {"startLine": r["start_line"]}}}]}
+            {"level": r["level"], "ruleId": r["rule_id"], "locations": [_place(r["uri"], r["start_line"])], "message": {"text": r["message"]}}
             for r in drift.sarif_results(outcome.findings).orderBy("uri", "start_line", "message").collect()
         ]
         descriptors = [{"id": v} for v in drift.VERDICTS if v != "supported"]
-        return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "plumbline", "rules": descriptors}}, "results": results}]}, indent=2)
+        tool = {"driver": {"rules": descriptors, "name": "plumbline"}}
+        return json.dumps(dict(zip(("$schema", "version", "runs"), (SARIF_SCHEMA, "2.1.0", [{"results": results, "tool": tool}]))), indent=2)
     rows = [r.asDict() for r in outcome.findings.where("verdict <> 'supported'").orderBy("doc_path", "claim").collect()]
     if kind == "json":
         return json.dumps({"findings": rows, "score": outcome.score, "modules": {r["module"]: r["score"] for r in outcome.modules.collect()}, "total_claims": outcome.total, "carried_forward": outcome.carried_forward, "regressed": outcome.regressed}, indent=2)
@@ -309,6 +315,10 @@ def report(outcome: Outcome, kind: str = "text") -> str:
 
 
 def audit(spark: SparkSession, root: str) -> DataFrame:
-    """The status of each rule that the documents state."""
+    """The status of each rule that the documents state; ``bare`` marks those without back quotes, told apart from the quoted ones."""
     c = Context(spark, root)
-    return rules.audit(rules.extract_rules(c.lines), c.edges)
+    told = cut(rules.extract_rules(c.lines))
+    bare = rules.extract_bare_rules(c.lines, c.modules).select("kind", "a", "b").distinct()
+    new = bare.join(told.select("kind", "a", "b").distinct(), ["kind", "a", "b"], "left_anti").withColumn("items", F.array().cast("array<string>"))
+    quoted = rules.audit(told, c.edges).withColumn("bare", F.lit(False))
+    return quoted.unionByName(rules.audit(new, c.edges).withColumn("bare", F.lit(True)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars, text
-from plumbline.operators import diagrams, drift, history, match, retrieval
+from plumbline.operators import diagrams, drift, history, match, retrieval, rules
 from plumbline.plans.queries import _EDGES_CTE, _SCORE, module_edges, query, table
 
 
@@ -67,7 +67,7 @@ def net_new_code(spark, sf_dir):
 
 
 @query(
-    r"""WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]+)', 1)) AS term FROM documents),
+    r"""WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([_a-zA-Z][_0-9a-zA-Z]+)', 1)) AS term FROM documents),
 s AS (SELECT DISTINCT user_id, event_type, lower(substr(event_type, 1, 2)) || (user_id % 97) AS name, (event_type IN ('error', 'click'))::INT AS net_new, user_id % 13 AS fan_in, user_id % 5 AS commits, 'f' || (user_id % 11) AS path FROM events
  UNION ALL SELECT n_nationkey, 'nation', ['the', 'and', 'of', 'never'][1 + n_nationkey % 4], 0, 1, 1, 'n' FROM nation)
 SELECT name, path, user_id AS line_no, net_new, (fan_in + commits)::BIGINT AS reach, row_number() OVER (ORDER BY net_new DESC, fan_in + commits DESC, path, user_id, name) AS rank
@@ -190,17 +190,17 @@ def top_level_spans(spark, sf_dir):
     return match.top_level(s)
 
 
-@query(r"SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]+)', 1)) AS term FROM documents")
+@query(r"SELECT DISTINCT unnest(regexp_extract_all(text, '([_a-zA-Z][_0-9a-zA-Z]+)', 1)) AS term FROM documents")
 def doc_terms(spark, sf_dir):
     return text.words(table(spark, sf_dir, "documents"))
 
 
-_TOK = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '([a-z0-9]+)', 1), lambda x: length(x) >= 3 AND x NOT IN ('the','and','for','with','was','are','that','has','not')))"
+_TOK = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '([a-z0-9]+)', 1), lambda x: length(x) >= 3 AND x NOT IN ('and','are','for','has','not','that','the','was','with')))"
 
 
 def _simple_tokens(column: str):
     found = F.regexp_extract_all(F.lower(column), F.lit("([a-z0-9]+)"), 1)
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin("the", "and", "for", "with", "was", "are", "that", "has", "not")))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin("and", "are", "for", "has", "not", "that", "the", "was", "with")))
 
 
 _IDF_CTE = f"""d AS (SELECT doc_id, {_TOK.format("text")} AS toks FROM documents), t AS (SELECT doc_id, unnest(toks) AS token FROM d),
@@ -346,3 +346,75 @@ def sequence_alignment(spark, sf_dir):
     """Each user's events in order against the drawn order view, click, purchase."""
     calls = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
     return diagrams.align(calls.select("id", F.array(F.lit("signup"), F.lit("view"), F.lit("click"), F.lit("purchase")).alias("steps"), F.col("s.event_type").alias("calls")))
+
+
+_BARE_LINES = "CASE WHEN n_nationkey % 4 = 3 THEN 'High-level modules must not depend on details.' ELSE 'The ' || upper(n_name) || ' layer must not ' || CASE n_nationkey % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'transitively reach' ELSE 'reference' END || ' the N' || CAST(n_nationkey * 7 % 31 AS STRING) || ' module.' END"
+
+
+@query(
+    f"""WITH {_EDGES_CTE}, names AS (SELECT DISTINCT 'n' || s_nationkey AS seg FROM supplier WHERE s_nationkey < 20),
+t AS (SELECT n_nationkey, 'n' || n_nationkey AS x, replace(regexp_extract({_BARE_LINES.replace("upper(n_name)", "'N' || CAST(n_nationkey AS STRING)")}, 'The (N[0-9]+) ', 1), 'N', 'n') AS a,
+  CASE n_nationkey % 4 WHEN 1 THEN 'forbid_reach' ELSE 'forbid_edge' END AS kind, 'n' || (n_nationkey * 7 % 31) AS b FROM nation WHERE n_nationkey % 4 <> 3)
+SELECT 'd' || n_nationkey AS doc_path, kind, a, b FROM t WHERE a IN (FROM names) AND b IN (FROM names) AND a <> b"""
+)
+def bare_rules(spark, sf_dir):
+    """Rules of which no operand is quoted, held against the segments of modules."""
+    said = _BARE_LINES.replace("upper(n_name)", "'N' || CAST(n_nationkey AS STRING)")
+    d = table(spark, sf_dir, "nation").selectExpr("'d' || CAST(n_nationkey AS STRING) AS doc_path", f"{said} AS text")
+    mods = table(spark, sf_dir, "supplier").where("s_nationkey < 20").selectExpr("'lib/n' || CAST(s_nationkey AS STRING) AS module").distinct()
+    return rules.extract_bare_rules(text.lines(d), mods).drop("line_no")
+
+
+_DDL = "'CREATE TABLE IF NOT EXISTS shop.' || p_brand || '_' || CAST(p_partkey AS STRING) || ' (id BIGINT PRIMARY KEY, `Size` INT, price DECIMAL(10,2), CONSTRAINT c CHECK (price > 0), \"x' || CAST(p_size AS STRING) || '\" TEXT)'"
+
+
+@query(
+    """SELECT lower(regexp_extract(p_brand || '_' || p_partkey, '(\S+)$', 1)) AS name, unnest(['id', 'size', 'price', 'x' || p_size]) AS "column", unnest([0, 1, 2, 3])::INT AS pos FROM part"""
+)
+def ddl_columns(spark, sf_dir):
+    from plumbline.sources import repo
+
+    return repo.ddl_tables(table(spark, sf_dir, "part").selectExpr(f"{_DDL} AS text")).withColumn("column", F.col("column"))
+
+
+@query("SELECT DISTINCT 'r' || n_regionkey AS origin, 'n' || n_nationkey || '.rs' AS src, 'lib/n' || (s_suppkey * 7 % 29) AS dst, s_suppkey % 2 = 0 AS directed FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def mermaid_edges(spark, sf_dir):
+    return drawn_edges(spark, sf_dir).distinct()
+
+
+@query(
+    """WITH l AS (SELECT 'part' || (p_partkey % 9) AS id, p_partkey, 'A' || (p_partkey % 3) || '->>B: call' || (p_size % 7) || '(x)' AS line, p_size FROM part)
+SELECT id AS doc_path, row_number() OVER (PARTITION BY id ORDER BY p_partkey)::INT AS step, 'A' || (p_partkey % 3) AS src, 'B' AS dst, 'call' || (p_size % 7) AS call FROM l"""
+)
+def sequence_messages(spark, sf_dir):
+    p = table(spark, sf_dir, "part").selectExpr("'part' || CAST(p_partkey % 9 AS STRING) AS doc_path", "p_partkey AS line_no", "'A' || CAST(p_partkey % 3 AS STRING) || '->>B: call' || CAST(p_size % 7 AS STRING) || '(x)' AS line")
+    return diagrams.messages(p)
+
+
+@query(
+    r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'src/p' || p_partkey || '.rs' ELSE 'src:p' || p_partkey END AS path, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 1 END::INT AS line FROM part"""
+)
+def reference_split(spark, sf_dir):
+    ref = F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'src/p' || CAST(p_partkey AS STRING) || '.rs:' || CAST(p_size AS STRING) ELSE 'src:p' || CAST(p_partkey AS STRING) END")
+    path, line = scalars.split_reference(ref)
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), line.alias("line"))
+
+
+@query(
+    """WITH g AS (SELECT doc_id, quality AS gold, (n_chars >= 400)::INT AS said FROM labels JOIN documents USING (doc_id))
+SELECT round(coalesce(count_if(gold = 1 AND said = 1) / nullif(count_if(said = 1), 0), 1), 9) AS precision, round(coalesce(count_if(gold = 1 AND said = 1) / nullif(count_if(gold = 1), 0), 1), 9) AS recall,
+ round(coalesce(count_if(gold = said) / nullif(count(*), 0), 1), 9) AS accuracy FROM g"""
+)
+def corpus_quality(spark, sf_dir):
+    """Precision, recall and accuracy of a verdict against labels; 1 where there is nothing to find."""
+    g = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    g = g.select((F.col("quality") == 1).alias("gold"), (F.col("n_chars") >= 400).alias("said"))
+    return drift.agreement(g).select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "accuracy")])
+
+
+@query(
+    """SELECT vec_id, round(list_max(list_transform(range(1, 11), lambda i: exp(embedding[i]::DOUBLE))) / list_sum(list_transform(range(1, 11), lambda i: exp(embedding[i]::DOUBLE))), 9) AS top FROM embeddings"""
+)
+def softmax_top(spark, sf_dir):
+    ten = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(scalars.softmax(ten)), 9).alias("top"))

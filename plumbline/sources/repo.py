@@ -92,7 +92,7 @@ def make_targets(all_files: DataFrame) -> DataFrame:
     """(dir, kind, name) of the targets of each folder's Makefile, and of what .PHONY lists."""
     rank = F.array_position(F.array(F.lit("Makefile"), F.lit("makefile"), F.lit("GNUmakefile")), F.col("base"))
     first = _named(all_files, "Makefile", "makefile", "GNUmakefile").groupBy("dir").agg(F.min_by("text", rank).alias("text"))
-    rule = r"^([A-Za-z0-9_.%/ -]+):(?:[^=]|$)(.*)$"
+    rule = r"^([-_./% 0-9A-Za-z]+):(?:$|[^=])(.*)$"
     rows = first.select("dir", F.explode(F.split("text", "\r?\n")).alias("line")).where(F.col("line").rlike(rule))
     names = F.split(F.trim(F.regexp_extract("line", rule, 1)), r"\s+")
     more = F.when(names[0] == ".PHONY", F.split(F.trim(F.regexp_extract("line", rule, 2)), r"\s+")).otherwise(F.array().cast("array<string>"))
@@ -202,7 +202,7 @@ def parse_diff(diff_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def changes(spark: SparkSession, root: str, base: str) -> tuple[DataFrame, DataFrame]:
-    text = _git(root, "diff", "-U0", "-M", "--no-color", base, "--") or ""
+    text = _git(root, "diff", "--no-color", "--find-renames", "--unified=0", base, "--") or ""
     return parse_diff(spark.createDataFrame(list(enumerate(text.split("\n"))), "pos int, line string"))
 
 

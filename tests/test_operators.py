@@ -222,3 +222,10 @@ def test_stream_keeps_the_last_state(spark, tmp_path):
     q.stop()
     assert {r["id"]: r["verdict"] for r in incremental.read(spark, str(tmp_path / "ledger")).collect()} == {"1": "supported", "2": "stale"}
     assert incremental.windowed_counts(spark.read.parquet(str(tmp_path / "in" / "1"))).count() == 2
+
+
+def test_bare_rules(spark):
+    mods = spark.createDataFrame([("src/Station",), ("src/evse",), ("lib/core/db",)], "module string")
+    body = "The EVSE module must not depend on the Station module.\n**Station** layer cannot indirectly reach core/db.\nHigh-level modules should not depend on details.\nEvse must not use evse."
+    got = {(r["kind"], r["a"], r["b"]) for r in rules.extract_bare_rules(lines_of(spark, body), mods).collect()}
+    assert got == {("forbid_edge", "evse", "Station"), ("forbid_reach", "Station", "core/db")}
