@@ -369,7 +369,7 @@ _DDL = "'CREATE TABLE IF NOT EXISTS shop.' || p_brand || '_' || CAST(p_partkey A
 
 
 @query(
-    """SELECT lower(regexp_extract(p_brand || '_' || p_partkey, '(\S+)$', 1)) AS name, unnest(['id', 'size', 'price', 'x' || p_size]) AS "column", unnest([0, 1, 2, 3])::INT AS pos FROM part"""
+    r"""SELECT lower(regexp_extract(p_brand || '_' || p_partkey, '(\S+)$', 1)) AS name, unnest(['id', 'size', 'price', 'x' || p_size]) AS "column", unnest([0, 1, 2, 3])::INT AS pos FROM part"""
 )
 def ddl_columns(spark, sf_dir):
     from plumbline.sources import repo
