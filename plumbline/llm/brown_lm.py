@@ -4,23 +4,29 @@ The probability of a token is that of its class after the class before, times th
 the token in its class. Words of the vocabulary (see ``corpus_words``) are assigned to
 classes by exchange: each round finds, for every word, the class that raises the
 likelihood of the class bigrams most while all other words stay where they are, and
-moves half of the words, taken by hash; the best round's classes are used. Open words
-belong to fixed classes by kind and last two bytes and are spelled byte by byte. Class
+moves half of the words, taken by hash; the best round's classes are used. Rarer words
+of at least LEAST occurrences then get the class that raises the likelihood most, given
+the classes of the vocabulary; as many as the corpus has, they stay in a table with their
+classes and counts. All others are open: they belong to fixed classes by kind and last two
+bytes and are spelled byte by byte, as all words below SHARE are spelled. Class
 transitions are smoothed by Witten-Bell interpolation with the classes' own shares.
 
 The counts cover every token and every neighbouring pair of the corpus. One shuffle
 counts words, one gathers each word's neighbours into one row; each round then only
-reads those rows. What goes to the driver is bounded by parameters: 1 / SHARE words,
-the class matrix, 256 x 256 byte pairs.
+reads those rows. One more gathers the neighbours of the rarer words. Texts reach these
+words' table as classes and distinct words of each part of the corpus, never as text.
+What goes to the driver is bounded by parameters: 1 / SHARE words, the class matrix,
+256 x 256 byte pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +36,8 @@ from .corpus_words import CHARS, KIND, Counter, Tokens, Vocabulary, mixed, token
 
 #: Least share of all tokens that a word of the vocabulary has.
 SHARE = 1e-5
+#: Occurrences that a word with a class and a chance of its own has at least.
+LEAST = 2
 #: Classes that words are exchanged between.
 CLASSES = 64
 #: Classes of open words.
@@ -39,6 +47,8 @@ ROUNDS = 8
 UNIT = 1 << 16
 _SPAN = 1 << 31
 _LF = 10
+#: Characters of text whose distinct rarer words are looked up together.
+PART_CHARS = 1 << 23
 
 
 def nodes(vocab: Vocabulary, t: Tokens) -> np.ndarray:
@@ -239,6 +249,8 @@ class Model:
     transition: np.ndarray
     emission: np.ndarray
     spelling: np.ndarray
+    #: (word, class, cost) of the words that are not in the vocabulary but have a class; None without such.
+    rarer: DataFrame | None = None
 
 
 def _cost(p: np.ndarray) -> np.ndarray:
@@ -259,32 +271,229 @@ def probabilities(m: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def model_of(vocab: Vocabulary, class_of: np.ndarray, m: np.ndarray, spelled: np.ndarray) -> Model:
     transition, spelling = probabilities(m, spelled)
-    total = np.bincount(class_of[: len(vocab)], weights=vocab.counts, minlength=len(m))
+    total = np.bincount(class_of[: len(vocab)], weights=vocab.counts, minlength=len(m)).astype(np.float64)
     emission = np.ones(len(class_of))
     emission[: len(vocab)] = vocab.counts / total[class_of[: len(vocab)]]
     return Model(vocab, class_of, _cost(transition), _cost(emission), _cost(spelling).ravel())
 
 
-def train(docs: DataFrame, share: float = SHARE, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
+def _spelled(model: Model, t: Tokens, open_tokens: np.ndarray) -> np.ndarray:
+    """Cost of each of the tokens byte by byte."""
+    size = (t.end - t.start)[open_tokens] + 1
+    return np.add.reduceat(model.spelling[_byte_pairs(t, open_tokens)], np.cumsum(size) - size) if len(size) else size
+
+
+def _placed(m: np.ndarray, classes: int, word: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word of ``word``, sorted, with the class that raises the likelihood of ``m`` most, and its count.
+
+    left, right: classes of the tokens before and after each occurrence.
+    """
+    width, k = len(m), np.arange(classes)
+    start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    n = np.diff(np.append(start, len(word)))
+    start, n, words = start[n >= LEAST], n[n >= LEAST], word[start[n >= LEAST]]
+    best = np.empty(len(words), np.int64)
+    for i in range(0, len(words), 2048):
+        size = n[i : i + 2048]
+        rows = len(size)
+        row = np.repeat(np.arange(rows), size)
+        at = np.repeat(start[i : i + 2048] - (np.cumsum(size) - size), size) + np.arange(len(row))
+        gain = np.zeros((rows, classes))
+        corner = np.zeros((rows, classes))
+        for other, table in ((right[at], m[:classes].T), (left[at], m[:, :classes])):
+            cell, count = np.unique(row * width + other, return_counts=True)
+            r, o = cell // width, cell % width
+            own = o < classes
+            corner[r[own], o[own]] += count[own]
+            before = table[o]
+            d = _g(before + count[:, None]) - _g(before)
+            d[own, o[own]] = 0.0  # the cell of the class with itself comes below
+            gain += np.add.reduceat(d, np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])))
+        gain += _g(m[k, k] + corner) - _g(m[k, k])
+        for total in (m.sum(1)[:classes], m.sum(0)[:classes]):
+            gain -= _g(total + size[:, None]) - _g(total)
+        best[i : i + 2048] = np.argmax(gain, axis=1)
+    return words, best, n
+
+
+def rarer_words(docs: DataFrame, vocab: Vocabulary, class_of: np.ndarray, m: np.ndarray, classes: int) -> DataFrame:
+    """(word, class, n), written, of all words with LEAST occurrences that are not in the vocabulary.
+
+    The neighbours of a word count by class, those not in the vocabulary by the class of
+    their ending.
+    """
+    shared = broadcast_value(docs.sparkSession, (vocab, class_of, m))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, class_of, m = shared.value
+        for _, texts in chunks(batches, 0, CHARS):
+            t = tokens(texts)
+            seq, _ = sequences(v, t, len(texts))
+            c = class_of[seq]
+            rare = np.flatnonzero(v.ids(t.hashes) < 0)
+            at = rare + t.doc[rare] + 1
+            yield pa.RecordBatch.from_arrays([pa.array(t.hashes[rare].view(np.int64)), pa.array((c[at - 1] * len(m) + c[at + 1]).astype(np.int32))], ["word", "near"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, m = shared.value
+        word, around = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def rows(word: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
+            w, c, n = _placed(m, classes, word, around // len(m), around % len(m))
+            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(c, pa.int32()), pa.array(n)], ["word", "class", "n"])
+
+        for batch in batches:
+            word = np.concatenate([word, batch.column(0).to_numpy()])
+            around = np.concatenate([around, batch.column(1).to_numpy().astype(np.int64)])
+            # The last word may go on in the next batch.
+            end = int(np.searchsorted(word, word[-1])) if len(word) else 0
+            if end:
+                yield rows(word[:end], around[:end])
+                word, around = word[end:], around[end:]
+        if len(word):
+            yield rows(word, around)
+
+    seen = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(near, "word long, near int")
+    return written(seen.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word long, class int, n long"), "rarer-words")
+
+
+def classed(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, classes (a byte for each token) and own (cost of the tokens in their classes) of each row, written.
+
+    Each part of the corpus asks for its distinct words that are not in the vocabulary;
+    those that are not in the table of rarer words either are spelled.
+    """
+    source = id_and_text(docs)
+    shared = broadcast_value(docs.sparkSession, replace(model, rarer=None))
+    doc = T.StructType([T.StructField("part", T.LongType()), source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("classes", T.BinaryType()), T.StructField("asked", T.BinaryType()), T.StructField("own", T.LongType())])
+    ask = T.StructType([T.StructField("word", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("class", T.IntegerType()), T.StructField("cost", T.LongType())])
+    both = T.StructType([*doc.fields, *ask.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        part, held = TaskContext.get().partitionId() << 32, 0
+        asked: list[tuple[np.ndarray, ...]] = []
+        number: dict[int, int] = {}
+
+        def questions() -> pa.RecordBatch:
+            word, at, klass, cost = (np.concatenate(x) for x in zip(*asked))
+            none = [pa.nulls(len(word), f.type) for f in list(out)[1:6]]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), part)), *none, pa.array(word.view(np.int64)), pa.array(at, pa.int32()), pa.array(klass, pa.int32()), pa.array(cost, pa.int64())], names=out.names)
+
+        for batch, texts in chunks(batches, 1, CHARS):
+            out = pa.schema([("part", pa.int64()), ("doc_id", batch.schema.field(0).type), ("n_tokens", pa.int64()), ("classes", pa.binary()), ("asked", pa.binary()), ("own", pa.int64()), ("word", pa.int64()), ("at", pa.int32()), ("class", pa.int32()), ("cost", pa.int64())])
+            t = tokens(texts)
+            node = nodes(model.vocab, t)
+            rare = np.flatnonzero(node >= len(model.vocab))
+            word, first, which = np.unique(t.hashes[rare], return_index=True, return_inverse=True)
+            size = len(number)
+            at = np.array([number.setdefault(w, len(number)) for w in word.tolist()], np.int64)
+            new = at >= size
+            if new.any():
+                tokens_ = np.sort(rare[first[new]])
+                order = np.argsort(rare[first[new]])
+                asked.append((word[new][order], at[new][order], model.class_of[node[tokens_]], _spelled(model, t, tokens_)))
+            edges = np.concatenate([[0], np.cumsum(np.bincount(t.doc, minlength=len(texts)))])
+            own = np.concatenate([[0], np.cumsum(model.emission[node])])
+            c = model.class_of[node].astype(np.uint8)
+            c[rare] = 255
+            rare_edges = np.searchsorted(rare, edges)
+            which = at[which].astype(np.int32)
+            null = np.array([x is None for x in texts], bool)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(texts), part)),
+                    batch.column(0),
+                    pa.array(np.diff(edges), mask=null),
+                    pa.array([c[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
+                    pa.array([which[a:b].tobytes() for a, b in zip(rare_edges[:-1], rare_edges[1:])], pa.binary()),
+                    pa.array(own[edges[1:]] - own[edges[:-1]]),
+                    *[pa.nulls(len(texts), f.type) for f in list(out)[6:]],
+                ],
+                names=out.names,
+            )
+            held += sum(len(x) for x in texts if x)
+            if held > PART_CHARS:
+                if asked:
+                    yield questions()
+                part, held, asked, number = part + 1, 0, [], {}
+        if asked:
+            yield questions()
+
+    told = written(source.mapInArrow(run, both), "classes")
+    asks = told.where("word IS NOT NULL").select("part", *ask.names)
+    if model.rarer is not None:
+        known = model.rarer.select("word", F.col("class").alias("known"), F.col("cost").alias("known_cost"))
+        asks = asks.join(known, "word", "left").withColumns({"class": F.coalesce("known", "class"), "cost": F.coalesce("known_cost", "cost")})
+    asks = asks.select(F.col("part").alias("of"), "at", "class", "cost")
+    result = T.StructType([f for f in doc.fields if f.name not in ("part", "asked")])
+
+    def fill(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        n = answers.num_rows
+        klass, cost = np.zeros(n, np.uint8), np.zeros(n, np.int64)
+        at = answers["at"].to_numpy()
+        klass[at], cost[at] = answers["class"].to_numpy(), answers["cost"].to_numpy()
+        classes, own = [], []
+        for c, a, o in zip(docs["classes"].to_pylist(), docs["asked"].to_pylist(), docs["own"].to_pylist()):
+            c, a = np.frombuffer(c, np.uint8).copy(), np.frombuffer(a, np.int32)
+            c[c == 255] = klass[a]
+            classes.append(c.tobytes())
+            own.append(o + int(cost[a].sum()))
+        return pa.table([docs["doc_id"], docs["n_tokens"], pa.array(classes, pa.binary()), pa.array(own, pa.int64())], names=result.names)
+
+    return written(told.where("word IS NULL").select(*doc.names).groupBy("part").cogroup(asks.groupBy("of")).applyInArrow(fill, result), "classed")
+
+
+def _joined(rows: list[bytes], edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all rows with a boundary before each and after the last; positions of the boundaries."""
+    mark = bytes([edge])
+    return np.frombuffer(mark + b"".join(r + mark for r in rows), np.uint8).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) + 1 for r in rows])]).astype(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def class_pairs(rows: DataFrame, width: int) -> np.ndarray:
+    """Counts of class bigrams over all rows of ``classed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(width * width, np.int64)
+        for batch in _slices(batches):
+            seq, _ = _joined([r for r in batch.column(0).to_pylist() if r], width - 1)
+            m += np.bincount(seq[:-1] * width + seq[1:], minlength=width * width)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], ["cell", "n"])
+
+    out = np.zeros(width * width)
+    cells = rows.select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
+    return out.reshape(width, width)
+
+
+def _trained(docs: DataFrame, share: float, classes: int, rounds: int) -> tuple[Model, DataFrame]:
+    """The model of ``docs``, and their rows of ``classed``."""
     vocab = vocabulary(docs, share)
     pairs, spelled = pair_counts(docs, vocab)
     class_of, m, _ = exchange(contexts(pairs), vocab, classes, rounds)
-    return model_of(vocab, class_of, m, spelled)
+    rarer = rarer_words(docs, vocab, class_of, m, classes)
+    total = np.bincount(class_of[: len(vocab)], weights=vocab.counts, minlength=len(m)).astype(np.float64)
+    of_rarer = rarer.groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # a row for each class
+    total[of_rarer["class"].to_numpy(np.int64)] += of_rarer["n"].to_numpy(np.float64)
+    model = model_of(vocab, class_of, m, spelled)
+    model.emission[: len(vocab)] = _cost(vocab.counts / total[class_of[: len(vocab)]])
+    sums = F.array(*[F.lit(float(x)) for x in total])
+    model.rarer = rarer.select("word", "class", F.rint(-F.log2(F.col("n") / F.get(sums, F.col("class"))) * UNIT).cast("long").alias("cost"))
+    rows = classed(docs, model)
+    transition, _ = probabilities(class_pairs(rows, len(m)), spelled)
+    model.transition = _cost(transition)
+    return model, rows
 
 
-def cost(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each text, and its cost in 1 / UNIT bits, the end of the text included."""
-    t = tokens(texts)
-    seq, bounds = sequences(model.vocab, t, len(texts))
-    c = model.class_of[seq]
-    each = model.transition[c[:-1], c[1:]] + model.emission[seq[1:]]
-    open_tokens = model.vocab.ids(t.hashes) < 0
-    if open_tokens.any():
-        size = (t.end - t.start)[open_tokens] + 1
-        spelled = np.add.reduceat(model.spelling[_byte_pairs(t, open_tokens)], np.cumsum(size) - size)
-        each[(np.arange(len(t.start)) + t.doc)[open_tokens]] += spelled
-    sums = np.concatenate([[0], np.cumsum(each)])
-    return np.diff(bounds) - 1, sums[bounds[1:]] - sums[bounds[:-1]]
+def train(docs: DataFrame, share: float = SHARE, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
+    return _trained(docs, share, classes, rounds)[0]
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -296,19 +505,20 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     counts. Texts are scored whole. Repeated rows count and stay; extra columns are
     ignored; an empty table gives no rows.
     """
-    model = train(docs) if model is None else model
-    shared = broadcast_value(docs.sparkSession, model)
-    source = id_and_text(docs)
-    schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("bits", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
+    model, rows = _trained(docs, SHARE, CLASSES, ROUNDS) if model is None else (model, classed(docs, model))
+    shared = broadcast_value(docs.sparkSession, model.transition)
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("bits", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, 1, CHARS):
-            n, found = cost(shared.value, texts)
-            bits = found / UNIT
+        transition = shared.value
+        for batch in _slices(batches):
+            c, bounds = _joined(batch.column(2).to_pylist(), len(transition) - 1)
+            sums = np.concatenate([[0], np.cumsum(transition[c[:-1], c[1:]])])
+            bits = (sums[bounds[1:]] - sums[bounds[:-1]] + batch.column(3).to_numpy()) / UNIT
+            n = np.diff(bounds) - 1
             with np.errstate(over="ignore"):
                 perplexity = np.exp2(bits / (n + 1))
             none = n == 0
-            null = np.array([x is None for x in texts], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, mask=null), pa.array(bits, mask=none), pa.array(perplexity, mask=none)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, mask=none), pa.array(perplexity, mask=none)], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -179,6 +179,45 @@ def test_exchange_finds_the_best_single_move():
         assert scores[found] == pytest.approx(max(scores))
 
 
+def test_every_word_that_occurs_twice_has_a_class(spark):
+    texts = corpus(6, 60) + ["rareone", "is rareone raretwo", "was raretwo oncealone"]
+    docs = frame(spark, texts)
+    model = brown_lm.train(docs, share=0.02, classes=8)
+    hashed = {w.decode(): int(corpus_words.tokens([w.decode()]).hashes[0]) for t in texts for w in plain_tokens(t)}
+    counts = Counter(w.decode() for t in texts for w in plain_tokens(t))
+    in_vocab = dict(zip(model.vocab.hashes.tolist(), model.class_of.tolist()))
+    rarer = {r["word"] % 2**64: r for r in model.rarer.collect()}
+    assert set(rarer) == {hashed[w] for w, n in counts.items() if n >= 2} - set(in_vocab) and {hashed["rareone"], hashed["raretwo"]} <= set(rarer)
+    class_of = {w: in_vocab[h] if h in in_vocab else rarer[h]["class"] if h in rarer else None for w, h in hashed.items()}
+    total = Counter()
+    for w, n in counts.items():
+        total[class_of[w]] += n
+    edge = len(model.transition) - 1
+    spelling_of = model.spelling.reshape(256, 256)
+    unit = brown_lm.UNIT
+    pairs = np.zeros((edge + 1, edge + 1))
+    expected, before_after = [], []
+    for t in texts:
+        own, seq = 0.0, [edge]
+        for w in plain_tokens(t):
+            c = class_of[w.decode()]
+            if c is None:
+                c = int(model.class_of[brown_lm.nodes(model.vocab, corpus_words.tokens([w.decode()]))[0]])
+                own += sum(int(spelling_of[a, b]) for a, b in zip(b"\n" + w, w + b"\n")) / unit
+            else:
+                own -= math.log2(counts[w.decode()] / total[c])
+            seq.append(c)
+        seq.append(edge)
+        np.add.at(pairs, (seq[:-1], seq[1:]), 1)
+        expected.append(own)
+        before_after.append(seq)
+    transition, _ = brown_lm.probabilities(pairs, np.zeros(65536))
+    for r in brown_lm.score(docs, model).collect():
+        seq = before_after[r["doc_id"]]
+        bits = expected[r["doc_id"]] - sum(math.log2(transition[a, b]) for a, b in zip(seq, seq[1:]))
+        assert r["bits"] == pytest.approx(bits, abs=1e-3 * (len(seq) + 5))
+
+
 def test_perplexity_prefers_text_like_the_corpus(spark):
     docs = frame(spark, corpus(5, 200))
     model = brown_lm.train(docs, share=0.002, classes=8)
