@@ -8,9 +8,11 @@ fitted with numpy on a bounded sample of labelled documents, gives the chance th
 document is good; a temperature, chosen on labelled documents that were not fitted on,
 calibrates it.
 
-Words below SHARE of all tokens are taken by shape (kind, capitals, digits, length);
-word vectors gather every token of every document. The driver holds at most
-1 / SHARE word vectors and TRAIN_ROWS documents.
+Words below SHARE of all tokens have no gathered vector. They are taken by shape (kind,
+capitals, digits, length), and each also by an index vector of its own, drawn from its
+hash, whose mean over the document stands beside the others: however rare a word is, it
+is told from others of its shape. Word vectors gather every token of every document. The
+driver holds at most 1 / SHARE word vectors and TRAIN_ROWS documents.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ EPOCHS = 30
 #: A document is kept if the chance that it is good is at least this.
 KEEP = 0.5
 SHAPES = 2 * 3 * 2 * 6
+#: Places of the index vectors of words that are not in the vocabulary.
+RARE = 128
+#: Spreads that these places are divided by, so that words seen once sway the fit little.
+RARE_SCALE = 4
 
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
@@ -152,11 +158,20 @@ def word_vectors(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     return out.astype(np.float32)
 
 
-FEATURES = 2 * DIMENSIONS + 3
+def rare_vectors(hashes: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """For each text, the sum of the index vectors of the words given by hash and text."""
+    out = np.zeros(texts * RARE)
+    for j in range(NONZERO):
+        drawn = mixed(hashes + np.uint64(0x632BE59BD9B4E019 * (j + 1) % 2**64))
+        out += np.bincount(doc * RARE + (drawn % np.uint64(RARE)).astype(np.int64), weights=(drawn >> np.uint64(40)).astype(np.int64) % 2 * 2 - 1, minlength=texts * RARE)
+    return out.reshape(texts, RARE)
+
+
+FEATURES = 2 * DIMENSIONS + RARE + 3
 
 
 def features(vocab: Vocabulary, vectors: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """A row for each text: mean vector of its tokens, of its distinct tokens, and three sizes; zeros without a token."""
+    """A row for each text: mean vector of its tokens, of its distinct tokens, of its rare words by hash, and three sizes; zeros without a token."""
     out = np.zeros((len(texts), FEATURES), np.float32)
     t = tokens(texts, lower=False)
     if not len(t.start):
@@ -172,6 +187,8 @@ def features(vocab: Vocabulary, vectors: np.ndarray, texts: list[str | None]) ->
     out[full, DIMENSIONS : 2 * DIMENSIONS] = np.add.reduceat(rows, start) / distinct[:, None]
     rows *= count[:, None].astype(np.float32)
     out[full, :DIMENSIONS] = np.add.reduceat(rows, start) / total[:, None]
+    rare = at >= len(vocab)
+    out[full, 2 * DIMENSIONS : -3] = rare_vectors(t.hashes[rare], t.doc[rare], len(texts))[full] / total[:, None]
     out[full, -3] = np.log(total)
     out[full, -2] = np.log(total / distinct)
     # Distinct tokens by their hashes, open words told apart.
@@ -224,7 +241,11 @@ def fit(x: np.ndarray, y: np.ndarray, held_out: np.ndarray, hidden: int = HIDDEN
         train = np.arange(len(x))
     fx, fy = x[train].astype(np.float64), y[train].astype(np.float64)
     mean, scale = fx.mean(0), fx.std(0) + 1e-6
-    fx = (fx - mean) / scale
+    if x.shape[1] == FEATURES:
+        rare = slice(2 * DIMENSIONS, 2 * DIMENSIONS + RARE)
+        scale[rare] = RARE_SCALE * np.sqrt(np.mean(scale[rare] ** 2))
+    fx -= mean
+    fx /= scale
     share = np.clip(fy.mean(), 1e-3, 1 - 1e-3)
     p = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.log(share / (1 - share))]
     m, v, step = [0.0] * 4, [0.0] * 4, 0

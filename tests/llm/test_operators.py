@@ -313,6 +313,16 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([r["keep"] == (r["doc_id"] % 2 == 0) for r in later]) > 0.97
 
 
+def test_rare_words_of_one_shape_are_told_apart(spark):
+    said = {0: "vexil", 1: "plomb"}
+    known = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    texts = [f"red blue is green was {said[i % 2]}" for i in range(400)]
+    model = quality_classifier.train(frame(spark, texts), known, share=0.2)
+    assert len(model.vocab) == 0
+    p = {r["doc_id"]: r["p_quality"] for r in quality_classifier.classify(frame(spark, texts[:2]), known, model).collect()}
+    assert p[0] < 0.1 and p[1] > 0.9
+
+
 def test_temperature_is_the_likeliest():
     rng = np.random.default_rng(1)
     z = rng.normal(0, 1, 4000)
