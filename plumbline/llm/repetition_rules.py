@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import chunks, id_and_text, keep_rows
 
 #: Words that a repeated substring has at least.
-MIN_WORDS = 8
+MIN_WORDS = 4
 #: A longer run without white space is taken character by character.
 LONG_RUN = 32
 MAX_COVERED = 0.4

@@ -525,6 +525,13 @@ def test_repetition_equals_brute_force():
         assert got[:2] == (pytest.approx(brute_repetition(t, 3)[0]), brute_repetition(t, 3)[1])
 
 
+def test_short_repeats_make_a_text_repetitive(spark):
+    texts = [" ".join([w] * 5 + [x] * 5) for w, x in (("ment", "oueau"), ("it", "hast"))] + ["one line of six words here\nbetween\none line of six words here", "a text in which no words come again"]
+    rows = {r["doc_id"]: r for r in repetition_rules.repetition(frame(spark, texts)).collect()}
+    assert [rows[i]["keep"] for i in range(4)] == [False, False, False, True]
+    assert rows[0]["covered_fraction"] == 1.0
+
+
 def test_maximal_repeats_equal_brute_force():
     rng = random.Random(12)
     for _ in range(40):
