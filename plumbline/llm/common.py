@@ -45,11 +45,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def total_order(df: DataFrame) -> T.DataType:
-    """The type of ``doc_id`` in ``df``."""
-    return df.schema["doc_id"].dataType
-
-
 def chunks(batches: Iterator[pa.RecordBatch], text_column: int = 1, chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of the batches that hold about ``chars`` characters of text, or one longer text."""
     for batch in batches:
@@ -76,8 +71,13 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, decide: Callable[[list[str | None]], list[bool]]) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose texts ``decide`` keeps; no shuffle."""
-    at = docs.columns.index("text")
+    """The rows of ``docs``, with all their columns, whose texts ``decide`` keeps; no shuffle.
+
+    The text is found by name as Spark finds it, in any case; one that is no string is a TypeError.
+    """
+    at = [c.lower() for c in docs.columns].index("text")
+    if not isinstance(docs.schema[at].dataType, T.StringType):
+        raise TypeError(f"text is no string but {docs.schema[at].dataType.simpleString()}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, at):
