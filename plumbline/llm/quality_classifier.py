@@ -101,7 +101,7 @@ def _add_contexts(total: np.ndarray, t: Tokens, at: np.ndarray, texts: int, plac
                 weights.append(sign[other, j])
     sums = np.bincount(np.concatenate(keys), weights=np.concatenate(weights), minlength=len(here) * DIMENSIONS).reshape(-1, DIMENSIONS)
     real = here != edge
-    total[here[real]] += sums[real].astype(np.int64)
+    total[here[real]] += sums[real].astype(np.int32)
 
 
 def word_vectors(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
@@ -112,7 +112,8 @@ def word_vectors(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
         place, sign = index_vectors(v)
-        total = np.zeros((n_nodes, DIMENSIONS), np.int64)
+        # The tokens of one task are few enough for 32 bits; sums over tasks are wider.
+        total = np.zeros((n_nodes, DIMENSIONS), np.int32)
         for _, texts in chunks(batches, 0, CHARS):
             t = tokens(texts, lower=False)
             if len(t.start):
@@ -124,19 +125,20 @@ def word_vectors(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(i + at, pa.int32()), pa.array([r.tobytes() for r in part[at]], pa.binary())], ["node", "vector"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums the vectors of each node; a node's rows follow one another."""
+        """Sums the vectors of each node, whose rows follow one another, and brings them to length 1."""
         held_node, held = -1, np.zeros(DIMENSIONS, np.int64)
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([held_node], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["node", "vector"])
+            unit = (held / max(np.linalg.norm(held), 1e-9)).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array([held_node], pa.int32()), pa.array([unit.tobytes()], pa.binary())], ["node", "vector"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, DIMENSIONS)
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, DIMENSIONS)
             start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            for n, s in zip(node[start].tolist(), np.add.reduceat(rows, start)):
+            for n, s in zip(node[start].tolist(), np.add.reduceat(rows, start, dtype=np.int64)):
                 if n == held_node:
                     held = held + s
                     continue
@@ -148,14 +150,14 @@ def word_vectors(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
 
     schema = "node int, vector binary"
     partial = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(gather, schema)
-    rows = partial.repartition("node").sortWithinPartitions("node").mapInArrow(add, schema).toPandas()
-    out = np.zeros((n_nodes, DIMENSIONS))
-    if len(rows):
-        out[rows["node"].to_numpy(np.int64)] = np.frombuffer(b"".join(rows["vector"]), np.int64).reshape(-1, DIMENSIONS)
+    rows = partial.repartition("node").sortWithinPartitions("node").mapInArrow(add, schema).toArrow()  # n_nodes rows of 512 bytes at most
+    out = np.zeros((n_nodes, DIMENSIONS), np.float32)
+    for batch in rows.to_batches():
+        out[batch.column(0).to_numpy()] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+    if rows.num_rows:
+        out -= out.mean(axis=0, dtype=np.float64).astype(np.float32)
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-        out -= out.mean(axis=0)
-        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-    return out.astype(np.float32)
+    return out
 
 
 def rare_vectors(hashes: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
@@ -277,19 +279,19 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text and quality of at most ``rows`` labelled documents, those whose ids hash lowest.
+    """doc_id, text and quality of at most ``rows`` labelled ids, those that hash lowest; no text is shuffled.
 
-    A document labelled more than once has the lowest of its labels; of texts that
-    share a doc_id the least is taken.
+    A document labelled more than once has the lowest of its labels. All rows of a
+    doc_id are given.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most ``rows`` ids and labels, whatever the size of the tables.
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, share: float = SHARE) -> Model:
+    """Of texts that share a doc_id the one whose features are least, byte by byte, is fitted on."""
     vocab = vocabulary(docs, share, lower=False)
     vectors = word_vectors(docs, vocab)
     shared = broadcast_value(docs.sparkSession, (vocab, vectors))
@@ -301,11 +303,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, share: flo
 
     sample = labelled_sample(docs, labels, rows)
     schema = T.StructType([sample.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    found = sample.mapInArrow(run, schema).withColumn("held_out", F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0).orderBy("doc_id").toPandas()
-    if not len(found):
+    held_out = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0
+    one = sample.mapInArrow(run, schema).groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    found = one.withColumn("held_out", held_out).orderBy("doc_id").select("quality", "x", "held_out").toArrow()  # ``rows`` rows at most
+    if not found.num_rows:
         return Model(vocab, vectors, None)
-    x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, FEATURES)
-    return Model(vocab, vectors, fit(x, (found["quality"].to_numpy() > 0).astype(np.float64), found["held_out"].to_numpy(bool)))
+    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
+    return Model(vocab, vectors, fit(x, (found["quality"].to_numpy() > 0).astype(np.float64), found["held_out"].to_numpy()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, keep: float = KEEP) -> DataFrame:
@@ -313,8 +317,10 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, kee
 
     A document is kept if its chance is at least ``keep``. A null text, and one
     without a token, has a null chance and isn't kept. Without any labelled document
-    every chance is null, and every text with a token is kept. Texts are taken whole.
-    Repeated rows stay; extra columns are ignored; an empty table gives no rows.
+    every chance is null, and every text with a token is kept. A document labelled more
+    than once has the lowest of its labels; labels of a null or unknown doc_id count for
+    nothing. Texts are taken whole. Equal texts have equal chances. Repeated rows stay;
+    extra columns are ignored; an empty table gives no rows.
     """
     model = train(docs, labels) if model is None else model
     shared = broadcast_value(docs.sparkSession, model)
