@@ -4,7 +4,9 @@ The probability of a token is that of its class after the class before, times th
 the token in its class. Words of the vocabulary (see ``corpus_words``) are assigned to
 classes by exchange: each round finds, for every word, the class that raises the
 likelihood of the class bigrams most while all other words stay where they are, and
-moves half of the words, taken by hash; the best round's classes are used. Rarer words
+moves half of the words, taken by a hash of word and pair of rounds, and in the next
+round the other half. Rounds go on until such a pair raises the likelihood by less
+than GAIN of what was gained so far; the best round's classes are used. Rarer words
 of at least LEAST occurrences then get the class that raises the likelihood most, given
 the classes of the vocabulary; as many as the corpus has, they stay in a table with their
 classes and counts. All others are open: they belong to fixed classes by kind and last two
@@ -42,7 +44,8 @@ LEAST = 2
 CLASSES = 64
 #: Classes of open words.
 OPEN = 16
-ROUNDS = 8
+#: Share of all that the exchange has gained in likelihood that two more rounds gain at least, else it ends.
+GAIN = 0.005
 #: Costs are whole multiples of 1 / UNIT bits, so sums are exact in any order.
 UNIT = 1 << 16
 _SPAN = 1 << 31
@@ -203,8 +206,13 @@ def matrix(near: DataFrame, class_of: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(width, width)
 
 
-def exchange(near: DataFrame, vocab: Vocabulary, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Class of each node, the class bigrams, and the likelihood at each round."""
+def movable(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Whether each word may move in the round: one half in every even round, the other in the round after it."""
+    return mixed(hashes + np.uint64(turn // 2 + 1)) % np.uint64(2) == np.uint64(turn % 2)
+
+
+def exchange(near: DataFrame, vocab: Vocabulary, classes: int = CLASSES, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Class of each node, the class bigrams, and the likelihood before and after each round."""
     v = len(vocab)
     width = classes + OPEN + 1
     by_count = np.argsort(-vocab.counts, kind="stable")
@@ -213,22 +221,24 @@ def exchange(near: DataFrame, vocab: Vocabulary, classes: int = CLASSES, rounds:
     fixed = classes + np.arange(OPEN + 1)
     best: tuple[float, np.ndarray, np.ndarray] | None = None
     course: list[float] = []
-    for turn in range(rounds + 1):
+    while True:
         class_of = np.concatenate([now, fixed])
         m = matrix(near, class_of, width)
         course.append(likelihood(m))
         if best is None or course[-1] > best[0]:
             best = course[-1], class_of, m
-        if turn == rounds or not v:
+        turn = len(course) - 1
+        if not v or (turn >= 2 and turn % 2 == 0 and best[0] - max(course[:-2]) <= gain * (best[0] - course[0])):
             break
         shared = broadcast_value(near.sparkSession, (class_of, m, vocab.hashes))
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             class_of, m, hashes = shared.value
+            may = movable(hashes, turn)
             for batch in batches:
                 moved, to = [], []
                 for node, right, left, own in _by_class(batch, class_of, width):
-                    if node < v and (int(hashes[node]) >> (turn % 32)) & 1:
+                    if node < v and may[node]:
                         b = best_class(m, classes, int(class_of[node]), right, left, own)
                         if b != class_of[node]:
                             moved.append(node)
@@ -473,11 +483,11 @@ def class_pairs(rows: DataFrame, width: int) -> np.ndarray:
     return out.reshape(width, width)
 
 
-def _trained(docs: DataFrame, share: float, classes: int, rounds: int) -> tuple[Model, DataFrame]:
+def _trained(docs: DataFrame, share: float, classes: int, gain: float) -> tuple[Model, DataFrame]:
     """The model of ``docs``, and their rows of ``classed``."""
     vocab = vocabulary(docs, share)
     pairs, spelled = pair_counts(docs, vocab)
-    class_of, m, _ = exchange(contexts(pairs), vocab, classes, rounds)
+    class_of, m, _ = exchange(contexts(pairs), vocab, classes, gain)
     rarer = rarer_words(docs, vocab, class_of, m, classes)
     total = np.bincount(class_of[: len(vocab)], weights=vocab.counts, minlength=len(m)).astype(np.float64)
     of_rarer = rarer.groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # a row for each class
@@ -492,8 +502,8 @@ def _trained(docs: DataFrame, share: float, classes: int, rounds: int) -> tuple[
     return model, rows
 
 
-def train(docs: DataFrame, share: float = SHARE, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
-    return _trained(docs, share, classes, rounds)[0]
+def train(docs: DataFrame, share: float = SHARE, classes: int = CLASSES, gain: float = GAIN) -> Model:
+    return _trained(docs, share, classes, gain)[0]
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -502,10 +512,11 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     The model is trained on all of ``docs`` unless one is given. Perplexity is
     2 ** (bits / (n_tokens + 1)), the end of the text being predicted too. A null
     text, and one without a token, has null bits and perplexity and no part in the
-    counts. Texts are scored whole. Repeated rows count and stay; extra columns are
-    ignored; an empty table gives no rows.
+    counts. A word that two classes suit equally well goes to the one of lower number,
+    or stays in its own. Texts are scored whole. Repeated rows count and stay; extra
+    columns are ignored; an empty table gives no rows.
     """
-    model, rows = _trained(docs, SHARE, CLASSES, ROUNDS) if model is None else (model, classed(docs, model))
+    model, rows = _trained(docs, SHARE, CLASSES, GAIN) if model is None else (model, classed(docs, model))
     shared = broadcast_value(docs.sparkSession, model.transition)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("bits", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 
