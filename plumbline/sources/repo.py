@@ -10,9 +10,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.storage import filesystem, is_folder
+
 SKIPPED = tuple(".cache .git .gradle .mypy_cache .next .plumbline .pytest_cache .venv __pycache__ build dist node_modules out target vendor venv".split())
 LARGEST = 2 * 1024 * 1024
 CODE = tuple("c cc cjs cpp cs go h hpp java js jsx kt mjs php py rb rs scala sh swift toml ts tsx yaml yml".split())
@@ -20,31 +23,85 @@ LANGUAGES = {"rs": "rust", "py": "python", "pyi": "python", "js": "javascript",
 _LOGS = tuple("changelog.markdown changelog.md changes.md history.md news.md release-notes.md release_notes.md releases.md whatsnew.md".split())
 _LOG_DIRS = ("changelog", "changelog.d", "changes", "news.d", "newsfragments")
 HISTORY = 1000
+#: Characters of files that are handed on at once.
+HELD = 1 << 23
 
 
 def _extension(path: Column) -> Column:
     return F.when(F.element_at(F.split(path, "/"), -1).contains("."), F.lower(F.element_at(F.split(path, r"\."), -1))).otherwise("")
 
 
+LISTING = "path string, size long, folder boolean, uri string"
+
+
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, size, content) of all files outside skipped folders. Content is read only where it is used."""
-    root = os.path.abspath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # The listing names files as URIs; what follows the root is the path.
-    path = F.regexp_replace("path", "^[a-z]+:/*" + re.escape(root) + "/", "")
-    inside = raw.withColumn("path", path).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
-    return inside.select("path", F.col("length").alias("size"), "content")
+    """(path relative to root, size, folder, uri) of all files and folders outside skipped folders, hidden ones too.
+
+    ``root`` is a local folder or a URI of any file system that Arrow reads. The driver
+    lists the folders; contents are read by the executors, and only of files that a
+    table needs.
+    """
+    at, top = filesystem(root)
+    top, rows, todo = top.rstrip("/"), [], [top.rstrip("/")]
+    while todo:
+        for f in at.get_file_info(fs.FileSelector(todo.pop())):
+            if f.base_name in SKIPPED:
+                continue
+            if f.type in (fs.FileType.File, fs.FileType.Directory):
+                is_folder = f.type == fs.FileType.Directory
+                rows.append((f.path[len(top) + 1 :], 0 if is_folder else f.size, is_folder, f.path))
+                if is_folder:
+                    todo.append(f.path)
+    return spark.createDataFrame(sorted(rows), LISTING).withColumn("root", F.lit(root))
 
 
 def paths(all_files: DataFrame) -> DataFrame:
-    """(path) of every file and every folder above one."""
-    parts = F.split("path", "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    return all_files.select(F.explode(up).alias("path")).distinct()
+    """(path) of every file and every folder, empty ones too."""
+    return all_files.select("path")
+
+
+def on_disk(claimed: DataFrame, root: str) -> DataFrame:
+    """(path) of those of the claimed paths (raw) that lie under the root as they are written, in skipped folders too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, top = filesystem(root)
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            found = at.get_file_info([f"{top.rstrip('/')}/{r.removeprefix('./').rstrip('/')}" for r in raw]) if raw else []
+            yield pa.RecordBatch.from_arrays([pa.array([r.removeprefix("./").rstrip("/") for r, f in zip(raw, found) if f.type != fs.FileType.NotFound], pa.string())], ["path"])
+
+    return claimed.select("raw").distinct().mapInArrow(run, "path string")
 
 
-def _text() -> Column:
-    return F.decode("content", "UTF-8").alias("text")
+def _read(wanted: DataFrame) -> DataFrame:
+    """``wanted`` (path, uri, root, ...) with ``text`` in place of the last two; files that are no UTF-8 or can't be read are left out."""
+    names = [c for c in wanted.columns if c not in ("uri", "root", "size", "folder")]
+    schema = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in names) + ", text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            texts: list[str] = []
+            held = 0
+
+            def rows() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int32())) for c in names), pa.array(texts, pa.string())], [*names, "text"])
+
+            for i, (uri, root) in enumerate(zip(batch.column("uri").to_pylist(), batch.column("root").to_pylist())):
+                try:
+                    with filesystem(root)[0].open_input_stream(uri) as f:
+                        text = f.read().decode("utf-8")
+                except (OSError, UnicodeDecodeError):
+                    continue
+                at.append(i)
+                texts.append(text)
+                held += len(text)
+                if held > HELD:
+                    yield rows()
+                    at, texts, held = [], [], 0
+            yield rows()
+
+    return wanted.where("NOT folder").select(*names, "uri", "root").mapInArrow(run, schema)
 
 
 def is_changelog(path: Column) -> Column:
@@ -57,7 +114,7 @@ def documents(all_files: DataFrame, only: str | None = None) -> DataFrame:
     out = all_files.where(_extension(F.col("path")).isin("md", "markdown") & (F.col("size") <= LARGEST) & ~is_changelog(F.col("path")))
     if only:
         out = out.where(F.col("path").endswith(only))
-    return out.select(F.col("path").alias("doc_path"), _text())
+    return _read(out).withColumnRenamed("path", "doc_path")
 
 
 def code(all_files: DataFrame) -> DataFrame:
@@ -65,17 +122,17 @@ def code(all_files: DataFrame) -> DataFrame:
     ext = _extension(F.col("path"))
     language = F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext)
     module = F.regexp_replace("path", r"\.[^./]+$", "")
-    return all_files.where(ext.isin(*CODE) & (F.col("size") <= LARGEST)).select("path", module.alias("module"), language.alias("language"), _text())
+    return _read(all_files.where(ext.isin(*CODE) & (F.col("size") <= LARGEST)).withColumns({"module": module, "language": language}))
 
 
 def dot_files(all_files: DataFrame) -> DataFrame:
-    return all_files.where(_extension(F.col("path")).isin("dot", "gv") & (F.col("size") <= LARGEST)).select(F.col("path").alias("doc_path"), _text())
+    return _read(all_files.where(_extension(F.col("path")).isin("dot", "gv") & (F.col("size") <= LARGEST))).withColumnRenamed("path", "doc_path")
 
 
 def _named(all_files: DataFrame, *names: str) -> DataFrame:
     base = F.element_at(F.split("path", "/"), -1)
     folder = F.regexp_replace(F.regexp_replace("path", "[^/]+$", ""), "/$", "")
-    return all_files.where(base.isin(*names)).select(folder.alias("dir"), base.alias("base"), "path", _text())
+    return _read(all_files.where(base.isin(*names)).withColumns({"dir": folder, "base": base}))
 
 
 def npm_manifests(all_files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,8 +164,8 @@ def cargo_bins(all_files: DataFrame) -> DataFrame:
     w = Window.partitionBy("dir").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     named = rows.withColumn("section", F.last(head, True).over(w)).withColumn("name", F.regexp_extract(line, r'^name\s*=\s*"([^"]*)"', 1)).where("name <> ''")
     folder = F.regexp_replace(F.regexp_replace("path", "(^|/)src/main[.]rs$", ""), "/$", "")
-    mains = all_files.where(F.col("path").rlike("(^|/)src/main[.]rs$")).select(folder.alias("dir")).distinct()
-    stems = all_files.where(F.col("path").rlike("(^|/)src/bin/[^/]+[.]rs$")).select(F.regexp_replace("path", "/?src/bin/[^/]+$", "").alias("dir"), F.regexp_extract("path", "([^/]+)[.]rs$", 1).alias("name"))
+    mains = all_files.where(~F.col("folder") & F.col("path").rlike("(^|/)src/main[.]rs$")).select(folder.alias("dir")).distinct()
+    stems = all_files.where(~F.col("folder") & F.col("path").rlike("(^|/)src/bin/[^/]+[.]rs$")).select(F.regexp_replace("path", "/?src/bin/[^/]+$", "").alias("dir"), F.regexp_extract("path", "([^/]+)[.]rs$", 1).alias("name"))
     found = named.where("section = 'bin'").select("dir", "name").union(named.where("section = 'package'").join(mains, "dir", "left_semi").select("dir", "name")).union(stems)
     return found.select("dir", F.lit("cargo").alias("kind"), "name").distinct()
 
@@ -162,7 +219,7 @@ def ddl_tables(texts: DataFrame) -> DataFrame:
 
 
 def sql_schema(all_files: DataFrame) -> DataFrame:
-    return ddl_tables(all_files.where(_extension(F.col("path")) == "sql").select(_text()))
+    return ddl_tables(_read(all_files.where(_extension(F.col("path")) == "sql")).select("text"))
 
 
 def _git(root: str, *args: str) -> str | None:
@@ -225,8 +282,8 @@ LEDGER = "id string, doc_ref string, anchors array<string>, facts_hash string, v
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger table at ``path``; empty where there is none."""
-    if os.path.isdir(path):
+    """The ledger table at ``path``, a folder or URI; empty where there is none."""
+    if is_folder(path):
         return spark.read.schema(LEDGER).parquet(path)
     return spark.createDataFrame([], LEDGER)
 

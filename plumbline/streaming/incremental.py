@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from plumbline.sources.storage import names
+
 SCHEMA = "id string, module string, verdict string, seen_at timestamp"
 
 
@@ -24,10 +24,11 @@ def follow(findings: DataFrame, ledger_path: str, checkpoint: str) -> StreamingQ
     that is run again after a failure gives the same version.
     """
 
+    at = ledger_path.rstrip("/")
+
     def merge(batch: DataFrame, number: int) -> None:
-        before = os.path.join(ledger_path, f"v{number - 1}")
-        parts = batch.sparkSession.read.parquet(before).unionByName(batch) if number else batch
-        ledger_state(parts).write.mode("overwrite").parquet(os.path.join(ledger_path, f"v{number}"))
+        parts = batch.sparkSession.read.parquet(f"{at}/v{number - 1}").unionByName(batch) if number else batch
+        ledger_state(parts).write.mode("overwrite").parquet(f"{at}/v{number}")
 
     return findings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
@@ -39,6 +40,6 @@ def windowed_counts(findings: DataFrame, width: str = "1 hour", late: str = "2 h
 
 
 def read(spark: SparkSession, ledger_path: str) -> DataFrame:
-    """The newest version of the ledger."""
-    newest = max(int(n[1:]) for n in os.listdir(ledger_path) if n.startswith("v"))
-    return spark.read.parquet(os.path.join(ledger_path, f"v{newest}"))
+    """The newest version of the ledger, in a folder or under a URI."""
+    newest = max(int(n[1:]) for n in names(ledger_path) if n.startswith("v"))
+    return spark.read.parquet(f"{ledger_path.rstrip('/')}/v{newest}")
