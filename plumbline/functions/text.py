@@ -1,17 +1,24 @@
 """Lines, fences and claims of Markdown documents as DataFrame transformations.
 
 A document is a row (doc_path, text); its lines are rows (doc_path, line_no, line,
-fenced). Everything here is built-in column expressions.
+fenced, historical). What a line takes from those before it is found in one Arrow pass
+over whole documents, before they are split into rows, so nothing is shuffled or sorted
+and a long document is no hot partition; all else is built-in column expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TICK = "`([^`]+)`"
-NAME = "[_a-zA-Z]" + "[_0-9a-zA-Z]*"
-CAPITALS = "[A-Z]" + "[_0-9A-Z]*"
+NAME = "[_a-zA-Z][_0-9a-zA-Z]*"
+CAPITALS = "[A-Z][_0-9A-Z]*"
 
 PATH_EXTENSIONS = tuple(
     """adoc bash bat c cc cfg cjs clj cmd conf cpp cs css csv cxx dart dot env erl ex exs fish fs gemspec go gql gradle
@@ -44,26 +51,73 @@ SYSTEM_VARIABLES = tuple(
     PAGER PATH PWD SHELL SHLVL TEMP TERM TMP TMPDIR UID USER VISUAL""".split()
 )
 PLACEHOLDERS = ("BAR", "BAZ", "CHANGEME", "FOO", "PLACEHOLDER")
-WORD = "[_a-zA-Z]" + "[_0-9a-zA-Z]+"
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_path, line_no from 1, line): split at line feeds, without a trailing carriage return or an empty last line."""
-    parts = F.split(F.col("text"), "\n", -1)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    out = docs.where("text IS NOT NULL").select("doc_path", F.posexplode(kept).alias("pos", "raw"))
-    return out.select("doc_path", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("line"))
+WORD = "[_a-zA-Z][_0-9a-zA-Z]+"
 
 
 def is_fence(line: Column) -> Column:
     return F.ltrim(line).startswith("```") | F.ltrim(line).startswith("~~~")
 
 
-def fenced(doc_lines: DataFrame) -> DataFrame:
-    """Adds ``fenced``: the line opens or closes a fence, or lies behind an odd number of such lines."""
-    order = Window.partitionBy("doc_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = F.sum(is_fence(F.col("line")).cast("int")).over(order)
-    return doc_lines.withColumn("fenced", is_fence(F.col("line")) | (marks % 2 == 1))
+def split_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lines of all texts, one after the other, and where those of each begin and the last end.
+
+    Split at line feeds, without a trailing carriage return or an empty last line.
+    """
+    lists = pc.split_pattern(texts.cast(pa.large_string()), "\n")
+    edges = np.asarray(lists.offsets, np.int64)
+    flat = lists.flatten()
+    edges = edges - edges[0]
+    size = np.diff(edges)
+    last = edges[1:] - 1
+    drop = last[size > 0][pc.equal(flat.take(pa.array(last[size > 0])), "").to_numpy(zero_copy_only=False)]
+    keep = np.ones(len(flat), bool)
+    keep[drop] = False
+    flat = pc.replace_substring_regex(flat.filter(pa.array(keep)), "\r$", "")
+    return flat, np.concatenate([[0], np.cumsum(keep)])[edges]
+
+
+def running(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many flags are set in the same text up to each line, this one included."""
+    sums = np.cumsum(flags)
+    return sums - np.repeat(np.concatenate([[0], sums])[edges[:-1]], np.diff(edges))
+
+
+def marks(flat: pa.Array, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines open or close a fence, and which are such lines or lie inside a fence."""
+    bare = pc.utf8_ltrim_whitespace(flat)
+    fence = pc.or_(pc.starts_with(bare, "```"), pc.starts_with(bare, "~~~")).to_numpy(zero_copy_only=False)
+    return fence, fence | (running(fence, edges) % 2 == 1)
+
+
+LINES = "doc_path string, line_no int, line string, fenced boolean, historical boolean"
+
+
+def doc_lines(docs: DataFrame) -> DataFrame:
+    """The lines (LINES) of documents (doc_path, text); a null text has none.
+
+    ``fenced``: the line opens or closes a fence, or lies behind an odd number of such
+    lines. ``historical``: this line or one of the LOOK_BACK before it puts things into
+    the past.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat, edges = split_lines(part.column(1))
+                n = np.diff(edges)
+                number = np.arange(len(flat)) - np.repeat(edges[:-1], n)
+                _, inside = marks(flat, edges)
+                cue = pc.match_substring_regex(pc.replace_substring_regex(flat, "`[^`]*`", " "), PAST_CUE).to_numpy(zero_copy_only=False)
+                seen = np.concatenate([[0], np.cumsum(cue)])
+                here = np.arange(1, len(flat) + 1)
+                past = seen[here] > seen[here - 1 - np.minimum(number, LOOK_BACK)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), n))), pa.array(number + 1, pa.int32()), flat.cast(pa.string()), pa.array(inside), pa.array(past)],
+                    ["doc_path", "line_no", "line", "fenced", "historical"],
+                )
+
+    return docs.where("text IS NOT NULL").select("doc_path", "text").mapInArrow(run, LINES)
 
 
 def find(doc_lines: DataFrame, pattern: str, column: str, group: int = 1) -> DataFrame:
@@ -78,13 +132,10 @@ def looks_like_path(token: Column) -> Column:
 
 
 def path_claims(doc_lines: DataFrame) -> DataFrame:
-    """(doc_path, line_no, raw, historical, table_row) of the back-quoted paths outside fences; takes fenced lines."""
-    recent = Window.partitionBy("doc_path").orderBy("line_no").rowsBetween(-LOOK_BACK, Window.currentRow)
-    cue = F.regexp_replace("line", "`[^`]*`", " ").rlike(PAST_CUE)
-    marked = doc_lines.withColumn("historical", F.max(cue.cast("int")).over(recent) == 1)
+    """(doc_path, line_no, raw, historical, table_row) of the back-quoted paths outside fences; takes marked lines."""
     raw = F.col("raw")
     outside = ~(raw.contains("://") | raw.startswith("*") | raw.endswith("/*") | raw.startswith("/") | raw.startswith("../"))
-    found = find(marked.where("NOT fenced"), PATH_TOKEN, "raw").where(outside & looks_like_path(raw))
+    found = find(doc_lines.where("NOT fenced"), PATH_TOKEN, "raw").where(outside & looks_like_path(raw))
     return found.select("doc_path", "line_no", "raw", "historical", F.col("line").contains("|").alias("table_row"))
 
 
@@ -221,19 +272,37 @@ def words(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).alias("term")).distinct()
 
 
-def logical_lines(doc_lines: DataFrame) -> DataFrame:
-    """(doc_path, start_line, text): list items and paragraphs with their soft wraps folded; takes fenced lines."""
-    line = F.col("line")
-    bare = F.trim(line)
-    stop = F.col("fenced") | (bare == "") | bare.startswith("#") | bare.startswith("|")
-    item = bare.rlike(r"^([-*>]|[0-9]+[.)])")
-    by = Window.partitionBy("doc_path").orderBy("line_no")
-    run = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = doc_lines.select("doc_path", "line_no", bare.alias("bare"), stop.alias("stop"), item.alias("item"))
-    begins = F.col("stop") | F.col("item") | F.coalesce(F.lag("stop").over(by), F.lit(True))
-    blocks = marked.withColumn("block", F.sum(begins.cast("int")).over(run)).where("NOT stop")
-    folded = blocks.groupBy("doc_path", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "bare"))).alias("parts"))
-    return folded.select("doc_path", F.col("parts")[0]["line_no"].alias("start_line"), F.array_join(F.col("parts.bare"), " ").alias("text"))
+_ITEM = r"^([-*>]|[0-9]+[.)])"
+
+
+def logical_lines(docs: DataFrame) -> DataFrame:
+    """(doc_path, start_line, text) of documents (doc_path, text): list items and paragraphs with their soft wraps folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat, edges = split_lines(part.column(1))
+                n = np.diff(edges)
+                first = np.zeros(len(flat) + 1, bool)
+                first[edges[:-1][n > 0]] = True
+                bare = pc.utf8_trim_whitespace(flat)
+                stop = marks(flat, edges)[1]
+                for found in (pc.equal(bare, ""), pc.starts_with(bare, "#"), pc.starts_with(bare, "|")):
+                    stop = stop | found.to_numpy(zero_copy_only=False)
+                item = pc.match_substring_regex(bare, _ITEM).to_numpy(zero_copy_only=False)
+                begins = ~stop & (item | first[:-1] | np.concatenate([[True], stop[:-1]]))
+                # Lines that don't stop belong to the block that began last.
+                live = np.flatnonzero(~stop)
+                start = np.flatnonzero(begins)
+                size = np.diff(np.append(np.searchsorted(live, start), len(live)))
+                said = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), bare.take(pa.array(live)).cast(pa.string()))
+                doc = np.searchsorted(edges, start, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(doc)), pa.array(start - edges[doc] + 1, pa.int32()), pc.binary_join(said, " ")], ["doc_path", "start_line", "text"]
+                )
+
+    return docs.where("text IS NOT NULL").select("doc_path", "text").mapInArrow(run, "doc_path string, start_line int, text string")
 
 
 DANGLING = tuple("a an and as at but by for from if in into of on or than that the then to via when where which while with".split())

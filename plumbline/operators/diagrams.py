@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.lineage import cut
@@ -17,26 +17,57 @@ _LABELLED = re.compile(r"([^\W\d][-\w]*)\s*[\[({]+\s*([^\])}]+?)\s*[\])}]+")
 _BRACKETS = re.compile(r"[\[({]+[^\])}]*[\])}]+")
 _NODE = re.compile(r"\s*([\w-]+)")
 _ID = r"([^\W\d]\w*)"
-_SPACE = r"\s*"
 _SENT = r"(?:\.\.>|-{1,2}(?:>{1,2}|x|\)))"
-_MESSAGE = re.compile("^" + _SPACE.join([_ID, _SENT, _ID, ":", "(.+)$"]))
+_MESSAGE = re.compile(rf"^{_ID}\s*{_SENT}\s*{_ID}\s*:\s*(.+)$")
+_CALLED = re.compile(r"\s*([^\W\d]\w*)")
+_PARTY = re.compile(r'^(?:participant|actor)\s+("?[^"\n]+?"?)(?:\s+as\s+([^\W\d]\w*))?$')
+#: Words that begin a line of control flow or style, which is no message.
+_CONTROL = "activate alt and autonumber box deactivate else end loop note opt par rect skinparam title".split()
+_NOISE = re.compile(rf"^(?:'|%%|(?:{'|'.join(_CONTROL)}|@start|@end)(?![^\W_]))", re.I)
 _SUFFIX = re.compile(r"\.(cjs|java|js|jsx|mjs|py|pyi|rs|ts|tsx)$")
 TAGS = {"mermaid": "mermaid", "plantuml": "plantuml", "puml": "plantuml", "uml": "plantuml", "dot": "dot", "graphviz": "dot"}
 
 
-def sources(doc_lines: DataFrame) -> DataFrame:
-    """(doc_path, start_line, format, body) of the back-quoted fences tagged as diagrams; one without an end is dropped."""
-    mark = F.ltrim("line").startswith("```")
-    run = Window.partitionBy("doc_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = doc_lines.withColumn("__mark", mark).withColumn("__n", F.sum(mark.cast("int")).over(run)).where("__n % 2 = 1 OR __mark")
-    block = F.when(F.col("__n") % 2 == 1, F.col("__n")).otherwise(F.col("__n") - 1)
-    grouped = n.groupBy("doc_path", block.alias("__block")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "__mark"))).alias("rows"))
-    tag = F.lower(F.regexp_extract(F.col("rows")[0]["line"], r"^\s*```+\s*(\w+)", 1))
-    format_ = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
-    closed = (F.size("rows") > 1) & F.element_at("rows", -1)["__mark"]
-    body = F.array_join(F.transform(F.slice("rows", 2, F.size("rows") - 2), lambda r: r["line"]), "\n")
-    out = grouped.where(closed).withColumn("format", F.try_element_at(format_, tag)).where("format IS NOT NULL")
-    return out.select("doc_path", F.col("rows")[0]["line_no"].alias("start_line"), "format", body.alias("body"))
+SOURCES = "doc_path string, start_line int, format string, body string"
+
+
+def sources_of(text: str) -> Iterator[tuple[int, str, str]]:
+    """(line, format, body) of the diagrams in a document: back-quoted fences whose whole tag names a format, and
+    bare PlantUML outside fences. What has no end is no diagram."""
+    fence: tuple[str | None, int, list[str]] | None = None
+    uml: tuple[int, list[str]] | None = None
+    for number, line in enumerate(text.split("\n"), 1):
+        line = line.removesuffix("\r")
+        bare = line.lstrip()
+        if fence is not None:
+            if not bare.startswith("```"):
+                fence[2].append(line)
+                continue
+            if fence[0]:
+                yield fence[1], fence[0], "\n".join(fence[2])
+            fence = None
+        elif bare.startswith("```"):
+            fence = TAGS.get(bare[3:].strip().lower()), number, []
+        elif uml is not None:
+            uml[1].append(line)
+            if bare.startswith("@enduml"):
+                yield uml[0], "plantuml", "\n".join(uml[1])
+                uml = None
+        elif bare.startswith("@startuml"):
+            uml = number, [line]
+
+
+def sources(docs: DataFrame) -> DataFrame:
+    """(doc_path, start_line, format, body) of the diagrams in documents (doc_path, text); no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, *found) for path, text in zip(*(c.to_pylist() for c in batch.columns)) for found in sources_of(text)]
+            types = (pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_path", "start_line", "format", "body"])
+
+    marked = F.col("text").contains("```") | F.col("text").contains("@startuml")
+    return docs.where(marked).select("doc_path", "text").mapInArrow(run, SOURCES)
 
 
 def _chain(statement: str, labels: dict[str, str], arrow: re.Pattern = _ARROW) -> list[tuple[str, str, bool]]:
@@ -87,28 +118,57 @@ def parse_dot(body: str) -> tuple[dict[str, str], list[tuple[str, str, bool]]] |
     return labels, edges
 
 
+def _looks_like_sequence(rows: list[str]) -> bool:
+    return any(x.startswith(("participant", "actor")) or ("->" in x and ":" in x) for x in rows)
+
+
 def parse_plantuml(body: str) -> tuple[dict[str, str], list[tuple[str, str, bool]]] | None:
-    """Labels and edges of a component diagram, one edge a line; None for a sequence."""
+    """Labels and edges of a component diagram, one edge a line; None for a sequence, or where nothing is drawn."""
     rows = [x.strip() for x in body.split("\n")]
-    if any(re.match(r"(participant|actor)\b", x) or _MESSAGE.match(x) for x in rows):
+    if _looks_like_sequence(rows):
         return None
     labels: dict[str, str] = {}
     edges: list[tuple[str, str, bool]] = []
-    ref = r"(?:\[([^\]]+)\]|([^\W\d][-./\w]*))"
+    ref = r"(\[[^\]]+\]|[^\W\d]\w*)"
+    name = lambda x: x.strip().strip('[]"').strip()
     for x in rows:
-        if d := re.match(r'(?:component|package|node|database|rectangle|folder)\s+(?:"([^"]+)"|\[([^\]]+)\]|([\w./-]+))(?:\s+as\s+(\w+))?', x):
-            label = d[1] or d[2] or d[3]
-            labels[d[4] or label] = label
-        elif d := re.match(r"\[([^\]]+)\]\s+as\s+(\w+)", x):
-            labels[d[2]] = d[1]
-        elif e := re.match(rf"{ref}\s*(<?[-.]+(?:\w+[-.]+)?>?)\s*{ref}", x):
-            a, b = e[1] or e[2], e[4] or e[5]
+        if not x or x.startswith(("'", "@", "skinparam", "title")):
+            continue
+        if d := re.search(r'(?:component|interface|node|\[)\s*("?[^"\]]+"?)\]?\s+as\s+([^\W\d]\w*)', x):
+            labels[d[2]] = name(d[1])
+        elif d := re.match(r'(?:component|interface|node)\s+("?[^"\n]+?"?)$|\[([^\]]+)\]$', x):
+            label = name(d[1] or d[2])
+            labels[label] = label
+        elif e := re.search(rf"{ref}\s*([-.]{{2,}}>?|[-.]+>)\s*{ref}", x):
+            a, b = name(e[1]), name(e[3])
             labels.setdefault(a, a)
             labels.setdefault(b, b)
-            edges.append((b, a, True) if e[3].startswith("<") and not e[3].endswith(">") else (a, b, ">" in e[3]))
+            edges.append((a, b, ">" in e[2]))
     return (labels, edges) if edges or labels else None
 
 
+def parse_sequence(format_: str, body: str) -> tuple[list[str], list[tuple[str, str, str]]] | None:
+    """Participants in order of appearance and messages (from, to, call); None where no message is drawn.
+
+    The call is the first name of a label, or the whole label where it begins with none.
+    """
+    rows = [x.strip() for x in body.split("\n")]
+    if format_ == "dot" or (format_ == "mermaid" and _header(rows) != "sequenceDiagram") or (format_ == "plantuml" and not _looks_like_sequence(rows)):
+        return None
+    parties: dict[str, None] = {}
+    messages = []
+    for x in rows:
+        if not x or _NOISE.match(x):
+            continue
+        if p := _PARTY.match(x):
+            parties[(p[2] or p[1]).strip('"').strip()] = None
+        elif m := _MESSAGE.match(x):
+            parties |= {m[1]: None, m[2]: None}
+            called = _CALLED.match(m[3])
+            messages.append((m[1], m[2], called[1] if called else m[3].strip()))
+    return (list(parties), messages) if messages else None
+
+
 PARSERS = {"mermaid": parse_mermaid, "dot": parse_dot, "plantuml": parse_plantuml}
 EDGES = "doc_path string, start_line int, pos int, src string, dst string, directed boolean"
 NODES = "doc_path string, start_line int, pos int, node string, label string"
@@ -139,14 +199,28 @@ def nodes(found: DataFrame) -> DataFrame:
     return _parsed(found, NODES, lambda g: list(g[0].items()))
 
 
-def messages(doc_lines: DataFrame) -> DataFrame:
-    """(doc_path, step, src, dst, call) of sequence-diagram messages among the lines; the call is the label's first name."""
-    parts = F.regexp_extract_all(F.trim("line"), F.lit(_MESSAGE.pattern), F.lit(0))
-    hit = doc_lines.where(F.size(parts) > 0)
-    part = lambda g: F.regexp_extract(F.trim("line"), _MESSAGE.pattern, g)
-    call = F.regexp_extract(part(3), r"^\s*([^\W\d]\w*)", 1)
-    order = Window.partitionBy("doc_path").orderBy("line_no")
-    return hit.select("doc_path", F.row_number().over(order).alias("step"), part(1).alias("src"), part(2).alias("dst"), call.alias("call")).where("call <> ''")
+def kind_of(format_: str, body: str) -> str:
+    """What a diagram is read as: a graph, else a sequence, else declarations of classes, states or entities."""
+    if PARSERS[format_](body):
+        return "graph"
+    return "sequence" if parse_sequence(format_, body) else "declarations"
+
+
+def sequences(found: DataFrame) -> DataFrame:
+    """(doc_path, start_line, step, src, dst, call) of the messages of the diagrams that are sequences."""
+    schema = "doc_path string, start_line int, step int, src string, dst string, call string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if kind_of(r["format"], r["body"]) == "sequence":
+                    rows += [(r["doc_path"], r["start_line"], i, *m) for i, m in enumerate(parse_sequence(r["format"], r["body"])[1], 1)]
+            types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    return found.select("doc_path", F.col("start_line").cast("int"), "format", "body").mapInArrow(run, schema)
 
 
 def grounded_label(label) -> F.Column:
@@ -274,9 +348,9 @@ def ground_states(states: DataFrame, members: DataFrame) -> DataFrame:
 
 _CLASS = re.compile(r'^(?:abstract\s+)?(?:class|interface|enum)\s+("[^"]+"|[^\W\d]\w*)')
 _METHOD = re.compile(r"([^\W\d]\w*)\s*\(")
-_INLINE = re.compile("^" + _SPACE.join([_ID, ":", "(.+)$"]))
+_INLINE = re.compile(rf"^{_ID}\s*:\s*(.+)$")
 _POINT = r"([^\W\d]\w*|\[[*]\])"
-_TRANSITION = re.compile("^" + _SPACE.join([_POINT, "-->", _POINT]))
+_TRANSITION = re.compile(rf"^{_POINT}\s*-->\s*{_POINT}")
 _STATE = re.compile(r'^state\s+(?:"[^"]*"\s+as\s+)?([^\W\d]\w*)')
 _RELATION = re.compile(r"^([^\W\d][-\w]*)\s+[|}o]{1,2}(?:--|\.\.)[|{o]{1,2}\s+([^\W\d][-\w]*)")
 
@@ -348,12 +422,15 @@ DECLARATIONS = {"class": parse_classes, "state": parse_states, "entity": parse_e
 
 
 def declarations(found: DataFrame, kind: str) -> DataFrame:
-    """(origin, pos, owner, item) of the diagrams of ``kind``: class, state or entity."""
+    """(origin, pos, owner, item) of the diagrams of ``kind``: class, state or entity, and no graph or sequence."""
     parse = DECLARATIONS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(f"{r['doc_path']}:{r['start_line']}", i, *x) for r in batch.to_pylist() for i, x in enumerate(parse(r["format"], r["body"]))]
+            rows = []
+            for r in batch.to_pylist():
+                if kind_of(r["format"], r["body"]) == "declarations":
+                    rows += [(f"{r['doc_path']}:{r['start_line']}", i, *x) for i, x in enumerate(parse(r["format"], r["body"]))]
             types = (pa.string(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["origin", "pos", "owner", "item"])
 
