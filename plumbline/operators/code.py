@@ -25,13 +25,45 @@ _TYPES = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa
 
 _RUST = re.compile(r"^\s*(pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|unsafe\s+|const\s+(?=fn)|extern\s+\"[^\"]*\"\s+)*(fn|struct|enum|trait|mod|const|static|type|macro_rules!)\s+(?:mut\s+)?([^\W\d]\w*)")
 _JS = re.compile(r"^\s*(export\s+(?:default\s+)?)?(?:declare\s+|abstract\s+|async\s+)*(function\*?|class|interface|enum|type|const|let|var)\s+([A-Za-z_$][\w$]*)")
+_HOLDS_FUNCTION = re.compile(r"=\s*(?:async\s+)?(?:function\b|\([^=]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)")
 _JAVA = re.compile(r"^\s*((?:public|protected|private|static|final|abstract|default|synchronized|native)\s+)*(class|interface|enum|record|@interface)\s+([^\W\d]\w*)")
 _JAVA_METHOD = re.compile(r"^\s*((?:(?:public|protected|private|static|final|abstract|default|synchronized|native)\s+)*)(?:<[^>]+>\s+)?([\w<>\[\],.? ]+?)\s+([^\W\d]\w*)\s*\([^;{]*\)\s*(?:throws [\w, .]+)?[{;]")
 _KINDS = {"fn": "function", "function": "function", "function*": "function", "struct": "struct", "enum": "enum", "trait": "trait", "mod": "module", "const": "const", "static": "const", "type": "type", "class": "class", "interface": "interface", "record": "class", "@interface": "interface", "let": "const", "var": "const", "macro_rules!": "macro"}
 _CALL = re.compile(r"\b([^\W\d]\w*)\s*\(")
 _NO_CALL = {"if", "for", "while", "switch", "match", "return", "catch", "fn", "function", "new", "super", "sizeof", "loop", "await", "typeof", "def", "class"}
 _LITERAL = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\b[0-9][_0-9]*(?:[.][0-9]+)?\w*\b|\btrue\b|\bfalse\b|\bTrue\b|\bFalse\b")
-_CONDITION = re.compile(r"\b(?:if|while)\s*\(?(.+?)\)?\s*\{")
+_KEYWORD = re.compile(r"\b(?:if|while|switch|match)\b")
+_TERNARY = re.compile(r"(?:=|\breturn\b|[(,])\s*([^=(){},;?\n]+?)\s*\?(?![?.])[^:;\n]+:")
+#: The opening of an element of a component, whose name begins with a capital.
+_ELEMENT = re.compile(r"(?<![\w$)\]])<([A-Z]\w*)(?=[\s/>])")
+
+
+def _balanced(code: str, start: int) -> int:
+    """Where the bracket that opens at ``start`` is closed."""
+    depth = 0
+    for i in range(start, len(code)):
+        depth += {"(": 1, ")": -1}.get(code[i], 0)
+        if not depth:
+            return i
+    return len(code)
+
+
+def conditions(code: str, language: str) -> list[str]:
+    """What the branches, loops, switches and matches of the code test; of ternaries too where a language has them."""
+    out = []
+    for m in _KEYWORD.finditer(code):
+        rest = code[m.end() :]
+        if language == "rust":
+            said = rest[: rest.find("{")] if "{" in rest else ""
+        elif rest.lstrip().startswith("("):
+            start = m.end() + rest.index("(")
+            said = code[start + 1 : _balanced(code, start)]
+        else:
+            continue
+        out.append(said)
+    if language != "rust":
+        out += _TERNARY.findall(code)
+    return sorted({" ".join(x.split()) for x in out if x.strip()})
 
 
 def _python(text: str, module: str) -> tuple[list[dict], list[tuple[str, str]]]:
@@ -50,7 +82,7 @@ def _python(text: str, module: str) -> tuple[list[dict], list[tuple[str, str]]]:
                 continue  # nested definitions own their facts
             if isinstance(n, ast.Constant) and n.value is not None and n.value is not Ellipsis:
                 constants.add(f'"{n.value}"' if isinstance(n.value, str) else repr(n.value))
-            if isinstance(n, (ast.If, ast.While, ast.IfExp, ast.Assert)):
+            if isinstance(n, (ast.If, ast.While)):
                 predicates.add(" ".join(ast.unparse(n.test).split()))
             if isinstance(n, ast.Call):
                 name = n.func.id if isinstance(n.func, ast.Name) else n.func.attr if isinstance(n.func, ast.Attribute) else None
@@ -102,7 +134,9 @@ def _braced(text: str, module: str, language: str) -> tuple[list[dict], list[tup
                 hit = ("method", m[3], "public" if "public" in m[1] else "private" if "private" in m[1] else "internal")
         else:
             m = _JS.match(line)
-            hit = m and (m[2], m[3], "public" if m[1] else "internal")
+            # A variable inside a body is no definition unless it holds a function.
+            local = m and m[2] in ("const", "let", "var") and line[:1].isspace() and not _HOLDS_FUNCTION.search(line)
+            hit = m and not local and (m[2], m[3], "public" if m[1] else "internal")
         if not hit:
             continue
         depth, end, opened = 0, i, False
@@ -114,14 +148,24 @@ def _braced(text: str, module: str, language: str) -> tuple[list[dict], list[tup
                 break
         found.append((i, end, hit))
     out, refs = [], []
-    for i, end, (word, name, visibility) in found:
-        nested = {k for a, b, _ in found if i < a and b <= end for k in range(a, b + 1)}
-        own = [k for k in range(i, end + 1) if k not in nested]
+    # Each line belongs to the innermost definition around it: that which begins last.
+    owner = [-1] * len(lines)
+    for at, (i, end, _) in enumerate(found):
+        owner[i : end + 1] = [at] * (end + 1 - i)
+    owned: list[list[int]] = [[] for _ in found]
+    for k, at in enumerate(owner):
+        if at >= 0:
+            owned[at].append(k)
+    elements = language in ("javascript", "tsx")
+    for own, (i, end, (word, name, visibility)) in zip(owned, found):
         code = [lines[k] for k in own]
         head = lines[i].strip().rstrip("{").strip()
-        calls = [c for k, t in enumerate(code) for c in _CALL.findall(t) if c not in _NO_CALL and not (k == 0 and c == name)]
+        calls = []
+        for k, t in enumerate(code):
+            sites = [(m.start(1), m[1]) for m in _CALL.finditer(t)] + ([(m.start(1), m[1]) for m in _ELEMENT.finditer(t)] if elements else [])
+            calls += [c for _, c in sorted(sites) if c not in _NO_CALL and not (k == 0 and c == name)]
         literals = sorted({x for t in code for x in _LITERAL.findall(re.sub(r"//.*", "", t))})
-        predicates = sorted({" ".join(p.split()) for t in code for p in _CONDITION.findall(t)})
+        predicates = conditions("\n".join(code), language)
         kind = _KINDS.get(word, word)
         members = [m[1] for k in own[1:] if (m := re.match(r"^\s*([A-Z]\w*)\s*(?:[,({=;]|$)", lines[k]))] if kind == "enum" else []
         above = []
@@ -166,25 +210,28 @@ def references(texts: DataFrame) -> DataFrame:
     return _rows(texts, REFERENCES, lambda x: sorted(set(_extract(x)[1]))).distinct()
 
 
-IMPORTS = {
-    "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)|^\s*(?:pub\s+)?mod\s+(\w+)\s*;",
-    "python": r"^\s*from\s+([\w.]+)\s+import\b|^\s*import\s+([\w.]+)",
-    "java": r"^\s*import\s+(?:static\s+)?([\w.]+)",
-    "javascript": r"""(?:\bfrom\s+|\bimport\s+|\brequire\(\s*|\bimport\(\s*)["']([^"']+)["']""",
-}
+_IMPORTED = r"[\w.]+(?:\s+as\s+\w+)?"
 
 
 def imports(texts: DataFrame) -> DataFrame:
-    """Distinct (from_module, language, raw) of the import statements."""
-    rows = texts.select("module", "language", F.explode(F.split("text", "\r?\n")).alias("line"))
-    out = None
-    for name, pattern in IMPORTS.items():
-        own = rows.where(F.col("language").isin("javascript", "typescript", "tsx") if name == "javascript" else F.col("language") == name)
-        groups = [F.regexp_extract("line", pattern, g + 1) for g in range(pattern.count("(") - pattern.count("(?") - pattern.count(r"\("))]
-        raw = F.coalesce(*[F.nullif(g, F.lit("")) for g in groups])
-        part = own.select(F.col("module").alias("from_module"), "language", F.regexp_replace(raw, ":+$", "").alias("raw")).where("raw IS NOT NULL")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    """Distinct (from_module, language, raw) of the import statements, over as many lines as they take.
+
+    Of a Rust group the whole is the path, whose last part names several things.
+    """
+
+    def every(pattern: str) -> Column:
+        return F.regexp_extract_all("text", F.lit("(?m)" + pattern), 1)
+
+    listed = F.flatten(F.transform(every(rf"^[ \t]*import[ \t]+({_IMPORTED}(?:[ \t]*,[ \t]*{_IMPORTED})*)"), lambda m: F.split(m, r"\s*,\s*")))
+    plain = F.transform(listed, lambda m: F.regexp_extract(m, r"^([\w.]+)", 1))
+    found = (
+        F.when(F.col("language") == "rust", every(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);"))
+        .when(F.col("language") == "python", F.concat(every(r"^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b"), plain))
+        .when(F.col("language") == "java", every(r"^[ \t]*import\s+(?:static\s+)?([\w.]+)"))
+        .when(F.col("language").isin("javascript", "typescript", "tsx"), every(r"""(?:\bfrom\s+|\bimport\s+|\brequire\(\s*|\bimport\(\s*)["']([^"']+)["']"""))
+    )
+    out = texts.select(F.col("module").alias("from_module"), "language", F.explode(found).alias("raw"))
+    return out.withColumn("raw", F.regexp_replace("raw", r"\s+", " ")).where("raw <> ''").distinct()
 
 
 def _join(segments: Column) -> Column:

@@ -69,11 +69,12 @@ def gate(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def merged_facts(facts: DataFrame) -> DataFrame:
-    """One row for each claim id: lists joined, sorted and without repeats; the first known signature by ``pos``."""
+    """One row for each claim id: lists joined, sorted and without repeats; the first known signature and return by ``pos``."""
     return facts.groupBy("id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("constants")))).alias("constants"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("predicates")))).alias("predicates"),
         F.min_by("signature", F.when(F.col("signature").isNotNull(), F.col("pos"))).alias("signature"),
+        F.min_by("return_shape", F.when(F.col("return_shape").isNotNull(), F.col("pos"))).alias("return_shape"),
     )
 
 

@@ -34,10 +34,12 @@ def coupled(commit_files: DataFrame, shared: int = 1) -> DataFrame:
     code = files.where(~is_document(F.col("path"))).select("commit_idx", F.col("path").alias("code"))
     pairs = docs.join(code, "commit_idx").groupBy("doc", "code").agg(F.count(F.lit(1)).alias("cochange")).where(F.col("cochange") >= shared)
     newest = docs.groupBy("doc").agg(F.min("commit_idx").alias("last_doc"))
-    # Each code file's commits in one sorted row, so the later count needs no second pass over pairs x commits.
-    history = code.groupBy("code").agg(F.collect_list("commit_idx").alias("at"))
-    later = F.size(F.filter("at", lambda i: i < F.col("last_doc"))).cast("long")
-    return pairs.join(newest, "doc").join(history, "code").select("doc", "code", "cochange", later.alias("churn_after"))
+    # An as-of count: in one order of a file's commits and its pairs' last commits, the commits that come before.
+    asked = pairs.join(newest, "doc").select("code", F.col("last_doc").alias("at"), F.lit(0).alias("is_commit"), "doc", "cochange")
+    made = code.select("code", F.col("commit_idx").alias("at"), F.lit(1).alias("is_commit"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("long").alias("cochange"))
+    before = Window.partitionBy("code").orderBy("at", "is_commit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asked.unionByName(made).withColumn("churn_after", F.sum("is_commit").over(before))
+    return both.where("is_commit = 0").select("doc", "code", "cochange", "churn_after")
 
 
 def stale_documents(commit_files: DataFrame, shared: int = LEAST_SHARED, churned: int = LEAST_CHURN) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import dot, unit
-
 STOPWORDS = tuple(
     """all and any are but can code doc docs does for from has have into its may must not only per should that the then this
     use used uses via was when will with would you""".split()
@@ -52,14 +53,73 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+#: Vectors that are multiplied at once.
+BLOCK = 4096
+
+
+def _blocks(vectors: DataFrame, name: str) -> DataFrame:
+    """(ids, vecs): up to BLOCK rows (name, vec) packed into one, the vectors at length 1, as bytes; nulls are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary())], ["ids", "vecs"])
+
+    kind = vectors.schema[name].dataType.simpleString()
+    return vectors.where("vec IS NOT NULL").select(name, "vec").mapInArrow(run, f"ids array<{kind}>, vecs binary")
+
+
 def cosine(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): the k entries (id, vec) nearest to each query (query_id, vec), exactly.
 
-    Every pair is scored; the per-query limit is applied before the shuffle.
+    All entries are scored, a block of queries against a block of entries by one matrix
+    product; a block hands on the k best of each query, by score to 9 places and id. A
+    vector of zeros has score 0 with all, a null one is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, e = batch.column(0)[i].values, batch.column(2)[i].values
+                a = np.frombuffer(batch.column(1)[i].as_py()).reshape(len(q), -1)
+                b = np.frombuffer(batch.column(3)[i].as_py()).reshape(len(e), -1)
+                by_id = pc.sort_indices(e).to_numpy()
+                e, b = e.take(pa.array(by_id)), b[by_id]
+                for at in range(0, len(q), 256):
+                    score = a[at : at + 256] @ b.T
+                    best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+                    rows = np.repeat(np.arange(len(score)), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(at + rows)), e.take(pa.array(best.ravel())), pa.array(score[rows, best.ravel()])], ["query_id", "id", "score"])
+
+    both = _blocks(queries, "query_id").toDF("q_ids", "q_vecs").crossJoin(_blocks(entries, "id").toDF("e_ids", "e_vecs"))  # of blocks
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (entries, "id"))]
+    return top(both.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double"), k)
+
+
+def nearest(queries: DataFrame, entries: DataFrame, k: int, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``cosine``, or with a reranker the k best of four times as many by what it gives: pairs (query_id, id, score) to such pairs."""
+    if rerank is None:
+        return cosine(queries, entries, k)
+    return top(rerank(cosine(queries, entries, 4 * k).select("query_id", "id", "score")).select("query_id", "id", "score"), k)
+
+
+def embedded(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None, model: str = "") -> DataFrame:
+    """(model, key, vec) of each distinct text (text): from the cache of this model where it is known, else by ``embed``.
+
+    The key is a hash of the text. ``embed`` turns (key, text) into (key, vec); it is the
+    caller's, such as an Arrow function over a session. A cache (model, key, vec) of other
+    models is of no use and no harm.
     """
-    q = queries.select("query_id", unit(F.col("vec")).alias("a"))
-    e = entries.select("id", unit(F.col("vec")).alias("b"))
-    return top(q.crossJoin(e).select("query_id", "id", dot(F.col("a"), F.col("b")).alias("score")), k)
+    asked = texts.where("text IS NOT NULL").select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+    if cache is None:
+        return embed(asked).select(F.lit(model).alias("model"), "key", "vec")
+    known = cache.where(F.col("model") == model).select("model", "key", "vec").join(asked.select("key"), "key", "left_semi").select("model", "key", "vec")
+    new = embed(asked.join(known.select("key"), "key", "left_anti")).select(F.lit(model).alias("model"), "key", "vec")
+    return known.unionByName(new)
 
 
 def chunks(files: DataFrame, size: int = CHUNK_LINES, step: int = CHUNK_STEP) -> DataFrame:
@@ -86,11 +146,15 @@ def decide(scores: DataFrame, threshold: float = 0.5, margin: float = 0.15) -> D
 
 
 def judge(claims: DataFrame, evidence: DataFrame, scorer: Callable[[DataFrame], DataFrame], cap: int = 300) -> DataFrame:
-    """Verdicts of the first ``cap`` claims (claim_id, text) in order of id; scorer turns (claim_id, text, evidence) into scores.
+    """(claim_id, text, best_entail, best_contra, verdict) of the first ``cap`` claims (claim_id, path, line_no, text) in
+    order of document and line; scorer turns (claim_id, text, evidence) into scores.
 
     ``cap`` of 0 means all. The model is the caller's: any DataFrame function, such as an Arrow UDF over a session.
     """
-    some = claims.orderBy("claim_id").limit(cap) if cap else claims
-    pairs = some.join(evidence.select("claim_id", F.col("text").alias("evidence")), "claim_id")
+    some = claims.orderBy("path", "line_no", "claim_id").limit(cap) if cap else claims
+    pairs = some.join(evidence.select("claim_id", F.col("text").alias("evidence")), "claim_id").select("claim_id", "text", "evidence")
     judged = decide(scorer(pairs))
-    return some.join(judged, "claim_id", "left").select("claim_id", "text", F.coalesce("verdict", F.lit("unverifiable")).alias("verdict"))
+    none = F.lit(0).cast("float")
+    return some.join(judged, "claim_id", "left").select(
+        "claim_id", "text", F.coalesce("best_entail", none).alias("best_entail"), F.coalesce("best_contra", none).alias("best_contra"), F.coalesce("verdict", F.lit("unverifiable")).alias("verdict")
+    )
