@@ -30,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # A document for each part, the same expression in both engines.
 _K = "CAST(p_partkey AS STRING)"
+_KNOWN = " ".join([*text.SYSTEM_VARIABLES, *text.PLACEHOLDERS])
 _ROWS = [
     f"'# Part ' || {_K}",
     "CASE WHEN p_size % 17 = 0 THEN 'It was removed from the list, see `src/legacy.rs` for more.' ELSE 'It is on the list.' END",
@@ -51,6 +52,11 @@ _ROWS = [
     "'`n' || CAST(p_size % 25 AS STRING) || '` only depends on `n' || CAST(p_partkey % 25 AS STRING) || '` or `n' || CAST(p_size % 7 AS STRING) || '`.'",
     "'`n' || CAST(p_partkey % 24 AS STRING) || '` must not transitively reach `n' || CAST(p_partkey * 11 % 25 AS STRING) || '`.'",
     "'Please don''t call `eval' || CAST(p_partkey % 15 AS STRING) || '` outside `lib/n' || CAST(p_partkey % 5 AS STRING) || '`.'",
+    f"'It needs $' || split_part('{_KNOWN}', ' ', CAST(p_partkey % {len(_KNOWN.split())} + 1 AS INT)) || ' and `' || split_part('{_KNOWN}', ' ', CAST(p_size % {len(_KNOWN.split())} + 1 AS INT)) || '` or $MY_' || CAST(p_size AS STRING) || ', `A_YOUR_KEY`, `PART_' || CAST(p_size AS STRING) || '_PLACEHOLDER`.'",
+    "'`n' || CAST(p_partkey % 23 AS STRING) || '` must not be imported by `n' || CAST(p_size % 24 AS STRING) || '`.'",
+    "'The `lib/n' || CAST(p_size % 21 AS STRING) || '` package is independent of the `lib/n' || CAST(p_partkey * 13 % 25 AS STRING) || '`.'",
+    "'The `n' || CAST(p_partkey % 22 AS STRING) || '` layer has no dependencies.'",
+    "'No raw use of `os.environ' || CAST(p_size % 9 AS STRING) || '` except in `n' || CAST(p_partkey % 6 AS STRING) || '`.'",
 ]
 DOC_TEXT = " || chr(10) || ".join(f"({r})" for r in _ROWS)
 _DOC_CTE = f"docs AS (SELECT 'part_' || {_K} || '.md' AS doc_path, {DOC_TEXT} AS text FROM part)"
@@ -67,7 +73,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.fenced(text.lines(docs(spark, sf_dir)))
+    return text.doc_lines(docs(spark, sf_dir))
 
 
 @query(f"WITH {_LINES_CTE} SELECT doc_path, line_no, fenced, length(line)::INT AS n FROM l")
@@ -95,12 +101,12 @@ def path_claims(spark, sf_dir):
 
 
 def repo_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the parts sold in the first lines of early orders."""
-    sold = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_partkey").distinct()
-    return sold.selectExpr("explode(array('crates/core/src/p' || CAST(l_partkey AS STRING) || '.rs', 'src/q' || CAST(l_partkey % 150 AS STRING) || '.py')) AS path").distinct()
+    """Files of the parts that were sold, three parts to a file."""
+    sold = table(spark, sf_dir, "lineitem").selectExpr("l_partkey - l_partkey % 3 AS k", "l_partkey % 70 AS m").distinct()
+    return sold.selectExpr("explode(array('crates/core/src/p' || CAST(k AS STRING) || '.rs', 'src/q' || CAST(m AS STRING) || '.py')) AS path").distinct()
 
 
-_PATHS_CTE = """paths AS (SELECT DISTINCT unnest(['crates/core/src/p' || l_partkey || '.rs', 'src/q' || (l_partkey % 150) || '.py']) AS path FROM lineitem WHERE l_linenumber = 1),
+_PATHS_CTE = """paths AS (SELECT DISTINCT unnest(['crates/core/src/p' || (l_partkey - l_partkey % 3) || '.rs', 'src/q' || (l_partkey % 70) || '.py']) AS path FROM lineitem),
 needles AS (SELECT DISTINCT array_to_string(list_slice(string_split(path, '/'), i, 99), '/') AS needle FROM paths, range(1, 9) AS t(i) WHERE i <= len(string_split(path, '/')))"""
 _FINDINGS_CTE = (
     f"{_CLAIMS_CTE}, {_PATHS_CTE}"
@@ -181,7 +187,7 @@ quoted AS (SELECT doc_path, line_no, trim(unnest(regexp_extract_all(line, '`([^`
 named AS (SELECT * FROM dollar WHERE regexp_full_match(name, '{text.CAPITALS}') UNION SELECT * FROM quoted WHERE regexp_full_match(name, '[A-Z][0-9A-Z]*(_[0-9A-Z]+)+')),
 assigned AS (SELECT DISTINCT doc_path, unnest(regexp_extract_all(line, '(?:\\bexport\\s+|[&;|]|^)\\s*({text.CAPITALS})=', 1)) AS name FROM l)
 SELECT n.doc_path, n.line_no, n.name, CASE WHEN t.term IS NULL THEN 'stale' ELSE 'supported' END AS verdict FROM named n LEFT JOIN tokens t ON n.name = t.term
-WHERE n.name NOT IN ('HOME','PATH') AND NOT EXISTS (SELECT 1 FROM assigned a WHERE a.doc_path = n.doc_path AND a.name = n.name)"""
+WHERE n.name NOT IN ('{"','".join(_KNOWN.split())}') AND NOT (n.name LIKE 'MY\\_%' ESCAPE '\\' OR n.name LIKE '%YOUR%' OR n.name LIKE '%PLACEHOLDER%') AND NOT EXISTS (SELECT 1 FROM assigned a WHERE a.doc_path = n.doc_path AND a.name = n.name)"""
 )
 def env_findings(spark, sf_dir):
     return checks.check_env(text.env_variables(doc_lines(spark, sf_dir)), code_tokens(spark, sf_dir))
@@ -241,15 +247,15 @@ def constant_claims(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_CONST_CTE}, lit AS (SELECT DISTINCT CASE WHEN l_partkey % 3 = 0 THEN 'default_size_' ELSE 'SIZE_' END || l_partkey AS name, (l_quantity::BIGINT)::VARCHAR AS vkey FROM lineitem WHERE l_linenumber = 6),
+    f"""WITH {_CONST_CTE}, lit AS (SELECT DISTINCT CASE WHEN l_orderkey % 3 = 0 THEN 'default_size_' ELSE 'SIZE_' END || l_orderkey AS name, (l_quantity::BIGINT)::VARCHAR AS vkey FROM lineitem),
 keyed AS (SELECT lower(name) AS k, vkey FROM lit UNION SELECT regexp_replace(lower(name), '^default_', ''), vkey FROM lit),
 seen AS (SELECT k, list(DISTINCT vkey) AS vs FROM keyed GROUP BY k)
 SELECT doc_path, line_no, symbol, vkey, CASE WHEN list_contains(vs, vkey) THEN 'supported' ELSE 'contradicted' END AS verdict
 FROM const JOIN seen ON lower(symbol) = k WHERE list_contains(vs, vkey) OR len(vs) = 1"""
 )
 def constant_findings(spark, sf_dir):
-    lit = table(spark, sf_dir, "lineitem").where("l_linenumber = 6")
-    name = "CASE WHEN l_partkey % 3 = 0 THEN 'default_size_' ELSE 'SIZE_' END || CAST(l_partkey AS STRING) AS name"
+    lit = table(spark, sf_dir, "lineitem")
+    name = "CASE WHEN l_orderkey % 3 = 0 THEN 'default_size_' ELSE 'SIZE_' END || CAST(l_orderkey AS STRING) AS name"
     return checks.check_constants(text.constant_claims(doc_lines(spark, sf_dir)), lit.selectExpr(name, "'int' AS vtype", "CAST(CAST(l_quantity AS BIGINT) AS STRING) AS vkey").distinct())
 
 
@@ -261,7 +267,12 @@ rules AS (
  UNION ALL SELECT doc_path, line_no, 'forbid_edge', regexp_extract(line, '`([^`]+)` should never use', 1), regexp_extract(line, 'never use the `([^`]+)`', 1), '' FROM q WHERE line LIKE '%should never use%'
  UNION ALL SELECT doc_path, line_no, 'layer', regexp_extract(line, '`([^`]+)` only', 1), NULL, array_to_string(list_slice(regexp_extract_all(line, '`([^`]+)`', 1), 2, 9), ',') FROM q WHERE line LIKE '%only depends on%'
  UNION ALL SELECT doc_path, line_no, 'forbid_reach', regexp_extract(line, '`([^`]+)` must not trans', 1), regexp_extract(line, 'reach `([^`]+)`', 1), '' FROM q WHERE line LIKE '%transitively reach%'
- UNION ALL SELECT doc_path, line_no, 'forbid_symbol', regexp_extract(line, 'call `([^`]+)`', 1), NULL, regexp_extract(line, 'outside `([^`]+)`', 1) FROM q WHERE line LIKE '%don''t call%')"""
+ UNION ALL SELECT doc_path, line_no, 'forbid_symbol', regexp_extract(line, 'call `([^`]+)`', 1), NULL, regexp_extract(line, 'outside `([^`]+)`', 1) FROM q WHERE line LIKE '%don''t call%'
+ UNION ALL SELECT doc_path, line_no, 'forbid_edge', regexp_extract(line, 'imported by `([^`]+)`', 1), regexp_extract(line, '`([^`]+)` must not be', 1), '' FROM q WHERE line LIKE '%imported by%'
+ UNION ALL SELECT doc_path, line_no, 'forbid_edge', regexp_extract(line, '`([^`]+)` package', 1), regexp_extract(line, 'of the `([^`]+)`', 1), '' FROM q WHERE line LIKE '%independent of%'
+ UNION ALL SELECT doc_path, line_no, 'forbid_edge', regexp_extract(line, 'of the `([^`]+)`', 1), regexp_extract(line, '`([^`]+)` package', 1), '' FROM q WHERE line LIKE '%independent of%'
+ UNION ALL SELECT doc_path, line_no, 'layer', regexp_extract(line, '`([^`]+)` layer', 1), NULL, '' FROM q WHERE line LIKE '%has no dependencies%'
+ UNION ALL SELECT doc_path, line_no, 'forbid_symbol', regexp_extract(line, 'use of `([^`]+)`', 1), NULL, regexp_extract(line, 'except in `([^`]+)`', 1) FROM q WHERE line LIKE '%No raw use%')"""
 )
 
 
@@ -275,80 +286,120 @@ def rules_extracted(spark, sf_dir):
 
 
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports between nations: customer's to supplier's, of large cheap first lines."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity >= 49 AND l_discount >= 0.09").select("l_orderkey", "l_suppkey")
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_nationkey")
-    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey")
-    both = li.join(s, "l_suppkey").join(o, "l_orderkey").join(c, "o_custkey").where("c_nationkey <> s_nationkey")
-    return both.selectExpr("'lib/n' || CAST(c_nationkey AS STRING) AS src", "'lib/n' || CAST(s_nationkey AS STRING) AS dst").distinct()
+    """Imports between 500 modules in 25 folders: each part's module takes those that its order lines' numbers lead to."""
+    k = "l_partkey % 500 AS k", "(l_partkey % 500 * 7 + l_linenumber) % 500 AS to"
+    both = table(spark, sf_dir, "lineitem").selectExpr(*k).distinct().where("k <> to")
+    name = "'lib/n' || CAST({0} % 25 AS STRING) || '/m' || CAST({0} AS STRING) AS {1}"
+    return both.selectExpr(name.format("k", "src"), name.format("to", "dst"))
 
 
-_EDGES_CTE = """edges AS (SELECT DISTINCT 'lib/n' || c_nationkey AS src, 'lib/n' || s_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
- JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 AND l_quantity >= 49 AND l_discount >= 0.09 AND c_nationkey <> s_nationkey),
-mods AS (SELECT src AS module FROM edges UNION SELECT dst FROM edges)"""
-_MEANS = "(m{0}.module = {1} OR m{0}.module LIKE {1} || '/%' OR m{0}.module LIKE '%/' || {1} OR m{0}.module LIKE '%/' || {1} || '/%')"
+_EDGES_CTE = """edges AS (SELECT DISTINCT 'lib/n' || (k % 25) || '/m' || k AS src, 'lib/n' || (t % 25) || '/m' || t AS dst FROM (SELECT l_partkey % 500 AS k, (l_partkey % 500 * 7 + l_linenumber) % 500 AS t FROM lineitem) WHERE k <> t),
+mods AS (SELECT src AS module FROM edges UNION SELECT dst FROM edges),
+segs AS (SELECT module, string_split(module, '/') AS p FROM mods),
+names AS (SELECT DISTINCT module, array_to_string(list_slice(p, i, j), '/') AS said FROM segs, range(1, 4) AS x(i), range(1, 4) AS y(j) WHERE i <= j AND j <= len(p))"""
+_EDGE_BREACHES = "SELECT DISTINCT a, b, src, dst FROM rules JOIN names m1 ON m1.said = a JOIN names m2 ON m2.said = b JOIN edges ON src = m1.module AND dst = m2.module WHERE kind = 'forbid_edge'"
 
 
-@query(
-    f"""WITH {_RULES_CTE}, {_EDGES_CTE} SELECT DISTINCT a, b, src, dst FROM rules JOIN mods m1 ON {_MEANS.format(1, 'a')} JOIN mods m2 ON {_MEANS.format(2, 'b')}
-JOIN edges ON src = m1.module AND dst = m2.module WHERE kind = 'forbid_edge'"""
-)
+@query(f"WITH {_RULES_CTE}, {_EDGES_CTE} {_EDGE_BREACHES}")
 def forbid_edge(spark, sf_dir):
     return rules.forbidden_edges(extracted(spark, sf_dir), module_edges(spark, sf_dir))
 
 
-@query(
-    f"""WITH {_RULES_CTE}, {_EDGES_CTE}, lay AS (SELECT DISTINCT a, items FROM rules WHERE kind = 'layer'),
-ok AS (SELECT a, m1.module FROM lay JOIN mods m1 ON {_MEANS.format(1, 'a')} UNION
- SELECT a, m2.module FROM (SELECT a, unnest(string_split(items, ',')) AS item FROM lay) JOIN mods m2 ON {_MEANS.format(2, 'item')})
-SELECT DISTINCT a, src, dst FROM lay JOIN mods m1 ON {_MEANS.format(1, 'a')} JOIN edges ON src = m1.module WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.a = lay.a AND ok.module = dst)"""
-)
+_LAYER_CTE = """lay AS (SELECT DISTINCT a, items FROM rules WHERE kind = 'layer'),
+inside AS (SELECT a, items, module FROM lay JOIN names ON said = a),
+ok AS (SELECT * FROM inside UNION SELECT a, items, module FROM (SELECT a, items, unnest(string_split(items, ',')) AS item FROM lay) JOIN names ON said = item),
+breaches AS (SELECT DISTINCT a, items, src, dst FROM inside JOIN edges ON src = module WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.a = inside.a AND ok.items = inside.items AND ok.module = dst))"""
+
+
+@query(f"WITH {_RULES_CTE}, {_EDGES_CTE}, {_LAYER_CTE} SELECT a, items, src, dst FROM breaches")
 def layer_rule(spark, sf_dir):
-    return rules.layer_breaches(extracted(spark, sf_dir), module_edges(spark, sf_dir))
+    return rules.layer_breaches(extracted(spark, sf_dir), module_edges(spark, sf_dir)).withColumn("items", F.array_join("items", ","))
 
 
-_REACH_CTE = f"""pairs AS (SELECT DISTINCT a, b FROM rules WHERE kind = 'forbid_reach'),
-of_a AS (SELECT DISTINCT a, b, m1.module FROM pairs JOIN mods m1 ON {_MEANS.format(1, 'a')}),
-of_b AS (SELECT DISTINCT a, b, m2.module FROM pairs JOIN mods m2 ON {_MEANS.format(2, 'b')}),
+_REACH_CTE = """pairs AS (SELECT DISTINCT a, b FROM rules WHERE kind = 'forbid_reach'),
+of_a AS (SELECT DISTINCT a, b, module FROM pairs JOIN names ON said = a),
+of_b AS (SELECT DISTINCT a, b, module FROM pairs JOIN names ON said = b),
 starts AS (SELECT * FROM of_a EXCEPT SELECT * FROM of_b), targets AS (SELECT * FROM of_b EXCEPT SELECT * FROM of_a),
-walk(src, node, depth) AS (SELECT DISTINCT module, module, 0 FROM starts UNION SELECT w.src, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 25),
+walk(src, node, depth) AS (SELECT DISTINCT module, module, 0 FROM starts UNION SELECT w.src, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 12),
 near AS (SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node),
 hits AS (SELECT s.a, s.b, s.module AS src, t.module AS hit, n.depth, row_number() OVER (PARTITION BY s.a, s.b, s.module ORDER BY n.depth, t.module) AS k
  FROM starts s JOIN targets t ON s.a = t.a AND s.b = t.b JOIN near n ON n.src = s.module AND n.node = t.module WHERE n.depth > 0)"""
+# The least of the shortest paths, back from the hit: before each node the predecessor on the least path.
+_CHAIN_CTE = """steps AS (SELECT n.src, n.node, n.depth, p.node AS before FROM near n JOIN edges e ON e.dst = n.node JOIN near p ON p.src = n.src AND p.node = e.src AND p.depth = n.depth - 1 WHERE n.depth > 0),
+paths(src, node, depth, chain) AS (SELECT src, node, 0, [node] FROM near WHERE depth = 0
+ UNION ALL SELECT s.src, s.node, s.depth, list_append(p.chain, s.node) FROM paths p JOIN steps s ON s.src = p.src AND s.before = p.node AND s.depth = p.depth + 1
+  WHERE s.depth <= (SELECT max(depth) FROM hits WHERE k = 1))"""
 
 
-@query(f"WITH RECURSIVE {_RULES_CTE}, {_EDGES_CTE}, {_REACH_CTE} SELECT a, b, src, hit, depth FROM hits WHERE k = 1")
+@query(
+    f"""WITH RECURSIVE {_RULES_CTE}, {_EDGES_CTE}, {_REACH_CTE}, {_CHAIN_CTE} SELECT a, b, h.src, hit, h.depth, array_to_string(min(p.chain), ' ') AS chain
+FROM hits h JOIN paths p ON p.src = h.src AND p.node = h.hit WHERE k = 1 GROUP BY ALL"""
+)
 def forbid_reach(spark, sf_dir):
-    return rules.forbidden_reach(extracted(spark, sf_dir), module_edges(spark, sf_dir))
+    return rules.forbidden_reach(extracted(spark, sf_dir), module_edges(spark, sf_dir)).withColumn("chain", F.array_join("chain", " "))
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").selectExpr("'lib/n' || CAST(s_nationkey AS STRING) AS module", "s_suppkey AS line_no", "'x = eval' || CAST(s_suppkey % 18 AS STRING) || '(y) + evaluate' || CAST(s_nationkey AS STRING) AS line")
+    call = "CASE WHEN s_suppkey % 3 = 0 THEN 'y = os.environ' || CAST(s_suppkey % 11 AS STRING) ELSE 'x = eval' || CAST(s_suppkey % 18 AS STRING) || '(y) + evaluate' || CAST(s_nationkey AS STRING) END AS line"
+    return table(spark, sf_dir, "supplier").selectExpr("'lib/n' || CAST(s_nationkey AS STRING) || '/m' || CAST(s_nationkey AS STRING) AS module", "s_suppkey AS line_no", call)
 
 
-@query(
-    f"""WITH {_RULES_CTE}, code AS (SELECT 'lib/n' || s_nationkey AS module, s_suppkey AS line_no, 'x = eval' || (s_suppkey % 18) || '(y) + evaluate' || s_nationkey AS line FROM supplier),
-ban AS (SELECT a AS symbol, list(DISTINCT items) AS ex FROM rules WHERE kind = 'forbid_symbol' GROUP BY a)
-SELECT DISTINCT symbol, module, line_no FROM ban JOIN code ON regexp_matches(line, '\\b' || symbol || '\\b') WHERE NOT list_contains(ex, module)"""
-)
+_CODE_CTE = r"""code AS (SELECT 'lib/n' || s_nationkey || '/m' || s_nationkey AS module, s_suppkey AS line_no, CASE WHEN s_suppkey % 3 = 0 THEN 'y = os.environ' || (s_suppkey % 11) ELSE 'x = eval' || (s_suppkey % 18) || '(y) + evaluate' || s_nationkey END AS line FROM supplier),
+ban AS (SELECT DISTINCT a AS symbol, items FROM rules WHERE kind = 'forbid_symbol'),
+excepted AS (SELECT symbol, items, module FROM ban CROSS JOIN (SELECT DISTINCT module FROM code) WHERE items <> '' AND (module = items OR module LIKE items || '/%' OR module LIKE '%/' || items OR module LIKE '%/' || items || '/%')),
+direct AS (SELECT DISTINCT symbol, items, module, line_no FROM ban JOIN code ON CASE WHEN regexp_full_match(symbol, '\w+') THEN regexp_matches(line, '\b' || symbol || '\b') ELSE contains(line, symbol) END
+ WHERE NOT EXISTS (SELECT 1 FROM excepted e WHERE e.symbol = ban.symbol AND e.items = ban.items AND e.module = code.module))"""
+
+
+@query(f"WITH {_RULES_CTE}, {_CODE_CTE} SELECT * FROM direct")
 def forbid_symbol(spark, sf_dir):
-    return rules.forbidden_symbols(extracted(spark, sf_dir), code_lines(spark, sf_dir))
+    return rules.forbidden_symbols(extracted(spark, sf_dir), code_lines(spark, sf_dir)).withColumn("items", F.array_join("items", ","))
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of the forbidden names, some of them twice."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS idx", "CASE WHEN p_partkey <= 12 THEN 'eval' || CAST(p_partkey AS STRING) WHEN p_partkey < 16 THEN 'eval3' ELSE 'f' || CAST(p_partkey AS STRING) END AS name")
+    module = "'lib/n' || CAST(idx % 25 AS STRING) || '/m' || CAST(idx % 500 AS STRING)"
+    return p.selectExpr("name", f"{module} AS module", f"{module} || '::' || name AS qualified_name", f"{module} || '.py' AS path", "idx")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference for each order line, from its part's function to one of the first twenty definitions."""
+    sym = definitions(spark, sf_dir).select("idx", "qualified_name")
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS a", "l_linenumber + l_orderkey % 14 AS b").distinct()
+    return li.join(sym.toDF("a", "from_symbol"), "a").join(sym.toDF("b", "to_symbol"), "b").where("a <> b").select("from_symbol", "to_symbol")
+
+
+_CALLS_CTE = """defs AS (SELECT p_partkey AS idx, CASE WHEN p_partkey <= 12 THEN 'eval' || p_partkey WHEN p_partkey < 16 THEN 'eval3' ELSE 'f' || p_partkey END AS name, 'lib/n' || (p_partkey % 25) || '/m' || (p_partkey % 500) AS module FROM part),
+refs AS (SELECT DISTINCT x.module AS module, x.module || '::' || x.name AS caller, y.name AS target FROM lineitem JOIN defs x ON x.idx = l_partkey JOIN defs y ON y.idx = l_linenumber + l_orderkey % 14 WHERE x.idx <> y.idx),
+single AS (SELECT name FROM defs GROUP BY name HAVING count(*) = 1),
+indirect AS (SELECT DISTINCT symbol, items, module, caller FROM refs JOIN single ON target = name JOIN ban ON symbol = name
+ WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.symbol = ban.symbol AND d.items = ban.items AND d.module = refs.module)
+ AND NOT (module = items OR module LIKE items || '/%' OR module LIKE '%/' || items OR module LIKE '%/' || items || '/%'))"""
+
+
+@query(f"WITH {_RULES_CTE}, {_CODE_CTE}, {_CALLS_CTE} SELECT * FROM indirect")
+def forbid_symbol_indirect(spark, sf_dir):
+    told = extracted(spark, sf_dir)
+    direct = rules.forbidden_symbols(told, code_lines(spark, sf_dir))
+    return rules.indirect_symbols(told, direct, definitions(spark, sf_dir), calls(spark, sf_dir)).withColumn("items", F.array_join("items", ","))
 
 
 @query(
-    f"""WITH RECURSIVE {_RULES_CTE}, {_EDGES_CTE}, {_REACH_CTE},
-base AS (SELECT DISTINCT kind, a, b FROM rules WHERE kind IN ('forbid_edge', 'forbid_reach', 'layer')),
-lay AS (SELECT DISTINCT a, items FROM rules WHERE kind = 'layer'),
-ok AS (SELECT a, m1.module FROM lay JOIN mods m1 ON {_MEANS.format(1, 'a')} UNION SELECT a, m2.module FROM (SELECT a, unnest(string_split(items, ',')) AS item FROM lay) JOIN mods m2 ON {_MEANS.format(2, 'item')}),
-bad AS (SELECT DISTINCT 'forbid_edge' AS kind, a, b, src, dst FROM rules JOIN mods m1 ON {_MEANS.format(1, 'a')} JOIN mods m2 ON {_MEANS.format(2, 'b')} JOIN edges ON src = m1.module AND dst = m2.module WHERE kind = 'forbid_edge'
- UNION ALL SELECT 'forbid_reach', a, b, src, hit FROM hits WHERE k = 1
- UNION ALL SELECT DISTINCT 'layer', a, NULL, src, dst FROM lay JOIN mods m1 ON {_MEANS.format(1, 'a')} JOIN edges ON src = m1.module WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.a = lay.a AND ok.module = dst)),
-n AS (SELECT kind, a, coalesce(b, '') AS b, count(*) AS n FROM bad GROUP BY ALL),
-told AS (SELECT base.*, n.n, CASE WHEN NOT EXISTS (SELECT 1 FROM mods m1 WHERE {_MEANS.format(1, 'base.a')}) THEN base.a
-   WHEN base.kind <> 'layer' AND NOT EXISTS (SELECT 1 FROM mods m2 WHERE {_MEANS.format(2, 'base.b')}) THEN base.b END AS operand
-  FROM base LEFT JOIN n ON n.kind = base.kind AND n.a = base.a AND n.b = coalesce(base.b, ''))
-SELECT kind, a, b, CASE WHEN operand IS NOT NULL THEN 'Ungrounded' WHEN n > 0 THEN 'Violated' ELSE 'Holds' END AS status, CASE WHEN operand IS NULL THEN n END AS n, operand FROM told"""
+    f"""WITH RECURSIVE {_RULES_CTE}, {_EDGES_CTE}, {_REACH_CTE}, {_LAYER_CTE}, {_CODE_CTE}, {_CALLS_CTE},
+base AS (SELECT DISTINCT kind, a, b, items FROM rules),
+bad AS (SELECT 'forbid_edge' AS kind, a, b, '' AS items FROM ({_EDGE_BREACHES})
+ UNION ALL SELECT 'forbid_reach', a, b, '' FROM hits WHERE k = 1 UNION ALL SELECT 'layer', a, NULL, items FROM breaches
+ UNION ALL SELECT 'forbid_symbol', symbol, NULL, items FROM direct UNION ALL SELECT 'forbid_symbol', symbol, NULL, items FROM indirect),
+n AS (SELECT kind, a, coalesce(b, '') AS b, items, count(*) AS n FROM bad GROUP BY ALL),
+told AS (SELECT base.*, n.n, CASE WHEN base.kind = 'forbid_symbol' THEN NULL WHEN base.a NOT IN (SELECT said FROM names) THEN base.a WHEN base.kind <> 'layer' AND base.b NOT IN (SELECT said FROM names) THEN base.b END AS operand
+  FROM base LEFT JOIN n ON n.kind = base.kind AND n.a = base.a AND n.b = coalesce(base.b, '') AND n.items = base.items),
+said AS (SELECT *, '`' || replace(items, ',', '`, `') || '`' AS listed FROM told)
+SELECT kind, a, b, items, CASE kind WHEN 'forbid_edge' THEN '`' || a || '` ✗→ `' || b || '`' WHEN 'forbid_reach' THEN '`' || a || '` ✗⇢ `' || b || '` (transitive)'
+  WHEN 'layer' THEN '`' || a || '` ' || CASE WHEN items = '' THEN 'depends on nothing' ELSE '→ only ' || listed END
+  ELSE 'forbid symbol `' || a || '`' || CASE WHEN items = '' THEN '' ELSE ' (except ' || listed || ')' END END AS rule,
+ CASE WHEN operand IS NOT NULL THEN 'Ungrounded' WHEN n > 0 THEN 'Violated' ELSE 'Holds' END AS status, CASE WHEN operand IS NULL THEN n END AS n, operand FROM said"""
 )
 def rules_audit(spark, sf_dir):
-    return rules.audit(extracted(spark, sf_dir), module_edges(spark, sf_dir))
+    args = (f(spark, sf_dir) for f in (module_edges, code_lines, definitions, calls))
+    return rules.audit(extracted(spark, sf_dir), *args).withColumn("items", F.array_join("items", ","))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars, text
-from plumbline.operators import checks, code, diagrams, drift, history, match, retrieval, rules
+from plumbline.operators import checks, code, diagrams, drift, evidence, history, match, retrieval, rules
 from plumbline.operators.lineage import cut
 from plumbline.sources import repo
 
@@ -36,11 +36,11 @@ class Context:
     @cached_property
     def docs(self) -> DataFrame:
         found = repo.documents(self.files, self.only)
-        return found.where(~scalars.excluded(F.col("doc_path"), list(self.exclude)))
+        return cut(found.where(~scalars.excluded(F.col("doc_path"), list(self.exclude))))
 
     @cached_property
     def lines(self) -> DataFrame:
-        return cut(text.fenced(text.lines(self.docs)))
+        return cut(text.doc_lines(self.docs))
 
     @cached_property
     def code(self) -> DataFrame:
@@ -56,11 +56,22 @@ class Context:
 
     @cached_property
     def modules(self) -> DataFrame:
-        return self.code.where("language IS NOT NULL").select("module").distinct()
+        """Modules that define something or import something."""
+        return cut(self.symbols.select("module").union(self.imports.select("from_module")).distinct())
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return cut(code.imports(self.code))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut(code.module_edges(code.imports(self.code), self.modules))
+        return cut(code.module_edges(self.imports, self.modules))
+
+    @cached_property
+    def code_lines(self) -> DataFrame:
+        """(module, line_no, line) of all code files, those in languages that aren't parsed too."""
+        each = self.code.select("module", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
+        return each.select("module", (F.col("pos") + 1).alias("line_no"), "line")
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -76,7 +87,7 @@ class Context:
 
     @cached_property
     def diagrams(self) -> DataFrame:
-        return cut(diagrams.sources(self.lines))
+        return cut(diagrams.sources(self.docs))
 
     @cached_property
     def manifests(self) -> DataFrame:
@@ -103,7 +114,9 @@ def _code(column: str):
 
 
 def paths(c: Context) -> DataFrame:
-    found = checks.check_paths(text.path_claims(c.lines), repo.paths(c.files))
+    claims = cut(text.path_claims(c.lines))
+    known = repo.paths(c.files).select("path").unionByName(repo.on_disk(claims, c.root))
+    found = checks.check_paths(claims, known)
     return findings(found, "paths", F.concat(F.lit("names path "), _code("raw")), F.when(F.col("verdict") == "stale", "no such path").otherwise(""), F.array("raw"))
 
 
@@ -166,26 +179,41 @@ def shapes(c: Context) -> DataFrame:
     grounded = diagrams.ground_states(states, members).select(F.col("owner").alias("origin"), F.col("name").alias("owner"), "item", "verdict")
     declared = classes.unionByName(entities).unionByName(grounded)
     one = findings(declared, "shapes", F.concat_ws(".", "owner", "item"), anchors=F.array("owner"), doc=F.col("origin"))
-    body = c.diagrams.where("format <> 'dot'").select(F.concat_ws(":", "doc_path", F.col("start_line").cast("string")).alias("doc_path"), F.col("body").alias("text"))
-    told = diagrams.messages(text.lines(body)).groupBy(F.col("doc_path").alias("id")).agg(F.array_sort(F.collect_list(F.struct("step", "call"))).alias("s"))
+    told = diagrams.sequences(c.diagrams).withColumn("id", F.concat_ws(":", "doc_path", F.col("start_line").cast("string")))
+    told = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("step", "call"))).alias("s"))
     ops = diagrams.check_sequences(told.select("id", F.col("s.call").alias("steps")), c.symbols)
     two = findings(ops, "sequences", F.concat_ws(" ", F.lit("step"), (F.col("pos") + 1).cast("string"), F.coalesce("step", "call")), doc=F.col("id"))
     return one.unionByName(two)
 
 
+def _listed(column: str):
+    return F.array_join(column, ",")
+
+
 def architecture(c: Context) -> DataFrame:
+    """A finding for each breach of a rule, or one for a rule that holds and whose operands the code has."""
     told = cut(rules.extract_rules(c.lines))
-    edges_ = rules.forbidden_edges(told, c.edges).select(F.lit("forbid_edge").alias("kind"), "a", "b", F.concat_ws(" -> ", "src", "dst").alias("what"))
-    reach = rules.forbidden_reach(told, c.edges).select(F.lit("forbid_reach").alias("kind"), "a", "b", F.concat_ws(" ->> ", "src", "hit").alias("what"))
-    layer = rules.layer_breaches(told, c.edges).select(F.lit("layer").alias("kind"), "a", F.lit(None).cast("string").alias("b"), F.concat_ws(" -> ", "src", "dst").alias("what"))
-    code_lines = c.code.where("language IS NOT NULL").select("module", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("module", (F.col("pos") + 1).alias("line_no"), "line")
-    symbol = rules.forbidden_symbols(told, code_lines).select(F.lit("forbid_symbol").alias("kind"), F.col("symbol").alias("a"), F.lit(None).cast("string").alias("b"), F.concat_ws(":", "module", F.col("line_no").cast("string")).alias("what"))
-    broken = cut(edges_.unionByName(reach).unionByName(layer).unionByName(symbol))
-    same = (told.kind == broken.kind) & (told.a == broken.a) & told.b.eqNullSafe(broken.b)
-    bad = told.join(broken, same).select(told.doc_path, "line_no", told.kind, told.a, told.b, "what", F.lit("contradicted").alias("verdict"))
-    held = rules.audit(told, c.edges).where("status = 'Holds'").select("kind", "a", "b")
-    kept = told.join(held, (told.kind == held.kind) & (told.a == held.a) & told.b.eqNullSafe(held.b), "left_semi").select("doc_path", "line_no", "kind", "a", "b", F.lit("").alias("what"), F.lit("supported").alias("verdict"))
-    return findings(bad.union(kept).distinct(), "rules", F.concat_ws(" ", "kind", "a", "b"), F.col("what"), F.filter(F.array("a", "b"), lambda x: x.isNotNull()))
+    none, nothing = F.lit(None).cast("string").alias("b"), F.array().cast("array<string>").alias("items")
+    edges_ = rules.forbidden_edges(told, c.edges).select(F.lit("forbid_edge").alias("kind"), "a", "b", nothing, F.concat_ws(" -> ", "src", "dst").alias("what"), F.array("src", "dst").alias("at"))
+    reach = rules.forbidden_reach(told, c.edges).select(F.lit("forbid_reach").alias("kind"), "a", "b", nothing, F.array_join("chain", " -> ").alias("what"), F.array("src", "hit").alias("at"))
+    layer = rules.layer_breaches(told, c.edges).select(F.lit("layer").alias("kind"), "a", none, "items", F.concat_ws(" -> ", "src", "dst").alias("what"), F.array("src", "dst").alias("at"))
+    direct = cut(rules.forbidden_symbols(told, c.code_lines))
+    kind, a = F.lit("forbid_symbol").alias("kind"), F.col("symbol").alias("a")
+    symbol = direct.select(kind, a, none, "items", F.concat_ws(":", "module", F.col("line_no").cast("string")).alias("what"), F.array("module").alias("at"))
+    indirect = rules.indirect_symbols(told, direct, c.symbols, c.references).select(kind, a, none, "items", F.col("caller").alias("what"), F.array("caller").alias("at"))
+    broken = cut(edges_.unionByName(reach).unionByName(layer).unionByName(symbol).unionByName(indirect))
+    key = lambda df: (df.kind == told.kind) & (df.a == told.a) & df.b.eqNullSafe(told.b) & (df["items"] == told["items"])
+    place = [told.doc_path, told.line_no, told.kind, told.a, told.b, told["items"]]
+    bad = told.join(broken, key(broken)).select(*place, broken.what, broken.at, F.lit("contradicted").alias("verdict"))
+    held = rules.audit(told.where("kind <> 'forbid_symbol'"), c.edges).where("status = 'Holds'")
+    own = F.filter(F.array("a", "b"), lambda x: x.isNotNull())
+    held = held.select("kind", "a", "b", "items", own.alias("at"))
+    clean = rules.scanned_modules(told, c.code_lines).where("size(scanned) > 0").select(kind, a, none, "items", F.col("scanned").alias("at"))
+    clean = clean.join(broken.select("kind", "a", "items"), ["kind", "a", "items"], "left_anti").select("kind", "a", "b", "items", "at")
+    fine = held.unionByName(clean)
+    kept = told.join(fine, key(fine)).select(*place, F.lit("").alias("what"), fine.at, F.lit("supported").alias("verdict"))
+    said = F.concat_ws(" ", "kind", "a", "b", F.when(F.size("items") > 0, F.concat(F.lit("except "), _listed("items"))))
+    return findings(bad.union(kept).distinct(), "rules", F.when(F.col("kind") == "layer", F.concat_ws(" ", "kind", "a", F.nullif(_listed("items"), F.lit("")))).otherwise(said), F.col("what"), F.col("at"))
 
 
 def coverage(c: Context) -> DataFrame:
@@ -199,9 +227,19 @@ def coverage(c: Context) -> DataFrame:
     return history.ranked_gaps(gaps.withColumn("net_new", F.coalesce("new", F.lit(0))).withColumn("n_predicates", F.size("predicates")).withColumn("line_no", F.col("start")))
 
 
+def gap_text(kind, name, fan_in, predicates, commits, net_new):
+    """What is said of an undocumented symbol: what it is, how far it reaches, and whether its file is newer than the documents."""
+    count = lambda n, one, many: F.when(n == 1, F.lit(f"1 {one}")).when(n > 1, F.concat(n.cast("string"), F.lit(f" {many}")))
+    reach = F.concat_ws(", ", count(fan_in, "caller", "callers"), count(predicates, "branch", "branches"), count(commits, "commit", "commits"))
+    lead = F.when(net_new == 1, "new and undocumented: ").otherwise("undocumented: ")
+    return F.concat(lead, F.lit("public "), kind, F.lit(" `"), name, F.lit("`"), F.when(reach != "", F.concat(F.lit(" ("), reach, F.lit(")"))).otherwise(""))
+
+
 def undocumented(c: Context) -> DataFrame:
     out = coverage(c).withColumn("verdict", F.lit("undocumented")).withColumn("doc_path", F.col("path"))
-    return findings(out, "coverage", F.concat_ws(" ", "kind", _code("name")), anchors=F.array("qualified_name", "module"))
+    zero = F.lit(0)
+    detail = gap_text(F.col("kind"), F.col("name"), F.coalesce("fan_in", zero), F.col("n_predicates"), F.coalesce("commits", zero), F.col("net_new"))
+    return findings(out, "coverage", F.concat_ws(" ", "kind", _code("name")), detail, anchors=F.array("qualified_name", "module"))
 
 
 def coupling(c: Context) -> DataFrame:
@@ -210,18 +248,29 @@ def coupling(c: Context) -> DataFrame:
 
 
 def prose(c: Context) -> DataFrame:
-    """(claim_id, doc_path, claim): what a judge may rule on."""
-    found = text.claim_flags(text.logical_lines(c.lines)).where("candidate")
+    """(claim_id, path, line_no, doc_path, text): what a judge may rule on."""
+    found = text.claim_flags(text.logical_lines(c.docs)).where("candidate")
     ref = F.concat_ws(":", "doc_path", F.col("start_line").cast("string"))
-    return found.select(scalars.claim_id(ref, F.col("claim")).alias("claim_id"), ref.alias("doc_path"), F.col("claim").alias("text"))
+    return cut(found.select(scalars.claim_id(ref, F.col("claim")).alias("claim_id"), F.col("doc_path").alias("path"), F.col("start_line").alias("line_no"), ref.alias("doc_path"), F.col("claim").alias("text")).dropDuplicates(["claim_id"]))
+
 
+def proof(c: Context, claims: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """What the tokens of prose claims mean, and up to ``k`` bodies of code for each."""
+    grounded = cut(evidence.ground(claims, c.symbols, c.modules))
+    return grounded, cut(evidence.gather(claims, grounded, c.symbols, c.code.select("path", "text"), k))
 
-def evidence(c: Context, k: int = 5) -> DataFrame:
-    """(claim_id, rank, id, score): the public symbols whose words are nearest to each prose claim."""
-    words = retrieval.subwords(F.concat_ws(" ", "name", "module", F.coalesce("signature", F.lit("")), F.coalesce("doc", F.lit(""))))
-    entries = c.symbols.where("visibility = 'public'").select(F.col("qualified_name").alias("id"), words.alias("tokens"), retrieval.subwords(F.col("name")).alias("names")).dropDuplicates(["id"])
-    asked = prose(c).select(F.col("claim_id").alias("query_id"), retrieval.subwords(F.col("text")).alias("tokens"))
-    return retrieval.lexical(asked, entries, k).withColumnRenamed("query_id", "claim_id")
+
+def judged(c: Context, scorer: Callable[[DataFrame], DataFrame], cap: int = 300) -> DataFrame:
+    """Findings of a caller's model over the first ``cap`` prose claims, anchored to what they name or else to the evidence's files."""
+    claims = prose(c)
+    grounded, code_ = proof(c, claims)
+    told = retrieval.judge(claims, code_, scorer, cap)
+    named = evidence.anchors(grounded).select("claim_id", F.concat("symbols", "modules").alias("named"))
+    seen = code_.groupBy("claim_id").agg(F.array_sort(F.collect_set("path")).alias("seen"))
+    out = told.join(claims.select("claim_id", "doc_path"), "claim_id").join(named, "claim_id", "left").join(seen, "claim_id", "left")
+    surest = F.format_number(F.greatest("best_entail", "best_contra"), 2)
+    detail = F.when(F.col("verdict") == "supported", "").otherwise(F.concat(F.lit("by model, confidence "), surest))
+    return findings(out, "judge", F.col("text"), detail, F.coalesce("named", "seen", F.array().cast("array<string>")), F.col("doc_path"))
 
 
 #: The checks of a run; each takes a Context and returns rows of FINDINGS. Others may be added.
@@ -243,12 +292,27 @@ class Outcome:
         return int(self.regressed or not self.findings.where("verdict <> 'supported'").isEmpty())
 
 
-def check(spark: SparkSession, root: str, only: str | None = None, min_severity: str | None = None, base: str | None = None, save: bool = True) -> Outcome:
-    """Runs the checks, scores what is left after suppression and severity, and carries the ledger forward."""
+def check(
+    spark: SparkSession,
+    root: str,
+    only: str | None = None,
+    min_severity: str | None = None,
+    base: str | None = None,
+    save: bool = True,
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
+    cap: int = 300,
+) -> Outcome:
+    """Runs the checks, scores what is left after suppression and severity, and carries the ledger forward.
+
+    With a ``scorer``, which turns (claim_id, text, evidence) into (claim_id, contra,
+    entail, neutral), prose claims are judged too.
+    """
     own = os.path.join(root, ARTIFACTS)
     conf = repo.settings(os.path.join(root, "plumbline.toml"))
     c = Context(spark, root, only, tuple(conf.exclude))
     parts = [f(c) for f in (list(CHECKS.values()) + ([] if only else list(WHOLE.values())))]
+    if scorer is not None:
+        parts.append(judged(c, scorer, cap))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -265,15 +329,19 @@ def check(spark: SparkSession, root: str, only: str | None = None, min_severity:
         changed = names.union(renamed.select("path")).union(renamed.where("renamed_from IS NOT NULL").select("renamed_from"))
     else:
         changed = found.select(F.explode("anchors").alias("name"))  # without a base everything is looked at again
-    facts = c.symbols.select(F.explode(F.array("qualified_name", "name")).alias("anchor"), scalars.fact_fingerprint(F.col("constants"), F.col("signature"), F.col("predicates"), F.col("return_shape")).alias("h")).distinct()
-    hashes = found.select("id", F.explode("anchors").alias("anchor")).join(facts, "anchor").groupBy("id").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("h")), ","), 256).alias("facts_hash"))
+    facts = c.symbols.select(F.explode(F.array_distinct(F.array("qualified_name", "name"))).alias("anchor"), "constants", "signature", "predicates", "return_shape", F.struct("path", "idx").alias("pos"))
+    merged = drift.merged_facts(found.select("id", F.explode("anchors").alias("anchor")).distinct().join(facts, "anchor"))
+    hashes = merged.select("id", scalars.fact_fingerprint(F.col("constants"), F.col("signature"), F.col("predicates"), F.col("return_shape")).alias("facts_hash"))
     claims = drift.dirty(found.join(hashes, "id", "left"), before, changed)
     claims = cut(claims)
     moved = claims.where("dirty").join(before.select("id", F.col("facts_hash").alias("old")), "id").where("facts_hash <> old")
     flagged = moved.select(F.lit("unverifiable").alias("verdict"), "claim", "doc_path", F.lit("the code it tells of behaves otherwise now").alias("detail"), "anchors", F.lit("drift").alias("check"))
     score = drift.score(claims).first()["score"]
-    owners = c.symbols.select(F.explode(F.array("qualified_name", "name", "module", "path")).alias("anchor"), "module").distinct()
-    placed = claims.select("id", "verdict", F.explode_outer("anchors").alias("anchor")).join(owners, "anchor", "left").groupBy("id", "verdict").agg(F.collect_set("module").alias("modules"))
+    owned = c.symbols.select("path", "module", F.explode(match.suffixes(F.col("path"))).alias("anchor")).groupBy("anchor").agg(F.min_by("module", "path").alias("module"))
+    named = c.symbols.select(F.explode(F.array_distinct(F.array("qualified_name", "name", "module"))).alias("anchor"), "module").distinct()
+    # An anchor is a symbol or module, else a path of the module that owns it, else stands for itself.
+    placed = claims.select("id", "verdict", F.explode_outer("anchors").alias("anchor")).join(named, "anchor", "left").join(owned.withColumnRenamed("module", "owner"), "anchor", "left")
+    placed = placed.groupBy("id", "verdict").agg(F.collect_set(F.coalesce("module", "owner", "anchor")).alias("modules"))
     modules = drift.module_scores(placed)
     old_score = os.path.join(own, "score.json")
     regressed = False
@@ -320,5 +388,21 @@ def audit(spark: SparkSession, root: str) -> DataFrame:
     told = cut(rules.extract_rules(c.lines))
     bare = rules.extract_bare_rules(c.lines, c.modules).select("kind", "a", "b").distinct()
     new = bare.join(told.select("kind", "a", "b").distinct(), ["kind", "a", "b"], "left_anti").withColumn("items", F.array().cast("array<string>"))
-    quoted = rules.audit(told, c.edges).withColumn("bare", F.lit(False))
+    quoted = rules.audit(told, c.edges, c.code_lines, c.symbols, c.references).withColumn("bare", F.lit(False))
     return quoted.unionByName(rules.audit(new, c.edges).withColumn("bare", F.lit(True)))
+
+
+def rules_report(audited: DataFrame, kind: str = "text") -> str:
+    """The audit as text, or as JSON, which stands for SARIF here too; with how many rules hold, are violated and are ungrounded."""
+    rows = audited.orderBy("bare", "kind", "a", "b", "rule").collect()
+    counts = {name: sum(r["status"] == name for r in rows) for name in ("Holds", "Violated", "Ungrounded")}
+    if kind != "text":
+        told = []
+        for r in rows:
+            detail = {"violations": r["n"]} if r["status"] == "Violated" else {"operand": r["operand"]} if r["status"] == "Ungrounded" else None
+            told.append({"rule": r["rule"], "status": r["status"].lower(), "detail": detail, "experimental": r["bare"]})
+        return json.dumps(told, indent=2, ensure_ascii=False)
+    if not rows:
+        return "no rules found; both operands of a rule stand in back quotes"
+    body = [f"[{r['status']}] {r['rule']}" + (f" ({r['n']})" if r["n"] else "") + (f" no module: {r['operand']}" if r["operand"] else "") + " [bare]" * r["bare"] for r in rows]
+    return "\n".join([*body, f"{counts['Holds']} hold, {counts['Violated']} violated, {counts['Ungrounded']} ungrounded"])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars, text
-from plumbline.operators import diagrams, drift, history, match, retrieval, rules
+from plumbline.operators import diagrams, drift, evidence, history, match, retrieval, rules
 from plumbline.plans.queries import _EDGES_CTE, _SCORE, module_edges, query, table
+from plumbline.sources import repo
 
 
 @query(
@@ -252,10 +253,6 @@ def chunks_40_10(spark, sf_dir):
     return retrieval.chunks(f).select("path", "start_line", "n_lines", F.md5("chunk").alias("digest"))
 
 
-def _document_lines(spark, sf_dir) -> DataFrame:
-    return text.fenced(text.lines(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_path"), "text")))
-
-
 _BLOCKS_CTE = r"""raw AS (SELECT doc_id::VARCHAR AS doc_path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, len(string_split(text, chr(10))) AS n FROM documents),
 b AS (SELECT doc_path, line_no, trim(regexp_replace(line, '\r$', '')) AS bare FROM raw WHERE NOT (line_no = n AND line = '')),
 m AS (SELECT *, bare = '' OR bare LIKE '#%' OR bare LIKE '|%' AS stop, regexp_matches(bare, '^([-*>]|[0-9]+[.)])') AS item FROM b),
@@ -265,29 +262,32 @@ blocks AS (SELECT doc_path, min(line_no)::INT AS start_line, string_agg(bare, '
 
 @query(f"WITH {_BLOCKS_CTE} SELECT doc_path, start_line, text FROM blocks")
 def logical_lines(spark, sf_dir):
-    return text.logical_lines(_document_lines(spark, sf_dir))
+    return text.logical_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_path"), "text"))
+
+
+_SAID = "trim(CASE WHEN turn % 2 = 0 THEN '- `' || role || '` ' WHEN turn % 5 = 1 THEN '**Part** — ' WHEN turn % 5 = 3 THEN 'Say \"`x` must\" and \"y\" and `z ' ELSE '' END || text)"
 
 
 @query(
-    r"""WITH s AS (SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 THEN '- `' || role || '` ' ELSE '' END || text) AS text FROM conversations),
+    rf"""WITH s AS (SELECT conv_id, turn, {_SAID} AS text FROM conversations),
 c AS (SELECT *, regexp_replace(text, '^[-*>\s]+', '') AS claim FROM s),
 f AS (SELECT *, len(list_filter(regexp_split_to_array(claim, '\s+'), lambda w: w <> '')) AS n, contains(claim, '`') AS has_code, regexp_matches(claim, '[,;:]\s*$') AS cut, regexp_matches(claim, '^[*_ ]*[a-z]') AS low,
- lower(regexp_replace(regexp_split_to_array(trim(claim), '\s+')[-1], '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) IN ('a','an','and','as','at','but','by','for','from','if','in','into','of','on','or','than','that','the','then','to','via','when','where','which','while','with') AS dangling FROM c)
-SELECT conv_id, turn, n::INT AS n_words, has_code, cut OR dangling AS fragment, low AS lower_start, n >= 6 AND has_code AND NOT (cut OR dangling OR low) AS candidate FROM f"""
+ regexp_matches(claim, '\*\* ?[—–]') AS entry, len(list_filter(string_split(claim, '"'), lambda p, i: i % 2 = 0 AND i < len(string_split(claim, '"')) AND contains(p, '`'))) > 0 AS quoted,
+ lower(regexp_replace(regexp_split_to_array(trim(claim), '\s+')[-1], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) IN ('a','an','and','as','at','but','by','for','from','if','in','into','of','on','or','than','that','the','then','to','via','when','where','which','while','with') AS dangling FROM c)
+SELECT conv_id, turn, n::INT AS n_words, has_code, cut OR dangling AS fragment, quoted AS quoted_example, entry AS feature_entry, low AS lower_start, n >= 6 AND has_code AND NOT (cut OR dangling OR quoted OR entry OR low) AS candidate FROM f"""
 )
 def claim_filters(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("text", F.trim(F.concat(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("- `"), "role", F.lit("` "))).otherwise(""), "text")))
-    return text.claim_flags(c).select("conv_id", "turn", "n_words", "has_code", "fragment", "lower_start", "candidate")
+    c = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_SAID} AS text")
+    return text.claim_flags(c).select("conv_id", "turn", "n_words", "has_code", "fragment", "quoted_example", "feature_entry", "lower_start", "candidate")
 
 
 @query(
-    """WITH s AS (SELECT user_id AS claim_id, ((event_id * 37) % 101 / 100.0)::FLOAT AS c, ((event_id * 53) % 97 / 100.0)::FLOAT AS e, ((event_id * 71) % 89 / 100.0)::FLOAT AS n FROM events WHERE event_type = 'error'),
+    """WITH s AS (SELECT user_id AS claim_id, ((event_id * 37) % 101 / 100.0)::FLOAT AS c, ((event_id * 53) % 97 / 100.0)::FLOAT AS e, ((event_id * 71) % 89 / 100.0)::FLOAT AS n FROM events),
 b AS (SELECT claim_id, max(e) AS be, coalesce(max(CASE WHEN c >= e + 0.15::FLOAT AND c >= n THEN c END), 0::FLOAT) AS bc FROM s GROUP BY claim_id)
 SELECT claim_id, CASE WHEN bc >= 0.5::FLOAT AND bc >= be THEN 'contradicted' WHEN be >= 0.5::FLOAT THEN 'supported' ELSE 'unverifiable' END AS verdict FROM b"""
 )
 def nli_decide(spark, sf_dir):
-    s = table(spark, sf_dir, "events").where("event_type = 'error'")
-    s = s.selectExpr("user_id AS claim_id", "CAST((event_id * 37) % 101 / 100.0D AS FLOAT) AS contra", "CAST((event_id * 53) % 97 / 100.0D AS FLOAT) AS entail", "CAST((event_id * 71) % 89 / 100.0D AS FLOAT) AS neutral")
+    s = table(spark, sf_dir, "events").selectExpr("user_id AS claim_id", "CAST((event_id * 37) % 101 / 100.0D AS FLOAT) AS contra", "CAST((event_id * 53) % 97 / 100.0D AS FLOAT) AS entail", "CAST((event_id * 71) % 89 / 100.0D AS FLOAT) AS neutral")
     return retrieval.decide(s).select("claim_id", "verdict")
 
 
@@ -296,32 +296,108 @@ def glob_exclude(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url").where(~scalars.excluded(F.col("url"), ["**/*1", "https://**/*7"]))
 
 
-def drawn_edges(spark, sf_dir) -> DataFrame:
-    """Diagrams of nations, as text that the parser reads: each region draws arrows between its nations."""
+_X, _Y = "n_nationkey + 25 * (s_suppkey % 20)", "s_suppkey * 7 % 520"
+
+
+def drawn(spark, sf_dir, before: str, row: str, after: str) -> DataFrame:
+    """A document for each region, with a diagram of a line for each of its suppliers."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS n_nationkey", "s_suppkey"), "n_nationkey")
-    arrow = "CASE WHEN s_suppkey % 2 = 0 THEN ' --> ' ELSE ' --- ' END"
-    row = f"'N' || CAST(n_nationkey AS STRING) || '[n' || CAST(n_nationkey AS STRING) || '.rs]' || {arrow} || 'X' || CAST(s_suppkey AS STRING) || '[lib/n' || CAST(s_suppkey * 7 % 29 AS STRING) || ']'"
     rows = n.selectExpr("n_regionkey", "struct(s_suppkey, " + row + " AS line) AS l").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    text_ = F.concat(F.lit("```mermaid\ngraph TD\n"), F.array_join(F.col("ls.line"), "\n"), F.lit("\n```"))
-    found = diagrams.sources(text.lines(rows.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("doc_path"), text_.alias("text"))))
+    text_ = F.concat(F.lit(before), F.array_join(F.col("ls.line"), "\n"), F.lit(after))
+    return diagrams.sources(rows.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("doc_path"), text_.alias("text")))
+
+
+def drawn_edges(spark, sf_dir) -> DataFrame:
+    """Arrows from modules by file name to modules by path, some of which don't exist."""
+    label = f"'m' || CAST({_X} AS STRING) || '.rs'", f"'lib/n' || CAST(({_Y}) % 25 AS STRING) || '/m' || CAST({_Y} AS STRING)"
+    row = f"'A' || CAST({_X} AS STRING) || '[' || {label[0]} || ']' || CASE WHEN s_suppkey % 2 = 0 THEN ' --> ' ELSE ' --- ' END || 'X' || CAST({_Y} AS STRING) || '[' || {label[1]} || ']'"
+    found = drawn(spark, sf_dir, "```mermaid\ngraph TD\n", row, "\n```")
     return diagrams.edges(found).select(F.col("doc_path").alias("origin"), "src", "dst", "directed")
 
 
+_DRAWN_CTE = f"""dr AS (SELECT DISTINCT 'r' || n_regionkey AS origin, 'm' || ({_X}) || '.rs' AS src, 'lib/n' || (({_Y}) % 25) || '/m' || ({_Y}) AS dst, s_suppkey % 2 = 0 AS directed,
+ 'lib/n' || n_nationkey || '/m' || ({_X}) AS a FROM nation JOIN supplier ON s_nationkey = n_nationkey)"""
+
+
 @query(
-    f"""WITH {_EDGES_CTE}, dr AS (SELECT DISTINCT 'r' || n_regionkey AS origin, 'n' || n_nationkey || '.rs' AS src, 'lib/n' || (s_suppkey * 7 % 29) AS dst, s_suppkey % 2 = 0 AS directed, 'lib/n' || n_nationkey AS a, 'lib/n' || (s_suppkey * 7 % 29) AS b
- FROM nation JOIN supplier ON s_nationkey = n_nationkey),
-ends AS (SELECT * FROM dr WHERE a IN (FROM mods) AND b IN (FROM mods)),
+    f"""WITH {_EDGES_CTE}, {_DRAWN_CTE},
+ends AS (SELECT *, dst AS b FROM dr WHERE a IN (FROM mods) AND dst IN (FROM mods)),
 v AS (SELECT DISTINCT origin, src, dst, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE (e.src = a AND e.dst = b) OR (NOT directed AND e.src = b AND e.dst = a)) THEN 'supported' ELSE 'contradicted' END AS verdict FROM ends),
-st AS (SELECT DISTINCT origin, dst AS src, NULL::VARCHAR AS dst, 'stale' AS verdict FROM dr WHERE b NOT IN (FROM mods)),
-boxes AS (SELECT origin, a AS m FROM dr WHERE a IN (FROM mods) UNION SELECT origin, b FROM dr WHERE b IN (FROM mods)),
+st AS (SELECT DISTINCT origin, dst AS src, NULL::VARCHAR AS dst, 'stale' AS verdict FROM dr WHERE dst NOT IN (FROM mods)),
+boxes AS (SELECT origin, a AS m FROM dr WHERE a IN (FROM mods) UNION SELECT origin, dst FROM dr WHERE dst IN (FROM mods)),
 shown AS (SELECT origin, a, b FROM ends UNION SELECT origin, b, a FROM ends),
 mi AS (SELECT x.origin, e.src, e.dst, 'undocumented' AS verdict FROM edges e JOIN boxes x ON x.m = e.src JOIN boxes y ON y.m = e.dst AND y.origin = x.origin WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.origin = x.origin AND s.a = e.src AND s.b = e.dst))
 SELECT * FROM v UNION ALL SELECT * FROM st UNION ALL SELECT * FROM mi"""
 )
 def diagram_findings(spark, sf_dir):
     real = module_edges(spark, sf_dir)
-    mods = real.select(F.col("src").alias("module")).union(real.select("dst")).distinct()
-    return diagrams.check_graph(drawn_edges(spark, sf_dir), real, mods)
+    return diagrams.check_graph(drawn_edges(spark, sf_dir), real, rules.modules(real))
+
+
+_PLAIN_CTE = "d AS (SELECT 'r' || n_regionkey AS origin, s_suppkey AS k, n_nationkey AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey)"
+
+
+@query(f"WITH {_PLAIN_CTE} SELECT DISTINCT origin, 'part ' || (k % 7) AS src, 'N' || n AS dst, k % 3 <> 0 AS directed FROM d")
+def plantuml_edges(spark, sf_dir):
+    """Bare PlantUML outside fences; aliases stand for what they name."""
+    row = "'component \"part ' || CAST(s_suppkey % 7 AS STRING) || '\" as p' || CAST(s_suppkey % 7 AS STRING) || chr(10) || 'p' || CAST(s_suppkey % 7 AS STRING) || CASE WHEN s_suppkey % 3 = 0 THEN ' -- ' ELSE ' ..> ' END || '[N' || CAST(n_nationkey AS STRING) || ']'"
+    found = drawn(spark, sf_dir, "@startuml\ntitle Parts\n", row, "\n@enduml")
+    return diagrams.edges(found).select(F.col("doc_path").alias("origin"), "src", "dst", "directed").distinct()
+
+
+@query(f"WITH {_PLAIN_CTE} SELECT DISTINCT origin, 'kind ' || (k % 5) AS src, 'N' || n AS dst, true AS directed FROM d")
+def dot_edges(spark, sf_dir):
+    """Of a chain only the first edge counts; labels stand for nodes."""
+    row = "'k' || CAST(s_suppkey % 5 AS STRING) || ' [shape=box, label=\"kind ' || CAST(s_suppkey % 5 AS STRING) || '\"]; k' || CAST(s_suppkey % 5 AS STRING) || ' -> N' || CAST(n_nationkey AS STRING) || ' -> other; // none'"
+    found = drawn(spark, sf_dir, "```dot\ndigraph {\n", row, "\n}\n```")
+    return diagrams.edges(found).select(F.col("doc_path").alias("origin"), "src", "dst", "directed").distinct()
+
+
+def types_and_methods(spark, sf_dir) -> DataFrame:
+    """A type for two of three suppliers in the module of its nation, and a method there for each."""
+    s = table(spark, sf_dir, "supplier")
+    module = "'lib/n' || CAST(s_nationkey AS STRING) AS module"
+    types = s.where("s_suppkey % 3 <> 0").selectExpr("'S' || CAST(s_suppkey AS STRING) AS name", "'struct' AS kind", module, "'x.rs' AS path", "s_suppkey AS idx")
+    return types.unionByName(s.selectExpr("'load' || CAST(s_suppkey % 4 AS STRING) AS name", "'method' AS kind", module, "'x.rs' AS path", "-s_suppkey AS idx"))
+
+
+@query(
+    f"""WITH {_PLAIN_CTE}, methods AS (SELECT DISTINCT s_nationkey AS n, 'load' || (s_suppkey % 4) AS item FROM supplier), known AS (SELECT * FROM d WHERE k % 3 <> 0)
+SELECT origin, 'S' || k AS owner, NULL::VARCHAR AS item, 'supported' AS verdict FROM known
+UNION ALL SELECT origin, 'S' || k, 'load' || (k % 5), CASE WHEN EXISTS (SELECT 1 FROM methods m WHERE m.n = known.n AND m.item = 'load' || (k % 5)) THEN 'supported' ELSE 'stale' END FROM known"""
+)
+def class_findings(spark, sf_dir):
+    row = "'class S' || CAST(s_suppkey AS STRING) || ' {' || chr(10) || '  +load' || CAST(s_suppkey % 5 AS STRING) || '(x) int' || chr(10) || '}' || chr(10) || 'S' || CAST(s_suppkey AS STRING) || ' --> S1 : uses'"
+    found = diagrams.declarations(drawn(spark, sf_dir, "```mermaid\nclassDiagram\n", row, "\n```"), "class")
+    return diagrams.check_classes(found.withColumn("origin", F.substring_index("origin", ":", 1)), types_and_methods(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PLAIN_CTE} SELECT DISTINCT origin, 'SUPP' || k AS owner, unnest(['ID', 'x' || (k % 6)]) AS item, unnest(['supported', CASE WHEN k % 6 = k % 4 THEN 'supported' ELSE 'stale' END]) AS verdict FROM d WHERE k % 5 <> 0"""
+)
+def entity_findings(spark, sf_dir):
+    """Entities against tables of their name in the plural, some of which there aren't."""
+    row = "'SUPP' || CAST(s_suppkey AS STRING) || ' {' || chr(10) || '  int ID' || chr(10) || '  text x' || CAST(s_suppkey % 6 AS STRING) || chr(10) || '}' || chr(10) || 'SUPP' || CAST(s_suppkey AS STRING) || ' ||--o{ SUPP1 : has'"
+    found = diagrams.declarations(drawn(spark, sf_dir, "```mermaid\nerDiagram\n", row, "\n```"), "entity")
+    ddl = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").selectExpr("'CREATE TABLE supp' || CAST(s_suppkey AS STRING) || 's (id INT, x' || CAST(s_suppkey % 4 AS STRING) || ' TEXT);' AS text")
+    return diagrams.check_entities(found.withColumn("origin", F.substring_index("origin", ":", 1)), repo.ddl_tables(ddl))
+
+
+@query(
+    f"""WITH {_PLAIN_CTE}, st AS (SELECT DISTINCT origin, unnest(['S0', 'S' || (k % 9), 'S' || (k % 11 + 4)]) AS item FROM d), en AS (SELECT DISTINCT 'E' || r_regionkey AS name, 'S' || i AS item FROM region, range(0, 13) AS t(i) WHERE (i + r_regionkey) % 3 <> 0),
+k AS (SELECT origin, count(*) AS n FROM st GROUP BY origin), ov AS (SELECT origin, name, count(*) AS o FROM st JOIN en USING (item) GROUP BY ALL),
+best AS (SELECT origin, name FROM (SELECT ov.*, n, row_number() OVER (PARTITION BY origin ORDER BY o DESC, name) AS r FROM ov JOIN k USING (origin)) WHERE r = 1 AND o >= 2 AND o * 2 >= n),
+a AS (SELECT origin, name, item, true AS drawn FROM st JOIN best USING (origin)), b AS (SELECT origin, name, item, true AS real FROM en JOIN best USING (name))
+SELECT origin AS owner, name, item, CASE WHEN drawn AND real THEN 'supported' WHEN drawn THEN 'stale' ELSE 'undocumented' END AS verdict FROM a FULL JOIN b USING (origin, name, item)"""
+)
+def state_findings(spark, sf_dir):
+    """Labelled transitions of state diagrams, which are no messages, against enumerations."""
+    row = "'S' || CAST(s_suppkey % 9 AS STRING) || ' --> S' || CAST(s_suppkey % 11 + 4 AS STRING) || ' : start'"
+    found = drawn(spark, sf_dir, "```mermaid\nstateDiagram-v2\n[*] --> S0\n", row, "\n```")
+    told = diagrams.declarations(found, "state").select(F.substring_index("origin", ":", 1).alias("owner"), "item").distinct()
+    told = told.unionByName(diagrams.sequences(found).select(F.lit("sequence").alias("owner"), F.col("call").alias("item")))
+    members = table(spark, sf_dir, "region").selectExpr("'E' || CAST(r_regionkey AS STRING) AS name", "r_regionkey", "explode(sequence(0, 12)) AS i").where("(i + r_regionkey) % 3 <> 0").selectExpr("name", "'S' || CAST(i AS STRING) AS item")
+    return diagrams.ground_states(told, members)
 
 
 @query(
@@ -341,28 +417,42 @@ def state_grounding(spark, sf_dir):
     return diagrams.ground_states(states, enums)
 
 
-@query()
+# The grid of scores, a row for each call: s0..s4 are the best scores of the first 0..4 steps with the calls so far.
+# Then the way back from its last cell, a pair before a step alone before a call alone.
+_ALIGN_SQL = """WITH RECURSIVE ev AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j, event_type AS call FROM events),
+grid(id, j, s0, s1, s2, s3, s4) AS (SELECT DISTINCT id, 0::BIGINT, 0, -2, -4, -6, -8 FROM ev
+ UNION ALL SELECT id, j, t0, t1, t2, t3, greatest(s3 + m4, s4 - 2, t3 - 2) FROM (SELECT *, greatest(s2 + m3, s3 - 2, t2 - 2) AS t3 FROM (SELECT *, greatest(s1 + m2, s2 - 2, t1 - 2) AS t2 FROM (SELECT *, greatest(s0 + m1, s1 - 2, t0 - 2) AS t1 FROM (
+  SELECT g.id, ev.j, g.s0, g.s1, g.s2, g.s3, g.s4, g.s0 - 2 AS t0, CASE call WHEN 'signup' THEN 2 ELSE -1 END AS m1, CASE call WHEN 'view' THEN 2 ELSE -1 END AS m2, CASE call WHEN 'click' THEN 2 ELSE -1 END AS m3, CASE call WHEN 'purchase' THEN 2 ELSE -1 END AS m4
+  FROM grid g JOIN ev ON ev.id = g.id AND ev.j = g.j + 1))))),
+cells AS (SELECT g.id, g.j, [s0, s1, s2, s3, s4] AS s, call FROM grid g LEFT JOIN ev ON ev.id = g.id AND ev.j = g.j),
+back(id, a, b, k, verdict, step, call) AS (SELECT id, 4::BIGINT, max(j), 0, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM cells GROUP BY id
+ UNION ALL SELECT id, CASE WHEN how = 3 THEN a ELSE a - 1 END, CASE WHEN how = 2 THEN b ELSE b - 1 END, k + 1,
+  CASE WHEN how = 1 AND drawn = made THEN 'supported' WHEN how = 3 THEN 'undocumented' ELSE 'contradicted' END, CASE WHEN how < 3 THEN drawn END, CASE WHEN how <> 2 THEN made END
+ FROM (SELECT p.id, a, b, k, drawn, here.call AS made, CASE WHEN a > 0 AND b > 0 AND here.s[a + 1] = prev.s[a] + CASE WHEN drawn = here.call THEN 2 ELSE -1 END THEN 1 WHEN a > 0 AND here.s[a + 1] = here.s[a] - 2 THEN 2 ELSE 3 END AS how
+  FROM (SELECT *, ['signup', 'view', 'click', 'purchase'][a] AS drawn FROM back WHERE a > 0 OR b > 0) p JOIN cells here ON here.id = p.id AND here.j = b LEFT JOIN cells prev ON prev.id = p.id AND prev.j = b - 1))
+SELECT id, (max(k) OVER (PARTITION BY id) - k)::INT AS pos, verdict, step, call FROM back WHERE k > 0"""
+
+
+@query(_ALIGN_SQL)
 def sequence_alignment(spark, sf_dir):
     """Each user's events in order against the drawn order view, click, purchase."""
     calls = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
     return diagrams.align(calls.select("id", F.array(F.lit("signup"), F.lit("view"), F.lit("click"), F.lit("purchase")).alias("steps"), F.col("s.event_type").alias("calls")))
 
 
-_BARE_LINES = "CASE WHEN n_nationkey % 4 = 3 THEN 'High-level modules must not depend on details.' ELSE 'The ' || upper(n_name) || ' layer must not ' || CASE n_nationkey % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'transitively reach' ELSE 'reference' END || ' the N' || CAST(n_nationkey * 7 % 31 AS STRING) || ' module.' END"
+_BARE_LINES = "CASE WHEN p_partkey % 4 = 3 THEN 'High-level modules must not depend on details.' ELSE 'The N' || CAST(p_partkey % 37 AS STRING) || ' layer must not ' || CASE p_partkey % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'transitively reach' ELSE 'reference' END || ' the **N' || CAST(p_partkey * 7 % 41 AS STRING) || '** module.' END"
 
 
 @query(
-    f"""WITH {_EDGES_CTE}, names AS (SELECT DISTINCT 'n' || s_nationkey AS seg FROM supplier WHERE s_nationkey < 20),
-t AS (SELECT n_nationkey, 'n' || n_nationkey AS x, replace(regexp_extract({_BARE_LINES.replace("upper(n_name)", "'N' || CAST(n_nationkey AS STRING)")}, 'The (N[0-9]+) ', 1), 'N', 'n') AS a,
-  CASE n_nationkey % 4 WHEN 1 THEN 'forbid_reach' ELSE 'forbid_edge' END AS kind, 'n' || (n_nationkey * 7 % 31) AS b FROM nation WHERE n_nationkey % 4 <> 3)
-SELECT 'd' || n_nationkey AS doc_path, kind, a, b FROM t WHERE a IN (FROM names) AND b IN (FROM names) AND a <> b"""
+    """WITH names AS (SELECT DISTINCT 'n' || s_nationkey AS seg FROM supplier),
+t AS (SELECT 'd' || p_partkey AS doc_path, CASE p_partkey % 4 WHEN 1 THEN 'forbid_reach' ELSE 'forbid_edge' END AS kind, 'n' || (p_partkey % 37) AS a, 'n' || (p_partkey * 7 % 41) AS b FROM part WHERE p_partkey % 4 <> 3)
+SELECT * FROM t WHERE a IN (FROM names) AND b IN (FROM names) AND a <> b"""
 )
 def bare_rules(spark, sf_dir):
     """Rules of which no operand is quoted, held against the segments of modules."""
-    said = _BARE_LINES.replace("upper(n_name)", "'N' || CAST(n_nationkey AS STRING)")
-    d = table(spark, sf_dir, "nation").selectExpr("'d' || CAST(n_nationkey AS STRING) AS doc_path", f"{said} AS text")
-    mods = table(spark, sf_dir, "supplier").where("s_nationkey < 20").selectExpr("'lib/n' || CAST(s_nationkey AS STRING) AS module").distinct()
-    return rules.extract_bare_rules(text.lines(d), mods).drop("line_no")
+    d = table(spark, sf_dir, "part").selectExpr("'d' || CAST(p_partkey AS STRING) AS doc_path", f"{_BARE_LINES} AS text")
+    mods = table(spark, sf_dir, "supplier").selectExpr("'lib/n' || CAST(s_nationkey AS STRING) AS module").distinct()
+    return rules.extract_bare_rules(text.doc_lines(d), mods).drop("line_no")
 
 
 _DDL = "'CREATE TABLE IF NOT EXISTS shop.' || p_brand || '_' || CAST(p_partkey AS STRING) || ' (id BIGINT PRIMARY KEY, `Size` INT, price DECIMAL(10,2), CONSTRAINT c CHECK (price > 0), \"x' || CAST(p_size AS STRING) || '\" TEXT)'"
@@ -372,23 +462,26 @@ _DDL = "'CREATE TABLE IF NOT EXISTS shop.' || p_brand || '_' || CAST(p_partkey A
     r"""SELECT lower(regexp_extract(p_brand || '_' || p_partkey, '(\S+)$', 1)) AS name, unnest(['id', 'size', 'price', 'x' || p_size]) AS "column", unnest([0, 1, 2, 3])::INT AS pos FROM part"""
 )
 def ddl_columns(spark, sf_dir):
-    from plumbline.sources import repo
-
     return repo.ddl_tables(table(spark, sf_dir, "part").selectExpr(f"{_DDL} AS text")).withColumn("column", F.col("column"))
 
 
-@query("SELECT DISTINCT 'r' || n_regionkey AS origin, 'n' || n_nationkey || '.rs' AS src, 'lib/n' || (s_suppkey * 7 % 29) AS dst, s_suppkey % 2 = 0 AS directed FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+@query(f"WITH {_DRAWN_CTE} SELECT origin, src, dst, directed FROM dr")
 def mermaid_edges(spark, sf_dir):
     return drawn_edges(spark, sf_dir).distinct()
 
 
 @query(
-    """WITH l AS (SELECT 'part' || (p_partkey % 9) AS id, p_partkey, 'A' || (p_partkey % 3) || '->>B: call' || (p_size % 7) || '(x)' AS line, p_size FROM part)
-SELECT id AS doc_path, row_number() OVER (PARTITION BY id ORDER BY p_partkey)::INT AS step, 'A' || (p_partkey % 3) AS src, 'B' AS dst, 'call' || (p_size % 7) AS call FROM l"""
+    """SELECT 'part' || (p_partkey % 9) AS doc_path, 1 AS start_line, row_number() OVER (PARTITION BY p_partkey % 9 ORDER BY p_partkey)::INT AS step, 'A' || (p_partkey % 3) AS src, 'B' AS dst,
+ CASE WHEN p_partkey % 5 = 0 THEN '42 ' || p_size ELSE 'call' || (p_size % 7) END AS call FROM part WHERE p_partkey % 11 <> 0"""
 )
 def sequence_messages(spark, sf_dir):
-    p = table(spark, sf_dir, "part").selectExpr("'part' || CAST(p_partkey % 9 AS STRING) AS doc_path", "p_partkey AS line_no", "'A' || CAST(p_partkey % 3 AS STRING) || '->>B: call' || CAST(p_size % 7 AS STRING) || '(x)' AS line")
-    return diagrams.messages(p)
+    """Mermaid and PlantUML sequences; lines of control flow are no messages, and a label without a name is the call itself."""
+    line = "CASE WHEN p_partkey % 11 = 0 THEN 'note->>B: call1()' ELSE 'A' || CAST(p_partkey % 3 AS STRING) || CASE p_partkey % 2 WHEN 0 THEN '->>' ELSE '-->' END || 'B: ' || CASE WHEN p_partkey % 5 = 0 THEN '42 ' || CAST(p_size AS STRING) ELSE 'call' || CAST(p_size % 7 AS STRING) || '(x)' END END AS line"
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey % 9 AS g", f"struct(p_partkey, {line}) AS l").groupBy("g").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    head = F.when(F.col("g") % 2 == 0, "```mermaid\nsequenceDiagram\n  participant B\n").otherwise("@startuml\n")
+    tail = F.when(F.col("g") % 2 == 0, "\n```").otherwise("\n@enduml")
+    docs = p.select(F.concat(F.lit("part"), F.col("g").cast("string")).alias("doc_path"), F.concat(head, F.array_join(F.col("ls.line"), "\n"), tail).alias("text"))
+    return diagrams.sequences(diagrams.sources(docs))
 
 
 @query(
@@ -413,8 +506,140 @@ def corpus_quality(spark, sf_dir):
 
 
 @query(
-    """SELECT vec_id, round(list_max(list_transform(range(1, 11), lambda i: exp(embedding[i]::DOUBLE))) / list_sum(list_transform(range(1, 11), lambda i: exp(embedding[i]::DOUBLE))), 9) AS top FROM embeddings"""
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS v FROM embeddings) SELECT vec_id, round(list_max(v) / list_sum(v), 9) AS top FROM e"""
 )
 def softmax_top(spark, sf_dir):
-    ten = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(scalars.softmax(ten)), 9).alias("top"))
+    scores = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(scalars.softmax(scores)), 9).alias("top"))
+
+
+_SPLIT = [("([\\p{Ll}\\p{N}])(\\p{Lu})", 1), ("(\\p{Lu})(\\p{Lu}\\p{Ll})", 1), ("(\\p{L})(\\p{N})", 1), ("(\\p{N})(\\p{L})", 1)]
+
+
+def _subwords_sql(column: str) -> str:
+    cut = column
+    for pattern, _ in _SPLIT:
+        cut = f"regexp_replace({cut}, '{pattern}', '\\1 \\2', 'g')"
+    runs = [f"regexp_extract_all({x}, '([\\p{{L}}\\p{{N}}]+)', 1)" for x in (cut, column)]
+    stop = "','".join(retrieval.STOPWORDS)
+    return f"list_distinct(list_filter(list_transform(list_concat({runs[0]}, {runs[1]}), lambda t: lower(t)), lambda t: octet_length(encode(t)) >= 3 AND t NOT IN ('{stop}')))"
+
+
+_NAMED = "replace(initcap(p_name), ' ', '') || '_' || p_brand || 'v' || CAST(p_size AS STRING) || ' the ' || upper(p_type) || 'Parser'"
+_CAMEL = _NAMED.replace("replace(initcap(p_name), ' ', '')", "upper(substr(p_name, 1, 3)) || substr(p_name, 4)")
+
+
+@query(f"SELECT p_partkey, unnest({_subwords_sql(_CAMEL)}) AS token FROM part")
+def subword_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(retrieval.subwords(F.expr(_CAMEL))).alias("token"))
+
+
+def library(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Symbols and files: a file for each forty parts, in which each part is a function of two lines; one in three is private."""
+    p = table(spark, sf_dir, "part")
+    k = "CAST(floor(p_partkey / 40) AS BIGINT)"
+    cols = ["p_partkey AS idx", f"'lib/g' || CAST({k} % 7 AS STRING) || '/f' || CAST({k} AS STRING) AS module", f"'lib/g' || CAST({k} % 7 AS STRING) || '/f' || CAST({k} AS STRING) || '.py' AS path", "'make' || replace(p_brand, '#', '') || CAST(p_partkey % 1500 AS STRING) AS name"]
+    sym = p.selectExpr(*cols, "CASE WHEN p_partkey % 3 = 0 THEN 'private' ELSE 'public' END AS visibility", "CAST(p_partkey % 40 * 2 + 1 AS INT) AS start", "CAST(p_partkey % 40 * 2 + 2 AS INT) AS end", "p_type AS doc", "CAST(NULL AS STRING) AS signature")
+    sym = sym.withColumn("qualified_name", F.concat_ws("::", "module", "name"))
+    body = sym.select("path", F.struct("start", F.concat(F.lit("def "), "name", F.lit("():\n    return "), F.col("idx").cast("string")).alias("t")).alias("t"))
+    # Lines before the first symbol of a file are blank.
+    files = body.groupBy("path").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    return sym, files.select("path", F.concat(F.repeat(F.lit("\n"), F.col("ts")[0]["start"] - 1), F.array_join(F.col("ts.t"), "\n")).alias("text"))
+
+
+_LIB_CTE = """k AS (SELECT *, (p_partkey // 40) AS k FROM part),
+sym AS (SELECT p_partkey AS idx, 'lib/g' || (k % 7) || '/f' || k AS module, 'lib/g' || (k % 7) || '/f' || k || '.py' AS path, 'make' || replace(p_brand, '#', '') || (p_partkey % 1500) AS name, p_partkey % 3 <> 0 AS public, p_partkey % 40 * 2 + 1 AS start, p_type AS doc FROM k),
+claims AS (SELECT o_orderkey AS claim_id, CASE o_orderkey % 5 WHEN 0 THEN 'Never call `make' || (o_custkey % 1700) || '` here' WHEN 1 THEN 'See `f' || (o_custkey % 60) || '` and `nothing at all` for more'
+ WHEN 2 THEN 'It uses `g' || (o_custkey % 9) || '/f' || (o_custkey % 60) || '::makeBrand' || (o_custkey % 50) || (o_custkey % 1700) || '` too' ELSE 'The ' || lower(o_orderpriority) || ' orders are made of STANDARD and brand' || (o_custkey % 60) || ' parts `x`' END AS text FROM orders),
+tok AS (SELECT claim_id, unnest(regexp_extract_all(text, '`([^`]+)`', 1)) AS token, unnest(range(0, len(regexp_extract_all(text, '`([^`]+)`', 1)))) AS pos FROM claims),
+held AS (SELECT *, module || '::' || name AS qn FROM sym),
+keys AS (SELECT qn AS token, path, idx, qn FROM held UNION SELECT name, path, idx, qn FROM held),
+first AS (SELECT token, qn FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY path, idx, qn) AS r FROM keys) WHERE r = 1),
+runs AS (SELECT DISTINCT module, array_to_string(list_slice(string_split(module, '/'), i, j), '/') AS said FROM sym, range(1, 4) AS x(i), range(1, 4) AS y(j) WHERE i <= j),
+fall AS (SELECT said AS token, min(module) AS module FROM runs GROUP BY said),
+grounded AS (SELECT claim_id, pos::INT AS pos, token, qn AS qualified_name, CASE WHEN qn IS NULL THEN fall.module END AS module FROM tok LEFT JOIN first USING (token) LEFT JOIN fall USING (token) WHERE qn IS NOT NULL OR fall.module IS NOT NULL)"""
+
+
+def library_claims(spark, sf_dir) -> DataFrame:
+    c = "CAST(o_custkey % {0} AS STRING)"
+    said = [
+        f"'Never call `make' || {c.format(1700)} || '` here'", f"'See `f' || {c.format(60)} || '` and `nothing at all` for more'",
+        f"'It uses `g' || {c.format(9)} || '/f' || {c.format(60)} || '::makeBrand' || {c.format(50)} || {c.format(1700)} || '` too'",
+        f"'The ' || lower(o_orderpriority) || ' orders are made of STANDARD and brand' || {c.format(60)} || ' parts `x`'",
+    ]
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS claim_id", f"CASE o_orderkey % 5 WHEN 0 THEN {said[0]} WHEN 1 THEN {said[1]} WHEN 2 THEN {said[2]} ELSE {said[3]} END AS text")
+
+
+@query(f"WITH {_LIB_CTE} SELECT * FROM grounded")
+def claim_grounding(spark, sf_dir):
+    sym, _ = library(spark, sf_dir)
+    return evidence.ground(library_claims(spark, sf_dir), sym, sym.select("module").distinct())
+
+
+_GATHER_CTE = f"""named AS (SELECT claim_id, qualified_name, min(pos) AS pos FROM grounded WHERE qualified_name IS NOT NULL GROUP BY ALL),
+one AS (SELECT claim_id, 3.0 AS score, pos, path, idx, start FROM named JOIN held ON qn = qualified_name),
+pub AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY path, idx) AS n FROM sym WHERE public) WHERE n <= 5),
+two AS (SELECT claim_id, 2.0 AS score, pos, path, idx, start FROM (SELECT claim_id, module, min(pos) AS pos FROM grounded WHERE module IS NOT NULL GROUP BY ALL) JOIN pub USING (module)),
+direct AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+lex AS (SELECT path, idx, start, {_subwords_sql("name || ' ' || module || '::' || name || ' ' || module || '  ' || doc")} AS toks, {_subwords_sql("name")} AS names FROM sym WHERE public),
+lt AS (SELECT path, idx, start, names, unnest(toks) AS token FROM lex), idf AS (SELECT token, ln(1 + (SELECT count(*) FROM lex) / (1 + count(*))) AS idf FROM lt GROUP BY token),
+asked AS (SELECT claim_id, unnest({_subwords_sql("text")}) AS token FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM direct)),
+sc AS (SELECT claim_id, path, idx, start, sum(idf * CASE WHEN list_contains(names, token) THEN 2 ELSE 1 END) AS score FROM asked JOIN idf USING (token) JOIN lt USING (token) GROUP BY ALL),
+three AS (SELECT claim_id, round(score, 9) AS score, pos, path, idx, start FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 9) DESC, path, idx) AS pos FROM sc WHERE score >= 0.5) WHERE pos <= 5),
+every AS (SELECT * FROM direct UNION ALL SELECT * FROM three),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, path, start ORDER BY score DESC, pos, idx) AS n FROM every) WHERE n = 1),
+got AS (SELECT claim_id, path, start, score, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, pos, path, idx)::INT AS rank FROM once QUALIFY rank <= 5)"""
+
+
+def _gathered(spark, sf_dir) -> DataFrame:
+    sym, files = library(spark, sf_dir)
+    claims = library_claims(spark, sf_dir)
+    return evidence.gather(claims, evidence.ground(claims, sym, sym.select("module").distinct()), sym, files)
+
+
+@query(f"WITH {_LIB_CTE}, {_GATHER_CTE} SELECT claim_id, rank, path, start::INT AS start_line, round(score, 6) AS score, md5('def ' || name || '():' || chr(10) || '    return ' || idx) AS digest FROM got JOIN sym USING (path, start)")
+def evidence_tiers(spark, sf_dir):
+    """Bodies that claims name, of modules they name, or nearest by words."""
+    return _gathered(spark, sf_dir).select("claim_id", "rank", "path", "start_line", F.round("score", 6).alias("score"), F.md5("text").alias("digest"))
+
+
+_GOLD = "'lib/g' || CAST(o_custkey % 60 % 7 AS STRING) || '/f' || CAST(o_custkey % 60 AS STRING) || '.py'"
+
+
+@query(
+    f"""WITH {_LIB_CTE}, {_GATHER_CTE}, gold AS (SELECT o_orderkey AS claim_id, {_GOLD} AS path FROM orders), hit AS (SELECT claim_id, min(rank) AS first FROM got JOIN gold USING (claim_id, path) GROUP BY claim_id)
+SELECT round(count(first) / count(*), 9) AS recall_at_k, round(count_if(first = 1) / count(*), 9) AS recall_at_1 FROM gold LEFT JOIN hit USING (claim_id)"""
+)
+def recall_at_k(spark, sf_dir):
+    gold = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS claim_id", f"{_GOLD} AS path")
+    return evidence.recall(_gathered(spark, sf_dir), gold).select(*[F.round(c, 9).alias(c) for c in ("recall_at_k", "recall_at_1")])
+
+
+@query(
+    """WITH f AS (SELECT doc_id, 'f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '_test.py' ELSE '.py' END AS path, CASE doc_id % 6 WHEN 1 THEN 'tests/' WHEN 2 THEN 'lib/test/' ELSE 'src/' END AS folder FROM documents)
+SELECT doc_id, NOT (doc_id % 4 = 0 OR doc_id % 6 IN (1, 2)) AS library FROM f"""
+)
+def library_files(spark, sf_dir):
+    path = "CASE doc_id % 6 WHEN 1 THEN 'Tests/' WHEN 2 THEN 'lib/test/' ELSE 'src/contest/' END || 'f' || CAST(doc_id AS STRING) || CASE doc_id % 4 WHEN 0 THEN '_test.py' ELSE '.py' END"
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.is_library(F.expr(path)).alias("library"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, 'src/d' || doc_id || '.py' AS path, regexp_split_to_array(text, '\s+') AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, len(w) - (w[-1] = '')::INT AS n FROM d),
+s AS (SELECT path, w, n, doc_id % 7 * 3 + 1 AS a, CASE WHEN doc_id % 3 = 0 THEN n ELSE doc_id % 7 * 3 + 20 END AS b FROM f WHERE doc_id % 5 <> 0 UNION ALL SELECT path, w, n, n // 2 + 100, n - 3 FROM f WHERE doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND n > 300),
+p AS (SELECT path, w, a, least(b, n) AS b, least(b, n) - a + 1 > 80 AS cut FROM s WHERE b >= a AND a <= n UNION ALL SELECT path, w, 1, n, true FROM f WHERE (doc_id % 5 = 0 OR (doc_id % 3 = 0 AND n < doc_id % 7 * 3 + 1)) AND n > 0),
+x AS (SELECT path, w, b, a + k * 30 AS a2, CASE WHEN cut THEN least(b, a + k * 30 + 39) ELSE b END AS b2 FROM (SELECT *, unnest(range(0, CASE WHEN cut THEN greatest(ceil((b - a + 1 - 40) / 30.0), 0)::BIGINT + 1 ELSE 1 END)) AS k FROM p))
+SELECT path, a2::INT AS start_line, (b2 - a2 + 1)::INT AS n_lines, md5(array_to_string(list_slice(w, a2, b2), chr(10))) AS digest FROM x WHERE regexp_matches(array_to_string(list_slice(w, a2, b2), ''), '\S')"""
+)
+def symbol_chunks(spark, sf_dir):
+    """Each document as a file with a word a line; of some a symbol or two, one within another, of others none."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.regexp_replace("text", r"\s+", "\n").alias("text"))
+    lines = F.split("text", "\n", -1)
+    n = (F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)).alias("n")
+    some = d.where("doc_id % 5 <> 0").select("path", "doc_id", n)
+    first = some.selectExpr("path", "doc_id % 7 * 3 + 1 AS start", "CASE WHEN doc_id % 3 = 0 THEN n ELSE doc_id % 7 * 3 + 20 END AS end")
+    inner = some.selectExpr("path", "doc_id % 7 * 3 + 3 AS start", "doc_id % 7 * 3 + 5 AS end").join(first.where("end >= start + 10").select("path"), "path")
+    second = some.where("doc_id % 3 <> 0 AND n > 300").selectExpr("path", "CAST(floor(n / 2) AS BIGINT) + 100 AS start", "CAST(n - 3 AS BIGINT) AS end")
+    spans = first.union(inner).union(second).selectExpr("path", "CAST(start AS INT) AS start", "CAST(end AS INT) AS end")
+    return evidence.symbol_chunks(d.select("path", "text"), spans).select("path", "start_line", "n_lines", F.md5("chunk").alias("digest"))

@@ -144,6 +144,45 @@ def test_paths(told):
     assert not any("dead" in c or "never" in c or "lib/a" in c or "ignored" in c for _, c in told)
 
 
+def test_hidden_and_underscored_files_exist(spark, tmp_path):
+    named = ["src/pkg/__init__.py", "src/pkg/_util.py", ".github/workflows/ci.yml", "src/pkg/main.py"]
+    for name in named:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("from ._util import x\n\n\ndef start(): pass\n")
+    for folder in ("empty/inner", "node_modules/x", "target"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "target/app.js").write_text("x")
+    (tmp_path / "bin.py").write_bytes(b"\xff\xfe")
+    (tmp_path / "README.md").write_text("See " + ", ".join(f"`{n}`" for n in [*named, "target/app.js", "./bin.py", "x/bin.py"]) + ".\n")
+    files = repo.files(spark, str(tmp_path))
+    assert {r["path"] for r in repo.paths(files).collect()} >= {*named, "empty", "empty/inner", ".github"}
+    assert not any(r["path"].startswith(("node_modules", "target")) for r in files.collect())
+    c = repository.Context(spark, str(tmp_path))
+    got = {r["claim"].split("`")[1]: r["verdict"] for r in repository.paths(c).collect()}
+    assert got == {n: "supported" for n in [*named, "target/app.js", "./bin.py"]} | {"x/bin.py": "stale"}
+    assert {r["path"] for r in c.symbols.collect()} == {"src/pkg/__init__.py", "src/pkg/_util.py", "src/pkg/main.py"}
+    assert "src/pkg/__init__" in {r["module"] for r in c.symbols.collect()}
+    assert repository.check(spark, str(tmp_path), "README.md", min_severity="error", save=False).findings.where("verdict <> 'supported'").count() == 1
+
+
+def test_labelled_state_diagrams_are_no_sequences(spark, tmp_path):
+    (tmp_path / "app.py").write_text("def run():\n    boot()\n    start()\n    stop()\n\n\ndef boot(): pass\n\n\ndef start(): pass\n\n\ndef stop(): pass\n")
+    (tmp_path / "README.md").write_text("`run`\n```mermaid\nstateDiagram-v2\n  Idle --> Ready : boot\n  Ready --> Running : start\n  Running --> Idle : stop\n```\n")
+    c = repository.Context(spark, str(tmp_path))
+    assert repository.shapes(c).count() == 0
+    (tmp_path / "README.md").write_text("```mermaid\nsequenceDiagram\n  A->>B: boot()\n  A->>B: start()\n  A->>B: stop()\n```\n")
+    assert [r["verdict"] for r in repository.shapes(repository.Context(spark, str(tmp_path))).collect()] == ["supported"] * 3
+
+
+def test_judge_in_a_check(spark, tmp_path):
+    (tmp_path / "app.py").write_text("def run_jobs(jobs):\n    return sorted(jobs)\n")
+    (tmp_path / "README.md").write_text("The `run_jobs` function sorts all of its jobs.\n\nThe `run_jobs` function deletes all of its jobs.\n\nThe `nowhere` thing is not found in any code.\n")
+    scorer = lambda p: p.select("claim_id", F.when(F.col("text").contains("deletes"), 0.9).otherwise(0.0).alias("contra"), F.when(F.col("text").contains("sorts"), 0.9).otherwise(0.0).alias("entail"), F.lit(0.1).alias("neutral"))
+    out = repository.check(spark, str(tmp_path), min_severity="note", save=False, scorer=scorer)
+    got = {r["claim"].split()[3]: (r["verdict"], r["anchors"]) for r in out.findings.where("check = 'judge'").collect()}
+    assert got == {"sorts": ("supported", ["app::run_jobs"]), "deletes": ("contradicted", ["app::run_jobs"]), "is": ("unverifiable", [])}
+
+
 def test_commands_flags_and_variables(told):
     assert told["commands", "runs `npm run build`"] == "supported"
     assert told["commands", "runs `npm run missing`"] == "stale"
@@ -165,7 +204,22 @@ def test_constants_and_references(told):
 def test_rules(told):
     assert told["rules", "forbid_edge src/app src/store"] == "contradicted"
     assert told["rules", "forbid_edge src/store src/app"] == "supported"
-    assert told["rules", "forbid_symbol eval"] == "contradicted"
+    assert told["rules", "forbid_symbol eval except src/store"] == "contradicted"
+
+
+def test_clean_rules_and_reports(spark, tmp_path):
+    (tmp_path / "app.py").write_text("import lib\n\n\ndef start():\n    return lib.go()\n")
+    (tmp_path / "lib.py").write_text("def go():\n    return eval('1')\n")
+    (tmp_path / "README.md").write_text("Never use `eval` outside `lib`.\n\nNever call `exec`.\n\n`lib` must not transitively reach `app`.\n\nThe app module must not import the lib module.\n")
+    c = repository.Context(spark, str(tmp_path))
+    got = {r["claim"]: (r["verdict"], r["anchors"]) for r in repository.architecture(c).collect()}
+    assert got == {"forbid_symbol eval except lib": ("supported", ["app"]), "forbid_symbol exec": ("supported", ["app", "lib"]), "forbid_reach lib app": ("supported", ["lib", "app"])}
+    audited = repository.audit(spark, str(tmp_path))
+    rows = json.loads(repository.rules_report(audited, "sarif"))
+    assert {(r["rule"], r["status"], r["experimental"]) for r in rows} == {
+        ("forbid symbol `eval` (except `lib`)", "holds", False), ("forbid symbol `exec`", "holds", False), ("`lib` ✗⇢ `app` (transitive)", "holds", False), ("`app` ✗→ `lib`", "violated", True),
+    }
+    assert repository.rules_report(audited).endswith("3 hold, 1 violated, 0 ungrounded")
 
 
 def test_diagrams(told):
@@ -179,8 +233,9 @@ def test_diagrams(told):
     assert steps["step 1 Store"] == "undocumented" and steps["step 2 load"] == "supported"
 
 
-def test_coverage(told, spark, root):
+def test_coverage(told, outcome, spark, root):
     missing = {c for (k, c), v in told.items() if k == "coverage"}
+    assert {r["detail"] for r in outcome.findings.where("check = 'coverage' AND claim = 'function `go`'").collect()} == {"undocumented: public function `go` (1 caller, 1 commit)"}
     assert "function `go`" in missing and "function `start`" not in missing and not any("_hidden" in c for c in missing)
     rows = repository.coverage(repository.Context(spark, root)).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
@@ -236,6 +291,20 @@ def test_symbols_of_braced_languages(spark):
     assert got["m::f"]["visibility"] == "public" and got["m::h"]["visibility"] == "internal"
 
 
+def test_components_conditions_and_long_imports(spark):
+    tsx = "import {\n  A,\n} from './a';\nexport function Page(p) {\n  const x = p.ok ? load(p) : null;\n  switch (x.kind) {\n    case 1: return <div><Login id={go()}/></div>;\n  }\n  while (more(x)) { step(x); }\n  if (x > 1) return <Route.Item/>;\n}\n"
+    rust = "use crate::util::{\n    go,\n    stop,\n};\npub fn run(n: u32) {\n    match n {\n        1 => go(),\n        _ => stop(),\n    }\n    while n > 2 {\n        go();\n    }\n}\n"
+    texts = spark.createDataFrame([("p.tsx", "src/p", "tsx", tsx), ("src/r.rs", "src/r", "rust", rust), ("q.py", "pkg/q", "python", "import os, pkg.n as m\nfrom pkg.k import (\n    a,\n)\nif a: pass\n")], "path string, module string, language string, text string")
+    got = {r["qualified_name"]: r for r in code.symbols(texts).collect()}
+    assert got["src/p::Page"]["calls"] == ["load", "Login", "go", "more", "step"]
+    assert got["src/p::Page"]["predicates"] == ["more(x)", "p.ok", "x > 1", "x.kind"]
+    assert got["src/r::run"]["predicates"] == ["n", "n > 2"]
+    found = {(r["from_module"], r["raw"]) for r in code.imports(texts).collect()}
+    assert found == {("src/p", "./a"), ("src/r", "crate::util::{ go, stop, }"), ("pkg/q", "os"), ("pkg/q", "pkg.n"), ("pkg/q", "pkg.k")}
+    edges = code.module_edges(code.imports(texts), spark.createDataFrame([(m,) for m in ("src/a", "src/util", "pkg/n", "pkg/k")], "module string")).collect()
+    assert {tuple(r) for r in edges} == {("src/p", "src/a"), ("src/r", "src/util"), ("pkg/q", "pkg/n"), ("pkg/q", "pkg/k")}
+
+
 @pytest.mark.parametrize(
     ("language", "module", "raw", "modules", "want"),
     [
