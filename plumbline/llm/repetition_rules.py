@@ -1,10 +1,13 @@
 """Quality rules: repetition inside a document, from its suffix array.
 
-The text is taken as words. The suffix array is built by prefix doubling in which
-only suffixes that are not yet told apart are sorted again; adjacent common
-prefixes come from the ranks kept for each doubling. Intervals of common prefixes
-of at least MIN_WORDS give the maximal repeated substrings; the union of their
-spans, as a fraction of the characters, and the longest of them are limited.
+The text is taken as words, whatever their length. A text of which most is written
+without white space, its words having more than SPACELESS characters on average, is
+taken character by character instead, and WORD_CHARS characters count as a word. The
+suffix array is built by prefix doubling in which only suffixes that are not yet told
+apart are sorted again; adjacent common prefixes come from the ranks kept for each
+doubling. Intervals of common prefixes of at least MIN_WORDS give the maximal repeated
+substrings; the union of their spans, as a fraction of the characters, and the longest
+of them are limited.
 """
 
 from __future__ import annotations
@@ -20,17 +23,19 @@ from .common import chunks, id_and_text, keep_rows
 
 #: Words that a repeated substring has at least.
 MIN_WORDS = 4
-#: A longer run without white space is taken character by character.
-LONG_RUN = 32
+#: Mean characters of a text's words beyond which the text is written without white space.
+SPACELESS = 32
+#: Characters that count as a word in such a text.
+WORD_CHARS = 6
 MAX_COVERED = 0.4
 MAX_LONGEST = 100
 
 
-def words(text: str) -> list[str]:
-    out = text.split()
-    if any(len(w) > LONG_RUN for w in out):
-        out = [x for w in out for x in ([w] if len(w) <= LONG_RUN else w)]
-    return out
+def units(text: str) -> tuple[list[str], int]:
+    """The words of a text, or its visible characters if it is written without white space, and how many make a word."""
+    words = text.split()
+    chars = sum(map(len, words))
+    return (list("".join(words)), WORD_CHARS) if chars > SPACELESS * len(words) else (words, 1)
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -46,7 +51,7 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     slot = np.arange(n)
     start = np.maximum.accumulate(np.where(new, slot, 0))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 2**31 else np.int64)
     rank[order] = start
     ranks = [rank]
     alone = new & np.append(new[1:], True)
@@ -54,7 +59,7 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     h = 1
     while len(slots):
         at = order[slots]
-        key = rank[at] * (n + 1) + rank[at + h]
+        key = rank[at].astype(np.int64) * (n + 1) + rank[at + h]
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         order[slots] = at
@@ -111,10 +116,19 @@ def maximal_repeats(order: np.ndarray, prefix: np.ndarray, left: np.ndarray) ->
 
 def measure(texts: list[str], least: int = MIN_WORDS) -> list[tuple[float, int, int]]:
     """For each text: the fraction of its characters in repeats, the longest repeat in words, the maximal repeats."""
-    parts = [words(t) for t in texts]
+    found = [units(t) for t in texts]
+    result: list[tuple[float, int, int]] = [(0.0, 0, 0)] * len(texts)
+    for size in {k for _, k in found}:
+        at = [i for i, (_, k) in enumerate(found) if k == size]
+        for i, (covered, longest, number) in zip(at, _measure([found[i][0] for i in at], least * size)):
+            result[i] = covered, longest // size, number
+    return result
+
+
+def _measure(parts: list[list[str]], least: int) -> list[tuple[float, int, int]]:
     sizes = np.array([len(p) for p in parts], np.int64)
     full = np.flatnonzero(sizes)
-    result: list[tuple[float, int, int]] = [(0.0, 0, 0)] * len(texts)
+    result: list[tuple[float, int, int]] = [(0.0, 0, 0)] * len(parts)
     if not len(full):
         return result
     ids: list[int] = []
@@ -156,9 +170,14 @@ def repetition(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: i
     """doc_id, covered_fraction, longest_repeat (words), n_repeats and keep for each row; no shuffle.
 
     A document is kept if at most ``max_covered`` of its characters lie in repeats
-    of MIN_WORDS words or more, and no repeat has more than ``max_longest`` words.
-    A null, empty or blank text repeats nothing: its measures are 0 and it is kept.
-    Texts are taken whole. Extra columns are ignored; repeated rows stay.
+    of MIN_WORDS words or more, and no repeat has more than ``max_longest`` words. A
+    word is a run without white space of any length, so a text that cites a long URL
+    twice repeats one word. Only a text whose runs have more than SPACELESS characters
+    on average is taken by characters, WORD_CHARS of which are a word (whole words in
+    ``longest_repeat``). A null, empty or blank text repeats nothing: its measures are
+    0 and it is kept. Texts are taken whole, and a worker holds 4 bytes for each word of
+    a text and each doubling of the longest repeat. Extra columns are ignored; repeated
+    rows stay, and an empty table gives no rows.
     """
     source = id_and_text(docs)
     schema = T.StructType(
@@ -185,5 +204,5 @@ def repetition(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: i
 
 
 def unrepetitive(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``repetition`` keeps."""
+    """The rows of ``docs``, all columns, that ``repetition`` keeps; repeated rows stay, an empty table gives no rows."""
     return keep_rows(docs, lambda texts: _kept(measure([t or "" for t in texts]), max_covered, max_longest))
