@@ -13,11 +13,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, id_and_text
+from .common import chunks, id_and_text, written
 
 #: SHA-256 blocks for each paragraph; each gives 16 lanes.
 BLOCKS = 8
@@ -66,7 +66,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs and fingerprint (hexadecimal) for each row of ``docs``; no shuffle.
 
     A text without paragraphs has the zero state. A null text has a null count and
-    fingerprint. Extra columns are ignored and repeated rows stay.
+    fingerprint. Texts are taken whole. Extra columns are ignored, repeated rows stay
+    and an empty table gives no rows.
     """
     source = id_and_text(docs)
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_paragraphs", T.LongType()), T.StructField("fingerprint", T.StringType())])
@@ -94,19 +95,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def equal_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints with ``same_as``, the least doc_id of equal fingerprint, and ``n_equal`` rows of it.
 
-    Only ids and digests are shuffled. Rows of null fingerprint are equal to none:
-    their ``same_as`` and ``n_equal`` are null. Null doc_ids never become ``same_as``
-    unless all of the group are null.
+    Fingerprints are written once and known by a digest of 128 bits. Least ids and
+    counts are aggregated before they are shuffled, however many rows share a
+    fingerprint, and only fingerprints of several rows are joined back. Rows of null
+    fingerprint are equal to none: their ``same_as`` and ``n_equal`` are null. Null
+    doc_ids never become ``same_as`` unless all of the group are null. Repeated rows
+    count and stay; extra columns are ignored; an empty table gives no rows.
     """
-    w = Window.partitionBy("fingerprint", F.when(F.col("fingerprint").isNull(), F.col("doc_id")))
-    known = F.col("fingerprint").isNotNull()
-    return fingerprints(docs).select(
-        "doc_id",
-        "n_paragraphs",
-        "fingerprint",
-        F.when(known, F.min("doc_id").over(w)).alias("same_as"),
-        F.when(known, F.count(F.lit(1)).over(w)).alias("n_equal"),
-    )
+    found = written(fingerprints(docs).withColumn("digest", F.unhex(F.md5("fingerprint"))), "fingerprints")
+    count, least = F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")
+    several = written(found.where("digest IS NOT NULL").groupBy("digest").agg(least, count).where("n > 1"), "equal")
+    columns = [F.col(c) for c in ("doc_id", "n_paragraphs", "fingerprint")]
+    known = found.where("digest IS NOT NULL").join(several, "digest", "left")
+    known = known.select(*columns, F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("same_as"), F.coalesce("n", F.lit(1).cast("long")).alias("n_equal"))
+    none = found.where("digest IS NULL").select(*columns, F.lit(None).cast(found.schema["doc_id"].dataType).alias("same_as"), F.lit(None).cast("long").alias("n_equal"))
+    return known.unionByName(none)
 
 
 ORACLE_SQL = f"""
