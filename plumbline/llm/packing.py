@@ -87,14 +87,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITE
     gives another measure. A text longer than the capacity is cut into pieces of the
     capacity, each a window of its own, and a rest that is packed with the others.
     A null or empty text has no piece. Repeated rows are packed as often as they
-    occur; equal lengths are taken in order of doc_id. An empty table gives no rows.
-    Only ids and lengths are shuffled.
+    occur; equal lengths are taken in order of doc_id. Extra columns are ignored; an
+    empty table gives no rows. Only ids and lengths are shuffled, rows that are alike in
+    both as one row with their number; no block gets more than ``block_items`` of these
+    for each time it is drawn.
     """
     size = (F.length("text") if length is None else length).cast("long")
     items = docs.select(F.col("doc_id"), size.alias("size")).where("size > 0")
-    whole = items.where(F.col("size") >= capacity).groupBy("doc_id", "size").count()
-    whole = whole.select("doc_id", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    whole = whole.select("doc_id", "size", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / capacity) - 1)).alias("piece"))
+    sized = items.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    # Numbers of copies in two steps, so that no row holds more than ``block_items`` of them.
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_items)))
+    dealt = sized.select("doc_id", "size", "n", part.alias("part")).withColumn("copies", F.least(F.lit(block_items).cast("long"), F.col("n") - F.col("part") * block_items))
+    whole = dealt.where(F.col("size") >= capacity).select("doc_id", "size", "part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    whole = whole.select("doc_id", "size", (F.col("part") * block_items + F.col("copy")).alias("copy"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / capacity) - 1)).alias("piece"))
     whole = whole.select(
         F.format_string("w%s.%d.%d.%d", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "copy", "piece").alias("window_id"),
         "doc_id",
@@ -104,8 +109,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITE
         F.lit(capacity).cast("long").alias("window_length"),
     )
     n_blocks = max(1, -(-docs.count() // block_items))
-    rest = items.select("doc_id", (F.col("size") - F.col("size") % capacity).alias("start"), (F.col("size") % capacity).alias("length")).where("length > 0")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(n_blocks)))
+    rest = dealt.select("doc_id", (F.col("size") - F.col("size") % capacity).alias("start"), (F.col("size") % capacity).alias("length"), "copies", "part").where("length > 0")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "length", "part"), F.lit(n_blocks))).drop("part")
     schema = T.StructType(
         [
             T.StructField("window_id", T.StringType()),
@@ -118,6 +123,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITE
     )
 
     def block(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy())))
         table = table.take(pc.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
         lengths = table.column("length").to_numpy()
         at = windows(lengths, capacity)
