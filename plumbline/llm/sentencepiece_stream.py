@@ -87,6 +87,8 @@ class Model:
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.merges = PrefixEncoder({p: -s for p, s in self.scores.items()})
+        #: Ids by the numbers that the merges give to pieces.
+        self.numbered = [-1, *self.ids.values()]
         # Characters that are part of no piece but their own: no arc crosses them.
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         self.walls = "".join(c for c in "\n\t\r" if c not in inner)
@@ -196,6 +198,24 @@ class StreamingViterbi:
         self._restart()
         return out
 
+    def within(self, part: str) -> list[int]:
+        """Ids of a whole text that is no longer than the window, so that nothing of it is committed before its end."""
+        m = self.model
+        if m.kind != BPE:
+            return self.feed(part) + self.finish()
+        last, back = [0], [0]
+        m.merges.extend(part, last, back)
+        out: list[int] = []
+        i, known, ids = len(part), len(m.numbered), m.numbered
+        while i:
+            number, j = last[i], back[i]
+            if number < known:
+                out.append(ids[number])
+            else:
+                out += m.unknown_ids(part[j:i])[::-1]
+            i = j
+        return out[::-1]
+
 
 class Encoder:
     """Encodes unit by unit. A unit ends where no piece reaches across, so all paths meet there and it can be remembered."""
@@ -207,10 +227,12 @@ class Encoder:
         spaced = all(SPACE not in p.lstrip(SPACE) for p in model.ids)
         self.units = re.compile(f"{SPACE}*[^{SPACE}{w}]+|{SPACE}+" + (f"|[{w}]" if w else "") if spaced else r"(?s).+")
         self.search = StreamingViterbi(model)
+        self.window = 2 * model.longest
         self.memo = Memo(self._unit)
 
     def _unit(self, unit: str) -> bytes:
-        return array("i", self.search.feed(unit) + self.search.finish()).tobytes()
+        search = self.search
+        return array("i", search.within(unit) if len(unit) <= self.window else search.feed(unit) + search.finish()).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         units = self.units.findall(self.model.normalized(text))
@@ -233,7 +255,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     ``round_trip`` tells that decoding the ids gives the text back (a U+2581 in a text
     counts as the space it stands for). A null text has nulls, an empty one no ids.
-    Whole texts are encoded. Extra columns are ignored and repeated rows stay.
+    Whole texts are encoded. Extra columns are ignored, repeated rows stay and an empty
+    table gives no rows. Paths of equal score are told apart by their last piece: the
+    longest wins.
     """
     with open(model, "rb") as f:
         shared = broadcast_value(docs.sparkSession, f.read())
