@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import flag_spellings
+from plumbline.functions.text import canonical_int, flag_spellings
 from plumbline.operators.match import existing
 
 
@@ -77,6 +77,21 @@ def check_references(references: DataFrame, names: DataFrame, anchors: DataFrame
     return out.select("doc_path", "line_no", "reference", verdict(F.coalesce("__member_ok", "__type_ok", F.lit(False))))
 
 
+def literals(symbols: DataFrame) -> DataFrame:
+    """Distinct (name, vtype, vkey) of the constants (name, constants) that can be compared: booleans, whole numbers and
+    plain strings, without the quotes and prefixes of their language."""
+    one = symbols.select("name", F.explode("constants").alias("raw"))
+    quoted = F.col("raw").rlike(r"""^[A-Za-z]{0,2}(["'`])[^\\{}$\s]+\1$""")
+    inner = F.concat(F.lit('"'), F.regexp_extract("raw", r"""^[A-Za-z]{0,2}["'`](.*)["'`]$""", 1), F.lit('"'))
+    low, number = F.lower("raw"), canonical_int(F.col("raw"))
+    kinds = F.array(
+        F.when(low.isin("true", "false"), F.struct(F.lit("bool").alias("vtype"), low.alias("vkey"))),
+        F.when(~F.col("raw").startswith('"') & number.isNotNull(), F.struct(F.lit("int").alias("vtype"), number.alias("vkey"))),
+        F.when(quoted, F.struct(F.lit("str").alias("vtype"), inner.alias("vkey"))),
+    )
+    return one.select("name", F.explode(F.filter(kinds, lambda v: v.isNotNull())).alias("v")).select("name", "v.vtype", "v.vkey").distinct()
+
+
 def check_constants(claims: DataFrame, literals: DataFrame) -> DataFrame:
     """(doc_path, line_no, symbol, vkey, verdict): supported if a literal of the claimed type is the claimed value,
     contradicted if there is exactly one and it is another.

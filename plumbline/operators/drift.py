@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.match import suffixes
+
 #: verdict -> credit, weight, severity (3 error, 2 warning, 1 note)
 VERDICTS = {"supported": (1, 1, 1), "contradicted": (0, 3, 3), "stale": (0, 2, 3), "undocumented": (0, 1, 1), "unverifiable": (0, 0, 2)}
 SEVERITIES = {"note": 1, "warning": 2, "error": 3}
@@ -87,6 +89,18 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.where("verdict <> 'supported'").select(F.col("verdict").alias("rule_id"), level.alias("level"), F.col("claim").alias("message"), path.alias("uri"), line.alias("start_line"))
 
 
+def claim_modules(claims: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, verdict, modules): where each claim (id, verdict, anchors) counts, by symbols (qualified_name, name, module, path).
+
+    An anchor is the name of a symbol or module, else a path or the end of one that holds
+    symbols and so the first such path's module, else it stands for itself.
+    """
+    named = symbols.select(F.explode(F.array_distinct(F.array("qualified_name", "name", "module"))).alias("anchor"), "module").distinct()
+    owned = symbols.select("path", "module").distinct().select("path", "module", F.explode(suffixes(F.col("path"))).alias("anchor")).groupBy("anchor").agg(F.min_by("module", "path").alias("owner"))
+    each = claims.select("id", "verdict", F.explode_outer("anchors").alias("anchor")).join(named, "anchor", "left").join(owned, "anchor", "left")
+    return each.groupBy("id", "verdict").agg(F.collect_set(F.coalesce("module", "owner", "anchor")).alias("modules"))
+
+
 def agreement(told: DataFrame) -> DataFrame:
     """(precision, recall, accuracy) of ``said`` against ``gold``, both boolean; 1 where nothing counts."""
     both = F.count_if(F.col("said") & F.col("gold"))

@@ -37,14 +37,17 @@ def inverse_frequency(entries: DataFrame) -> DataFrame:
 def lexical(queries: DataFrame, entries: DataFrame, k: int, least: float = LEAST_LEXICAL) -> DataFrame:
     """(query_id, rank, id, score): the k entries (id, tokens, names) that share the rarest tokens with a query (query_id, tokens).
 
-    A token that is also in the entry's ``names`` counts twice.
+    A token that is also in the entry's ``names`` counts twice. Queries of equal tokens are
+    scored once.
     """
     idf = inverse_frequency(entries).select("token", "idf")
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).join(idf, "token")
+    asked = queries.select("query_id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).withColumn("set", F.md5(F.array_join("tokens", "\0")))
+    sets = asked.select("set", "tokens").dropDuplicates(["set"]).select("set", F.explode("tokens").alias("token")).join(idf, "token")
     held = entries.select("id", F.explode(F.array_distinct("tokens")).alias("token"), "names")
     held = held.select("id", "token", F.when(F.array_contains("names", F.col("token")), 2.0).otherwise(1.0).alias("w"))
-    scores = asked.join(held, "token").groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("score")).where(F.col("score") >= least)
-    return top(scores, k)
+    scores = sets.join(held, "token").groupBy("set", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("score")).where(F.col("score") >= least)
+    best = top(scores.withColumnRenamed("set", "query_id"), k).withColumnRenamed("query_id", "set")
+    return asked.select("query_id", "set").join(best, "set").select("query_id", "rank", "id", "score")
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

@@ -89,14 +89,21 @@ class Context:
     def diagrams(self) -> DataFrame:
         return cut(diagrams.sources(self.docs))
 
+    @cached_property
+    def manifest_texts(self) -> DataFrame:
+        return cut(repo.manifest_files(self.files))
+
+    @cached_property
+    def bins(self) -> DataFrame:
+        return repo.cargo_bins(self.manifest_texts, self.files.where("NOT folder").select("path"))
+
     @cached_property
     def manifests(self) -> DataFrame:
-        scripts, _ = repo.npm_manifests(self.files)
-        return cut(scripts.union(repo.make_targets(self.files)).union(repo.cargo_bins(self.files)))
+        return cut(repo.npm_manifests(self.manifest_texts)[0].union(repo.make_targets(self.manifest_texts)).union(self.bins))
 
     @cached_property
     def binaries(self) -> DataFrame:
-        return repo.npm_manifests(self.files)[1].select("name").union(repo.cargo_bins(self.files).select("name")).distinct()
+        return repo.npm_manifests(self.manifest_texts)[1].select("name").union(self.bins.select("name")).distinct()
 
 
 def findings(df: DataFrame, check: str, claim, detail=None, anchors=None, doc=None) -> DataFrame:
@@ -145,16 +152,7 @@ def references(c: Context) -> DataFrame:
 
 
 def constants(c: Context) -> DataFrame:
-    one = c.symbols.select("name", F.explode("constants").alias("raw"))
-    quoted = F.col("raw").rlike(r"""^[A-Za-z]{0,2}(["'`])[^\\{}$\s]+\1$""")
-    low = F.lower("raw")
-    kinds = F.array(
-        F.when(low.isin("true", "false"), F.struct(F.lit("bool").alias("vtype"), low.alias("vkey"))),
-        F.when(~F.col("raw").startswith('"') & text.canonical_int(F.col("raw")).isNotNull(), F.struct(F.lit("int").alias("vtype"), text.canonical_int(F.col("raw")).alias("vkey"))),
-        F.when(quoted, F.struct(F.lit("str").alias("vtype"), F.concat(F.lit('"'), F.regexp_extract("raw", r"""^[A-Za-z]{0,2}["'`](.*)["'`]$""", 1), F.lit('"')).alias("vkey"))),
-    )
-    literals = one.select("name", F.explode(F.filter(kinds, lambda v: v.isNotNull())).alias("v")).select("name", "v.vtype", "v.vkey").distinct()
-    found = checks.check_constants(text.constant_claims(c.lines), literals)
+    found = checks.check_constants(text.constant_claims(c.lines), checks.literals(c.symbols))
     return findings(found, "constants", F.concat_ws(" ", _code("symbol"), F.lit("is"), "vkey"), anchors=F.array("symbol"))
 
 
@@ -337,11 +335,7 @@ def check(
     moved = claims.where("dirty").join(before.select("id", F.col("facts_hash").alias("old")), "id").where("facts_hash <> old")
     flagged = moved.select(F.lit("unverifiable").alias("verdict"), "claim", "doc_path", F.lit("the code it tells of behaves otherwise now").alias("detail"), "anchors", F.lit("drift").alias("check"))
     score = drift.score(claims).first()["score"]
-    owned = c.symbols.select("path", "module", F.explode(match.suffixes(F.col("path"))).alias("anchor")).groupBy("anchor").agg(F.min_by("module", "path").alias("module"))
-    named = c.symbols.select(F.explode(F.array_distinct(F.array("qualified_name", "name", "module"))).alias("anchor"), "module").distinct()
-    # An anchor is a symbol or module, else a path of the module that owns it, else stands for itself.
-    placed = claims.select("id", "verdict", F.explode_outer("anchors").alias("anchor")).join(named, "anchor", "left").join(owned.withColumnRenamed("module", "owner"), "anchor", "left")
-    placed = placed.groupBy("id", "verdict").agg(F.collect_set(F.coalesce("module", "owner", "anchor")).alias("modules"))
+    placed = drift.claim_modules(claims, c.symbols)
     modules = drift.module_scores(placed)
     old_score = os.path.join(own, "score.json")
     regressed = False

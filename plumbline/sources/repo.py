@@ -117,27 +117,47 @@ def documents(all_files: DataFrame, only: str | None = None) -> DataFrame:
     return _read(out).withColumnRenamed("path", "doc_path")
 
 
+def language_of(path: Column) -> Column:
+    """The language of a code file by its extension; null where it isn't parsed."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), _extension(path))
+
+
+def module_of(path: Column) -> Column:
+    """A file's path without its extension."""
+    return F.regexp_replace(path, r"\.[^./]+$", "")
+
+
+def is_code(path: Column, size: Column) -> Column:
+    return _extension(path).isin(*CODE) & (size <= LARGEST)
+
+
 def code(all_files: DataFrame) -> DataFrame:
     """(path, module, language, text) of code files; the language is null where it isn't parsed."""
-    ext = _extension(F.col("path"))
-    language = F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext)
-    module = F.regexp_replace("path", r"\.[^./]+$", "")
-    return _read(all_files.where(ext.isin(*CODE) & (F.col("size") <= LARGEST)).withColumns({"module": module, "language": language}))
+    path = F.col("path")
+    return _read(all_files.where(is_code(path, F.col("size"))).withColumns({"module": module_of(path), "language": language_of(path)}))
 
 
 def dot_files(all_files: DataFrame) -> DataFrame:
     return _read(all_files.where(_extension(F.col("path")).isin("dot", "gv") & (F.col("size") <= LARGEST))).withColumnRenamed("path", "doc_path")
 
 
-def _named(all_files: DataFrame, *names: str) -> DataFrame:
+MANIFESTS = ("Cargo.toml", "GNUmakefile", "Makefile", "makefile", "package.json")
+
+
+def manifest_files(all_files: DataFrame) -> DataFrame:
+    """(path, text) of the files that declare commands."""
+    return _read(all_files.where(F.element_at(F.split("path", "/"), -1).isin(*MANIFESTS)))
+
+
+def _named(texts: DataFrame, *names: str) -> DataFrame:
     base = F.element_at(F.split("path", "/"), -1)
     folder = F.regexp_replace(F.regexp_replace("path", "[^/]+$", ""), "/$", "")
-    return _read(all_files.where(base.isin(*names)).withColumns({"dir": folder, "base": base}))
+    return texts.select("path", "text", folder.alias("dir"), base.alias("base")).where(F.col("base").isin(*names))
 
 
-def npm_manifests(all_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(dir, kind, name) of scripts, and (dir, name) of binaries, in package.json files that parse."""
-    found = _named(all_files, "package.json").withColumn("j", F.try_parse_json("text")).where("j IS NOT NULL")
+def npm_manifests(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dir, kind, name) of scripts, and (dir, name) of binaries, in the package.json files (path, text) that parse."""
+    found = _named(texts, "package.json").withColumn("j", F.try_parse_json("text")).where("j IS NOT NULL")
     scripts = found.select("dir", F.lit("npm").alias("kind"), F.explode(F.json_object_keys(F.get_json_object("text", "$.scripts"))).alias("name"))
     bin_, name = F.get_json_object("text", "$.bin"), F.get_json_object("text", "$.name")
     keys = F.json_object_keys(bin_)
@@ -145,10 +165,10 @@ def npm_manifests(all_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scripts, bins
 
 
-def make_targets(all_files: DataFrame) -> DataFrame:
-    """(dir, kind, name) of the targets of each folder's Makefile, and of what .PHONY lists."""
+def make_targets(texts: DataFrame) -> DataFrame:
+    """(dir, kind, name) of the targets of each folder's Makefile (path, text), and of what .PHONY lists."""
     rank = F.array_position(F.array(F.lit("Makefile"), F.lit("makefile"), F.lit("GNUmakefile")), F.col("base"))
-    first = _named(all_files, "Makefile", "makefile", "GNUmakefile").groupBy("dir").agg(F.min_by("text", rank).alias("text"))
+    first = _named(texts, "Makefile", "makefile", "GNUmakefile").groupBy("dir").agg(F.min_by("text", rank).alias("text"))
     rule = r"^([-_./% 0-9A-Za-z]+):(?:$|[^=])(.*)$"
     rows = first.select("dir", F.explode(F.split("text", "\r?\n")).alias("line")).where(F.col("line").rlike(rule))
     names = F.split(F.trim(F.regexp_extract("line", rule, 1)), r"\s+")
@@ -156,16 +176,18 @@ def make_targets(all_files: DataFrame) -> DataFrame:
     return rows.select("dir", F.lit("make").alias("kind"), F.explode(F.concat(names, more)).alias("name")).where("name <> ''").distinct()
 
 
-def cargo_bins(all_files: DataFrame) -> DataFrame:
-    """(dir, kind, name): [[bin]] names, the package where it has src/main.rs, and the stems of src/bin."""
-    rows = _named(all_files, "Cargo.toml").select("dir", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
+def cargo_bins(texts: DataFrame, paths: DataFrame) -> DataFrame:
+    """(dir, kind, name): the [[bin]] names of Cargo.toml files (path, text), the package where there is src/main.rs, and the stems of src/bin."""
     line = F.trim("line")
-    head = F.when(line.startswith("["), F.when(line.startswith("[[bin]]"), "bin").when(line.startswith("[package]"), "package").otherwise("other"))
-    w = Window.partitionBy("dir").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = rows.withColumn("section", F.last(head, True).over(w)).withColumn("name", F.regexp_extract(line, r'^name\s*=\s*"([^"]*)"', 1)).where("name <> ''")
-    folder = F.regexp_replace(F.regexp_replace("path", "(^|/)src/main[.]rs$", ""), "/$", "")
-    mains = all_files.where(~F.col("folder") & F.col("path").rlike("(^|/)src/main[.]rs$")).select(folder.alias("dir")).distinct()
-    stems = all_files.where(~F.col("folder") & F.col("path").rlike("(^|/)src/bin/[^/]+[.]rs$")).select(F.regexp_replace("path", "/?src/bin/[^/]+$", "").alias("dir"), F.regexp_extract("path", "([^/]+)[.]rs$", 1).alias("name"))
+    # The section of a line is that of the last heading up to it, counted inside the file's own row.
+    parts = F.split("text", r"(?m)^(?=[ \t]*\[)")
+    each = _named(texts, "Cargo.toml").select("dir", F.explode(parts).alias("part")).select("dir", F.ltrim("part").alias("part"))
+    section = F.when(F.col("part").startswith("[[bin]]"), "bin").when(F.col("part").startswith("[package]"), "package")
+    named = each.select("dir", section.alias("section"), F.explode(F.split("part", "\r?\n")).alias("line")).where("section IS NOT NULL")
+    named = named.withColumn("name", F.regexp_extract(line, r'^name\s*=\s*"([^"]*)"', 1)).where("name <> ''")
+    main, stem = F.col("path").rlike("(^|/)src/main[.]rs$"), F.col("path").rlike("(^|/)src/bin/[^/]+[.]rs$")
+    mains = paths.where(main).select(F.regexp_replace(F.regexp_replace("path", "(^|/)src/main[.]rs$", ""), "/$", "").alias("dir")).distinct()
+    stems = paths.where(stem).select(F.regexp_replace("path", "/?src/bin/[^/]+$", "").alias("dir"), F.regexp_extract("path", "([^/]+)[.]rs$", 1).alias("name"))
     found = named.where("section = 'bin'").select("dir", "name").union(named.where("section = 'package'").join(mains, "dir", "left_semi").select("dir", "name")).union(stems)
     return found.select("dir", F.lit("cargo").alias("kind"), "name").distinct()
 
@@ -243,24 +265,23 @@ def commit_files(spark: SparkSession, root: str, depth: int = HISTORY) -> DataFr
 
 
 def parse_diff(diff_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path, renamed_from) and (path, lo, hi) of a diff without context, given as (pos, line)."""
+    """(diff, path, renamed_from) and (diff, path, lo, hi) of diffs without context, given as (diff, pos, line)."""
     line = F.col("line")
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # One diff of one repository: a single partition by nature.
+    w = Window.partitionBy("diff").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = diff_lines.withColumn("file", F.sum(line.startswith("diff --git ").cast("int")).over(w)).where("file > 0")
     new = F.when(line.startswith("rename to "), F.substring(line, 11, 1 << 20)).when(line.startswith("+++ b/"), F.substring(line, 7, 1 << 20))
     first = F.when(line.startswith("diff --git "), F.regexp_extract(line, r" b/(.*)$", 1))
-    named = n.groupBy("file").agg(F.coalesce(F.max_by(new, F.when(new.isNotNull(), F.col("pos"))), F.max(first)).alias("path"), F.max(F.when(line.startswith("rename from "), F.substring(line, 13, 1 << 20))).alias("renamed_from")).where("path <> ''")
+    named = n.groupBy("diff", "file").agg(F.coalesce(F.max_by(new, F.when(new.isNotNull(), F.col("pos"))), F.max(first)).alias("path"), F.max(F.when(line.startswith("rename from "), F.substring(line, 13, 1 << 20))).alias("renamed_from")).where("path <> ''")
     hunk = r"^@@[^+]*\+(\d+)(?:,(\d+))?"
-    cut = n.where(line.rlike(hunk)).select("file", F.regexp_extract(line, hunk, 1).cast("int").alias("lo"), F.regexp_extract(line, hunk, 2).alias("len"))
+    cut = n.where(line.rlike(hunk)).select("diff", "file", F.regexp_extract(line, hunk, 1).cast("int").alias("lo"), F.regexp_extract(line, hunk, 2).alias("len"))
     size = F.when(F.col("len") == "", 1).otherwise(F.expr("try_cast(len AS INT)"))
-    ranges = cut.withColumn("size", size).where("size > 0").join(named.select("file", "path"), "file").select("path", "lo", (F.col("lo") + F.col("size") - 1).alias("hi"))
-    return named.select("path", "renamed_from"), ranges
+    ranges = cut.withColumn("size", size).where("size > 0").join(named.select("diff", "file", "path"), ["diff", "file"]).select("diff", "path", "lo", (F.col("lo") + F.col("size") - 1).alias("hi"))
+    return named.select("diff", "path", "renamed_from"), ranges
 
 
 def changes(spark: SparkSession, root: str, base: str) -> tuple[DataFrame, DataFrame]:
     text = _git(root, "diff", "--no-color", "--find-renames", "--unified=0", base, "--") or ""
-    return parse_diff(spark.createDataFrame(list(enumerate(text.split("\n"))), "pos int, line string"))
+    return parse_diff(spark.createDataFrame([(0, *x) for x in enumerate(text.split("\n"))], "diff int, pos int, line string"))
 
 
 @dataclass

@@ -268,7 +268,7 @@ def test_settings(tmp_path):
 def test_sources(spark, root):
     files = repo.files(spark, root)
     assert {r["doc_path"] for r in repo.documents(files).collect()} == {"README.md", "docs/guide.md"}
-    assert {(r["name"]) for r in repo.make_targets(files).collect()} == {".PHONY", "all", "test"}
+    assert {(r["name"]) for r in repo.make_targets(repo.manifest_files(files)).collect()} == {".PHONY", "all", "test"}
     assert [tuple(r)[:2] for r in repo.sql_schema(files).orderBy("pos").collect()] == [("users", "id"), ("users", "price")]
     assert {r["path"] for r in repo.commit_files(spark, root).collect()} >= {"README.md", "src/app.py"}
 
@@ -326,9 +326,9 @@ def test_import_resolution(spark, language, module, raw, modules, want):
 
 def test_diff(spark):
     text = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +2,3 @@ f\n@@ -9,2 +12,0 @@\n@@ -20 +30 @@\ndiff --git a/old b/new\nrename from old\nrename to new"
-    files, ranges = repo.parse_diff(spark.createDataFrame(list(enumerate(text.split("\n"))), "pos int, line string"))
-    assert {tuple(r) for r in files.collect()} == {("x.py", None), ("new", "old")}
-    assert {tuple(r) for r in ranges.collect()} == {("x.py", 2, 4), ("x.py", 30, 30)}
+    files, ranges = repo.parse_diff(spark.createDataFrame([(7, *x) for x in enumerate(text.split("\n"))], "diff int, pos int, line string"))
+    assert {tuple(r) for r in files.collect()} == {(7, "x.py", None), (7, "new", "old")}
+    assert {tuple(r) for r in ranges.collect()} == {(7, "x.py", 2, 4), (7, "x.py", 30, 30)}
 
 
 def test_corpus_reader(spark, tmp_path):
