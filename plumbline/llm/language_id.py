@@ -180,7 +180,8 @@ def identify(docs: DataFrame, model: Model | None = None, reject_bits: float = R
     one that takes more than ``reject_bits`` a byte and START_BITS under every language,
     is predicted null and not kept.
     Without any labelled text there are no languages and nothing is kept. Texts are
-    scored whole. Extra columns are ignored; repeated rows stay.
+    scored whole. Extra columns are ignored; repeated rows stay; an empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     model = fit(sample(docs)) if model is None else model
@@ -217,6 +218,6 @@ def identify(docs: DataFrame, model: Model | None = None, reject_bits: float = R
 
 
 def known_languages(docs: DataFrame, model: Model | None = None, reject_bits: float = REJECT_BITS) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``identify`` keeps."""
+    """The rows of ``docs``, all columns, that ``identify`` keeps; repeated rows stay, an empty table gives no rows."""
     shared = broadcast_value(docs.sparkSession, fit(sample(docs)) if model is None else model)
     return keep_rows(docs, lambda texts: [p is not None for p in predict(shared.value, texts, reject_bits)[0]])

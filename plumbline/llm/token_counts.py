@@ -126,8 +126,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: tuple[i
     doc_id, n_chars, n_tokens; deltas: the difference of the count at each character,
     of ``delta_width`` (1 or 4) bytes, see ``prefix_counts``; and for each budget b
     chars_b, the characters of the longest prefix of at most b tokens. A null text
-    has nulls, an empty one zeros. Whole texts are counted. Extra columns are ignored
-    and repeated rows stay.
+    has nulls, an empty one zeros. Whole texts are counted. Extra columns are ignored,
+    repeated rows stay and an empty table gives no rows.
     """
     with open(vocabulary, "rb") as f:
         shared = broadcast_value(docs.sparkSession, f.read())
