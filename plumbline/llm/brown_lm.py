@@ -28,12 +28,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_value, chunks, id_and_text, written
+from .common import broadcast_value, chunks, discard, id_and_text, written
 from .corpus_words import CHARS, KIND, Counter, Tokens, Vocabulary, mixed, tokens, vocabulary
 
 #: Least share of all tokens that a word of the vocabulary has.
@@ -52,6 +53,8 @@ _SPAN = 1 << 31
 _LF = 10
 #: Characters of text whose distinct rarer words are looked up together.
 PART_CHARS = 1 << 23
+#: Occurrences of rarer words that are held before their neighbours are handed on.
+HELD_NEAR = 1 << 19
 
 
 def nodes(vocab: Vocabulary, t: Tokens) -> np.ndarray:
@@ -333,16 +336,37 @@ def rarer_words(docs: DataFrame, vocab: Vocabulary, class_of: np.ndarray, m: np.
     their ending.
     """
     shared = broadcast_value(docs.sparkSession, (vocab, class_of, m))
+    kind = np.uint16 if len(m) ** 2 <= 1 << 16 else np.uint32
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The neighbours of each rarer word, gathered over as many occurrences as are held at once."""
         v, class_of, m = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def rows() -> pa.RecordBatch:
+            word, around = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(word, kind="stable")
+            word, around = word[order], around[order]
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            offsets = np.append(start, len(word)).astype(np.int32) * around.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(around)])
+            return pa.RecordBatch.from_arrays([pa.array(word[start].view(np.int64)), packed], ["word", "near"])
+
         for _, texts in chunks(batches, 0, CHARS):
             t = tokens(texts)
             seq, _ = sequences(v, t, len(texts))
             c = class_of[seq]
             rare = np.flatnonzero(v.ids(t.hashes) < 0)
             at = rare + t.doc[rare] + 1
-            yield pa.RecordBatch.from_arrays([pa.array(t.hashes[rare].view(np.int64)), pa.array((c[at - 1] * len(m) + c[at + 1]).astype(np.int32))], ["word", "near"])
+            if len(rare):
+                held.append((t.hashes[rare], (c[at - 1] * len(m) + c[at + 1]).astype(kind)))
+                n += len(rare)
+            if n > HELD_NEAR:
+                yield rows()
+                held, n = [], 0
+        if held:
+            yield rows()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, m = shared.value
@@ -353,8 +377,9 @@ def rarer_words(docs: DataFrame, vocab: Vocabulary, class_of: np.ndarray, m: np.
             return pa.RecordBatch.from_arrays([pa.array(w), pa.array(c, pa.int32()), pa.array(n)], ["word", "class", "n"])
 
         for batch in batches:
-            word = np.concatenate([word, batch.column(0).to_numpy()])
-            around = np.concatenate([around, batch.column(1).to_numpy().astype(np.int64)])
+            size = pc.binary_length(batch.column(1)).to_numpy() // kind(0).itemsize
+            word = np.concatenate([word, np.repeat(batch.column(0).to_numpy(), size)])
+            around = np.concatenate([around, np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).astype(np.int64)])
             # The last word may go on in the next batch.
             end = int(np.searchsorted(word, word[-1])) if len(word) else 0
             if end:
@@ -363,7 +388,7 @@ def rarer_words(docs: DataFrame, vocab: Vocabulary, class_of: np.ndarray, m: np.
         if len(word):
             yield rows(word, around)
 
-    seen = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(near, "word long, near int")
+    seen = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(near, "word long, near binary")
     return written(seen.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word long, class int, n long"), "rarer-words")
 
 
@@ -451,7 +476,9 @@ def classed(docs: DataFrame, model: Model) -> DataFrame:
             own.append(o + int(cost[a].sum()))
         return pa.table([docs["doc_id"], docs["n_tokens"], pa.array(classes, pa.binary()), pa.array(own, pa.int64())], names=result.names)
 
-    return written(told.where("word IS NULL").select(*doc.names).groupBy("part").cogroup(asks.groupBy("of")).applyInArrow(fill, result), "classed")
+    out = written(told.where("word IS NULL").select(*doc.names).groupBy("part").cogroup(asks.groupBy("of")).applyInArrow(fill, result), "classed")
+    discard(told)
+    return out
 
 
 def _joined(rows: list[bytes], edge: int) -> tuple[np.ndarray, np.ndarray]:
@@ -487,7 +514,10 @@ def _trained(docs: DataFrame, share: float, classes: int, gain: float) -> tuple[
     """The model of ``docs``, and their rows of ``classed``."""
     vocab = vocabulary(docs, share)
     pairs, spelled = pair_counts(docs, vocab)
-    class_of, m, _ = exchange(contexts(pairs), vocab, classes, gain)
+    near = contexts(pairs)
+    discard(pairs)
+    class_of, m, _ = exchange(near, vocab, classes, gain)
+    discard(near)
     rarer = rarer_words(docs, vocab, class_of, m, classes)
     total = np.bincount(class_of[: len(vocab)], weights=vocab.counts, minlength=len(m)).astype(np.float64)
     of_rarer = rarer.groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # a row for each class

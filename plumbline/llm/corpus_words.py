@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, discard, written
 
 #: Characters whose tokens are taken at once: their arrays then fit into a core's cache.
 CHARS = 1 << 17
@@ -159,6 +159,7 @@ def vocabulary(docs: DataFrame, share: float, least: int = 2, lower: bool = True
     table = written(counts(docs, lower), "word-counts")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rows = table.where(F.col("n") >= max(least, int(np.ceil(share * total)))).toPandas()
+    discard(table)
     hashes = rows["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Vocabulary(hashes[order], rows["n"].to_numpy(np.int64)[order], int(total))
