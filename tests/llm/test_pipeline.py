@@ -77,9 +77,9 @@ def test_stages_by_brute_force(spark, tables):
     left = stages["SimHash near-dedup"](spark, got, tables)
     assert left.columns == docs.columns
     kept = sorted(r["doc_id"] for r in left.collect())
-    # The search is approximate: no document goes without a near copy that stays, and at least 0.9 of the copies go.
+    # The search is approximate: no document goes without a near copy that stays, and at least 0.95 of the copies go.
     assert set(third) <= set(kept)
-    assert len(second) - len(kept) >= 0.9 * (len(second) - len(third))
+    assert len(second) - len(kept) >= 0.95 * (len(second) - len(third))
     assert all(root[i] == i or not any(fps[i] == fps[j] for j in kept if j < i) for i in kept)
     third = kept
     assert docs.count() > len(first) > len(second) > len(third)
@@ -91,6 +91,19 @@ def test_stages_by_brute_force(spark, tables):
     assert max(r["window_length"] for r in final) <= packing.CAPACITY
 
 
+def test_stages_over_no_rows_and_columns_of_clashing_names(spark, tmp_path):
+    columns = "doc_id string, text string, lang string, keep string, size long, fp string, word int, `count` int, n long, least string"
+    some = [(f"d{i}", t, k, "x", 1, "y", 2, 3, 4, "z") for i, t, k, *_ in rows()[:60]] + [(None, None, None, None, None, None, None, None, None, None)] * 2
+    for name, told in (("none", []), ("some", some)):
+        spark.createDataFrame(told, columns).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            docs = stage(spark, docs, str(tmp_path / name))
+            assert docs.columns == spark.read.parquet(str(tmp_path / name / "documents.parquet")).columns
+        packed = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()}
+        assert packed == {r["doc_id"] for r in docs.collect()} and (len(packed) > 20) == bool(told)
+
+
 def test_every_query_runs_over_the_whole_table(spark, tables):
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}) == list(range(1, 11))
     ids = sorted(r[0] for r in rows())
