@@ -30,10 +30,10 @@ def score(findings: DataFrame) -> DataFrame:
 
 
 def module_scores(findings: DataFrame) -> DataFrame:
-    """(module, score): a finding counts in each of its ``modules``; those without one in ``(unscoped)``."""
+    """(module, score, claims): a finding that weighs counts in each of its ``modules``; those without one in ``(unscoped)``."""
     where = F.when(F.size("modules") > 0, F.array_distinct("modules")).otherwise(F.array(F.lit("(unscoped)")))
     each = findings.where(_of(1) > 0).withColumn("module", F.explode(where))
-    return each.groupBy("module").agg(_ratio().alias("score"))
+    return each.groupBy("module").agg(_ratio().alias("score"), F.count(F.lit(1)).alias("claims"))
 
 
 def reportable(findings: DataFrame, least: str = "warning", suppressed: tuple[str, ...] = ()) -> DataFrame:
