@@ -257,9 +257,10 @@ def value_of(raw: Column, delimited: Column) -> Column:
 
 def constant_claims(doc_lines: DataFrame) -> DataFrame:
     """(doc_path, line_no, symbol, vtype, vkey, phrase) of claims that a name has a value; takes fenced lines."""
-    groups = F.arrays_zip(*[F.regexp_extract_all("line", F.lit(CONSTANT_CLAIM), g).alias(f"g{g}") for g in range(6)])
-    found = doc_lines.where("NOT fenced").withColumn("g", F.explode(groups))
-    g = {i: F.col(f"g.g{i}") for i in range(6)}
+    # Matches are found in one pass over the line; their groups are taken from the matches.
+    whole = F.regexp_extract_all("line", F.lit(CONSTANT_CLAIM), F.lit(0))
+    found = doc_lines.where("NOT fenced").withColumn("g0", F.explode(whole))
+    g = {i: F.regexp_extract("g0", CONSTANT_CLAIM, i) for i in range(1, 6)} | {0: F.col("g0")}
     symbol = F.when(g[1] != "", g[1]).when((g[2] != "") & code_shaped(g[2]), g[2])
     delimited = (g[3] != "") | (g[4] != "")
     raw = F.when(g[3] != "", g[3]).when(g[4] != "", g[4]).otherwise(g[5])

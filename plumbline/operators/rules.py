@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +66,11 @@ _SAYS = {
     "only_depends": [("layer", 1, None, "allowed")],
     "forbid_symbol": [("forbid_symbol", 1, None, "excepted")],
 }
+#: Words without one of which a pattern can't match.
+_NEEDS = {
+    "forbid_edge": ("not", "can't", "cant"), "never_edge": ("never",), "forbid_reach": ("reach", "directly", "transitively"), "forbidden_by": ("be ",),
+    "independent": ("independent",), "depends_on_nothing": ("nothing", "no"), "only_depends": ("only",), "forbid_symbol": ("",),
+}
 #: A line without any of these states no rule.
 _CUE = "(?i)not|never|can'?t|don'?t|independent|nothing|only|no "
 
@@ -88,7 +96,9 @@ def extract_rules(doc_lines: DataFrame) -> DataFrame:
             second = group(b) if b else F.lit(None).cast("string")
             return F.struct(F.lit(kind).alias("kind"), group(a).alias("a"), second.alias("b"), listed.alias("items"))
 
-        found = F.transform(F.regexp_extract_all("line", F.lit(PATTERNS[name]), F.lit(0)), rule)
+        may = functools.reduce(operator.or_, [F.col("line").contains(word) for word in _NEEDS[name]])
+        matches = F.when(may, F.regexp_extract_all("line", F.lit(PATTERNS[name]), F.lit(0))).otherwise(none)
+        found = F.transform(matches, rule)
         return F.filter(found, lambda r: F.size(r["items"]) > 0) if items == "allowed" else found
 
     each = F.concat(*[said(name, *says) for name, all_ in _SAYS.items() for says in all_])

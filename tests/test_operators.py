@@ -411,3 +411,26 @@ def test_chunks_follow_symbols(spark):
 )
 def test_library_files(spark, path, want):
     assert spark.range(1).select(evidence.is_library(F.lit(path)).alias("x")).first()["x"] is want
+
+
+@pytest.mark.parametrize("hot_least", [1000, 3])
+def test_lexical_ranks_equal_brute_force(spark, hot_least):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(30)]
+    chance = 1 / np.arange(1, 31)
+    chance /= chance.sum()
+    some = lambda n: [str(w) for w in rng.choice(words, n, replace=False, p=chance)]
+    entries = [(i, t := some(rng.integers(0, 9)), t[: rng.integers(0, 3)]) for i in range(120)]
+    queries = [(i, some(rng.integers(0, 6))) for i in range(60)] + [(60 + i, ["w0", "w1"]) for i in range(5)]
+    df = {w: sum(w in t for _, t, _ in entries) for w in words}
+    idf = {w: np.log(1 + len(entries) / (1 + df[w])) for w in words}
+    want = {}
+    for q, asked in queries:
+        scored = [(sum(idf[w] * (2 if w in names else 1) for w in set(asked) & set(t)), i) for i, t, names in entries]
+        want[q] = [i for s, i in sorted(((-round(s, 9), i) for s, i in scored if s >= 0.5))[:4]]
+    e = spark.createDataFrame(entries, "id int, tokens array<string>, names array<string>")
+    q = spark.createDataFrame(queries, "query_id int, tokens array<string>")
+    got = {x: [] for x, _ in queries}
+    for r in retrieval.lexical(q, e, 4, hot_least=hot_least).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["id"])
+    assert got == want
