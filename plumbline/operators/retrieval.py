@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.storage import is_folder
+
 STOPWORDS = tuple(
     """all and any are but can code doc docs does for from has have into its may must not only per should that the then this
     use used uses via was when will with would you""".split()
@@ -158,6 +160,20 @@ def embedded(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], cache: D
     return known.unionByName(new)
 
 
+def embedded_at(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, model: str) -> DataFrame:
+    """``embedded`` with the cache table at ``path``, to which the vectors that it lacks are added; nothing is written if it lacks none."""
+    spark = texts.sparkSession
+    schema = "model string, key string, vec array<float>"
+    cache = spark.read.schema(schema).parquet(path) if is_folder(path) else spark.createDataFrame([], schema)
+    own = cache.where(F.col("model") == model)
+    asked = texts.where("text IS NOT NULL").select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+    missing = asked.join(own.select("key"), "key", "left_anti")
+    if not missing.isEmpty():
+        embed(missing).select(F.lit(model).alias("model"), "key", F.col("vec").cast("array<float>").alias("vec")).write.mode("append").parquet(path)
+        own = spark.read.schema(schema).parquet(path).where(F.col("model") == model)
+    return own.join(asked.select("key"), "key", "left_semi").select("model", "key", "vec")
+
+
 def chunks(files: DataFrame, size: int = CHUNK_LINES, step: int = CHUNK_STEP) -> DataFrame:
     """(path, start_line, n_lines, chunk) of files (path, lines array): windows of ``size`` lines every ``step``, up to the first that reaches the end."""
     n = F.size("lines")

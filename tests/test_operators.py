@@ -232,6 +232,21 @@ def test_embedding_cache(spark):
     assert sorted(asked) == ["a", "bb"]
 
 
+def test_embedding_cache_on_disk(spark, tmp_path):
+    asked = []
+
+    def embed(df):
+        asked.extend(r["text"] for r in df.collect())
+        return df.select("key", F.array(F.length("text").cast("float")).alias("vec"))
+
+    path = str(tmp_path / "cache")
+    one, two = spark.createDataFrame([("a",), ("bb",)], "text string"), spark.createDataFrame([("bb",), ("ccc",), (None,)], "text string")
+    for texts, model, new, want in ((one, "m", ["a", "bb"], [1, 2]), (two, "m", ["ccc"], [2, 3]), (two, "m", [], [2, 3]), (one, "other", ["a", "bb"], [1, 2])):
+        asked.clear()
+        assert sorted(r["vec"][0] for r in retrieval.embedded_at(texts, embed, path, model).collect()) == want
+        assert sorted(asked) == new
+
+
 def test_subwords(spark):
     got = spark.range(1).select(retrieval.subwords(F.lit("JSONSchema model_construct v2Beta the")).alias("t")).first()["t"]
     assert set(got) == {"json", "schema", "jsonschema", "model", "construct", "beta", "v2beta"}
