@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.lineage import cut
 from plumbline.sources.storage import is_folder
 
 STOPWORDS = tuple(
@@ -37,7 +38,7 @@ def inverse_frequency(entries: DataFrame) -> DataFrame:
 
 
 #: Tokens in more than this share of the entries, and in more than so many, are hot.
-HOT_SHARE, HOT_LEAST = 0.01, 1000
+HOT_SHARE, HOT_LEAST = 0.01, 10_000
 
 
 def lexical(queries: DataFrame, entries: DataFrame, k: int, least: float = LEAST_LEXICAL, hot_least: int = HOT_LEAST) -> DataFrame:
@@ -51,34 +52,35 @@ def lexical(queries: DataFrame, entries: DataFrame, k: int, least: float = LEAST
     every pair.
     """
     n = entries.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))  # one row
-    idf = inverse_frequency(entries).crossJoin(F.broadcast(n)).select("token", "idf", ((F.col("df") > F.col("n") * HOT_SHARE) & (F.col("df") > hot_least)).alias("hot"))
+    # Tables that several steps below read are written, so that texts are not cut into tokens again for each.
+    idf = cut(inverse_frequency(entries).crossJoin(F.broadcast(n)).select("token", "idf", ((F.col("df") > F.col("n") * HOT_SHARE) & (F.col("df") > hot_least)).alias("hot")))
     asked = queries.select("query_id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).withColumn("set", F.md5(F.array_join("tokens", "\0")))
-    said = asked.select("set", "tokens").dropDuplicates(["set"]).select("set", F.explode("tokens").alias("token")).join(idf, "token")
+    said = cut(asked.select("set", "tokens").dropDuplicates(["set"]).select("set", F.explode("tokens").alias("token")).join(idf, "token"))
     weight = F.when(F.array_contains("names", F.col("token")), 2.0).otherwise(1.0).alias("w")
-    held = entries.select("id", F.explode(F.array_distinct("tokens")).alias("token"), "names").select("id", "token", weight).join(idf.select("token", "hot"), "token")
+    held = entries.select("id", F.explode(F.array_distinct("tokens")).alias("token"), "names").select("id", "token", weight)
+    # Tokens that no query has add to no score.
+    held = held.join(said.select("token", "hot").distinct(), "token")
 
-    def split(rows: DataFrame, key: str, value: str) -> DataFrame:
-        """(key, rare, hot): arrays of the tokens of a query or an entry with their values."""
+    def split(rows: DataFrame, key: str, value: str, kind: str) -> DataFrame:
+        """(key, rare, hot, kind): the tokens of a query or an entry with their values, and a number for what is hot in it, null without."""
         pair = F.struct("token", value)
-        return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(~F.col("hot"), pair))).alias("rare"), F.array_sort(F.collect_list(F.when(F.col("hot"), pair))).alias("hot"))
-
-    sets, own = split(said, "set", "idf"), split(held, "id", "w")
-    # Scores of candidates that share a token that is not hot.
-    one = sets.select("set", F.col("hot").alias("set_hot"), F.explode("rare").alias("r")).select("set", "set_hot", "r.token", "r.idf")
-    two = own.select("id", F.col("hot").alias("own_hot"), F.explode("rare").alias("r")).select("id", "own_hot", "r.token", "r.w")
-    both = one.join(two, "token").groupBy("set", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("rare"), F.any_value("set_hot").alias("set_hot"), F.any_value("own_hot").alias("own_hot"))
-    weights = F.map_from_entries("own_hot")
-    shared = F.aggregate("set_hot", F.lit(0.0), lambda s, x: s + x["idf"] * F.coalesce(F.try_element_at(weights, x["token"]), F.lit(0.0)))
-    near = both.select("set", "id", (F.col("rare") + shared).alias("score"))
-    # Of entries with the same hot tokens the k least; of queries with the same hot tokens one.
-    order = Window.partitionBy("own").orderBy("id")
-    fewest = own.where("size(hot) > 0").select("id", "hot", F.md5(F.array_join(F.transform("hot", lambda x: F.concat_ws("\1", x["token"], x["w"].cast("string"))), "\0")).alias("own"))
-    fewest = fewest.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
-    kinds = sets.where("size(hot) > 0").select("set", "hot", F.md5(F.array_join("hot.token", "\0")).alias("kind"))
+        out = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(~F.col("hot"), pair))).alias("rare"), F.array_sort(F.collect_list(F.when(F.col("hot"), pair))).alias("hot"))
+        return out.withColumn(kind, F.when(F.size("hot") > 0, F.xxhash64("hot")))
+
+    sets, own = split(said, "set", "idf", "kind"), cut(split(held, "id", "w", "own"))
+    # What hot tokens add, for each kind of query and of entry.
+    kinds = sets.where("kind IS NOT NULL").select("set", "kind", "hot")
     a = kinds.dropDuplicates(["kind"]).select("kind", F.explode("hot").alias("h")).select("kind", "h.token", "h.idf")
-    b = fewest.dropDuplicates(["own"]).select("own", F.explode("hot").alias("h")).select("own", "h.token", "h.w")
-    alike = a.join(b, "token").groupBy("kind", "own").agg(F.sum(F.col("idf") * F.col("w")).alias("score")).where(F.col("score") >= least)
-    of_kind = top(alike.join(fewest.select("own", "id"), "own").select(F.col("kind").alias("query_id"), "id", "score"), k).withColumnRenamed("query_id", "kind")
+    b = own.where("own IS NOT NULL").select("own", "hot").dropDuplicates(["own"]).select("own", F.explode("hot").alias("h")).select("own", "h.token", "h.w")
+    alike = cut(a.join(b, "token").groupBy("kind", "own").agg(F.sum(F.col("idf") * F.col("w")).alias("more")))
+    # Candidates that share a token that is not hot.
+    one = sets.select("set", "kind", F.explode("rare").alias("r")).select("set", "kind", "r.token", "r.idf")
+    two = own.select("id", "own", F.explode("rare").alias("r")).select("id", "own", "r.token", "r.w")
+    both = one.join(two, "token").groupBy("set", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("rare"), F.any_value("kind").alias("kind"), F.any_value("own").alias("own"))
+    near = both.join(alike, ["kind", "own"], "left").select("set", "id", (F.col("rare") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    # Of entries of a kind the k least; of queries of a kind one.
+    fewest = own.where("own IS NOT NULL").select("id", "own").withColumn("__n", F.row_number().over(Window.partitionBy("own").orderBy("id"))).where(F.col("__n") <= k)
+    of_kind = top(alike.where(F.col("more") >= least).join(fewest.select("own", "id"), "own").select(F.col("kind").alias("query_id"), "id", F.col("more").alias("score")), k).withColumnRenamed("query_id", "kind")
     hot = kinds.select("set", "kind").join(of_kind, "kind").select("set", "id", "score")
     scores = near.unionByName(hot).groupBy("set", "id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
     best = top(scores.withColumnRenamed("set", "query_id"), k).withColumnRenamed("query_id", "set")
