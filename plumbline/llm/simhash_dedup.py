@@ -10,6 +10,10 @@ that pass are verified by their exact Hamming distance. Verified pairs are the e
 of a graph whose connected components are the groups of near copies. A cell that many
 different near copies crowd into is searched by many tasks, in blocks.
 
+The grids find a pair at the threshold with chance RECALL. What they miss is found by
+comparing all fingerprints that they leave in different components, block by block,
+so the groups are those of every pair within the threshold: no link is lost.
+
 Exact copies share a fingerprint, so the search and the graph are over distinct
 fingerprints alone. The number of grids is what finds a pair at the threshold itself
 with chance RECALL, at any size of the corpus; nearer pairs are found with a greater
@@ -39,7 +43,7 @@ SEGMENT = 2
 SEGMENTS = BITS // SEGMENT
 #: Fingerprints at this Hamming distance or less are near copies.
 THRESHOLD = 44
-#: Chance that a pair of fingerprints at the threshold is found.
+#: Chance that the grids find a pair of fingerprints at the threshold; ``missed`` finds the others.
 RECALL = 0.96
 #: Pairs whose comparison costs as much as shuffling one row.
 ROW_COST = 2000
@@ -448,7 +452,10 @@ def hot_edges(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_pairs(reps: DataFrame, n: int, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
-    """Verified near pairs (a, b) of the ``n`` fingerprints (node, fp), as many as connect the members of each cell."""
+    """Verified near pairs (a, b) of the ``n`` fingerprints (node, fp), as many as connect the members of each cell.
+
+    Pairs that share no cell are left to ``missed``.
+    """
     m, grids = plan(n, threshold)
     crowd = hot_cells(reps, n, m, grids, hot)
     if not len(crowd):
@@ -456,6 +463,122 @@ def near_pairs(reps: DataFrame, n: int, threshold: int = THRESHOLD, hot: int = H
     return edges(cells(reps, m, grids, crowd), threshold).unionByName(hot_edges(cells(reps, m, grids, crowd, True), threshold))
 
 
+#: Fingerprints of a block at most, on average; blocks that smaller corpora are cut into for the sake of many tasks, of
+#: LEAST fingerprints or more; and fingerprints that are sent as one row.
+BLOCK, BLOCKS, LEAST, PIECE = 1 << 18, 8, 2_048, 1 << 14
+#: Bits compared by a matrix product, and fields of eight bits that one number of the product holds.
+FIRST, FIELDS = 144, 6
+#: Rows of a block compared at once with FIELDS times as many columns as the other number.
+ROW_TILE, COLUMN_TILE = 256, 512
+_FIELD = 256 ** np.arange(FIELDS, dtype=np.int64)
+_TOP = np.uint64(128 * _FIELD.sum())
+
+
+def _packed_columns(fps: np.ndarray, threshold: int) -> np.ndarray:
+    """A matrix whose product with the first bits of fingerprints, and a one, has a field for each of ``fps``.
+
+    The field is threshold + 128 less the differing bits, so its top bit tells whether these are within the threshold
+    (or one of FIRST - 128, below which a field would fall short of 0). All sums are whole numbers below 2^53, exact in any order, and 2^52 makes the fields the low bits of the number.
+    """
+    if threshold > 127:
+        raise ValueError(f"a threshold of {threshold} does not fit a field")
+    threshold, width = max(threshold, FIRST - 128), -(-len(fps) // FIELDS)
+    y = np.unpackbits(fps[:, : FIRST // 8], axis=1).astype(np.int64)
+    out = np.zeros((width * FIELDS, FIRST + 1), np.int64)
+    out[: len(fps), :FIRST] = 2 * y - 1
+    out[: len(fps), FIRST] = threshold + 128 - y.sum(1)
+    packed = np.einsum("gfk,f->kg", out.reshape(width, FIELDS, FIRST + 1), _FIELD)
+    packed[FIRST] += 1 << 52
+    return packed.astype(np.float64)
+
+
+def _between(x: np.ndarray, x_root: np.ndarray, y: np.ndarray, y_root: np.ndarray, threshold: int, same: bool = False) -> Iterator[np.ndarray]:
+    """Pairs of different roots that have a near pair of ``x`` and ``y``, as rows; rows are sorted by root, and tiles of one root passed over.
+
+    ``same``: ``x`` and ``y`` are one block, of which each pair is compared once.
+    """
+    x_words, y_words = _columns(x), _columns(y)
+    tile = COLUMN_TILE * FIELDS
+    left, product = np.ones((ROW_TILE, FIRST + 1)), np.empty(ROW_TILE * COLUMN_TILE)
+    for c in range(0, len(y), tile):
+        packed, of = None, y_root[c : c + tile]
+        for r in range(0, min(len(x), c + tile) if same else len(x), ROW_TILE):
+            by = x_root[r : r + ROW_TILE]
+            if by[0] == by[-1] == of[0] == of[-1]:
+                continue
+            if packed is None:
+                packed = _packed_columns(y[c : c + tile], threshold)
+            m, width = len(by), packed.shape[1]
+            left[:m, :FIRST] = np.unpackbits(x[r : r + ROW_TILE, : FIRST // 8], axis=1)
+            fields = np.matmul(left[:m], packed, out=product[: m * width].reshape(m, width)).view(np.uint64)
+            rows = np.flatnonzero(np.bitwise_or.reduce(fields, axis=1) & _TOP)
+            if not len(rows):
+                continue
+            at, group = np.nonzero(fields[rows] & _TOP)
+            field = np.flatnonzero((fields[rows[at], group][:, None] >> np.uint64(8) * np.arange(FIELDS, dtype=np.uint64)) & np.uint64(128))
+            a, b = rows[at[field // FIELDS]] + r, group[field // FIELDS] * FIELDS + field % FIELDS + c
+            apart = x_root[a] != y_root[b]
+            a, b = a[apart], b[apart]
+            distance = sum(np.bitwise_count(p[a] ^ q[b]).astype(np.uint16) for p, q in zip(x_words, y_words))
+            near = np.stack([x_root[a], y_root[b]], axis=1)[distance <= threshold]
+            if len(near):
+                yield np.unique(np.sort(near, axis=1), axis=0)
+
+
+def missed(nodes: DataFrame, n: int, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b): the roots of all near pairs of the ``n`` fingerprints (node, fp, root) whose roots differ.
+
+    The fingerprints are dealt to blocks, and a task compares two blocks or one with itself.
+    """
+    blocks = max(1, min(BLOCKS, n // LEAST), -(-n // BLOCK))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n_held = 0
+
+        def row(k: int) -> pa.RecordBatch:
+            fps, root = (b"".join(x.tobytes() for x in part) for part in zip(*held.pop(k)))
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([fps], pa.binary()), pa.array([root], pa.binary())], ["block", "fps", "roots"])
+
+        for batch in batches:
+            block, root = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            order = np.argsort(block, kind="stable")
+            for k, first, end in zip(*_runs(block[order])):
+                held.setdefault(k, []).append((fps[order[first:end]], root[order[first:end]]))
+                n_held += end - first
+                if sum(len(part) for _, part in held[k]) >= PIECE:
+                    n_held -= sum(len(part) for _, part in held[k])
+                    yield row(k)
+            if n_held >= BLOCK:
+                n_held = 0
+                for k in list(held):
+                    yield row(k)
+        for k in list(held):
+            yield row(k)
+
+    def compare(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        same = table.column("low")[0] == table.column("high")[0]
+        sides = []
+        for k in np.unique(block):
+            part = table.filter(pa.array(block == k))
+            root = np.frombuffer(b"".join(part.column("roots").to_pylist()), np.int64)
+            fps = np.frombuffer(b"".join(part.column("fps").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            order = np.argsort(root, kind="stable")
+            sides.append((fps[order], root[order]))
+        found = list(_between(*sides[0], *sides[-1], threshold, same)) if same or len(sides) == 2 else []
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    pieces = nodes.select(F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"), "fp", "root").mapInArrow(pack, "block int, fps binary, roots binary")
+    others = pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = others.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fps", "roots")
+    # As many partitions as pairs of blocks: a task is long for its few bytes.
+    sent = sent.repartition(min(blocks * (blocks + 1) // 2, 4_096), "low", "high")
+    return sent.groupBy("low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the least node of its component.
 
@@ -484,8 +607,8 @@ def components(pairs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, group_id, group_size, n_links and keep: one row for each doc_id, whatever its number of rows.
 
-    group_id is the least doc_id of the connected component of near copies, and the
-    document of that id is kept; n_links is how many other documents it is linked to,
+    group_id is the least doc_id of the connected component of near copies, by every
+    pair within the threshold, and the document of that id is kept; n_links is how many other documents it is linked to,
     directly or through others, which is group_size - 1. Exact copies share a
     fingerprint and so a group. A doc_id may be of any type that has an order. Rows
     that share a doc_id are one document, even if their texts differ. Rows with a
@@ -526,7 +649,8 @@ def _groups(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "distinct")
     node = reps.select("node", "fp")
     linked = other.join(node.withColumnsRenamed({"fp": "first", "node": "a"}), "first").join(node.withColumnRenamed("node", "b"), "fp").select("a", "b")
-    roots = components(near_pairs(node, reps.count(), threshold).unionByName(linked))
+    count = reps.count()
+    roots = _joined(node, count, components(near_pairs(node, count, threshold).unionByName(linked)), threshold)
     members = reps.join(roots, "node")
     sums = members.groupBy("root").agg(F.sum("n").alias("size"), F.min("least").alias("least"))
     near = members.select("fp", "root").join(sums, "root").select("fp", "least", "size")
@@ -537,6 +661,15 @@ def _groups(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     return found, told
 
 
+def _joined(nodes: DataFrame, n: int, roots: DataFrame, threshold: int) -> DataFrame:
+    """(node, root) of all components: those of the grids, joined by what ``missed`` finds between them; single nodes are left out."""
+    told = written(nodes.join(roots, "node", "left").select("node", "fp", "root"), "roots")
+    own = F.coalesce("root", "node")
+    over = components(missed(told.select("node", "fp", own.alias("root")), n, threshold)).select(F.col("node").alias("of"), F.col("root").alias("over"))
+    both = told.join(over, own == F.col("of"), "left")
+    return both.select("node", F.coalesce("over", "root").alias("root")).where("root IS NOT NULL")
+
+
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: one row of each group stays.
 

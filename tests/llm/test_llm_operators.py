@@ -572,6 +572,65 @@ def test_hot_cells_are_searched_in_blocks_without_a_loss(spark, monkeypatch):
     assert len(simhash_dedup.hot_cells(nodes, n, m, grids)) == 0
 
 
+def copies_at_the_threshold(seed: int, n: int) -> list[str]:
+    """``n`` texts and after each a copy whose fingerprint is just within the threshold."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < 2 * n:
+        base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(80)]
+        copies = []
+        for _ in range(8):
+            copy = list(base)
+            for at in rng.sample(range(80), rng.randint(9, 13)):
+                copy[at] = "".join(rng.choice("klmnopqrst") for _ in range(6))
+            copies.append(" ".join(copy))
+        one, *others = (np.frombuffer(f, np.uint64) for f in simhash_dedup.fingerprints_of([" ".join(base), *copies]))
+        apart = [int(np.bitwise_count(one ^ f).sum()) for f in others]
+        good = [c for c, d in zip(copies, apart) if simhash_dedup.THRESHOLD - 2 <= d <= simhash_dedup.THRESHOLD]
+        if good:
+            out += [" ".join(base), good[0]]
+    return out
+
+
+def test_groups_lose_no_copy_at_the_threshold(spark):
+    texts = copies_at_the_threshold(31, 500)
+    got = {r["doc_id"]: r["group_id"] for r in simhash_dedup.groups(frame(spark, texts)).collect()}
+    fps = np.frombuffer(b"".join(simhash_dedup.fingerprints_of(texts)), np.uint64).reshape(-1, 4)
+    near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(2, dtype=int) <= simhash_dedup.THRESHOLD).tolist()
+    assert len(near) >= 3 * 500
+    assert [(i, j) for i, j in near if got[i] != got[j]] == []
+    assert len(set(got.values())) >= 490  # and unrelated texts stay apart
+    kept = {r["doc_id"] for r in simhash_dedup.deduplicate(frame(spark, texts)).collect()}
+    assert kept == set(got.values())
+
+
+@pytest.mark.parametrize("threshold", [5, 44, 100])
+def test_blocks_are_compared_in_whole(spark, monkeypatch, threshold):
+    rng = np.random.default_rng(threshold)
+    bits = rng.integers(0, 2, (900, 256), dtype=np.uint8)
+    other = bits[rng.integers(0, 900, 900)]
+    for row in other:
+        row[rng.choice(256, rng.integers(max(0, threshold - 4), threshold + 5), replace=False)] ^= 1
+    fps = np.packbits(np.concatenate([bits, other, np.repeat(bits[:1], 700, axis=0)]), axis=1)[rng.permutation(2500)]
+    root = np.sort(rng.integers(0, 2000, 2500))
+    root[600:1400] = root[600]
+    apart = sum(np.bitwise_count(w[:, None] ^ w[None, :]).astype(int) for w in simhash_dedup._columns(fps))
+    want = {(min(a, b), max(a, b)) for a, b in root[np.argwhere(apart <= threshold)].tolist() if a != b}
+    assert len(want) > 500
+    nodes = spark.createDataFrame([(i, f.tobytes(), int(r)) for i, (f, r) in enumerate(zip(fps, root))], "node long, fp binary, root long")
+    for least, block in ((2500, 10**6), (100, 10**6), (2500, 250)):  # one block, several, more because a block would be too large
+        monkeypatch.setattr(simhash_dedup, "LEAST", least)
+        monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+        assert {(r["a"], r["b"]) for r in simhash_dedup.missed(nodes.repartition(3), 2500, threshold).collect()} == want
+    # Small tiles: those of one root are passed over, and a block is compared with itself or another.
+    monkeypatch.setattr(simhash_dedup, "ROW_TILE", 97)
+    monkeypatch.setattr(simhash_dedup, "COLUMN_TILE", 31)
+    one = simhash_dedup._between(fps, root, fps, root, threshold, True)
+    two = simhash_dedup._between(fps, root, fps, root, threshold)
+    for found in (one, two):
+        assert {tuple(p) for part in found for p in part.tolist()} == want
+
+
 def test_many_exact_copies_are_one_group(spark):
     docs = frame(spark, near_copies(8, 40) + ["one two three four five six"] * 700)
     big = [r for r in simhash_dedup.groups(docs).collect() if r["group_size"] >= 700]
