@@ -91,6 +91,41 @@ def test_stages_by_brute_force(spark, tables):
     assert max(r["window_length"] for r in final) <= packing.CAPACITY
 
 
+def copies_at_the_threshold(n: int) -> list[tuple]:
+    """Rows of ``n`` texts in the languages, and after each a copy whose fingerprint is just within the threshold."""
+    rng, texts = random.Random(41), []
+    while len(texts) < 2 * n:
+        lang = list(LANGUAGES)[len(texts) // 2 % 3]
+        stems = LANGUAGES[lang].split()
+        base = ["".join(rng.choices(stems, k=4)) for _ in range(80)]
+        copies = []
+        for _ in range(8):
+            copy = list(base)
+            for at in rng.sample(range(80), rng.randint(9, 13)):
+                copy[at] = "".join(rng.choices(stems, k=4))
+            copies.append(" ".join(copy))
+        one, *others = (np.frombuffer(f, np.uint64) for f in simhash_dedup.fingerprints_of([" ".join(base), *copies]))
+        good = [c for c, f in zip(copies, others) if 0 <= simhash_dedup.THRESHOLD - int(np.bitwise_count(one ^ f).sum()) <= 2]
+        if good:
+            texts += [(" ".join(base), lang), (good[0], lang)]
+    return [(i, t, k, "s", len(t)) for i, (t, k) in enumerate(texts)]
+
+
+def test_no_copy_at_the_threshold_stays(spark, tmp_path):
+    told = copies_at_the_threshold(400)
+    spark.createDataFrame(told, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, str(tmp_path))
+    second = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    assert len(second) > 700
+    fps = dict(zip(second, simhash_dedup.fingerprints_of([told[i][1] for i in second])))
+    root = components(second, fps, simhash_dedup.THRESHOLD)
+    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert packed == {i for i in second if root[i] == i}
+    assert 350 < len(packed) <= 450
+
+
 def test_stages_over_no_rows_and_columns_of_clashing_names(spark, tmp_path):
     columns = "doc_id string, text string, lang string, keep string, size long, fp string, word int, `count` int, n long, least string"
     some = [(f"d{i}", t, k, "x", 1, "y", 2, 3, 4, "z") for i, t, k, *_ in rows()[:60]] + [(None, None, None, None, None, None, None, None, None, None)] * 2
