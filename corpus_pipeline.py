@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the least doc_id, and of its rows the one of least text.
 
-    Rows of a null doc_id are a document for each text. A text without words is near to none.
+    Rows of a null doc_id are a document for each text. A null or blank text is near to none.
     """
     return simhash_dedup.deduplicate(docs)
 

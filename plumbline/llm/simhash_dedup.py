@@ -1,7 +1,8 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
 A document's fingerprint is a SimHash of 256 bits over its distinct words, longer
-words weighing more. A permutation of the bits, cut into segments of two bits,
+words weighing more; a text without a word is taken by what stands between its white
+space instead. A permutation of the bits, cut into segments of two bits,
 maps a fingerprint to the bit counts of its segments; the Manhattan distance of two
 such points never exceeds the Hamming distance of the fingerprints. Each of several
 permutations lays a grid over some of the coordinates; fingerprints that share a
@@ -69,12 +70,13 @@ def _expand(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints_of(texts: list[str | None]) -> list[bytes | None]:
-    """The fingerprint of each text; None for one without a word."""
+    """The fingerprint of each text, by its words or, if it has none, by its runs of signs; None for a null or blank one."""
     number: dict[str, int] = {}
     put = number.setdefault
     docs: list[np.ndarray | None] = []
     for text in texts:
-        found = set(_WORD.findall(text.lower())) if text else None
+        low = text.lower() if text else ""
+        found = set(_WORD.findall(low)) or set(low.split())
         docs.append(np.fromiter((put(w, len(number)) for w in found), np.int64, len(found)) if found else None)
     if not number:
         return [None] * len(texts)
@@ -103,7 +105,7 @@ def text_key(doc_id: Column, text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and fp (32 bytes, null without words) for each row."""
+    """doc_id, text_key and fp (32 bytes, null for a null or blank text) for each row."""
     source = id_and_text(docs).withColumn("text_key", text_key(F.col("doc_id"), F.col("text")))
     schema = T.StructType([source.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("fp", T.BinaryType())])
 
@@ -614,7 +616,7 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     that share a doc_id are one document, even if their texts differ. Rows with a
     null doc_id are one document for each text; they come after all others, so the
     group_id of a group of such rows alone is null, and one of them is kept. A text
-    that is null or has no word is a group of its own. Texts are taken whole. Extra
+    that is null or blank is a group of its own. Texts are taken whole. Extra
     columns are ignored; an empty table gives no rows.
     """
     found, told = _groups(docs, threshold)
@@ -674,7 +676,7 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: one row of each group stays.
 
     The document that ``groups`` keeps stays. Of rows that share a doc_id, or a text and
-    a null doc_id, the one of least text stays. Texts without words stay, one row for
+    a null doc_id, the one of least text stays. Null and blank texts stay, one row for
     each doc_id. What becomes of the documents that go or have several rows is decided
     on ids and fingerprints and joined to the rows once.
     """

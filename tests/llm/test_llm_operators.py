@@ -647,6 +647,13 @@ def test_a_document_of_several_texts_links_their_groups(spark):
     assert left == [("", "only here"), ("d1", a), ("d5", c)]
 
 
+def test_texts_without_a_word_are_grouped_by_their_signs(spark):
+    texts = ["### $$$ |", "-- !!", "### $$$ |", "-- !! --", "one two", "", "", " \n", " \n", None, None, "*** ???"]
+    got = [r["group_id"] for r in sorted(simhash_dedup.groups(frame(spark, texts)).collect(), key=lambda r: r["doc_id"])]
+    assert got == [0, 1, 0, 1, *range(4, 12)]  # a null or blank text is near to none
+    assert sorted(r["doc_id"] for r in simhash_dedup.deduplicate(frame(spark, texts)).collect()) == [0, 1, *range(4, 12)]
+
+
 def test_dedup_over_awkward_rows(spark, awkward, empty):
     rows = simhash_dedup.groups(awkward).collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 6, 7]

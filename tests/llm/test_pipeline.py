@@ -126,6 +126,19 @@ def test_no_copy_at_the_threshold_stays(spark, tmp_path):
     assert 350 < len(packed) <= 450
 
 
+def test_copies_without_a_word_go(spark, tmp_path):
+    rng = random.Random(43)
+    texts = [" ".join("".join(rng.choices("-.!?#*", k=rng.randint(4, 7))) for _ in range(60)) for _ in range(40)] + ["### $$$ |", "--!?"]
+    near = [" ".join([*t.split()[:-1], "#?!"]) for t in texts[:10]]
+    told = [(i, t, "aa", "s", len(t)) for i, t in enumerate([*texts, *near, *texts, *texts[-2:]])]
+    spark.createDataFrame(told, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.count() == len(told)
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(len(texts)))
+
+
 def test_stages_over_no_rows_and_columns_of_clashing_names(spark, tmp_path):
     columns = "doc_id string, text string, lang string, keep string, size long, fp string, word int, `count` int, n long, least string"
     some = [(f"d{i}", t, k, "x", 1, "y", 2, 3, 4, "z") for i, t, k, *_ in rows()[:60]] + [(None, None, None, None, None, None, None, None, None, None)] * 2
