@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import TICK
 from plumbline.operators.lineage import cut
 from plumbline.operators.match import modules_of, top_level
-from plumbline.operators.retrieval import CHUNK_LINES, CHUNK_STEP, LEAST_LEXICAL, lexical, subwords
+from plumbline.operators.retrieval import CHUNK_LINES, CHUNK_STEP, LEAST_LEXICAL, SIGN, lexical, subwords
 from plumbline.operators.rules import ends
 
 #: Lines that are read of a symbol's body.
@@ -143,4 +143,4 @@ def symbol_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     windows = windows.otherwise(F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))))
     each = both.withColumn("w", F.explode(windows))
     part = F.slice("lines", F.col("w.a"), F.col("w.b") - F.col("w.a") + 1)
-    return each.select("path", F.col("w.a").alias("start_line"), F.size(part).alias("n_lines"), F.array_join(part, "\n").alias("chunk")).where(r"chunk RLIKE '\\S'")
+    return each.select("path", F.col("w.a").alias("start_line"), F.size(part).alias("n_lines"), F.array_join(part, "\n").alias("chunk")).where(F.col("chunk").rlike(SIGN))

@@ -18,6 +18,8 @@ STOPWORDS = tuple(
     use used uses via was when will with would you""".split()
 )
 CHUNK_LINES, CHUNK_STEP = 40, 30
+#: White space and what is none, as SQL's patterns have it: a vertical tab is a sign.
+SPACE, SIGN = r"[ \t\n\f\r]+", r"[^ \t\n\f\r]"
 LEAST_LEXICAL = 0.5
 
 
@@ -176,13 +178,17 @@ def embedded_at(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], path:
     return own.join(asked.select("key"), "key", "left_semi").select("model", "key", "vec")
 
 
-def chunks(files: DataFrame, size: int = CHUNK_LINES, step: int = CHUNK_STEP) -> DataFrame:
-    """(path, start_line, n_lines, chunk) of files (path, lines array): windows of ``size`` lines every ``step``, up to the first that reaches the end."""
+def chunks(files: DataFrame, size: int = CHUNK_LINES, step: int = CHUNK_STEP, blank: bool = False) -> DataFrame:
+    """(path, start_line, n_lines, chunk) of files (path, lines array): windows of ``size`` lines every ``step``, up to the first that reaches the end.
+
+    Windows without a sign other than white space are left out, unless ``blank``.
+    """
     n = F.size("lines")
     last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
     at = files.where("size(lines) > 0").withColumn("w", F.explode(F.sequence(F.lit(0), last)))
     part = F.slice("lines", F.col("w") * step + 1, F.lit(size))
-    return at.select("path", (F.col("w") * step + 1).alias("start_line"), F.size(part).alias("n_lines"), F.array_join(part, "\n").alias("chunk")).where(r"chunk RLIKE '\\S'")
+    out = at.select("path", (F.col("w") * step + 1).alias("start_line"), F.size(part).alias("n_lines"), F.array_join(part, "\n").alias("chunk"))
+    return out if blank else out.where(F.col("chunk").rlike(SIGN))
 
 
 def decide(scores: DataFrame, threshold: float = 0.5, margin: float = 0.15) -> DataFrame:
