@@ -95,49 +95,115 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-#: Vectors that are multiplied at once.
-BLOCK = 4096
+#: Vectors that are multiplied at once, blocks that one task holds of the entries, and numbers of pairs that are rescored at once.
+BLOCK, HELD_BLOCKS, RESCORED = 4096, 64, 1 << 21
 
 
 def _blocks(vectors: DataFrame, name: str) -> DataFrame:
-    """(ids, vecs): up to BLOCK rows (name, vec) packed into one, the vectors at length 1, as bytes; nulls are left out."""
+    """(ids, vecs): up to BLOCK rows (name, vec) packed into one, the vectors as bytes of their own type; nulls are left out."""
+    number = np.dtype(np.float32 if vectors.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64)
+
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows.column(0).combine_chunks()
+        vecs = np.array([x.values.to_numpy(zero_copy_only=False) for x in rows.column(1)], number)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([vecs.tobytes()], pa.binary())], ["ids", "vecs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                x = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary())], ["ids", "vecs"])
+            held, n = [*held, batch], n + batch.num_rows
+            while n >= BLOCK:
+                rows = pa.Table.from_batches(held)
+                yield packed(rows.slice(0, BLOCK))
+                held, n = rows.slice(BLOCK).to_batches(), n - BLOCK
+        if n:
+            yield packed(pa.Table.from_batches(held))
 
     kind = vectors.schema[name].dataType.simpleString()
     return vectors.where("vec IS NOT NULL").select(name, "vec").mapInArrow(run, f"ids array<{kind}>, vecs binary")
 
 
+def _units(vecs: bytes, n: int, number: np.dtype) -> np.ndarray:
+    """Packed vectors at length 1."""
+    x = np.frombuffer(vecs, number).reshape(n, -1).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class _Best:
+    """The scores that the k best of some queries (unit vectors) have so far; entries come in blocks."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k, self.single = queries, k, queries.astype(np.float32)
+        self.least = np.full((len(queries), k), -np.inf)
+
+    def add(self, entries: np.ndarray, single: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, entry, score) by number: what may be among the k best, of this block at most the k best of each query.
+
+        In single precision, whose error is below ``off`` for unit vectors, pairs that
+        can't be among the best so far are told; only the others are scored exactly.
+        """
+        off = (self.q.shape[1] + 8) * 2.0**-23 + 1e-9
+        finite = np.isfinite(self.q).all() and np.isfinite(entries).all()
+        for at in range(0, len(self.q), 256):
+            score = self.single[at : at + 256] @ single.T
+            least = self.least[at : at + 256]
+            bar = least.min(axis=1) - off
+            if len(entries) >= self.k and np.isinf(bar).any():
+                bar = np.fmax(bar, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1] - 2 * off)
+            open_ = score >= bar[:, None].astype(np.float32) - np.float32(2.0**-23)
+            if not finite:
+                open_ |= np.isnan(score)
+            row, col = np.divmod(np.flatnonzero(open_.ravel()), len(entries))
+            step = max(len(entries), RESCORED // self.q.shape[1])
+            done = 0
+            while done < len(row):
+                # Whole queries at a time.
+                end = len(row) if done + step >= len(row) else int(np.searchsorted(row, row[done + step]))
+                end = end if end > done else int(np.searchsorted(row, row[done], side="right"))
+                r, c = row[done:end], col[done:end]
+                done = end
+                exact = np.einsum("ij,ij->i", self.q[at + r], entries[c])
+                order = np.lexsort((c, -np.round(exact, 9), r))
+                r, c, exact = r[order], c[order], exact[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                keep = place < self.k
+                r, c, exact, place = r[keep], c[keep], exact[keep], place[keep]
+                new = np.full(least.shape, -np.inf)
+                new[r, place] = np.where(np.isnan(exact), -np.inf, np.round(exact, 9))
+                told = new[r, place] >= least.min(axis=1)[r]
+                least[:] = -np.sort(-np.concatenate([least, new], axis=1), axis=1)[:, : self.k]
+                yield at + r[told], c[told], exact[told]
+
+
 def cosine(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): the k entries (id, vec) nearest to each query (query_id, vec), exactly.
 
     All entries are scored, a block of queries against a block of entries by one matrix
-    product; a block hands on the k best of each query, by score to 9 places and id. A
-    vector of zeros has score 0 with all, a null one is left out.
+    product in single precision. What that leaves open is scored exactly, and a block hands
+    on those that are among the k best so far, by score to 9 places and id. A vector of
+    zeros has score 0 with all, a null one is left out. A task holds one block of queries
+    and HELD_BLOCKS of entries at most.
     """
+    number = [np.dtype(np.float32 if df.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64) for df in (queries, entries)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                q, e = batch.column(0)[i].values, batch.column(2)[i].values
-                a = np.frombuffer(batch.column(1)[i].as_py()).reshape(len(q), -1)
-                b = np.frombuffer(batch.column(3)[i].as_py()).reshape(len(e), -1)
+                q, e = batch.column(1)[i].values, batch.column(3)[i].values
+                if asked != batch.column(0)[i].as_py():
+                    asked, best = batch.column(0)[i].as_py(), _Best(_units(batch.column(2)[i].as_buffer(), len(q), number[0]), k)
                 by_id = pc.sort_indices(e).to_numpy()
-                e, b = e.take(pa.array(by_id)), b[by_id]
-                for at in range(0, len(q), 256):
-                    score = a[at : at + 256] @ b.T
-                    best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(len(score)), best.shape[1])
-                    yield pa.RecordBatch.from_arrays([q.take(pa.array(at + rows)), e.take(pa.array(best.ravel())), pa.array(score[rows, best.ravel()])], ["query_id", "id", "score"])
-
-    both = _blocks(queries, "query_id").toDF("q_ids", "q_vecs").crossJoin(_blocks(entries, "id").toDF("e_ids", "e_vecs"))  # of blocks
+                e, b = e.take(pa.array(by_id)), _units(batch.column(4)[i].as_buffer(), len(e), number[1])[by_id]
+                for row, col, score in best.add(b, b.astype(np.float32)):
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(row)), e.take(pa.array(col)), pa.array(score)], ["query_id", "id", "score"])
+
+    asked, held = cut(_blocks(queries, "query_id")), cut(_blocks(entries, "id"))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    asked = asked.select(F.monotonically_increasing_id().alias("q"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    asked = asked.repartition(max(1, min(asked.count(), 4 * cores)))
+    held = held.toDF("e_ids", "e_vecs").repartition(max(1, -(-held.count() // HELD_BLOCKS)))
+    both = asked.hint("shuffle_replicate_nl").crossJoin(held)  # of blocks
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (entries, "id"))]
     return top(both.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double"), k)
 
