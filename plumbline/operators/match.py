@@ -43,10 +43,37 @@ def modules_of(operands: DataFrame, modules: DataFrame, operand: str = "operand"
     return operands.withColumn("__operand", F.regexp_replace(operand, "^/+|/+$", "")).join(keys, "__operand").drop("__operand")
 
 
+def _bounds(lo: str, hi: str) -> tuple[Column, Column, Column]:
+    """The least and the greatest line of a range, and its own level: the least whose cells, of 2**level lines, are no shorter than it."""
+    low, high = F.least(lo, hi).cast("long"), F.greatest(lo, hi).cast("long")
+    return low, high, F.ceil(F.log2((high - low + 1).cast("double"))).cast("int")
+
+
+def _cells(ranges: DataFrame, lo: str, hi: str, levels: DataFrame) -> DataFrame:
+    """``ranges`` with ``__low``, ``__level``, ``__cell`` and ``__own``: the cells that a range meets, of its own level and all higher
+    ones of ``levels`` (one row), and whether the level is its own. It meets two cells of a level at most."""
+    low, high, own = _bounds(lo, hi)
+    each = ranges.withColumns({"__low": low, "__high": high, "__least": own}).crossJoin(F.broadcast(levels))
+    each = each.withColumn("__level", F.explode(F.filter("levels", lambda k: k >= F.col("__least")))).withColumn("__own", F.col("__level") == F.col("__least"))
+    cells = F.expr("sequence(shiftright(__low, __level), shiftright(__high, __level))")
+    return each.withColumn("__cell", F.explode(cells)).drop("levels", "__high", "__least")
+
+
 def overlaps(hunks: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(symbol, path, lo, hi) where a changed range [lo, hi] meets a symbol's lines [start, end] in the same path."""
-    met = (F.col("h.path") == F.col("b.path")) & (F.col("h.lo") <= F.col("b.end")) & (F.col("b.start") <= F.col("h.hi"))
-    return hunks.alias("h").join(bodies.alias("b"), met).select("b.symbol", "b.path", "h.lo", "h.hi")
+    """(symbol, path, lo, hi) where a changed range [lo, hi] meets a symbol's lines [start, end] in the same path.
+
+    Ranges that meet share a cell at the higher of their own levels, so this is a hash join
+    by path, level and cell. There are 64 levels at most. Of the cells that a pair shares
+    only that of the later beginning counts.
+    """
+    used = hunks.select(_bounds("lo", "hi")[2].alias("k")).distinct().union(bodies.select(_bounds("start", "end")[2].alias("k")).distinct())
+    levels = used.agg(F.collect_set("k").alias("levels"))
+    h = _cells(hunks.select("path", "lo", "hi"), "lo", "hi", levels).alias("h")
+    b = _cells(bodies.select("symbol", "path", "start", "end"), "start", "end", levels).alias("b")
+    keys = (F.col("h.path") == F.col("b.path")) & (F.col("h.__level") == F.col("b.__level")) & (F.col("h.__cell") == F.col("b.__cell"))
+    met = keys & (F.col("h.__own") | F.col("b.__own")) & (F.col("h.lo") <= F.col("b.end")) & (F.col("b.start") <= F.col("h.hi"))
+    once = F.expr("h.__cell = shiftright(greatest(h.__low, b.__low), h.__level)")
+    return h.join(b, met & once).select("b.symbol", "b.path", "h.lo", "h.hi")
 
 
 def touched_symbols(hunks: DataFrame, renamed: DataFrame, bodies: DataFrame) -> DataFrame:

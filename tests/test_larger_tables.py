@@ -3,11 +3,13 @@
 import math
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from plumbline.operators import match, retrieval
 
 
 def plain(v):
@@ -44,3 +46,48 @@ def test_chunks_of_blank_and_odd_texts(spark, tmp_path, name):
     texts = ODD_TEXTS * 21
     tables(tmp_path, documents={"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
     assert same_as_sql(spark, tmp_path, name)
+
+
+def test_nearest_vectors_leave_most_pairs_to_single_precision(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 16))
+    x[1000:1500] = x[:500]
+    x[7] = 0
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    score = np.round(unit @ unit.T, 9)
+    scored = []
+    best = retrieval._Best(unit, 5)
+    for at in range(0, 3000, 500):
+        scored += [len(r) for r, *_ in best.add(unit[at : at + 500], unit[at : at + 500].astype(np.float32))]
+    assert sum(scored) < 3000 * 30
+    vectors = spark.createDataFrame(list(zip(range(3000), x.tolist())), "id long, vec array<double>")
+    monkeypatch.setattr(retrieval, "BLOCK", 512)
+    got = retrieval.cosine(vectors.withColumnRenamed("id", "query_id"), vectors, 5)
+    # One task does not hold all queries.
+    assert "CartesianProduct" in got._jdf.queryExecution().toString()
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], round(r["score"], 9))
+    for i in range(3000):
+        assert [found[i][n][0] for n in range(1, 6)] == np.argsort(-score[i], kind="stable")[:5].tolist()
+
+
+def test_overlaps_join_on_more_than_the_path(spark):
+    rng = np.random.default_rng(3)
+
+    def ranges(n, names):
+        low = rng.integers(-40, 3000, n)
+        high = low + rng.choice([-2, 0, 0, 1, 3, 40, 700], n)
+        return spark.createDataFrame([(f"s{i}", f"p{i % 2}", int(a), int(b)) for i, (a, b) in enumerate(zip(low, high))], names)
+
+    hunks, bodies = ranges(300, "x string, path string, lo long, hi long"), ranges(400, "symbol string, path string, start long, end long")
+    got = match.overlaps(hunks, bodies)
+    want = hunks.alias("h").join(bodies.alias("b"), "path").where("lo <= end AND start <= hi").select("symbol", "path", "lo", "hi")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(got) == rows(want)
+    # 2e5 ranges against 2e5 in one path: 4e10 pairs, of which 4e5 meet.
+    many = spark.range(200_000)
+    n = match.overlaps(many.selectExpr("'p' AS path", "id * 10 AS lo", "id * 10 + 1 AS hi"), many.selectExpr("CAST(id AS STRING) AS symbol", "'p' AS path", "id * 10 AS start", "id * 10 + 10 AS end"))
+    keys = n._jdf.queryExecution().sparkPlan().toString()
+    assert "__cell" in keys.split("Join")[1].split("]")[0]
+    assert n.count() == 399_999
