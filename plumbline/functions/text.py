@@ -237,6 +237,8 @@ def code_shaped(name: Column) -> Column:
     """A bare name that can only be code: with an underscore, all capitals, or camel case."""
     return name.contains("_") | (name.rlike("[A-Z][^A-Za-z]*[A-Z]") & ~name.rlike("[a-z]")) | name.rlike("[a-z].*[A-Z]")
 
+#: What every such claim has in it; it begins with the cue, and so is looked for faster.
+_CUED_VALUE = _CUE + r"\s*" + r'(?:[`"]|-?[0-9]|true|false)'
 
 def canonical_int(raw: Column) -> Column:
     """Decimal text of an integer literal without separators, suffix or leading zeros; null if it doesn't begin with digits."""
@@ -259,7 +261,7 @@ def constant_claims(doc_lines: DataFrame) -> DataFrame:
     """(doc_path, line_no, symbol, vtype, vkey, phrase) of claims that a name has a value; takes fenced lines."""
     # Matches are found in one pass over the line; their groups are taken from the matches.
     whole = F.regexp_extract_all("line", F.lit(CONSTANT_CLAIM), F.lit(0))
-    found = doc_lines.where("NOT fenced").withColumn("g0", F.explode(whole))
+    found = doc_lines.where(~F.col("fenced") & F.col("line").rlike(_CUED_VALUE)).withColumn("g0", F.explode(whole))
     g = {i: F.regexp_extract("g0", CONSTANT_CLAIM, i) for i in range(1, 6)} | {0: F.col("g0")}
     symbol = F.when(g[1] != "", g[1]).when((g[2] != "") & code_shaped(g[2]), g[2])
     delimited = (g[3] != "") | (g[4] != "")

@@ -9,7 +9,9 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.operators import match, retrieval
+from plumbline.functions import text
+from plumbline.operators import checks, match, retrieval
+from plumbline.plans import queries
 
 
 def plain(v):
@@ -91,3 +93,34 @@ def test_overlaps_join_on_more_than_the_path(spark):
     keys = n._jdf.queryExecution().sparkPlan().toString()
     assert "__cell" in keys.split("Join")[1].split("]")[0]
     assert n.count() == 399_999
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def passes(df):
+    """How often the Arrow pass over texts is in a plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_texts_of_one_file_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "SPREAD_ROWS", 100)
+    tables(tmp_path, part={"p_partkey": pa.array(range(1000), pa.int64()), "p_size": pa.array([7] * 1000, pa.int32()), "p_brand": ["Brand#1"] * 1000})
+    assert queries.doc_lines(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+    assert queries.constant_claims(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+
+
+def test_variables_are_found_in_one_pass(spark):
+    assert passes(text.env_variables(queries.doc_lines(spark, SF))) == 1
+
+
+def test_flags_are_found_once_and_before_their_join(spark):
+    lines = queries.doc_lines(spark, SF)
+    bins = spark.createDataFrame([("partctl",)], "name string")
+    assert passes(checks.check_flags(text.flags(text.commands(lines), bins), queries.code_tokens(spark, SF))) == 0
+    plan = text.flags(text.commands(lines), bins)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("regexp_extract(tok")
+
+
+def test_rules_are_taken_from_texts_once(spark):
+    assert passes(queries.forbid_symbol(spark, SF)) == passes(queries.forbid_symbol_indirect(spark, SF)) == 0
