@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.operators import checks, drift, rules
+from plumbline.operators.lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -287,7 +288,8 @@ rules AS (
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.extract_rules(doc_lines(spark, sf_dir, True))
+    """The distinct rules, written, so that the steps which read them don't take the texts apart again."""
+    return cut(rules.extract_rules(doc_lines(spark, sf_dir)).select("kind", "a", "b", "items").distinct())
 
 
 @query(f"WITH {_RULES_CTE} SELECT * FROM rules")
