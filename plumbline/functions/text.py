@@ -184,16 +184,24 @@ def classify_commands(cmds: DataFrame) -> DataFrame:
 
 
 def env_variables(doc_lines: DataFrame) -> DataFrame:
-    """(doc_path, line_no, name) of the environment variables that documents name and don't set themselves; takes fenced lines."""
-    body = doc_lines.where(~is_fence(F.col("line")))
-    dollar = find(body, r"\$\{?(" + WORD + ")", "name").where(F.col("name").rlike(f"^{CAPITALS}$"))
-    quoted = find(body.where("NOT fenced"), TICK, "span").withColumn("name", F.trim("span")).where(F.col("name").rlike("^[A-Z][0-9A-Z]*(?:_[0-9A-Z]+)+$"))
-    cols = ("doc_path", "line_no", "name")
-    name = F.col("name")
-    named = dollar.select(*cols).unionByName(quoted.select(*cols)).distinct()
-    own = ~(name.isin(*SYSTEM_VARIABLES, *PLACEHOLDERS) | name.startswith("MY_") | name.contains("YOUR") | name.contains("PLACEHOLDER"))
-    assigned = find(doc_lines, r"(?:\bexport\s+|[&;|]|^)\s*(" + CAPITALS + ")=", "name").select("doc_path", "name").distinct()
-    return named.where(own).join(assigned, ["doc_path", "name"], "left_anti").select(*cols)
+    """(doc_path, line_no, name) of the environment variables that documents name and don't set themselves; takes fenced lines.
+
+    What a line names and what it sets is found in one pass over the lines.
+    """
+    line, name = F.col("line"), F.col("name")
+    dollar = F.filter(F.regexp_extract_all(line, F.lit(r"\$\{?(" + WORD + ")"), 1), lambda n: n.rlike(f"^{CAPITALS}$"))
+    quoted = F.filter(F.transform(F.regexp_extract_all(line, F.lit(TICK), 1), F.trim), lambda n: n.rlike("^[A-Z][0-9A-Z]*(?:_[0-9A-Z]+)+$"))
+    none = F.array().cast("array<string>")
+    named = F.concat(
+        F.when(line.contains("$") & ~is_fence(line), dollar).otherwise(none),
+        F.when(line.contains("`") & ~F.col("fenced") & ~is_fence(line), quoted).otherwise(none),
+    )
+    assigned = F.when(line.contains("="), F.regexp_extract_all(line, F.lit(r"(?:\bexport\s+|[&;|]|^)\s*(" + CAPITALS + ")="), 1)).otherwise(none)
+    both = F.concat(F.transform(named, lambda n: F.struct(n.alias("name"), F.lit(False).alias("own"))), F.transform(assigned, lambda n: F.struct(n.alias("name"), F.lit(True).alias("own"))))
+    some = doc_lines.where(line.contains("$") | line.contains("`") | line.contains("=")).select("doc_path", "line_no", F.explode(both).alias("n")).select("doc_path", "line_no", "n.name", "n.own")
+    some = some.where(~(name.isin(*SYSTEM_VARIABLES, *PLACEHOLDERS) | name.startswith("MY_") | name.contains("YOUR") | name.contains("PLACEHOLDER")))
+    by = some.groupBy("doc_path", "name").agg(F.max("own").alias("own"), F.collect_set("line_no").alias("lines"))
+    return by.where("NOT own").select("doc_path", F.explode("lines").alias("line_no"), "name")
 
 
 def flag_spellings(flag: Column) -> Column:
@@ -212,10 +220,12 @@ def flag_spellings(flag: Column) -> Column:
 
 def flags(cmds: DataFrame, binaries: DataFrame) -> DataFrame:
     """(doc_path, line_no, bin, flag) of long flags in commands that start with one of ``binaries`` (name)."""
-    toks = F.split(F.trim("cmd"), r"\s+")
-    own = cmds.withColumn("bin", F.element_at(toks, 1)).join(binaries.select(F.col("name").alias("bin")).distinct(), "bin", "left_semi")
-    found = own.withColumn("tok", F.explode(_after(toks, 1))).withColumn("flag", F.regexp_extract("tok", "^--([a-z][-0-9a-z]+)$", 1))
-    return found.where("flag <> '' AND flag NOT IN ('help', 'version')").select("doc_path", "line_no", "bin", "flag").dropDuplicates(["doc_path", "line_no", "flag"])
+    # Flags are found before the join, as few commands have one.
+    toks = cmds.where(F.col("cmd").contains("--")).select("doc_path", "line_no", F.split(F.trim("cmd"), r"\s+").alias("toks"))
+    found = toks.select("doc_path", "line_no", F.element_at("toks", 1).alias("bin"), F.explode(_after(F.col("toks"), 1)).alias("tok")).where(F.col("tok").startswith("--"))
+    found = found.withColumn("flag", F.regexp_extract("tok", "^--([a-z][-0-9a-z]+)$", 1)).where("flag <> '' AND flag NOT IN ('help', 'version')")
+    own = found.join(binaries.select(F.col("name").alias("bin")).distinct(), "bin", "left_semi")
+    return own.select("doc_path", "line_no", "bin", "flag").dropDuplicates(["doc_path", "line_no", "flag"])
 
 
 def qualified_references(doc_lines: DataFrame) -> DataFrame:
