@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import canonical_int, flag_spellings
+from plumbline.operators.lineage import cut
 from plumbline.operators.match import existing
 
 
@@ -47,6 +48,7 @@ def check_env(named: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def check_flags(found_flags: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_path, line_no, flag, verdict) by whether the code has any of the flag's spellings."""
+    found_flags = cut(found_flags.select("doc_path", "line_no", "flag"))  # read twice
     spelled = found_flags.select("flag").distinct().withColumn("term", F.explode(flag_spellings(F.col("flag"))))
     known = spelled.join(tokens.select("term").distinct(), "term", "left_semi").select("flag", F.lit(True).alias("found")).distinct()
     return found_flags.join(known, "flag", "left").select("doc_path", "line_no", "flag", verdict(F.coalesce("found", F.lit(False))))
