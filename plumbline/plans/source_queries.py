@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalars
 from plumbline.operators import checks, code, diagrams, drift, rules
 from plumbline.plans import repository
-from plumbline.plans.queries import query, table
+from plumbline.plans.queries import query, spread, table
 from plumbline.sources import repo
 
 _S = "CAST(s_suppkey AS STRING)"
@@ -107,7 +107,7 @@ def modules(spark, sf_dir) -> DataFrame:
     rust = f"'use crate::m' || {near} || '::{{' || chr(10) || '  go,' || chr(10) || '}};' || chr(10) || 'pub fn go' || {k} || '(a: u32) -> u32 {{' || chr(10) || '    while a > ' || {size} || ' {{' || chr(10) || '        stop(b);' || chr(10) || '    }}' || chr(10) || '    run(7)' || chr(10) || '}}' || chr(10) || 'enum Kind' || {k} || ' {{' || chr(10) || '    Red,' || chr(10) || '    Blue(u8),' || chr(10) || '}}' || chr(10)"
     script = f"'import {{' || chr(10) || '  go,' || chr(10) || '}} from \"./m' || {near} || '\";' || chr(10) || 'export function go' || {k} || '(a) {{' || chr(10) || '  if (a > ' || {size} || ') return stop(b);' || chr(10) || '  return run(7);' || chr(10) || '}}' || chr(10)"
     kind = "CASE p_partkey % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).selectExpr(
         "'lib/m' || CAST(p_partkey AS STRING) || " + kind.format("'.py'", "'.rs'", "'.ts'") + " AS path", "'lib/m' || CAST(p_partkey AS STRING) AS module",
         kind.format("'python'", "'rust'", "'typescript'") + " AS language", kind.format(python.replace("{{", "{").replace("}}", "}"), rust.replace("{{", "{").replace("}}", "}"), script.replace("{{", "{").replace("}}", "}")) + " AS text",
     )

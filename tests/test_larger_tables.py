@@ -10,8 +10,8 @@ import pytest
 
 import __spark_entry__ as entry
 from plumbline.functions import text
-from plumbline.operators import checks, match, retrieval
-from plumbline.plans import queries
+from plumbline.operators import checks, code, drift, evidence, match, retrieval
+from plumbline.plans import queries, source_queries
 
 
 def plain(v):
@@ -124,3 +124,57 @@ def test_flags_are_found_once_and_before_their_join(spark):
 
 def test_rules_are_taken_from_texts_once(spark):
     assert passes(queries.forbid_symbol(spark, SF)) == passes(queries.forbid_symbol_indirect(spark, SF)) == 0
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_source_files_of_one_table_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "SPREAD_ROWS", 100)
+    tables(tmp_path, part={"p_partkey": pa.array(range(1000), pa.int64()), "p_size": pa.array([7] * 1000, pa.int32())})
+    assert source_queries.code_symbols(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+
+
+def test_modules_of_a_small_file_are_not_sent_to_the_driver(spark):
+    raw = spark.createDataFrame([("lib/a", "python", "lib.m1")], "from_module string, language string, raw string")
+    few = spark.read.parquet(f"{SF}/part.parquet").selectExpr("'lib/m' || CAST(p_partkey AS STRING) AS module")
+    assert "Broadcast" not in executed(code.module_edges(raw, few))
+    assert [tuple(r) for r in code.module_edges(raw, few).collect()] == [("lib/a", "lib/m1")]
+
+
+def test_claims_that_share_tokens_or_anchors_are_not_sorted_by_them(spark):
+    claims = spark.createDataFrame([(i, "`f1` of `x`") for i in range(9)], "claim_id long, text string")
+    symbols = spark.createDataFrame([("lib/a::f1", "f1", "lib/a", "lib/a.py", 1)], "qualified_name string, name string, module string, path string, idx int")
+    grounded = evidence.ground(claims, symbols, symbols.select("module"))
+    assert "ShuffledHashJoin" in executed(grounded) and grounded.count() == 9
+    held = drift.claim_modules(claims.selectExpr("claim_id AS id", "'v' AS verdict", "array('f1', 'docs/1.md', 'a.py') AS anchors"), symbols)
+    plan = executed(held)
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert {tuple(sorted(r["modules"])) for r in held.collect()} == {("docs/1.md", "lib/a")}
+
+
+def test_claims_of_equal_words_are_ranked_once(spark, monkeypatch):
+    claims = spark.createDataFrame([(i, "it is made of steel") for i in range(50)], "claim_id long, text string")
+    symbols = spark.createDataFrame([("lib/a::steel", "steel", "lib/a", "public", "lib/a.py", 1, 1, 1, None, None)], "qualified_name string, name string, module string, visibility string, path string, idx int, start int, end int, signature string, doc string")
+    files = spark.createDataFrame([("lib/a.py", "steel = 1")], "path string, text string")
+    asked = []
+    ranked = evidence.lexical
+    monkeypatch.setattr(evidence, "lexical", lambda q, *rest: asked.append(q.count()) or ranked(q, *rest))
+    got = evidence.gather(claims, evidence.ground(claims, symbols, symbols.select("module")), symbols, files)
+    assert got.where("text = 'steel = 1' AND rank = 1").count() == 50 and asked == [1]
+
+
+def test_entries_are_cut_into_tokens_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    entries = spark.range(200).selectExpr("id", "array('w' || CAST(id % 20 AS STRING), 'all') AS tokens", "array('all') AS names").mapInArrow(counted, "id long, tokens array<string>, names array<string>")
+    asked = spark.createDataFrame([(1, ["w3", "all"])], "query_id long, tokens array<string>")
+    assert [r["id"] for r in retrieval.lexical(asked, entries, 3).orderBy("rank").collect()] == [3, 23, 43]
+    # Once for their number, once for their tokens.
+    assert seen.value == 400
