@@ -56,12 +56,13 @@ def ground(claims: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFra
     means neither gives no row.
     """
     tokens = quoted_tokens(claims)
-    by_symbol = resolve_tokens(tokens, symbols)
-    left = tokens.join(by_symbol, "token", "left")
-    by_module = fallback_modules(left.where("qualified_name IS NULL"), modules)
-    out = left.join(by_module.withColumnRenamed("module", "__module"), "token", "left")
-    module = F.when(F.col("qualified_name").isNull(), F.col("__module")).alias("module")
-    return out.select("claim_id", "pos", "token", "qualified_name", module).where("qualified_name IS NOT NULL OR module IS NOT NULL")
+    once = cut(tokens.select("token").distinct())
+    by_symbol = cut(resolve_tokens(once, symbols))
+    by_module = fallback_modules(once.join(by_symbol, "token", "left_anti"), modules)
+    none = F.lit(None).cast("string")
+    means = by_symbol.withColumn("module", none).unionByName(by_module.withColumn("qualified_name", none))
+    # A token has one meaning, but may be in any number of claims: these are not sorted.
+    return tokens.join(means.hint("shuffle_hash"), "token").select("claim_id", "pos", "token", "qualified_name", "module")
 
 
 def anchors(grounded: DataFrame) -> DataFrame:
