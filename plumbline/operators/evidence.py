@@ -72,11 +72,17 @@ def anchors(grounded: DataFrame) -> DataFrame:
 
 def bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbols (path, start, end, ...) with ``body``: up to BODY_LINES of the file's (path, text) lines; blank ones are left out."""
-    lines = F.split("text", "\r?\n", -1)
-    first, last = F.greatest("start", F.lit(1)), F.least(F.col("end"), F.size(lines), F.greatest("start", F.lit(1)) + BODY_LINES - 1)
-    body = F.when((F.col("start") > 0) & (last >= first), F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n"))
-    out = symbols.join(files.select("path", "text"), "path").withColumn("body", body).drop("text")
-    return out.where(r"body RLIKE '\\S'")
+    # A file's text is split once, not for each of its symbols.
+    of_file = symbols.groupBy("path").agg(F.collect_list(F.struct(*[c for c in symbols.columns if c != "path"])).alias("s"))
+    each = of_file.join(files.where("text IS NOT NULL").select("path", F.split("text", "\r?\n", -1).alias("lines")), "path")
+
+    def body(s: Column) -> Column:
+        first = F.greatest(s["start"], F.lit(1))
+        last = F.least(s["end"], F.size("lines"), first + BODY_LINES - 1)
+        return F.when((s["start"] > 0) & (last >= first), F.array_join(F.slice("lines", first, F.greatest(last - first + 1, F.lit(0))), "\n"))
+
+    out = each.select("path", F.explode(F.transform("s", lambda s: F.struct(s.alias("s"), body(s).alias("body")))).alias("e"))
+    return out.select("path", "e.s.*", "e.body").where(r"body RLIKE '\\S'")
 
 
 def lexicon(symbols: DataFrame) -> DataFrame:
@@ -105,9 +111,11 @@ def gather(claims: DataFrame, grounded: DataFrame, symbols: DataFrame, files: Da
     two = inside.join(with_body.drop("module"), ["path", "idx"]).withColumn("score", F.lit(IN_MODULE)).select(*columns)
     direct = cut(one.unionByName(two))
     rest = claims.join(direct.select("claim_id").distinct(), "claim_id", "left_anti")
-    asked = rest.select(F.col("claim_id").alias("query_id"), subwords(F.col("text")).alias("tokens"))
-    near = lexical(asked, lexicon(symbols), k, least).select(F.col("query_id").alias("claim_id"), F.round("score", 9).alias("score"), F.col("rank").alias("pos"), "id.path", "id.idx")
-    three = near.join(with_body, ["path", "idx"]).select(*columns)
+    # Claims of equal words have the same nearest symbols: bodies are looked up for these, not for each claim.
+    asked = cut(rest.select("claim_id", F.array_sort(subwords(F.col("text"))).alias("tokens")).withColumn("set", F.md5(F.array_join("tokens", "\0"))))
+    near = lexical(asked.select(F.col("set").alias("query_id"), "tokens").dropDuplicates(["query_id"]), lexicon(symbols), k, least)
+    near = near.select(F.col("query_id").alias("set"), F.round("score", 9).alias("score"), F.col("rank").alias("pos"), "id.path", "id.idx")
+    three = asked.select("claim_id", "set").join(near.join(with_body, ["path", "idx"]).hint("shuffle_hash"), "set").select(*columns)
     every = direct.unionByName(three)
     best = Window.partitionBy("claim_id", "path", "start").orderBy(F.desc("score"), "pos", "idx")
     once = every.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
