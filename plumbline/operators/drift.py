@@ -97,8 +97,12 @@ def claim_modules(claims: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     named = symbols.select(F.explode(F.array_distinct(F.array("qualified_name", "name", "module"))).alias("anchor"), "module").distinct()
     owned = symbols.select("path", "module").distinct().select("path", "module", F.explode(suffixes(F.col("path"))).alias("anchor")).groupBy("anchor").agg(F.min_by("module", "path").alias("owner"))
-    each = claims.select("id", "verdict", F.explode_outer("anchors").alias("anchor")).join(named, "anchor", "left").join(owned, "anchor", "left")
-    return each.groupBy("id", "verdict").agg(F.collect_set(F.coalesce("module", "owner", "anchor")).alias("modules"))
+    # What an anchor means is looked up in tables of what is known, which are small beside the claims of any anchor: these are not
+    # sorted, and all rows of a claim come together before they are collected.
+    each = claims.select("id", "verdict", F.explode_outer("anchors").alias("anchor"))
+    each = each.join(named.hint("shuffle_hash"), "anchor", "left").join(owned.hint("shuffle_hash"), "anchor", "left")
+    each = each.select("id", "verdict", F.coalesce("module", "owner", "anchor").alias("module")).repartition("id")
+    return each.groupBy("id", "verdict").agg(F.collect_set("module").alias("modules"))
 
 
 def agreement(told: DataFrame) -> DataFrame:
