@@ -275,6 +275,7 @@ def import_candidates(edges: DataFrame) -> DataFrame:
 
 def module_edges(raw_imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Distinct (src, dst): each import resolved to the first of its candidates that is a module; not to itself."""
-    known = import_candidates(raw_imports).join(modules.select(F.col("module").alias("candidate")).distinct(), "candidate")
+    # Modules may be many in a small file; the planner would take them for few and send them all to the driver.
+    known = import_candidates(raw_imports).join(modules.select(F.col("module").alias("candidate")).distinct().hint("merge"), "candidate")
     first = known.groupBy("from_module", "raw").agg(F.min_by("candidate", "pos").alias("dst"))
     return first.select(F.col("from_module").alias("src"), "dst").where("src <> dst").distinct()
