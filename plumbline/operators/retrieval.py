@@ -54,14 +54,16 @@ def lexical(queries: DataFrame, entries: DataFrame, k: int, least: float = LEAST
     every pair.
     """
     n = entries.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))  # one row
-    # Tables that several steps below read are written, so that texts are not cut into tokens again for each.
-    idf = cut(inverse_frequency(entries).crossJoin(F.broadcast(n)).select("token", "idf", ((F.col("df") > F.col("n") * HOT_SHARE) & (F.col("df") > hot_least)).alias("hot")))
+    # Tables that several steps below read are written, so that texts are cut into tokens once.
     asked = queries.select("query_id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).withColumn("set", F.md5(F.array_join("tokens", "\0")))
-    said = cut(asked.select("set", "tokens").dropDuplicates(["set"]).select("set", F.explode("tokens").alias("token")).join(idf, "token"))
+    said = cut(asked.select("set", "tokens").dropDuplicates(["set"]).select("set", F.explode("tokens").alias("token")))
     weight = F.when(F.array_contains("names", F.col("token")), 2.0).otherwise(1.0).alias("w")
     held = entries.select("id", F.explode(F.array_distinct("tokens")).alias("token"), "names").select("id", "token", weight)
-    # Tokens that no query has add to no score.
-    held = held.join(said.select("token", "hot").distinct(), "token")
+    # Tokens that no query has add to no score, so how many entries have them is not asked.
+    held = cut(held.join(cut(said.select("token").distinct()), "token"))
+    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
+    idf = cut(df.select("token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"), ((F.col("df") > F.col("n") * HOT_SHARE) & (F.col("df") > hot_least)).alias("hot")))
+    said, held = said.join(idf, "token"), held.join(idf.select("token", "hot"), "token")
 
     def split(rows: DataFrame, key: str, value: str, kind: str) -> DataFrame:
         """(key, rare, hot, kind): the tokens of a query or an entry with their values, and a number for what is hot in it, null without."""
